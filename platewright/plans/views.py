@@ -132,9 +132,13 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     brand = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
     kind = F.length("p_type")
     s = F.col("p_size")
+    letters = (_letter(s), _letter(brand), _letter(kind + s), _letter(brand + kind))
+    pocket = [
+        F.when((s + i) % 3 == 0, letter).otherwise(F.lit(PARENT[i])) for i, letter in enumerate(letters)
+    ]
     return table(spark, sf, "part").select(
         F.col("p_partkey").alias("candidate_id"),
-        F.array(_letter(s), _letter(brand), _letter(kind + s), _letter(brand + kind)).alias("pocket"),
+        F.array(*pocket).alias("pocket"),
         s.alias("m1"),
         F.col("p_retailprice").alias("m2"),
         F.length("p_name").alias("m3"),
@@ -214,6 +218,10 @@ def _sql_token(slot: int) -> str:
     )
 
 
+def _sql_slot(i: int, index: str) -> str:
+    return f"CASE WHEN (p_size + {i}) % 3 = 0 THEN {_sql_letter(index)} ELSE '{PARENT[i]}' END"
+
+
 _SEP = "([';', ', ', '_', '+'])[p_size % 4 + 1]"
 _BRAND = "regexp_extract(p_brand, '([0-9]+)', 1)::INT"
 
@@ -266,8 +274,8 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_cand": (
         (),
-        f"""SELECT p_partkey AS candidate_id, [{_sql_letter('p_size')}, {_sql_letter(_BRAND)},
-        {_sql_letter('length(p_type) + p_size')}, {_sql_letter(_BRAND + ' + length(p_type)')}] AS pocket,
+        f"""SELECT p_partkey AS candidate_id, [{_sql_slot(0, 'p_size')}, {_sql_slot(1, _BRAND)},
+        {_sql_slot(2, 'length(p_type) + p_size')}, {_sql_slot(3, _BRAND + ' + length(p_type)')}] AS pocket,
         p_size AS m1, p_retailprice AS m2, length(p_name) AS m3 FROM part""",
     ),
     "v_assay": (
