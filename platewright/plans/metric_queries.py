@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from platewright.functions.normal import Z95, Z_LEVELS, quantile_levels
 from platewright.operators import metrics as M
-from platewright.operators.ranking import group_quantiles
+from platewright.operators.ranking import group_quantiles, row_positions
 from platewright.plans import views as V
 from platewright.plans.registry import query
 
@@ -257,25 +257,15 @@ def agg_22(spark, sf):
 
 @query(
     "agg_23",
-    f"""SELECT c.c_custkey AS assay, count(*) AS n_outside, string_agg(key::VARCHAR, ',' ORDER BY key) AS keys
-    FROM v_pred JOIN orders ON key = o_orderkey JOIN customer c ON o_custkey = c_custkey
-    WHERE model = 'A' AND abs(observed - predicted) > {Z95} * sd * 4 GROUP BY 1""",
+    f"""SELECT model, key, row_number() OVER (PARTITION BY model ORDER BY key) AS place, count(*) OVER (PARTITION BY model) AS n_outside
+    FROM v_pred WHERE abs(observed - predicted) > {Z95} * sd""",
 )
 def agg_23(spark, sf):
-    """The list is over one model's orders of one customer."""
-    owner = V.table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("assay")
-    )
-    outside = M.abs_error() > F.lit(Z95) * F.col("sd") * F.lit(4)
-    return (
-        V.predictions(spark, sf)
-        .where((F.col("model") == "A") & outside)
-        .join(owner, "key")
-        .groupBy("assay")
-        .agg(
-            F.count(F.lit(1)).alias("n_outside"),
-            F.array_join(F.sort_array(F.collect_list("key")).cast("array<string>"), ",").alias("keys"),
-        )
+    """The sorted list is a table with places: no model's keys are gathered into one value."""
+    outside = M.abs_error() > F.lit(Z95) * F.col("sd")
+    keys = V.predictions(spark, sf).where(outside).select("model", "key")
+    return row_positions(keys, ["model"], [("key", False)], "place").withColumnRenamed(
+        "total", "n_outside"
     )
 
 
