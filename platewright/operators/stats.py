@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewright.functions.common import TWO_32, hash32
+from platewright.functions.normal import two_sided_p
+from platewright.operators.metrics import rank_correlation
+from platewright.operators.ranking import (
+    average_ranks,
+    group_quantiles,
+    row_positions,
+    value_positions,
+)
+
+# Cumulative Poisson(1) probabilities P(W <= 0), P(W <= 1), ... down to 32-bit resolution.
+POISSON_STEPS = (
+    0.3678794412, 0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532,
+    0.9994058152, 0.9999167589, 0.9999897508, 0.9999988748, 0.9999998885,
+)
+
 
 def with_scopes(df: DataFrame, scopes: dict[str, Column]) -> DataFrame:
     """Each row once per scope it belongs to (a fixed short list of named predicates)."""
@@ -23,3 +41,267 @@ def share_at_or_below(
         .groupBy(*groups, value)
         .agg(F.avg(hit).alias("share_at_or_below"))
     )
+
+
+def resample_by_index(
+    df: DataFrame, groups: list[str], key: str, values: list[str], draws: int
+) -> DataFrame:
+    """n-of-n resampling with replacement: (groups, draw, values...) rows.
+
+    Slot i of draw d takes the row at position hash(d, i) mod n. Positions are unique per group, so
+    the join spreads evenly whatever the group sizes are.
+    """
+    placed = row_positions(df.select(*groups, key, *values), groups, [(key, False)], "_pos")
+    draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
+    slots = placed.select(*groups, "_pos", "total", draw.alias("draw")).select(
+        *groups,
+        "draw",
+        (F.pmod(hash32("draw", F.col("_pos") - 1), F.col("total")) + 1).alias("_pos"),
+    )
+    return slots.join(placed.select(*groups, "_pos", *values), [*groups, "_pos"]).drop("_pos")
+
+
+def bootstrap_means(
+    df: DataFrame, groups: list[str], key: str, values: list[str], draws: int
+) -> DataFrame:
+    """Mean of every value per draw; all values see the same resamples."""
+    rows = resample_by_index(df, groups, key, values, draws)
+    return rows.groupBy(*groups, "draw").agg(*[F.avg(v).alias(v) for v in values])
+
+
+def poisson_bootstrap_means(
+    df: DataFrame, groups: list[str], key: str, values: list[str], draws: int
+) -> DataFrame:
+    """Poisson-weighted bootstrap means for large groups: rows are never shuffled, only the
+    (group, draw) partial sums are."""
+    draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
+    rows = df.select(*groups, key, *values, draw.alias("draw"))
+    u = hash32("draw", key) / F.lit(TWO_32)
+    w = sum(((u >= F.lit(p)).cast("int") for p in POISSON_STEPS[1:]), (u >= F.lit(POISSON_STEPS[0])).cast("int"))
+    weighted = rows.withColumn("_w", w).where(F.col("_w") > 0)
+    return weighted.groupBy(*groups, "draw").agg(
+        *[(F.sum(F.col(v) * F.col("_w")) / F.sum("_w")).alias(v) for v in values]
+    )
+
+
+def percentile_interval(
+    draws: DataFrame, groups: list[str], values: list[str], alpha: float = 0.05
+) -> DataFrame:
+    """Percentile interval per value over the draws (a bounded number of rows per group).
+
+    Degenerate draws (NULL or NaN) are ignored.
+    """
+    long = draws.unpivot(groups, values, "statistic", "_v")
+    clean = F.when(~F.isnan("_v"), F.col("_v"))
+    ends = F.percentile(clean, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    return (
+        long.groupBy(*groups, "statistic")
+        .agg(ends.alias("_e"))
+        .select(
+            *groups,
+            "statistic",
+            F.col("_e")[0].alias("ci_low"),
+            F.col("_e")[1].alias("ci_high"),
+        )
+    )
+
+
+def paired_differences(
+    df: DataFrame, model: str, key: str, error: str, focuses: list[str] | None = None
+) -> DataFrame:
+    """(focus, against, key, both errors, difference) for every ordered pair of models of a key.
+
+    Positive differences mean the focus model made the smaller error. A key has one row per model.
+    """
+    a = df.select(F.col(model).alias("focus"), key, F.col(error).alias("focus_error"))
+    b = df.select(F.col(model).alias("against"), key, F.col(error).alias("against_error"))
+    if focuses is not None:
+        a = a.where(F.col("focus").isin(focuses))
+    return (
+        a.join(b, key)
+        .where(F.col("focus") != F.col("against"))
+        .withColumn("difference", F.col("against_error") - F.col("focus_error"))
+    )
+
+
+def paired_summary(differences: DataFrame, groups: list[str]) -> DataFrame:
+    """Both MAEs, mean and median difference, and how often the focus model is better."""
+    flat = differences.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("focus_error").alias("focus_mae"),
+        F.avg("against_error").alias("against_mae"),
+        F.avg("difference").alias("delta_mean"),
+        F.count_if(F.col("difference") > 0).alias("n_focus_better"),
+    )
+    return flat.join(group_quantiles(differences, groups, "difference", {"delta_median": 0.5}), groups)
+
+
+def wilcoxon(
+    df: DataFrame, groups: list[str], difference: str, p_if_all_zero: float | None = 1.0
+) -> DataFrame:
+    """Signed-rank statistic with tie-corrected normal p-value. Zero differences are dropped.
+
+    Rank sums come from distinct |difference| values with their signed counts, so ties collapse
+    before the sort and no group is ranked in one task.
+    """
+    d = df.select(*groups, F.col(difference).alias("_d"))
+    sized = d.where(F.col("_d") != 0).select(
+        *groups, F.abs("_d").alias("_a"), (F.col("_d") > 0).cast("int").alias("_up")
+    )
+    ups = sized.groupBy(*groups, "_a").agg(F.sum("_up").alias("_n_up"))
+    n, t = F.col("n").cast("double"), F.col("_t")
+    ranked = (
+        value_positions(sized, groups, "_a")
+        .withColumn("_rank", F.col("before") + (F.col("n") + F.lit(1)) / F.lit(2.0))
+        .join(ups, [*groups, "_a"])
+    )
+    sums = ranked.groupBy(*groups).agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("_rank") * F.col("_n_up")).alias("w_plus"),
+        F.sum(F.col("_rank") * (F.col("n") - F.col("_n_up"))).alias("w_minus"),
+        F.sum(F.pow(F.col("n").cast("double"), F.lit(3)) - F.col("n")).alias("_t"),
+        F.max("n").alias("largest_tie"),
+    )
+    mean = n * (n + 1) / 4
+    var = n * (n + 1) * (2 * n + 1) / 24 - t / 48
+    tested = (
+        sums.withColumn("statistic", F.least("w_plus", "w_minus"))
+        .withColumn("z", (F.col("statistic") - mean) / F.sqrt(var))
+        .withColumn("p", two_sided_p("z"))
+    )
+    every = d.select(*groups).distinct()
+    return (
+        every.join(tested, groups, "left")
+        .withColumn("p", F.when(F.col("n").isNull(), F.lit(p_if_all_zero)).otherwise(F.col("p")))
+        .drop("_t")
+        .na.fill(0, ["n"])
+    )
+
+
+def _signed_rank_tail(n: int, w: float) -> float:
+    """P(min rank sum <= w) two-sided, by counting subsets of 1..n with a given sum."""
+    counts = np.zeros(n * (n + 1) // 2 + 1)
+    counts[0] = 1.0
+    for r in range(1, n + 1):
+        counts[r:] = counts[r:] + counts[:-r]
+    return float(min(1.0, 2.0 * counts[: int(np.floor(w)) + 1].sum() / 2.0**n))
+
+
+def exact_wilcoxon(tests: DataFrame, limit: int = 50) -> DataFrame:
+    """Exact p for small tests without ties; larger ones keep the normal p.
+
+    Only (n, statistic) is needed, so this is a vectorised function over the test table.
+    """
+
+    @F.pandas_udf("double")
+    def exact(n: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series(
+            [None if pd.isna(b) or a < 1 else _signed_rank_tail(int(a), float(b)) for a, b in zip(n, w)],
+            dtype="float64",
+        )
+
+    small = (F.col("n") <= limit) & (F.col("n") > 0) & (F.col("largest_tie") == 1)
+    safe_n = F.when(small, F.col("n")).otherwise(F.lit(0))
+    return tests.withColumn("exact", F.coalesce(small, F.lit(False))).withColumn(
+        "p_used", F.coalesce(exact(safe_n, F.col("statistic")), F.col("p"))
+    )
+
+
+def bootstrap_rank_differences(
+    wide: DataFrame, key: str, truth: str, focus: str, against: list[str], draws: int
+) -> DataFrame:
+    """Difference of Spearman rho (focus minus each opponent) for every resample of the keys."""
+    models = [focus, *against]
+    base = wide.select(F.lit(0).alias("_g"), key, truth, *models)
+    rows = resample_by_index(base, ["_g"], key, [truth, *models], draws).drop("_g")
+    ranks = {c: f"_r_{c}" for c in [truth, *models]}
+    ranked = average_ranks(rows, ["draw"], ranks)
+    rho = ranked.groupBy("draw").agg(
+        *[F.corr(ranks[truth], ranks[m]).alias(f"_rho_{m}") for m in models]
+    )
+    return rho.select(
+        "draw", *[(F.col(f"_rho_{focus}") - F.col(f"_rho_{m}")).alias(m) for m in against]
+    )
+
+
+def rank_correlation_test(
+    df: DataFrame, groups: list[str], x: str = "observed", y: str = "predicted"
+) -> DataFrame:
+    """Spearman rho with a Fisher-z p-value (variance 1.06/(n - 3))."""
+    rho = rank_correlation(df, groups, x, y)
+    n = df.na.drop(subset=[x, y]).groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    r = F.col("spearman")
+    z = F.lit(0.5) * F.log((1 + r) / (1 - r)) * F.sqrt((F.col("n") - 3) / F.lit(1.06))
+    return (
+        n.join(rho, groups)
+        .withColumn("z", F.when((F.col("n") > 3) & (F.abs(r) < 1), z))
+        .withColumn("p", two_sided_p("z"))
+    )
+
+
+def permutation_test(
+    df: DataFrame, groups: list[str], key: str, x: str, y: str, permutations: int
+) -> DataFrame:
+    """Two-sided permutation p of a rank correlation: share of |rho| at least the observed one.
+
+    In permutation p the row at hash position j takes the y rank of row j.
+    """
+    ranked = average_ranks(df.select(*groups, key, x, y), groups, {x: "_rx", y: "_ry"})
+    placed = row_positions(ranked.select(*groups, key, "_rx", "_ry"), groups, [(key, False)], "_pos")
+    placed = placed.drop("total")
+    shuffled = placed.select(
+        *groups,
+        key,
+        "_rx",
+        F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"),
+    ).withColumn("_h", hash32("perm", key))
+    drawn = row_positions(shuffled, [*groups, "perm"], [("_h", False), (key, False)], "_pos")
+    null = (
+        drawn.drop("total", "_h")
+        .join(placed.select(*groups, "_pos", "_ry"), [*groups, "_pos"])
+        .groupBy(*groups, "perm")
+        .agg(F.corr("_rx", "_ry").alias("_null"))
+    )
+    observed = ranked.groupBy(*groups).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    extreme = (F.abs("_null") >= F.abs("rho") - F.lit(1e-12)).cast("double")
+    return (
+        null.join(observed, groups).groupBy(*groups, "rho", "n").agg(F.avg(extreme).alias("p"))
+    )
+
+
+def random_subsets(
+    members: DataFrame, group: str, key: str, size: int, draws: int
+) -> DataFrame:
+    """Hash-random subsets without replacement of each bounded group: (group, draw, key)."""
+    from platewright.operators.ranking import top_per_group
+
+    drawn = members.select(
+        group, key, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    ).withColumn("_h", hash32("draw", key))
+    return top_per_group(drawn, [group, "draw"], [("_h", False), (key, False)], size, "_r").drop("_h", "_r")
+
+
+def subset_similarity(
+    subsets: DataFrame, pair_table: DataFrame, group: str, key: str, value: str
+) -> DataFrame:
+    """Mean pair similarity inside every subset of a bounded group."""
+    a = subsets.select(group, "draw", F.col(key).alias("id_a"))
+    b = subsets.select(group, "draw", F.col(key).alias("id_b"))
+    inside = a.join(b, [group, "draw"]).where(F.col("id_a") < F.col("id_b"))
+    return (
+        inside.join(pair_table.select(group, "id_a", "id_b", value), [group, "id_a", "id_b"])
+        .groupBy(group, "draw")
+        .agg(F.avg(value).alias("mean_similarity"))
+    )
+
+
+def leave_one_out_similarity(pair_table: DataFrame, group: str, value: str) -> DataFrame:
+    """Mean pair similarity of each panel without each member: total minus the member's pairs."""
+    ends = pair_table.select(group, F.explode(F.array("id_a", "id_b")).alias("member"), value)
+    rows = ends.groupBy(group, "member").agg(F.sum(value).alias("_row"), F.count(F.lit(1)).alias("_k"))
+    totals = pair_table.groupBy(group).agg(F.sum(value).alias("_all"), F.count(F.lit(1)).alias("_n"))
+    rest = (F.col("_all") - F.col("_row")) / (F.col("_n") - F.col("_k"))
+    loo = rows.join(totals, group).where(F.col("_n") > F.col("_k")).withColumn("_loo", rest)
+    return loo.groupBy(group).agg(
+        F.avg("_loo").alias("mean"), F.min("_loo").alias("low"), F.max("_loo").alias("high"), F.count(F.lit(1)).alias("n")
+    )
