@@ -38,6 +38,14 @@ def is_bad_double(x: Column) -> Column:
     return x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation aggregate, NULL where a side is constant (the built-in raises there)."""
+    a, b = col(x), col(y)
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.when(spread > 0, F.covar_pop(a, b) / spread)
+
+
 def all_of(*conditions: Column) -> Column:
     out = F.lit(True)
     for c in conditions:

@@ -111,11 +111,12 @@ def only_positions(muts: str | Column, modelled: tuple[int, ...]) -> Column:
 
 def pocket_of(muts: str | Column, parent: dict[int, str]) -> Column:
     """Residue at each modelled position in fixed order, the parent's where unmutated."""
-    residues = []
-    for pos, letter in parent.items():
-        here = F.filter(col(muts), lambda m, p=pos: m["pos"] == p)
-        residues.append(F.coalesce(F.get(F.transform(here, lambda m: m["mut"]), F.lit(0)), F.lit(letter)))
-    return F.array(*residues)
+
+    def residue(pos: int, letter: str) -> Column:
+        here = F.filter(col(muts), lambda m: m["pos"] == pos)
+        return F.coalesce(F.get(F.transform(here, lambda m: m["mut"]), F.lit(0)), F.lit(letter))
+
+    return F.array(*[residue(pos, letter) for pos, letter in parent.items()])
 
 
 def apply_mutations(reference: str | Column, muts: str | Column) -> Column:

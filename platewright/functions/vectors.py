@@ -69,7 +69,7 @@ def mean_pair_product(k: str | Column) -> Column:
     s1 = total(col(k))
     s2 = dot(k, k)
     m = F.size(col(k))
-    return (s1 * s1 - s2) / (m * (m - 1))
+    return F.when(m > 1, (s1 * s1 - s2) / (m * (m - 1))).otherwise(0.0)
 
 
 def combined(k: str | Column, sigma_main: float, sigma_epi: float) -> Column:

@@ -92,8 +92,8 @@ def scale_on_train(df: DataFrame, groups: list[str], fold: str, columns: list[st
     m = complement_moments(df, groups, fold, columns)
     stats = []
     for c in columns:
-        mean = F.col(f"sum_{c}") / F.col("n_train")
-        var = F.greatest(F.col(f"sumsq_{c}") / F.col("n_train") - mean * mean, F.lit(0.0))
+        mean = F.try_divide(F.col(f"sum_{c}"), F.col("n_train"))
+        var = F.greatest(F.try_divide(F.col(f"sumsq_{c}"), F.col("n_train")) - mean * mean, F.lit(0.0))
         stats += [mean.alias(f"_m_{c}"), F.sqrt(var).alias(f"_s_{c}")]
     joined = df.join(m.select(*groups, fold, *stats), [*groups, fold])
     for c in columns:

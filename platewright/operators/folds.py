@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platewright.functions.common import hash32, literal_rows
@@ -33,20 +32,25 @@ def complement_moments(
     for c in columns:
         aggs += [F.sum(F.col(c)).alias(f"_s_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"_q_{c}")]
     per_fold = df.groupBy(*groups, fold).agg(*aggs)
-    w = W.partitionBy(*groups)
-    out = [(F.sum("_n").over(w) - F.col("_n")).alias("n_train")]
+    names = ["_n"] + [f"_{t}_{c}" for c in columns for t in ("s", "q")]
+    totals = df.groupBy(*groups).agg(*[a.alias(f"_all{n}") for a, n in zip(aggs, names)])
+    if groups:
+        joined = per_fold.join(totals, groups)
+        rest = {n: F.col(f"_all{n}") - F.col(n) for n in names}
+    else:
+        row = totals.select(F.struct(*totals.columns).alias("_t")).scalar()
+        joined = per_fold.withColumn("_t", row)
+        rest = {n: F.col("_t")[f"_all{n}"] - F.col(n) for n in names}
+    out = [rest["_n"].alias("n_train")]
     for c in columns:
-        out += [
-            (F.sum(f"_s_{c}").over(w) - F.col(f"_s_{c}")).alias(f"sum_{c}"),
-            (F.sum(f"_q_{c}").over(w) - F.col(f"_q_{c}")).alias(f"sumsq_{c}"),
-        ]
-    return per_fold.select(*groups, fold, F.col("_n").alias("n_test"), *out)
+        out += [rest[f"_s_{c}"].alias(f"sum_{c}"), rest[f"_q_{c}"].alias(f"sumsq_{c}")]
+    return joined.select(*groups, fold, F.col("_n").alias("n_test"), *out)
 
 
 def train_mean_baseline(df: DataFrame, groups: list[str], fold: str, y: str) -> DataFrame:
     """Every row predicted by the mean of the rows outside its fold."""
     m = complement_moments(df, groups, fold, [y]).select(
-        *groups, fold, "n_train", (F.col(f"sum_{y}") / F.col("n_train")).alias("predicted")
+        *groups, fold, "n_train", F.try_divide(F.col(f"sum_{y}"), F.col("n_train")).alias("predicted")
     )
     return df.join(m, [*groups, fold])
 
@@ -54,7 +58,7 @@ def train_mean_baseline(df: DataFrame, groups: list[str], fold: str, y: str) ->
 def complement_mean_error(df: DataFrame, held_out: str, y: str) -> DataFrame:
     """Error of the complement mean per hold-out group."""
     m = complement_moments(df, [], held_out, [y]).select(
-        held_out, "n_test", (F.col(f"sum_{y}") / F.col("n_train")).alias("train_mean")
+        held_out, "n_test", F.try_divide(F.col(f"sum_{y}"), F.col("n_train")).alias("train_mean")
     )
     return (
         df.join(m, held_out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewright.functions.common import col, is_bad_double, literal_rows
+from platewright.functions.common import col, correlation, is_bad_double, literal_rows
 from platewright.functions.normal import Z95, Z_LEVELS, gaussian_nlpd
 from platewright.operators.ranking import average_ranks, group_quantiles
 
@@ -20,7 +20,7 @@ def relative_error(observed: str = "observed", predicted: str = "predicted") ->
 
 
 def standardised_residual(sd: str | Column = "sd") -> Column:
-    return (F.col("observed") - F.col("predicted")) / col(sd)
+    return F.try_divide(F.col("observed") - F.col("predicted"), col(sd))
 
 
 def interval(sd: str | Column = "sd", z: float = Z95) -> dict[str, Column]:
@@ -38,8 +38,7 @@ def rank_correlation(
     """Spearman rho on tie-averaged ranks; NULL where a side is constant."""
     rows = df.select(*groups, x, y).na.drop(subset=[x, y])
     ranked = average_ranks(rows, groups, {x: "_rx", y: "_ry"})
-    varies = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))
-    return ranked.groupBy(*groups).agg(F.when(varies, F.corr("_rx", "_ry")).alias(out))
+    return ranked.groupBy(*groups).agg(correlation("_rx", "_ry").alias(out))
 
 
 def regression_metrics(df: DataFrame, groups: list[str], sd: str | None = None) -> DataFrame:
@@ -52,10 +51,7 @@ def regression_metrics(df: DataFrame, groups: list[str], sd: str | None = None)
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.when(total > 0, F.lit(1.0) - F.sum(err * err) / total).alias("r2"),
-        F.when(
-            (n > 2) & (F.var_pop("observed") > 0) & (F.var_pop("predicted") > 0),
-            F.corr("observed", "predicted"),
-        ).alias("pearson"),
+        F.when(n > 2, correlation("observed", "predicted")).alias("pearson"),
     ]
     if sd:
         aggs.append(F.avg(gaussian_nlpd("observed", "predicted", sd)).alias("nlpd"))
@@ -280,5 +276,5 @@ def pairwise_delta_correlation(df: DataFrame, key: str, set_col: str, delta: str
         a.join(b, key)
         .where(F.col("set_a") < F.col("set_b"))
         .groupBy("set_a", "set_b")
-        .agg(F.corr("_da", "_db").alias("correlation"), F.count(F.lit(1)).alias("n"))
+        .agg(correlation("_da", "_db").alias("correlation"), F.count(F.lit(1)).alias("n"))
     )

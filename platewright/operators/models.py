@@ -181,7 +181,15 @@ def linear_predictions(df: DataFrame, models: DataFrame, groups: list[str], vec:
 
 
 def forest_cv(
-    df: DataFrame, vec: str, y: str, fold: str, k: int, trees: int = 500, min_leaf: int = 2, seed: int = 42
+    df: DataFrame,
+    vec: str,
+    y: str,
+    fold: str,
+    k: int,
+    trees: int = 500,
+    min_leaf: int = 2,
+    seed: int = 42,
+    depth: int = 8,
 ) -> DataFrame:
     """Random forest per fold. Each fit is one distributed job; only k of them are started."""
     from pyspark.ml.functions import array_to_vector
@@ -196,7 +204,7 @@ def forest_cv(
             numTrees=trees,
             minInstancesPerNode=min_leaf,
             seed=seed,
-            maxDepth=8,
+            maxDepth=depth,
             predictionCol="predicted",
             maxMemoryInMB=512,
         )

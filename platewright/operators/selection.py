@@ -14,7 +14,7 @@ from platewright.functions.common import hash32
 from platewright.operators.ranking import Order, group_quantiles, keep_first, top_per_group
 from platewright.operators.reshape import set_overlap
 from platewright.operators.similarity import dense_correlation
-from platewright.operators.stability import stable
+from platewright.operators.stability import broadcast_if_small, stable
 
 PANEL_LIMIT = 512
 JITTER = 1e-9
@@ -181,7 +181,9 @@ def farthest_first(
         part = chosen.withColumn("pick", F.lit(r))
         picks = part if picks is None else picks.unionByName(part)
         if r < k:
-            last = chosen.select(*groups, F.col(key).alias("_pk"), F.col("vec").alias("_pv"))
+            last = broadcast_if_small(
+                chosen.select(*groups, F.col(key).alias("_pk"), F.col("vec").alias("_pv"))
+            )
             state = (
                 state.join(last, groups)
                 .where(F.col(key) != F.col("_pk"))
@@ -208,7 +210,7 @@ def panel_diagnostics(
             F.max("rank").alias("worst_rank"),
         )
         .join(top_means, groups)
-        .withColumn("retention", F.col("mean_value") / F.col("top_mean"))
+        .withColumn("retention", F.try_divide("mean_value", "top_mean"))
         .drop("top_mean")
     )
 

@@ -23,6 +23,16 @@ def pairs(df: DataFrame, groups: list[str], key: str, vec: str = "vec") -> DataF
     return a.join(b, groups).where(F.col("id_a") < F.col("id_b"))
 
 
+def lookup_pairs(lookup: DataFrame, key: str, vec: str = "vec") -> DataFrame:
+    """Pairs of a lookup with one row per letter: the whole alphabet travels as one array value."""
+    letters = lookup.agg(
+        F.collect_list(F.struct(F.col(key).alias("id_b"), F.col(vec).alias("vec_b")))
+    ).scalar()
+    rows = lookup.select(F.col(key).alias("id_a"), F.col(vec).alias("vec_a"), letters.alias("_all"))
+    later = F.explode(F.filter("_all", lambda x: x["id_b"] > F.col("id_a")))
+    return rows.select("id_a", "vec_a", later.alias("_b")).select("id_a", "vec_a", "_b.*")
+
+
 def cross_pairs(test: DataFrame, train: DataFrame, groups: list[str], key: str) -> DataFrame:
     """Every test row with every train row of its group."""
     a = test.select(*groups, F.col(key).alias("test_id"), F.col("vec").alias("vec_a"))

@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,3 +36,9 @@ def stable(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared root for a written table."""
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def broadcast_if_small(materialised: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a checkpointed table of at most ``limit`` rows; otherwise a shuffled join."""
+    few = len(materialised.select(F.lit(1)).limit(limit + 1).groupBy().count().where(F.col("count") <= limit).take(1))
+    return F.broadcast(materialised) if few else materialised

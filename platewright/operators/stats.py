@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewright.functions.common import TWO_32, hash32
+from platewright.functions.common import TWO_32, correlation, hash32
 from platewright.functions.normal import two_sided_p
 from platewright.operators.metrics import rank_correlation
 from platewright.operators.ranking import (
@@ -217,7 +217,7 @@ def bootstrap_rank_differences(
     ranks = {c: f"_r_{c}" for c in [truth, *models]}
     ranked = average_ranks(rows, ["draw"], ranks)
     rho = ranked.groupBy("draw").agg(
-        *[F.corr(ranks[truth], ranks[m]).alias(f"_rho_{m}") for m in models]
+        *[correlation(ranks[truth], ranks[m]).alias(f"_rho_{m}") for m in models]
     )
     return rho.select(
         "draw", *[(F.col(f"_rho_{focus}") - F.col(f"_rho_{m}")).alias(m) for m in against]
@@ -260,9 +260,9 @@ def permutation_test(
         drawn.drop("total", "_h")
         .join(placed.select(*groups, "_pos", "_ry"), [*groups, "_pos"])
         .groupBy(*groups, "perm")
-        .agg(F.corr("_rx", "_ry").alias("_null"))
+        .agg(correlation("_rx", "_ry").alias("_null"))
     )
-    observed = ranked.groupBy(*groups).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    observed = ranked.groupBy(*groups).agg(correlation("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
     extreme = (F.abs("_null") >= F.abs("rho") - F.lit(1e-12)).cast("double")
     return (
         null.join(observed, groups).groupBy(*groups, "rho", "n").agg(F.avg(extreme).alias("p"))

@@ -171,8 +171,8 @@ def agg_11(spark, sf):
         F.max("observed").alias("highest"),
         F.stddev_samp("observed").alias("sd"),
         width.alias("value_range"),
-        (F.lit(100.0) * F.avg(M.abs_error()) / F.stddev_samp("observed")).alias("mae_pct_sd"),
-        (F.lit(100.0) * F.avg(M.abs_error()) / width).alias("mae_pct_range"),
+        F.try_divide(F.lit(100.0) * F.avg(M.abs_error()), F.stddev_samp("observed")).alias("mae_pct_sd"),
+        F.try_divide(F.lit(100.0) * F.avg(M.abs_error()), width).alias("mae_pct_range"),
     )
     return flat.join(
         group_quantiles(p, ["mutation_order"], "observed", {"median": 0.5}), "mutation_order"

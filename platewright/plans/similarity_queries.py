@@ -381,10 +381,10 @@ def sim_11_det(spark, sf):
 def sim_12(spark, sf):
     """The alphabet has twenty letters, so its pairs are a fixed small number."""
     z = P.standardise_lookup(V.descriptor_lookup(spark, sf), ["d0", "d1", "d2"])
-    rows = z.select(F.lit("d").alias("source"), "residue", F.array("d0", "d1", "d2").alias("vec"))
-    d = S.with_distances(S.pairs(rows, ["source"], "residue"), 1, 3)
-    k = S.with_kernels(d, S.distance_scale(d, ["source"]), ["source"])
-    return k.select("id_a", "id_b", F.col("k")[0].alias("similarity"))
+    rows = z.select("residue", F.array("d0", "d1", "d2").alias("vec"))
+    d = S.with_distances(S.lookup_pairs(rows, "residue"), 1, 3)
+    scale = d.agg(F.median(F.when(F.col("d")[0] > S.IDENTICAL, F.col("d")[0]))).scalar()
+    return d.select("id_a", "id_b", A.rbf(F.col("d")[0], scale).alias("similarity"))
 
 
 @query(

@@ -37,8 +37,8 @@ _CI = """SELECT statistic, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0
 
 @query(
     "sta_1",
-    f"""WITH {_GAPS}, d AS (SELECT draw, avg(b.a_vs_n) AS a_vs_n, avg(b.a_vs_r) AS a_vs_r FROM g a, range({DRAWS}) AS r(draw)
-    JOIN g b ON b.pos = {_H.format("draw || '|' || a.pos")} % a.total GROUP BY 1) {_CI}""",
+    f"""WITH {_GAPS}, s AS (SELECT draw, {_H.format("draw || '|' || pos")} % total AS slot FROM g, range({DRAWS}) AS r(draw)),
+    d AS (SELECT draw, avg(a_vs_n) AS a_vs_n, avg(a_vs_r) AS a_vs_r FROM s JOIN g ON pos = slot GROUP BY 1) {_CI}""",
     "ci_low ci_high",
 )
 def sta_1(spark, sf):
@@ -108,7 +108,7 @@ def sta_3_exact(spark, sf):
     return T.exact_wilcoxon(w).select("assay", "n", "statistic", "p", "exact", "p_used")
 
 
-_RB = """rs AS (SELECT draw, b.* FROM g a, range({d}) AS r(draw) JOIN g b ON b.pos = {h} % a.total),
+_RB = """sl AS (SELECT draw, {h} % total AS slot FROM g, range({d}) AS r(draw)), rs AS (SELECT draw, g.* FROM sl JOIN g ON pos = slot),
 rr AS (SELECT draw, {cols} FROM rs), rho AS (SELECT draw, corr(ro, ra) AS a, corr(ro, rn) AS n, corr(ro, rr) AS r FROM rr GROUP BY 1)"""
 _RANK = "rank() OVER (PARTITION BY draw ORDER BY {c}) + (count(*) OVER (PARTITION BY draw, {c}) - 1) / 2.0 AS {o}"
 
@@ -118,7 +118,7 @@ _RANK = "rank() OVER (PARTITION BY draw ORDER BY {c}) + (count(*) OVER (PARTITIO
     f"""WITH g AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS total FROM v_paired), """
     + _RB.format(
         d=RHO_DRAWS,
-        h=_H.format("draw || '|' || a.pos"),
+        h=_H.format("draw || '|' || pos"),
         cols=", ".join(_RANK.format(c=c, o=o) for c, o in (("observed", "ro"), ("a", "ra"), ("n", "rn"), ("r", "rr"))),
     )
     + """, d AS (SELECT a - n AS n, a - r AS r FROM rho) SELECT statistic AS against, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high
