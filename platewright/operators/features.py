@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from platewright.operators.folds import complement_moments, z_score
 
@@ -117,19 +119,24 @@ def second_moments(df: DataFrame, groups: list[str], vec: str) -> DataFrame:
     fields = [df.schema[g] for g in groups]
     schema = T.StructType([*fields, T.StructField("moments", T.ArrayType(T.DoubleType()))])
 
-    def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            parts = pdf.groupby(groups, dropna=False, sort=False) if groups else [((), pdf)]
-            for keys, part in parts:
-                x = np.vstack(part["_v"].to_numpy())
-                x = np.column_stack([np.ones(len(x)), x])
-                values = keys if isinstance(keys, tuple) else (keys,)
-                out.append((*values, (x.T @ x).ravel().tolist()))
-            if out:
-                yield pd.DataFrame(out, columns=[*groups, "moments"])
-
-    partial = df.select(*groups, F.col(vec).alias("_v")).mapInPandas(reduce_batches, schema)
+    def reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(len(groups)).flatten().to_numpy(zero_copy_only=False)
+            x = flat.reshape(batch.num_rows, -1)
+            x = np.column_stack([np.ones(len(x)), x])
+            keys = pd.DataFrame({g: batch.column(i).to_pandas() for i, g in enumerate(groups)})
+            parts = keys.groupby(groups, dropna=False, sort=False).indices if groups else {(): slice(None)}
+            out = {f.name: [] for f in schema}
+            for key, rows in parts.items():
+                for g, v in zip(groups, key if isinstance(key, tuple) else (key,)):
+                    out[g].append(v)
+                out["moments"].append((x[rows].T @ x[rows]).ravel())
+            yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
+
+    arrow_schema = to_arrow_schema(schema)
+    partial = df.select(*groups, F.col(vec).alias("_v")).mapInArrow(reduce_batches, schema)
     cells = partial.select(*groups, F.posexplode("moments").alias("_cell", "_x"))
     return (
         cells.groupBy(*groups, "_cell")

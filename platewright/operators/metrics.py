@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from platewright.functions.common import col, correlation, is_bad_double, literal_rows
 from platewright.functions.normal import Z95, Z_LEVELS, gaussian_nlpd
-from platewright.operators.ranking import average_ranks, group_quantiles
+from platewright.operators.ranking import average_ranks, group_quantiles, quantiles_of
 
 
 def abs_error(observed: str = "observed", predicted: str = "predicted") -> Column:
@@ -79,9 +79,8 @@ def error_by_group(df: DataFrame, groups: list[str]) -> DataFrame:
         F.avg("_e").alias("mean_error"),
         F.avg("observed").alias("mean_observed"),
     )
-    med = group_quantiles(rows, groups, "_e", {"median_error": 0.5})
-    rel = group_quantiles(rows, groups, "_re", {"median_relative": 0.5})
-    return flat.join(med, groups).join(rel, groups, "left")
+    med = quantiles_of(rows, groups, {"_e": {"median_error": 0.5}, "_re": {"median_relative": 0.5}})
+    return flat.join(med, groups)
 
 
 def holdout_summary(df: DataFrame, groups: list[str], sd: str = "sd") -> DataFrame:

@@ -9,11 +9,14 @@ positions must come from the same slicing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platewright.operators.stability import stable
 
@@ -26,35 +29,60 @@ def _ordering(order: Order) -> list[Column]:
 
 
 def _slices(df: DataFrame, groups: list[str], order: Order) -> DataFrame:
+    """Range slices sorted by (group, order); a group of any size spreads over many slices."""
     keys = [F.col(g) for g in groups] + _ordering(order)
-    return stable(df.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id()))
+    return (
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_slice", F.spark_partition_id())
+    )
+
 
+def _offsets(sliced: DataFrame, groups: list[str], size: Column, start: Column) -> DataFrame:
+    """Rows before each slice of a group, and where the group starts inside the slice.
 
-def _offsets(sliced: DataFrame, groups: list[str], size: Column) -> DataFrame:
-    """Rows before each slice of a group: at most one row per (group, slice)."""
-    sizes = sliced.groupBy(*groups, "_slice").agg(size.alias("_size"))
+    At most one row per (group, slice) meets in the window.
+    """
+    sizes = sliced.groupBy(*groups, "_slice").agg(size.alias("_size"), start.alias("_start"))
     every = W.partitionBy(*groups)
     before = every.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     return sizes.select(
         *groups,
         "_slice",
+        "_start",
         F.coalesce(F.sum("_size").over(before), F.lit(0)).cast("bigint").alias("_offset"),
         F.sum("_size").over(every).cast("bigint").alias("total"),
     )
 
 
 def row_positions(df: DataFrame, groups: list[str], order: Order, out: str = "pos") -> DataFrame:
-    """Exact 1-based row number within each group, plus the group size as ``total``."""
-    sliced = _slices(df, groups, order)
-    local = W.partitionBy(*groups, "_slice").orderBy(*_ordering(order))
+    """Exact 1-based row number within each group, plus the group size as ``total``.
+
+    One range shuffle: the place inside a slice is the running row id of the sorted slice.
+    """
+    sliced = stable(
+        _slices(df, groups, order).withColumn("_index", F.monotonically_increasing_id())
+    )
+    offsets = _offsets(sliced, groups, F.count(F.lit(1)), F.min("_index"))
+    place = F.col("_index") - F.col("_start") + F.col("_offset") + 1
     return (
-        sliced.withColumn("_local", F.row_number().over(local))
-        .join(_offsets(sliced, groups, F.count(F.lit(1))), [*groups, "_slice"])
-        .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint"))
-        .drop("_local", "_offset", "_slice")
+        sliced.join(offsets, [*groups, "_slice"])
+        .withColumn(out, place.cast("bigint"))
+        .drop("_index", "_start", "_offset", "_slice")
     )
 
 
+def _running_total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Append the sum of ``n`` over the earlier rows of the partition; batches stream through."""
+    carry = 0
+    for batch in batches:
+        n = batch.column(batch.schema.get_field_index("n"))
+        upto = pc.cumulative_sum(n)
+        before = pc.add(pc.subtract(upto, n), carry)
+        carry += upto[-1].as_py() if len(upto) else 0
+        yield pa.RecordBatch.from_arrays([*batch.columns, before], [*batch.schema.names, "_index"])
+
+
 def value_positions(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """One row per distinct value of a group: its count ``n``, rows ``before`` it, and ``total``.
 
@@ -65,20 +93,13 @@ def value_positions(df: DataFrame, groups: list[str], value: str) -> DataFrame:
         .groupBy(*groups, value)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    sliced = _slices(counts, groups, [(value, False)])
-    before = (
-        W.partitionBy(*groups, "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    )
-    return (
-        sliced.withColumn("_local", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .join(_offsets(sliced, groups, F.sum("n")), [*groups, "_slice"])
-        .select(
-            *groups,
-            value,
-            "n",
-            (F.col("_offset") + F.col("_local")).cast("bigint").alias("before"),
-            "total",
-        )
+    sorted_counts = _slices(counts, groups, [(value, False)])
+    schema = T.StructType([*sorted_counts.schema.fields, T.StructField("_index", T.LongType())])
+    sliced = stable(sorted_counts.mapInArrow(_running_total, schema))
+    offsets = _offsets(sliced, groups, F.sum("n"), F.min("_index"))
+    before = F.col("_index") - F.col("_start") + F.col("_offset")
+    return sliced.join(offsets, [*groups, "_slice"]).select(
+        *groups, value, "n", before.cast("bigint").alias("before"), "total"
     )
 
 
@@ -118,28 +139,35 @@ def group_quantiles(
     df: DataFrame, groups: list[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group: ``{output column: probability}``."""
-    pos = value_positions(df, groups, value)
-    picks = []
-    for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("total") - 1)
-        for tag, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            inside = (F.col("before") <= index) & (index < F.col("before") + F.col("n"))
-            picks.append(F.max(F.when(inside, F.col(value))).alias(f"_{tag}_{name}"))
-        picks.append(F.max(at - F.floor(at)).alias(f"_w_{name}"))
-    return (
-        pos.groupBy(*groups)
-        .agg(*picks)
-        .select(
-            *groups,
-            *[
-                (
-                    F.col(f"_lo_{n}")
-                    + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")
-                ).alias(n)
-                for n in probs
-            ],
-        )
-    )
+    return quantiles_of(df, groups, {value: probs})
+
+
+def quantiles_of(
+    df: DataFrame, groups: list[str], wanted: dict[str, dict[str, float]]
+) -> DataFrame:
+    """Quantiles of several columns from one sort: ``{column: {output column: probability}}``."""
+    columns = list(wanted)
+    if len(columns) == 1:
+        pos = value_positions(df, groups, columns[0]).withColumnRenamed(columns[0], "_value")
+    else:
+        records = [
+            F.struct(F.lit(c).alias("_measure"), F.col(c).cast("double").alias("_value"))
+            for c in columns
+        ]
+        long = df.select(*groups, F.explode(F.array(*records)).alias("_m")).select(*groups, "_m.*")
+        pos = value_positions(long, [*groups, "_measure"], "_value")
+    picks, outputs = [], []
+    for c in columns:
+        mine = F.lit(True) if len(columns) == 1 else F.col("_measure") == c
+        for name, p in wanted[c].items():
+            at = F.lit(float(p)) * (F.col("total") - 1)
+            for tag, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+                inside = mine & (F.col("before") <= index) & (index < F.col("before") + F.col("n"))
+                picks.append(F.max(F.when(inside, F.col("_value"))).alias(f"_{tag}_{name}"))
+            picks.append(F.max(F.when(mine, at - F.floor(at))).alias(f"_w_{name}"))
+            low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+            outputs.append((low + (high - low) * F.col(f"_w_{name}")).alias(name))
+    return pos.groupBy(*groups).agg(*picks).select(*groups, *outputs)
 
 
 def top_per_group(

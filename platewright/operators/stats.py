@@ -22,6 +22,19 @@ POISSON_STEPS = (
     0.3678794412, 0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532,
     0.9994058152, 0.9999167589, 0.9999897508, 0.9999988748, 0.9999998885,
 )
+DRAWS_PER_HASH = 4
+
+
+def poisson_thresholds() -> list[str]:
+    """The steps as 8-digit hex text: a hash digit group is compared as text, without conversion."""
+    return [f"{int(np.ceil(p * TWO_32)):08x}" for p in POISSON_STEPS]
+
+
+def spread_out(df: DataFrame, key: str) -> DataFrame:
+    """Use every core before rows are multiplied; small inputs otherwise sit in one partition."""
+    sc = df.sparkSession.sparkContext
+    wanted = max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wanted, key)
 
 
 def with_scopes(df: DataFrame, scopes: dict[str, Column]) -> DataFrame:
@@ -53,7 +66,7 @@ def resample_by_index(
     """
     placed = row_positions(df.select(*groups, key, *values), groups, [(key, False)], "_pos")
     draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
-    slots = placed.select(*groups, "_pos", "total", draw.alias("draw")).select(
+    slots = spread_out(placed, "_pos").select(*groups, "_pos", "total", draw.alias("draw")).select(
         *groups,
         "draw",
         (F.pmod(hash32("draw", F.col("_pos") - 1), F.col("total")) + 1).alias("_pos"),
@@ -74,11 +87,26 @@ def poisson_bootstrap_means(
 ) -> DataFrame:
     """Poisson-weighted bootstrap means for large groups: rows are never shuffled, only the
     (group, draw) partial sums are."""
-    draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
-    rows = df.select(*groups, key, *values, draw.alias("draw"))
-    u = hash32("draw", key) / F.lit(TWO_32)
-    w = sum(((u >= F.lit(p)).cast("int") for p in POISSON_STEPS[1:]), (u >= F.lit(POISSON_STEPS[0])).cast("int"))
-    weighted = rows.withColumn("_w", w).where(F.col("_w") > 0)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS_PER_HASH)))
+    hashed = (
+        spread_out(df.select(*groups, key, *values), key)
+        .withColumn("_b", blocks)
+        .withColumn("_h", F.md5(F.concat_ws("|", F.col("_b").cast("string"), F.col(key).cast("string"))))
+    )
+    records = []
+    for j in range(DRAWS_PER_HASH):
+        digits = F.substring("_h", 8 * j + 1, 8)
+        weight = F.lit(0)
+        for limit in poisson_thresholds():
+            weight = weight + (digits >= F.lit(limit)).cast("int")
+        records.append(
+            F.struct((F.col("_b") * DRAWS_PER_HASH + j).alias("draw"), weight.alias("_w"))
+        )
+    weighted = (
+        hashed.select(*groups, *values, F.explode(F.array(*records)).alias("_d"))
+        .select(*groups, *values, "_d.*")
+        .where((F.col("_w") > 0) & (F.col("draw") < draws))
+    )
     return weighted.groupBy(*groups, "draw").agg(
         *[(F.sum(F.col(v) * F.col("_w")) / F.sum("_w")).alias(v) for v in values]
     )
@@ -124,6 +152,13 @@ def paired_differences(
     )
 
 
+def mirror(tests: DataFrame) -> DataFrame:
+    """Results of unordered model pairs also from the other side: the statistic is symmetric."""
+    swapped = {"focus": "against", "against": "focus", "w_plus": "w_minus", "w_minus": "w_plus"}
+    other = tests.select(*[F.col(swapped.get(c, c)).alias(c) for c in tests.columns])
+    return tests.unionByName(other)
+
+
 def paired_summary(differences: DataFrame, groups: list[str]) -> DataFrame:
     """Both MAEs, mean and median difference, and how often the focus model is better."""
     flat = differences.groupBy(*groups).agg(
@@ -249,7 +284,7 @@ def permutation_test(
     ranked = average_ranks(df.select(*groups, key, x, y), groups, {x: "_rx", y: "_ry"})
     placed = row_positions(ranked.select(*groups, key, "_rx", "_ry"), groups, [(key, False)], "_pos")
     placed = placed.drop("total")
-    shuffled = placed.select(
+    shuffled = spread_out(placed, key).select(
         *groups,
         key,
         "_rx",

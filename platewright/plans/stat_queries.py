@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from platewright.functions.normal import upper_tail_sql
 from platewright.operators import metrics as M, reshape as S, stats as T
-from platewright.operators.stats import POISSON_STEPS
+from platewright.operators.stats import poisson_thresholds
 from platewright.plans import views as V
 from platewright.plans.metric_queries import rho_sql
 from platewright.plans.registry import query
@@ -46,12 +46,12 @@ def sta_1(spark, sf):
     return T.percentile_interval(means, ["scope"], ["a_vs_n", "a_vs_r"]).drop("scope")
 
 
-_POISSON = " + ".join(f"(u >= {p!r})::INT" for p in POISSON_STEPS)
+_POISSON = " + ".join(f"(u >= '{t}')::INT" for t in poisson_thresholds())
 
 
 @query(
     "sta_1_poisson",
-    f"""WITH {_GAPS}, w AS (SELECT *, {_POISSON} AS w FROM (SELECT *, {_H.format("draw || '|' || key")} / 4294967296.0::DOUBLE AS u
+    f"""WITH {_GAPS}, w AS (SELECT *, {_POISSON} AS w FROM (SELECT *, substr(md5((draw // 4) || '|' || key), 8 * (draw % 4) + 1, 8) AS u
     FROM g, range({DRAWS}) AS r(draw))), d AS (SELECT draw, sum(a_vs_n * w) / sum(w) AS a_vs_n, sum(a_vs_r * w) / sum(w) AS a_vs_r FROM w GROUP BY 1) {_CI}""",
     "ci_low ci_high",
 )
@@ -79,6 +79,12 @@ def sta_2(spark, sf):
     return T.paired_summary(differences(spark, sf), ["focus", "against"])
 
 
+def tests(spark, sf):
+    """Signed-rank tests of every model pair; the ranking is done once per unordered pair."""
+    half = differences(spark, sf).where(F.col("focus") < F.col("against"))
+    return T.mirror(T.wilcoxon(half, ["focus", "against"], "difference"))
+
+
 _WIL = f"""rk AS (SELECT focus, against, difference, rank() OVER w + (count(*) OVER (PARTITION BY focus, against, abs(difference)) - 1) / 2.0 AS r,
 count(*) OVER (PARTITION BY focus, against, abs(difference)) AS t FROM df WHERE difference <> 0 WINDOW w AS (PARTITION BY focus, against ORDER BY abs(difference))),
 ws AS (SELECT focus, against, count(*) AS n, sum(CASE WHEN difference > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN difference < 0 THEN r ELSE 0 END) AS w_minus,
@@ -89,8 +95,7 @@ sqrt(n * (n + 1.0) * (2.0 * n + 1) / 24 - ties / 48) AS z FROM ws), wp AS (SELEC
 
 @query("sta_3", f"WITH {_DIFF}, {_WIL} SELECT focus, against, n, statistic, z, p FROM wp", "statistic z p")
 def sta_3(spark, sf):
-    w = T.wilcoxon(differences(spark, sf), ["focus", "against"], "difference")
-    return w.select("focus", "against", "n", "statistic", "z", "p")
+    return tests(spark, sf).select("focus", "against", "n", "statistic", "z", "p")
 
 
 def assay_differences(spark, sf):
@@ -136,8 +141,7 @@ fam AS (SELECT focus AS family, against, n, statistic, p, least(1.0, max(step) O
 
 
 def family(spark, sf):
-    w = T.wilcoxon(differences(spark, sf), ["focus", "against"], "difference")
-    return S.holm(w, ["focus"], "p", "against").select(
+    return S.holm(tests(spark, sf), ["focus"], "p", "against").select(
         F.col("focus").alias("family"), "against", "n", "statistic", "p", "p_holm"
     )
 
