@@ -18,6 +18,12 @@ def hash32(*parts: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+def hash60(*parts: str | Column) -> Column:
+    """First 60 bits of the same md5, for moduli beyond 32 bits."""
+    text = F.concat_ws("|", *[col(p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def unit_hash(*parts: str | Column) -> Column:
     """Deterministic uniform in [0, 1)."""
     return hash32(*parts) / F.lit(TWO_32)

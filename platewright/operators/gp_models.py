@@ -17,7 +17,6 @@ from platewright.functions import gp
 from platewright.functions.normal import gaussian_nlpd
 from platewright.functions.vectors import combined, component_distances, rbf
 from platewright.operators import reshape
-from platewright.operators.models import split_roles
 
 GROUP_LIMIT = 2000
 PARAMS = ("lengthscale_multiplier", "sigma_main", "sigma_epi", "sigma_noise")
@@ -105,6 +104,52 @@ def score_candidates(
     )
 
 
+_PREDICTED = (
+    "observed", "predicted", "sd_latent", "sd_observed", "distance_scale", "lengthscale", "objective",
+    *PARAMS,
+)
+
+
+def _predict_unit(train, test, unit, settings, parts, key, score) -> list[tuple]:
+    """Prediction rows of one train/test split under every setting."""
+    out: list[tuple] = []
+    if len(train) < 3 or test.empty:
+        return out
+    xa, xb = np.vstack(train["vec"].to_numpy()), np.vstack(test["vec"].to_numpy())
+    y, sem, zs = train["y"].to_numpy(), train["sem"].to_numpy(float), _score(train, score)
+    for s in settings:
+        n = 1 if s["family"] == "global" else parts
+        a, b = gp.reduce_on_train(
+            gp.split_components(xa, n), gp.split_components(xb, n), s.get("pca")
+        )
+        gaps = gp.squared_gaps(a, a)
+        if "params" in s:
+            params = {**gp.START, **s["params"]}
+            if s["family"] != "epistatic":
+                params["sigma_epi"] = 0.0
+            value = gp.objective(gaps, y, sem, params, s["family"], zs)
+        else:
+            seed = _seed(*unit, s["name"])
+            params, value = gp.search(gaps, y, sem, s["family"], s["evaluations"], seed, zs)
+        fit = gp.Fit(gaps, y, sem, params, zs)
+        columns = fit.predict(gp.squared_gaps(b, a), _score(test, score))
+        tail = (fit.scale, fit.lengthscale, value, *[params[p] for p in PARAMS])
+        for i, row in enumerate(test[[key, "y"]].itertuples(index=False)):
+            out.append((*unit, s["name"], row[0], row[1], *[c[i] for c in columns], *tail))
+    return out
+
+
+def _prediction_schema(df: DataFrame, units: list[T.StructField], key: str) -> T.StructType:
+    return T.StructType(
+        [
+            *units,
+            T.StructField("setting", T.StringType()),
+            df.schema[key],
+            *[T.StructField(n, T.DoubleType()) for n in _PREDICTED],
+        ]
+    )
+
+
 def predict_groups(
     roles: DataFrame,
     units: list[str],
@@ -113,64 +158,60 @@ def predict_groups(
     parts: int,
     score: str | None = None,
 ) -> DataFrame:
-    """Fit each unit's train rows and predict its test rows under every setting.
+    """Fit each unit's ``role = 'train'`` rows and predict its test rows under every setting.
 
     A setting holds ``name`` and ``family`` (additive, epistatic, global), optionally ``pca`` and
     either fixed ``params`` or ``evaluations`` for a search on the train rows.
     """
-    doubles = [
-        "observed", "predicted", "sd_latent", "sd_observed", "distance_scale", "lengthscale",
-        "objective", *PARAMS,
-    ]
-    schema = T.StructType(
-        [
-            *[roles.schema[c] for c in units],
-            T.StructField("setting", T.StringType()),
-            roles.schema[key],
-            *[T.StructField(n, T.DoubleType()) for n in doubles],
-        ]
-    )
+    schema = _prediction_schema(roles, [roles.schema[c] for c in units], key)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         _guard(pdf)
         pdf = pdf.sort_values(key)
+        unit = [pdf[c].iloc[0] for c in units]
         train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
-        out = []
-        if len(train) > 2 and len(test):
-            unit = [pdf[c].iloc[0] for c in units]
-            xa, xb = np.vstack(train["vec"].to_numpy()), np.vstack(test["vec"].to_numpy())
-            y, sem = train["y"].to_numpy(), train["sem"].to_numpy(float)
-            for s in settings:
-                n = 1 if s["family"] == "global" else parts
-                a, b = gp.reduce_on_train(
-                    gp.split_components(xa, n), gp.split_components(xb, n), s.get("pca")
-                )
-                gaps = gp.squared_gaps(a, a)
-                zs = _score(train, score)
-                if "params" in s:
-                    params = {**gp.START, **s["params"]}
-                    if s["family"] != "epistatic":
-                        params["sigma_epi"] = 0.0
-                    value = gp.objective(gaps, y, sem, params, s["family"], zs)
-                else:
-                    params, value = gp.search(
-                        gaps, y, sem, s["family"], s["evaluations"], _seed(*unit, s["name"]), zs
-                    )
-                fit = gp.Fit(gaps, y, sem, params, zs)
-                mean, latent, observed = fit.predict(gp.squared_gaps(b, a), _score(test, score))
-                for i, row in enumerate(test[[key, "y"]].itertuples(index=False)):
-                    out.append(
-                        (
-                            *unit, s["name"], row[0], row[1], mean[i], latent[i], observed[i],
-                            fit.scale, fit.lengthscale, value, *[params[p] for p in PARAMS],
-                        )
-                    )
-        return pd.DataFrame(out, columns=[f.name for f in schema])
+        out = _predict_unit(train, test, unit, settings, parts, key, score)
+        return pd.DataFrame(out, columns=schema.names)
 
     columns = [*units, key, "vec", "y", "sem", "role"] + ([score] if score else [])
     return roles.select(*columns).groupBy(*units).applyInPandas(run, schema)
 
 
+def predict_splits(
+    df: DataFrame,
+    group: str,
+    fold: str,
+    key: str,
+    settings: list[dict],
+    parts: int,
+    k: int,
+    nested: bool,
+    score: str | None = None,
+) -> DataFrame:
+    """Predictions of every (outer, inner) split; inner = outer is the outer split itself.
+
+    Each row is shuffled once, by its group, and the k (or k^2) splits are cut inside the bounded
+    group instead of multiplying the vectors before the shuffle.
+    """
+    ids = [T.StructField(n, T.IntegerType()) for n in ("outer", "inner")]
+    schema = _prediction_schema(df, [df.schema[group], *ids], key)
+    splits = [(o, i) for o in range(k) for i in range(k) if nested or o == i]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _guard(pdf)
+        pdf = pdf.sort_values(key)
+        out: list[tuple] = []
+        for o, i in splits:
+            known = pdf if o == i else pdf[pdf[fold] != o]
+            train, test = known[known[fold] != i], known[known[fold] == i]
+            unit = [pdf[group].iloc[0], o, i]
+            out += _predict_unit(train, test, unit, settings, parts, key, score)
+        return pd.DataFrame(out, columns=schema.names)
+
+    columns = [group, key, fold, "vec", "y", "sem"] + ([score] if score else [])
+    return df.select(*columns).groupBy(group).applyInPandas(run, schema)
+
+
 def search_groups(
     df: DataFrame, group: str, key: str, family: str, evaluations: int, chains: int, parts: int
 ) -> DataFrame:
@@ -238,8 +279,7 @@ def nested_predictions(
     df: DataFrame, group: str, fold: str, key: str, settings: list[dict], parts: int, k: int
 ) -> DataFrame:
     """All settings on all inner and outer splits; the base table of every nested result."""
-    roles = split_roles(df, fold, k)
-    return predict_groups(roles, [group, "outer", "inner"], key, settings, parts)
+    return predict_splits(df, group, fold, key, settings, parts, k, nested=True)
 
 
 def nested_selection(all_predictions: DataFrame, group: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from platewright.functions.vectors import dot, scaled_distance
 from platewright.operators import reshape
+from platewright.operators.stability import stable
 
 
 def split_roles(df: DataFrame, fold: str, k: int) -> DataFrame:
@@ -182,6 +183,7 @@ def linear_predictions(df: DataFrame, models: DataFrame, groups: list[str], vec:
 
 def forest_cv(
     df: DataFrame,
+    key: str,
     vec: str,
     y: str,
     fold: str,
@@ -191,11 +193,17 @@ def forest_cv(
     seed: int = 42,
     depth: int = 8,
 ) -> DataFrame:
-    """Random forest per fold. Each fit is one distributed job; only k of them are started."""
+    """Random forest per fold. Each fit is one distributed job; only k of them are started.
+
+    The rows are spread and materialised once because every tree level passes over them again.
+    """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
 
-    rows = df.withColumn("_features", array_to_vector(F.col(vec)))
+    from platewright.operators.stats import spread_out
+
+    keep = df.withColumn("_features", array_to_vector(F.col(vec)))
+    rows = stable(spread_out(keep, key))
     out = None
     for f in range(k):
         forest = RandomForestRegressor(

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from platewright.functions.common import hash60
 from platewright.operators.stability import stable
 
 Order = Sequence[tuple[str, bool]]
@@ -183,19 +184,18 @@ def keep_first(df: DataFrame, keys: list[str], order: Order) -> DataFrame:
     return top_per_group(df, keys, order, 1, "_first").drop("_first")
 
 
-def bounded_blocks(
-    df: DataFrame, groups: list[str], key: str, size: int, out: str = "block"
-) -> DataFrame:
-    """Split every group into ceil(n/size) blocks of consecutive hash order, each of at most ``size`` rows.
+def hash_blocks(df: DataFrame, groups: list[str], key: str, size: int, out: str = "block") -> DataFrame:
+    """Cut every group into ceil(n/size) blocks by a hash of a unique key.
 
-    No row is dropped; a hot group only gets more blocks. Pair and model work inside a block is
-    therefore bounded and the total grows linearly with the table.
+    No row is dropped and no row moves: only group counts are aggregated. Block sizes are binomial
+    around at most ``size``, so a hot group just gets more blocks, and pair or model work inside
+    blocks grows linearly with the table.
     """
-    from platewright.functions.common import hash32
-
-    hashed = df.withColumn("_h", hash32(F.col(key)))
-    placed = row_positions(hashed, groups, [("_h", False), (key, False)], "_p")
-    n_blocks = f"((total + {size - 1}) div {size})"
-    return placed.withColumn(out, F.expr(f"((_p - 1) * {n_blocks}) div total")).drop(
-        "_h", "_p", "total"
+    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = f"((_n + {size - 1}) div {size})"
+    return (
+        df.join(counts, groups)
+        .withColumn("_h", hash60(key))
+        .withColumn(out, F.expr(f"pmod(_h, {blocks})"))
+        .drop("_h", "_n")
     )

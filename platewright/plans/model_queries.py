@@ -148,8 +148,8 @@ def mod_6(spark, sf):
 @query("mod_7")
 def mod_7(spark, sf):
     """Fewer and shallower trees than the defaults keep the example short."""
-    rows = lines(spark, sf).select("fold", "y", "vec")
-    p = L.forest_cv(rows, "vec", "y", "fold", 5, trees=10, depth=6)
+    rows = lines(spark, sf).select("l_orderkey", "fold", "y", "vec")
+    p = L.forest_cv(rows, "l_orderkey", "vec", "y", "fold", 5, trees=10, depth=6)
     return p.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y") - F.col("predicted"))).alias("mae")
     )
@@ -299,10 +299,8 @@ def nested(spark, sf, settings=FAMILIES, k=3):
 def mod_14(spark, sf):
     """Setting x fold sweep over all outer splits, best setting per assay."""
     settings = [*FAMILIES, {"name": "additive-pca3", "family": "additive", "pca": 3, "evaluations": 8}]
-    rows = L.split_roles(folded_assays(spark, sf, 3), "fold", 3)
-    p = G.predict_groups(
-        rows.where(F.col("outer") == F.col("inner")), ["assay", "outer"], "vec_id", settings, V.N_COMPONENTS
-    )
+    rows = folded_assays(spark, sf, 3)
+    p = G.predict_splits(rows, "assay", "fold", "vec_id", settings, V.N_COMPONENTS, 3, nested=False)
     m = G.setting_metrics(p, ["assay", "setting"])
     return S.best_by(m, ["assay"], ["mae", "nlpd", "rmse"], "setting")
 
@@ -367,17 +365,18 @@ def mod_18(spark, sf):
     sets = V.components(V.assays(spark, sf), ("assay", "vec_id", "y", "sem"))
     rows = folds.assign_folds(
         sets.select(
-            F.concat_ws(":", "assay", "component").alias("unit"), "component", "vec_id", "y", "sem", F.col("x").alias("vec")
+            F.concat_ws(":", "assay", "component").alias("unit"), "vec_id", "y", "sem", F.col("x").alias("vec")
         ),
         "vec_id",
         3,
     )
-    roles = L.split_roles(rows, "fold", 3).where(F.col("outer") == F.col("inner"))
     settings = [
         {"name": "global-1", "family": "global", "params": {"sigma_noise": 0.3}},
         {"name": "global-2", "family": "global", "params": {"lengthscale_multiplier": 2.0}},
     ]
-    p = G.predict_groups(roles, ["unit", "component", "outer"], "vec_id", settings, 1)
+    p = G.predict_splits(rows, "unit", "fold", "vec_id", settings, 1, 3, nested=False).withColumn(
+        "component", F.split("unit", ":")[1].cast("int")
+    )
     m = stable(G.setting_metrics(p, ["component", "setting"]))
     again = m.where(F.col("component") == 2).withColumn("rerun", F.lit(True))
     return S.upsert(m, again, ["component", "setting"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewright.functions.common import hash32
-from platewright.operators.ranking import bounded_blocks, row_positions
+from platewright.operators.ranking import hash_blocks, row_positions
 
 ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
 POSITIONS = (99, 134, 304, 330)
@@ -148,7 +148,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 def assays(spark: SparkSession, sf: str, size: int = ASSAY_SIZE) -> DataFrame:
     """Embeddings cut into bounded assays per label, with a target and a partly missing SEM."""
     e = table(spark, sf, "embeddings")
-    placed = bounded_blocks(
+    placed = hash_blocks(
         e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec")),
         ["label"],
         "vec_id",
@@ -280,11 +280,10 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_assay": (
         (),
-        f"""SELECT label || '-' || (((p - 1) * ((total + {ASSAY_SIZE - 1}) // {ASSAY_SIZE})) // total) AS assay,
+        f"""SELECT label || '-' || (('0x' || substr(md5(vec_id::VARCHAR), 1, 15))::BIGINT % ((total + {ASSAY_SIZE - 1}) // {ASSAY_SIZE})) AS assay,
         vec_id, vec, 100.0 * vec[1] + 50.0 * vec[18] * vec[34] AS y,
         CASE WHEN vec_id % 3 <> 0 THEN 0.5 + (vec_id % 7) / 10.0::DOUBLE END AS sem FROM (
-        SELECT vec_id, label, embedding::DOUBLE[] AS vec, count(*) OVER (PARTITION BY label) AS total,
-        row_number() OVER (PARTITION BY label ORDER BY {_H.format('vec_id::VARCHAR')}, vec_id) AS p FROM embeddings)""",
+        SELECT vec_id, label, embedding::DOUBLE[] AS vec, count(*) OVER (PARTITION BY label) AS total FROM embeddings)""",
     ),
     "v_comp": (
         ("v_assay",),
