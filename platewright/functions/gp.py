@@ -131,13 +131,10 @@ class Fit:
         )
 
 
-def objective(gaps, y, sem, params, family: str, score=None) -> float:
-    """Negative log marginal likelihood plus weak priors; a failed factorisation is very bad."""
-    try:
-        value = Fit(gaps, y, sem, params, score).nll
-    except (ValueError, np.linalg.LinAlgError):
-        return FAILED
+def penalty(params: dict, family: str) -> float:
+    """Weak log-normal priors, and quadratic shrinkage of the interaction scale."""
     centre = {"sigma_noise": NOISE_CENTRE}
+    value = 0.0
     for name, sd in LOG_PRIOR_SD.items():
         value += 0.5 * (np.log(params[name] / centre.get(name, 1.0)) / sd) ** 2
     if family == "epistatic":
@@ -145,6 +142,14 @@ def objective(gaps, y, sem, params, family: str, score=None) -> float:
     return float(value)
 
 
+def objective(gaps, y, sem, params, family: str, score=None) -> float:
+    """Negative log marginal likelihood plus priors; a failed factorisation is very bad."""
+    try:
+        return Fit(gaps, y, sem, params, score).nll + penalty(params, family)
+    except (ValueError, np.linalg.LinAlgError):
+        return FAILED
+
+
 def search(gaps, y, sem, family: str, evaluations: int, seed: int, score=None):
     """Seeded random search in log space with a narrowing box; returns (params, value)."""
     names = [n for n in BOUNDS if n != "sigma_epi" or family == "epistatic"]

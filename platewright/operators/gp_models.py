@@ -17,6 +17,7 @@ from platewright.functions import gp
 from platewright.functions.normal import gaussian_nlpd
 from platewright.functions.vectors import combined, component_distances, rbf
 from platewright.operators import reshape
+from platewright.operators.stability import spread_out
 
 GROUP_LIMIT = 2000
 PARAMS = ("lengthscale_multiplier", "sigma_main", "sigma_epi", "sigma_noise")
@@ -74,7 +75,7 @@ def fit_groups(
         )
 
     columns = [group, key, "vec", "y", "sem"] + ([score] if score else [])
-    return df.select(*columns).groupBy(group).applyInPandas(run, schema)
+    return spread_out(df.select(*columns), group).groupBy(group).applyInPandas(run, schema)
 
 
 def score_candidates(
@@ -117,22 +118,25 @@ def _predict_unit(train, test, unit, settings, parts, key, score) -> list[tuple]
         return out
     xa, xb = np.vstack(train["vec"].to_numpy()), np.vstack(test["vec"].to_numpy())
     y, sem, zs = train["y"].to_numpy(), train["sem"].to_numpy(float), _score(train, score)
+    shared: dict = {}
     for s in settings:
-        n = 1 if s["family"] == "global" else parts
-        a, b = gp.reduce_on_train(
-            gp.split_components(xa, n), gp.split_components(xb, n), s.get("pca")
-        )
-        gaps = gp.squared_gaps(a, a)
+        shape = (1 if s["family"] == "global" else parts, s.get("pca"))
+        if shape not in shared:
+            a, b = gp.reduce_on_train(
+                gp.split_components(xa, shape[0]), gp.split_components(xb, shape[0]), shape[1]
+            )
+            shared[shape] = (gp.squared_gaps(a, a), gp.squared_gaps(b, a))
+        gaps, cross = shared[shape]
         if "params" in s:
             params = {**gp.START, **s["params"]}
             if s["family"] != "epistatic":
                 params["sigma_epi"] = 0.0
-            value = gp.objective(gaps, y, sem, params, s["family"], zs)
         else:
             seed = _seed(*unit, s["name"])
-            params, value = gp.search(gaps, y, sem, s["family"], s["evaluations"], seed, zs)
+            params, _ = gp.search(gaps, y, sem, s["family"], s["evaluations"], seed, zs)
         fit = gp.Fit(gaps, y, sem, params, zs)
-        columns = fit.predict(gp.squared_gaps(b, a), _score(test, score))
+        value = fit.nll + gp.penalty(params, s["family"])
+        columns = fit.predict(cross, _score(test, score))
         tail = (fit.scale, fit.lengthscale, value, *[params[p] for p in PARAMS])
         for i, row in enumerate(test[[key, "y"]].itertuples(index=False)):
             out.append((*unit, s["name"], row[0], row[1], *[c[i] for c in columns], *tail))
@@ -174,7 +178,7 @@ def predict_groups(
         return pd.DataFrame(out, columns=schema.names)
 
     columns = [*units, key, "vec", "y", "sem", "role"] + ([score] if score else [])
-    return roles.select(*columns).groupBy(*units).applyInPandas(run, schema)
+    return spread_out(roles.select(*columns), *units).groupBy(*units).applyInPandas(run, schema)
 
 
 def predict_splits(
@@ -209,7 +213,7 @@ def predict_splits(
         return pd.DataFrame(out, columns=schema.names)
 
     columns = [group, key, fold, "vec", "y", "sem"] + ([score] if score else [])
-    return df.select(*columns).groupBy(group).applyInPandas(run, schema)
+    return spread_out(df.select(*columns), group).groupBy(group).applyInPandas(run, schema)
 
 
 def search_groups(
@@ -242,7 +246,7 @@ def search_groups(
     chained = df.select(group, key, "vec", "y", "sem").withColumn(
         "chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))
     )
-    found = chained.groupBy(group, "chain").applyInPandas(run, schema)
+    found = spread_out(chained, group, "chain").groupBy(group, "chain").applyInPandas(run, schema)
     return reshape.best_by(found, [group], ["objective"], "chain")
 
 

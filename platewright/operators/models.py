@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from platewright.functions.vectors import dot, scaled_distance
 from platewright.operators import reshape
-from platewright.operators.stability import stable
+from platewright.operators.stability import spread_out, stable
 
 
 def split_roles(df: DataFrame, fold: str, k: int) -> DataFrame:
@@ -200,8 +200,6 @@ def forest_cv(
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
 
-    from platewright.operators.stats import spread_out
-
     keep = df.withColumn("_features", array_to_vector(F.col(vec)))
     rows = stable(spread_out(keep, key))
     out = None
@@ -255,7 +253,7 @@ def fixed_outer_cv(
             [f.name for f in schema]
         ]
 
-    return roles.groupBy(*units).applyInPandas(run, schema)
+    return spread_out(roles, *units).groupBy(*units).applyInPandas(run, schema)
 
 
 def assemble_comparators(tables: DataFrame, key: str, reference: str, is_score: Column) -> dict:

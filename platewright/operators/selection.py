@@ -14,7 +14,7 @@ from platewright.functions.common import hash32
 from platewright.operators.ranking import Order, group_quantiles, keep_first, top_per_group
 from platewright.operators.reshape import set_overlap
 from platewright.operators.similarity import dense_correlation
-from platewright.operators.stability import broadcast_if_small, stable
+from platewright.operators.stability import broadcast_if_small, spread_out, stable
 
 PANEL_LIMIT = 512
 JITTER = 1e-9
@@ -146,7 +146,7 @@ def diverse_draws(
             return pd.DataFrame([(g, seed, None, None, "rank_below_k")], columns=names)
         return pd.DataFrame([(g, seed, ids[i], o + 1, None) for o, i in enumerate(picked)], columns=names)
 
-    return seeded.groupBy(group, "seed").applyInPandas(draw, schema)
+    return spread_out(seeded, group, "seed").groupBy(group, "seed").applyInPandas(draw, schema)
 
 
 def pairs_inside(pair_table: DataFrame, panels: DataFrame, group: str, key: str, by: list[str]) -> DataFrame:

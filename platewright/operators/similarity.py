@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewright.functions.vectors import combined, component_distances, dot, rbf
+from platewright.operators.stability import spread_out
 
 IDENTICAL = 1e-12
 
@@ -211,4 +212,5 @@ def panel_diversity(pair_table: DataFrame, group: str, value: str, largest: int
 
     kind = dict(pair_table.dtypes)[group]
     schema = f"{group} {kind}, n int, mean_similarity double, log_determinant double, isometry double"
-    return pair_table.select(group, "id_a", "id_b", value).groupBy(group).applyInPandas(diversity, schema)
+    cells = pair_table.select(group, "id_a", "id_b", value)
+    return spread_out(cells, group).groupBy(group).applyInPandas(diversity, schema)

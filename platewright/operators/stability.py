@@ -42,3 +42,14 @@ def broadcast_if_small(materialised: DataFrame, limit: int = BROADCAST_ROWS) ->
     """Broadcast hint for a checkpointed table of at most ``limit`` rows; otherwise a shuffled join."""
     few = len(materialised.select(F.lit(1)).limit(limit + 1).groupBy().count().where(F.col("count") <= limit).take(1))
     return F.broadcast(materialised) if few else materialised
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the keys into a fixed number of tasks before work that is heavy per byte.
+
+    Adaptive coalescing merges partitions by size and would leave costly groups in a few tasks. A
+    following ``groupBy`` on the same keys reuses this partitioning, so no shuffle is added there.
+    """
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(spark.sparkContext.defaultParallelism, configured), *keys)

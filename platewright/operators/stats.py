@@ -16,6 +16,7 @@ from platewright.operators.ranking import (
     row_positions,
     value_positions,
 )
+from platewright.operators.stability import spread_out
 
 # Cumulative Poisson(1) probabilities P(W <= 0), P(W <= 1), ... down to 32-bit resolution.
 POISSON_STEPS = (
@@ -30,13 +31,6 @@ def poisson_thresholds() -> list[str]:
     return [f"{int(np.ceil(p * TWO_32)):08x}" for p in POISSON_STEPS]
 
 
-def spread_out(df: DataFrame, key: str) -> DataFrame:
-    """Use every core before rows are multiplied; small inputs otherwise sit in one partition."""
-    sc = df.sparkSession.sparkContext
-    wanted = max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(wanted, key)
-
-
 def with_scopes(df: DataFrame, scopes: dict[str, Column]) -> DataFrame:
     """Each row once per scope it belongs to (a fixed short list of named predicates)."""
     marks = F.array(*[F.when(c, F.lit(name)) for name, c in scopes.items()])

@@ -254,7 +254,8 @@ def sel_12(spark, sf):
         )
     )
     drawn = L.diverse_draws(corr, short, "assay", "vec_id", "correlation", 4, [20])
-    panel = stable(drawn.where(F.col("problem").isNull()).join(short, ["assay", "vec_id"]))
+    drawn = stable(drawn)
+    panel = drawn.where(F.col("problem").isNull()).drop("problem").join(short, ["assay", "vec_id"])
     top = (
         top_per_group(shifted, ["assay"], [("score", True), ("vec_id", False)], 4)
         .groupBy("assay")
@@ -262,6 +263,8 @@ def sel_12(spark, sf):
     )
     diag = L.panel_diagnostics(panel, top, ["assay"], [], "score")
     inside = L.pairs_inside(corr, panel, "assay", "vec_id", ["seed"])
-    return diag.join(S.panel_diversity(inside, "assay", "correlation").drop("n"), "assay")
+    report = diag.join(S.panel_diversity(inside, "assay", "correlation").drop("n"), "assay")
+    status = drawn.groupBy("assay").agg(F.max("problem").alias("problem"))
+    return status.join(report, "assay", "left")
 
 
