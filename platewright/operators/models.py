@@ -16,55 +16,77 @@ from platewright.operators import reshape
 from platewright.operators.stability import spread_out, stable
 
 
-def split_roles(df: DataFrame, fold: str, k: int) -> DataFrame:
-    """(outer, inner) splits of every row: inner <> outer are inner splits, inner = outer the outer one.
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda r: r[name]
 
-    A row is left out of the inner splits of its own outer fold. Each row appears at most k^2 times.
+
+def split_scales(
+    df: DataFrame, groups: list[str], fold: str, k: int, vec: str, nested: bool
+) -> DataFrame:
+    """Population SD of every dimension over the train rows of each split, as one map per group.
+
+    Train moments are group totals minus the left-out folds, so rows are aggregated once per fold and
+    not once per split. Constant dimensions scale to 1. Map keys are ``outer * k + inner``.
     """
-    ids = F.sequence(F.lit(0), F.lit(k - 1))
-    rows = df.withColumn("outer", F.explode(ids)).withColumn("inner", F.explode(ids))
-    own = F.col(fold)
-    outer_split = F.col("inner") == F.col("outer")
-    role = F.when(own == F.col("inner"), "test").otherwise("train")
-    return rows.where(outer_split | (own != F.col("outer"))).withColumn("role", role)
-
-
-def train_scales(splits: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
-    """Population SD of every dimension over the train rows of each split; constants scale to 1."""
-    train = splits.where(F.col("role") == "train")
-    per_dim = (
-        train.select(*keys, F.posexplode(vec).alias("_dim", "_x"))
-        .groupBy(*keys, "_dim")
-        .agg(F.stddev_pop("_x").alias("_sd"))
-        .withColumn("_sd", F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0))
-    )
-    return per_dim.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_dim", "_sd"))), lambda s: s["_sd"]).alias(
-            "sd"
+    per_fold = (
+        df.select(*groups, fold, F.posexplode(vec).alias("_dim", "_x"))
+        .groupBy(*groups, fold, "_dim")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.sum("_x").alias("_s"),
+            F.sum(F.col("_x") * F.col("_x")).alias("_q"),
         )
     )
+    ids = [(o, i) for o in range(k) for i in range(k) if nested or o == i]
+    aggs = []
+    for o, i in ids:
+        kept = ~F.col(fold).isin(o, i)
+        n, s, q = (F.sum(F.when(kept, F.col(c))) for c in ("_n", "_s", "_q"))
+        var = q / n - (s / n) * (s / n)
+        usable = (n > 0) & (var > F.lit(1e-12) * q / n)
+        aggs.append(F.when(usable, F.sqrt(var)).otherwise(1.0).alias(f"_sd{o * k + i}"))
+    dims = per_fold.groupBy(*groups, "_dim").agg(*aggs)
+    names = [f"_sd{o * k + i}" for o, i in ids]
+    rows = F.array_sort(F.collect_list(F.struct("_dim", *names)))
+    entries = []
+    for (o, i), name in zip(ids, names):
+        entries += [F.lit(o * k + i), F.transform("_rows", _field(name))]
+    by_group = dims.groupBy(*groups).agg(rows.alias("_rows"))
+    return by_group.select(*groups, F.create_map(*entries).alias("_sds"))
 
 
 def neighbour_predictions(
-    splits: DataFrame, keys: list[str], key: str, y: str, ks: list[int], vec: str = "vec"
+    df: DataFrame,
+    groups: list[str],
+    fold: str,
+    key: str,
+    y: str,
+    ks: list[int],
+    k: int,
+    nested: bool,
+    vec: str = "vec",
 ) -> DataFrame:
-    """Inverse-distance kNN of the test rows of each split, for every k that fits the train rows.
+    """Inverse-distance kNN of the test rows of each (outer, inner) split, for every k that fits.
 
-    Pairs exist only inside a split of a bounded group. An exact match (distance 0) wins outright.
+    Pairs exist only inside a bounded group and are formed once; splits are cut from the pair table,
+    which stays partitioned by group up to the predictions. An exact match (distance 0) wins outright.
     """
-    train = splits.where(F.col("role") == "train").select(
-        *keys, F.col(vec).alias("_vb"), F.col(y).alias("_y"), F.col(key).alias("_id")
-    )
-    test = splits.where(F.col("role") == "test").select(
-        *keys, F.col(key), F.col(vec).alias("_va"), F.col(y).alias("observed")
+    df = spread_out(df.select(*groups, fold, key, vec, y), *groups)
+    train = df.select(
+        *groups, F.col(fold).alias("_fb"), F.col(vec).alias("_vb"), F.col(y).alias("_y"), F.col(key).alias("_id")
     )
-    scored = (
-        test.join(train, keys)
-        .join(train_scales(splits, keys, vec), keys)
-        .withColumn("_d", scaled_distance("_va", "_vb", "sd"))
-        .drop("_va", "_vb", "sd")
+    test = df.select(*groups, F.col(fold).alias("inner"), key, F.col(vec).alias("_va"), F.col(y).alias("observed"))
+    outers = F.sequence(F.lit(0), F.lit(k - 1)) if nested else F.array("inner")
+    pairs = (
+        test.join(train, groups)
+        .where(F.col("inner") != F.col("_fb"))
+        .join(split_scales(df, groups, fold, k, vec, nested), groups)
+        .withColumn("outer", F.explode(outers))
+        .where(F.col("outer") != F.col("_fb"))
     )
-    unit = [*keys, key]
+    sd = F.element_at("_sds", F.col("outer") * k + F.col("inner"))
+    scored = pairs.withColumn("_d", scaled_distance("_va", "_vb", sd)).drop("_va", "_vb", "_sds", "_fb")
+    unit = [*groups, "outer", "inner", key]
     w = W.partitionBy(*unit)
     near = (
         scored.withColumn("_n", F.count(F.lit(1)).over(w))
@@ -79,7 +101,7 @@ def neighbour_predictions(
         near.groupBy(*unit, "observed", "k")
         .agg(
             F.avg(F.when(exact, F.col("_y"))).alias("_exact"),
-            (F.sum(inverse * F.col("_y")) / F.sum(inverse)).alias("_weighted"),
+            F.try_divide(F.sum(inverse * F.col("_y")), F.sum(inverse)).alias("_weighted"),
         )
         .select(*unit, "observed", "k", F.coalesce("_exact", "_weighted").alias("predicted"))
     )

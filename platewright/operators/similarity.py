@@ -19,8 +19,9 @@ IDENTICAL = 1e-12
 
 def pairs(df: DataFrame, groups: list[str], key: str, vec: str = "vec") -> DataFrame:
     """Unordered pairs (id_a < id_b) of a group with both vectors."""
-    a = df.select(*groups, F.col(key).alias("id_a"), F.col(vec).alias("vec_a"))
-    b = df.select(*groups, F.col(key).alias("id_b"), F.col(vec).alias("vec_b"))
+    rows = spread_out(df.select(*groups, key, vec), *groups)
+    a = rows.select(*groups, F.col(key).alias("id_a"), F.col(vec).alias("vec_a"))
+    b = rows.select(*groups, F.col(key).alias("id_b"), F.col(vec).alias("vec_b"))
     return a.join(b, groups).where(F.col("id_a") < F.col("id_b"))
 
 

@@ -117,8 +117,9 @@ knn AS (SELECT assay, outer_, inner_, vec_id, observed, k, CASE WHEN min(d) = 0
 FROM rk, (VALUES (1), (3), (5)) AS g(k) WHERE r <= k AND k <= n GROUP BY 1, 2, 3, 4, 5, 6)"""
 
 
-def neighbour_splits(spark, sf):
-    return L.split_roles(folded_assays(spark, sf), "fold", K)
+def neighbours(spark, sf, nested):
+    rows = folded_assays(spark, sf)
+    return L.neighbour_predictions(rows, ["assay"], "fold", "vec_id", "y", KS, K, nested)
 
 
 @query(
@@ -129,9 +130,7 @@ def neighbour_splits(spark, sf):
     digits=5,
 )
 def mod_5(spark, sf):
-    splits = neighbour_splits(spark, sf).where(F.col("outer") == F.col("inner"))
-    p = L.neighbour_predictions(splits, ["assay", "outer", "inner"], "vec_id", "y", KS)
-    return p.select("assay", "vec_id", "k", "observed", "predicted")
+    return neighbours(spark, sf, nested=False).select("assay", "vec_id", "k", "observed", "predicted")
 
 
 @query("mod_6")
@@ -167,9 +166,7 @@ def mod_7(spark, sf):
     digits=5,
 )
 def mod_8(spark, sf):
-    p = L.neighbour_predictions(
-        neighbour_splits(spark, sf), ["assay", "outer", "inner"], "vec_id", "y", KS
-    )
+    p = stable(neighbours(spark, sf, nested=True))
     out = L.nested_choice(p, ["assay"], "vec_id", "k")
     return out.select(
         "assay", "vec_id", F.col("k").alias("selected_k"), "inner_mae", "observed", "predicted"

@@ -62,8 +62,7 @@ def test_neighbours_match_numpy_and_exact_match_wins(spark, rows):
     twin.loc[1, "vec"] = None
     twin.at[1, "vec"] = twin.at[0, "vec"]
     df = frame(spark, twin)
-    splits = L.split_roles(df, "fold", 3).where("outer = inner")
-    got = L.neighbour_predictions(splits, ["g", "outer", "inner"], "id", "y", [3]).toPandas().set_index("id")
+    got = L.neighbour_predictions(df, ["g"], "fold", "id", "y", [3], 3, False).toPandas().set_index("id")
     pdf = df.toPandas()
     for r in pdf.itertuples():
         tr = pdf[pdf["fold"] != r.fold]
@@ -76,10 +75,10 @@ def test_neighbours_match_numpy_and_exact_match_wins(spark, rows):
 
 
 def test_nested_choice_is_the_inner_minimum(spark, rows):
-    splits = L.split_roles(frame(spark, rows), "fold", 3)
-    roles = splits.groupBy("outer", "inner", "id").agg(F.countDistinct("role").alias("n")).agg(F.max("n")).first()[0]
-    assert roles == 1
-    p = L.neighbour_predictions(splits, ["g", "outer", "inner"], "id", "y", [1, 3, 5])
+    df = frame(spark, rows)
+    p = L.neighbour_predictions(df, ["g"], "fold", "id", "y", [1, 3, 5], 3, True)
+    leaked = p.join(df.select("id", "fold"), "id").where("fold = outer and inner <> outer")
+    assert leaked.count() == 0
     out = L.nested_choice(p, ["g"], "id", "k").toPandas()
     assert len(out) == 60
     inner = p.where("inner <> outer").toPandas()
