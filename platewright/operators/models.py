@@ -282,7 +282,7 @@ def assemble_comparators(tables: DataFrame, key: str, reference: str, is_score:
     """Coverage, metric table, best model by MAE and gain over a reference of a stacked long table."""
     from platewright.operators import checks, metrics
 
-    m = metrics.score_only(metrics.metric_table(tables, ["model"]), is_score)
+    m = stable(metrics.score_only(metrics.metric_table(tables, ["model"]), is_score))
     best = m.where(F.col("mae").isNotNull()).agg(F.min_by("model", F.struct("mae", "model"))).scalar()
     errors = tables.withColumn("abs_error", metrics.abs_error())
     wide = errors.groupBy(key).agg(

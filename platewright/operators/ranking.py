@@ -84,15 +84,19 @@ def _running_total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.columns, before], [*batch.schema.names, "_index"])
 
 
-def value_positions(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+def value_positions(
+    df: DataFrame, groups: list[str], value: str, extra: dict[str, Column] | None = None
+) -> DataFrame:
     """One row per distinct value of a group: its count ``n``, rows ``before`` it, and ``total``.
 
-    Ties collapse in the map-side aggregate before anything is sorted.
+    Ties collapse in the map-side aggregate before anything is sorted; ``extra`` aggregates per
+    distinct value ride along in the same pass.
     """
+    extra = extra or {}
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, value)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in extra.items()])
     )
     sorted_counts = _slices(counts, groups, [(value, False)])
     schema = T.StructType([*sorted_counts.schema.fields, T.StructField("_index", T.LongType())])
@@ -100,12 +104,16 @@ def value_positions(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     offsets = _offsets(sliced, groups, F.sum("n"), F.min("_index"))
     before = F.col("_index") - F.col("_start") + F.col("_offset")
     return sliced.join(offsets, [*groups, "_slice"]).select(
-        *groups, value, "n", before.cast("bigint").alias("before"), "total"
+        *groups, value, "n", before.cast("bigint").alias("before"), "total", *extra
     )
 
 
 def average_ranks(df: DataFrame, groups: list[str], values: dict[str, str]) -> DataFrame:
-    """Tie-averaged ranks of several columns within each group (``{column: rank column}``)."""
+    """Tie-averaged ranks of several columns within each group (``{column: rank column}``).
+
+    The input is read for the counts and again for the ranks, so it is materialised first.
+    """
+    df = stable(df)
     long = df.select(
         *groups,
         F.explode(

@@ -171,39 +171,39 @@ def wilcoxon(
     """Signed-rank statistic with tie-corrected normal p-value. Zero differences are dropped.
 
     Rank sums come from distinct |difference| values with their signed counts, so ties collapse
-    before the sort and no group is ranked in one task.
+    before the sort and no group is ranked in one task. The zeros of a group sort first; their
+    number is taken off its rank sums, which keeps all-zero groups in the same single pass.
     """
-    d = df.select(*groups, F.col(difference).alias("_d"))
-    sized = d.where(F.col("_d") != 0).select(
-        *groups, F.abs("_d").alias("_a"), (F.col("_d") > 0).cast("int").alias("_up")
+    sized = df.where(F.col(difference).isNotNull()).select(
+        *groups, F.abs(difference).alias("_a"), (F.col(difference) > 0).cast("int").alias("_up")
     )
-    ups = sized.groupBy(*groups, "_a").agg(F.sum("_up").alias("_n_up"))
-    n, t = F.col("n").cast("double"), F.col("_t")
-    ranked = (
-        value_positions(sized, groups, "_a")
-        .withColumn("_rank", F.col("before") + (F.col("n") + F.lit(1)) / F.lit(2.0))
-        .join(ups, [*groups, "_a"])
+    rows = value_positions(sized, groups, "_a", {"_n_up": F.sum("_up")}).withColumn(
+        "_rank", F.col("before") + (F.col("n") + F.lit(1)) / F.lit(2.0)
     )
-    sums = ranked.groupBy(*groups).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("_rank") * F.col("_n_up")).alias("w_plus"),
-        F.sum(F.col("_rank") * (F.col("n") - F.col("_n_up"))).alias("w_minus"),
-        F.sum(F.pow(F.col("n").cast("double"), F.lit(3)) - F.col("n")).alias("_t"),
-        F.max("n").alias("largest_tie"),
+    real = F.col("_a") > 0
+    down = F.col("n") - F.col("_n_up")
+    m, zeros = F.col("n").cast("double"), F.col("_zeros")
+    sums = rows.groupBy(*groups).agg(
+        F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0)).alias("_zeros"),
+        F.coalesce(F.sum(F.when(real, F.col("n"))), F.lit(0)).alias("n"),
+        F.sum(F.when(real, F.col("_rank") * F.col("_n_up"))).alias("_sum_up"),
+        F.sum(F.when(real, F.col("_rank") * down)).alias("_sum_down"),
+        F.sum(F.when(real, F.col("_n_up"))).alias("_ups"),
+        F.sum(F.when(real, down)).alias("_downs"),
+        F.sum(F.when(real, m * m * m - m)).alias("_t"),
+        F.max(F.when(real, F.col("n"))).alias("largest_tie"),
     )
+    n = F.col("n").cast("double")
     mean = n * (n + 1) / 4
-    var = n * (n + 1) * (2 * n + 1) / 24 - t / 48
-    tested = (
-        sums.withColumn("statistic", F.least("w_plus", "w_minus"))
-        .withColumn("z", (F.col("statistic") - mean) / F.sqrt(var))
-        .withColumn("p", two_sided_p("z"))
-    )
-    every = d.select(*groups).distinct()
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48
+    p = F.when(F.col("n") > 0, two_sided_p("z")).otherwise(F.lit(p_if_all_zero).cast("double"))
     return (
-        every.join(tested, groups, "left")
-        .withColumn("p", F.when(F.col("n").isNull(), F.lit(p_if_all_zero)).otherwise(F.col("p")))
-        .drop("_t")
-        .na.fill(0, ["n"])
+        sums.withColumn("w_plus", F.col("_sum_up") - zeros * F.col("_ups"))
+        .withColumn("w_minus", F.col("_sum_down") - zeros * F.col("_downs"))
+        .withColumn("statistic", F.least("w_plus", "w_minus"))
+        .withColumn("z", F.when(var > 0, (F.col("statistic") - mean) / F.sqrt(var)))
+        .withColumn("p", p)
+        .drop("_zeros", "_sum_up", "_sum_down", "_ups", "_downs", "_t")
     )
 
 
