@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewright.llm import curves, decontaminate, mixing, secret_scan, simhash, toxicity, warc
+from platewright.llm import attention_lm, curves, decontaminate, mixing, secret_scan, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +78,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), columns=columns)
 
 
+@query("op5_attention_lm")
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the unigram base and the attention model."""
+    return attention_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 SQL_OP6 = r"""
 WITH lowered AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
