@@ -36,10 +36,10 @@ FLUSH = 600_000
 
 WINDOW, STRIDE = 32, 24
 KEY_DIM, DIM = 8, 16
-OWN_ROWS, OWN_CLASSES, START_CLASSES, INNER_CLASSES = 1024, 39, 10, 14
-CONTEXTS = 128
+OWN_ROWS, OWN_CLASSES, START_CLASSES, INNER_CLASSES = 1024, 44, 16, 18
+CONTEXTS = 512
 ALPHA = 5.0
-CHUNK = 256
+CHUNK = 32
 
 
 def _encoding(blob: bytes, pattern: str) -> tiktoken.Encoding:
@@ -133,40 +133,67 @@ def _pairs(blob, pattern: str):
 
 
 class Layout:
-    """Rows, classes and contexts of ids, and the counts inside classes. Sizes depend on the vocabulary only."""
+    """Rows, classes and contexts of ids, and what counts say: P(id | class, id before) and P(class | id before).
 
-    def __init__(self, vocabulary: int, starts: np.ndarray, unigram: np.ndarray, own: np.ndarray, prev: np.ndarray, seen: np.ndarray, n: np.ndarray, ends: int):
-        """``own``: ids by falling count; (prev context, id, n) triples with contexts made by ``contexts(own)``."""
+    ``unigram`` and ``opening``: occurrences of each id in training words, and of those that open a word. ``pairs``:
+    arrays (context, id, n) of neighbours inside words. Sizes are bounded by the vocabulary.
+    """
+
+    def __init__(self, vocabulary: int, starts: np.ndarray, unigram: np.ndarray, opening: np.ndarray, pairs: tuple, ends: int):
         self.end, self.begin = vocabulary, vocabulary + 1
-        counts = np.append(unigram, ends).astype(np.float64)
-        smooth = counts + 0.1
-        top = own[:OWN_CLASSES]
-        self.classes = 1 + OWN_CLASSES + START_CLASSES + INNER_CLASSES
-        cls = np.full(vocabulary + 1, -1)
-        cls[self.end] = 0
-        cls[top] = 1 + np.arange(len(top))
-        first = np.flatnonzero((cls[:vocabulary] < 0) & starts)
-        first = first[np.argsort(-smooth[first], kind="stable")]
-        mass = np.cumsum(smooth[first])
-        cls[first] = 1 + OWN_CLASSES + np.minimum(START_CLASSES - 1, (mass / max(1e-9, float(mass[-1]) if len(mass) else 1.0) * START_CLASSES).astype(int))
-        inner = np.flatnonzero(cls[:vocabulary] < 0)
-        table = np.zeros((CONTEXTS, vocabulary + 1))
-        np.add.at(table, (prev, seen), n)
-        cls[inner] = 1 + OWN_CLASSES + START_CLASSES + _clusters(table[:, inner].T, smooth[inner], INNER_CLASSES)
-        self.class_of = cls.astype(np.int32)
+        own = by_count(unigram)
+        used = np.append(own, self.end)
+        # One column per id that occurs and one that all others share.
+        column = np.full(vocabulary + 1, len(used))
+        column[used] = np.arange(len(used))
+        context, seen, n = pairs
+        table = np.zeros((CONTEXTS, len(used)))
+        np.add.at(table, (context, column[seen]), n)
+        smooth = np.append(unigram[own], ends) + 0.1
+        self.classes = 2 + OWN_CLASSES + START_CLASSES + INNER_CLASSES
+        cls = np.full(len(used), -1)
+        cls[-1] = 0
+        cls[: min(OWN_CLASSES, len(own))] = 1 + np.arange(min(OWN_CLASSES, len(own)))
+        at = np.append(starts[own], False)
+        # Word starts with a context of their own are told apart by what follows them, the rest by frequency.
+        known = np.arange(len(used)) < CONTEXTS - 3
+        base = 1 + OWN_CLASSES
+        first = np.flatnonzero((cls < 0) & at & known)
+        cls[first] = base + _clusters(table[first], smooth[first], START_CLASSES - 2)
+        late = np.flatnonzero((cls < 0) & at)
+        cls[late] = base + START_CLASSES - 2 + (np.arange(len(late)) > len(late) // 8)
+        inner = np.flatnonzero(cls < 0)
+        cls[inner] = base + START_CLASSES + _clusters(table[:, inner].T, smooth[inner], INNER_CLASSES)
+        others = max(1, vocabulary - len(own))
+        self.column_of = column.astype(np.int32)
+        self.class_of = np.append(cls, self.classes - 1)[column].astype(np.int32)
         self.context_of = np.append(contexts(own, starts), [CONTEXTS - 1, CONTEXTS - 1]).astype(np.int32)
         rows = np.empty(vocabulary + 2, dtype=np.int32)
         rows[: vocabulary + 1] = OWN_ROWS + self.class_of
         rows[own[:OWN_ROWS]] = np.arange(len(own[:OWN_ROWS]))
         rows[self.begin] = OWN_ROWS + self.classes
         self.row_of, self.rows = rows, OWN_ROWS + self.classes + 1
+
         per_class = np.bincount(cls, weights=smooth, minlength=self.classes)
         prior = smooth / per_class[cls]
-        held = np.zeros((CONTEXTS, self.classes))
-        for c in range(CONTEXTS):
-            held[c] = np.bincount(cls, weights=table[c], minlength=self.classes)
-        self.within = np.log((table + ALPHA * prior) / (held[:, cls] + ALPHA)).astype(np.float32)
-        self.class_prior = np.log(np.maximum(per_class, 1e-9) / per_class.sum()).astype(np.float32)
+        sums = np.stack([np.bincount(cls, weights=t, minlength=self.classes) for t in table])
+        within = np.log((table + ALPHA * prior) / (sums[:, cls] + ALPHA))
+        self.within = np.column_stack([within, np.full(CONTEXTS, -np.log(others))]).astype(np.float32)
+        # Where a word ends, the next one opens as words do anywhere, or the text ends.
+        per_class[-1] = 0.1 * others
+        first = np.bincount(cls, weights=np.append(opening[own], ends) + 1e-3, minlength=self.classes)
+        first /= first.sum()
+        of_own = self.context_of[own]
+        left = np.bincount(of_own, weights=unigram[own], minlength=CONTEXTS) - table.sum(axis=1)
+        left[-1] = 1.0
+        counts = sums + np.maximum(left, 0)[:, None] * first + 5.0 * per_class / per_class.sum()
+        self.jump = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def by_count(unigram: np.ndarray) -> np.ndarray:
+    """Ids that occur, commonest first, ties by id."""
+    order = np.argsort(-unigram, kind="stable")
+    return order[unigram[order] > 0]
 
 
 def contexts(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -195,6 +222,8 @@ def _clusters(profiles: np.ndarray, weight: np.ndarray, k: int, rounds: int = 12
 
 SPLITS = (KEY_DIM, 2 * KEY_DIM, 2 * KEY_DIM + DIM)
 WIDTH = 2 * KEY_DIM + 2 * DIM
+# Attention logits above this are cut, in training and scoring alike, so no maximum has to be taken off.
+LARGEST = np.float32(40.0)
 DISTANCE = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 
 
@@ -204,7 +233,7 @@ def initial(layout: Layout, seed: int = 3) -> dict[str, np.ndarray]:
     return {
         "rows": rows.astype(np.float32),
         "out": rng.normal(0, 0.3, size=(DIM, layout.classes)).astype(np.float32),
-        "bias": layout.class_prior.copy(),
+        "bias": np.zeros(layout.classes, dtype=np.float32),
         "near": np.zeros(WINDOW, dtype=np.float32),
     }
 
@@ -215,12 +244,12 @@ def _mask(near: np.ndarray) -> np.ndarray:
 
 def _attend(p: dict, rows: np.ndarray, mask: np.ndarray):
     """Hidden vectors of windows ``(n, WINDOW)`` of embedding rows, with what a backward pass needs."""
-    t = p["rows"][rows]
+    t = p["rows"].take(rows, axis=0)
     q, k, v, e = np.split(t, SPLITS, axis=-1)
     s = np.matmul(q, k.swapaxes(-1, -2))
     s *= np.float32(KEY_DIM**-0.5)
     s += mask
-    s -= s.max(axis=-1, keepdims=True)
+    np.minimum(s, LARGEST, out=s)
     np.exp(s, out=s)
     s /= s.sum(axis=-1, keepdims=True)
     z = np.matmul(s, v)
@@ -228,12 +257,15 @@ def _attend(p: dict, rows: np.ndarray, mask: np.ndarray):
     return q, k, v, s, z
 
 
-def train_step(p: dict, rows: np.ndarray, target: np.ndarray, counted: np.ndarray) -> tuple[dict, float]:
-    """Gradients and mean loss of a batch of windows; ``counted`` marks positions that hold a target."""
+def train_step(p: dict, rows: np.ndarray, target: np.ndarray, jump: np.ndarray, counted: np.ndarray) -> tuple[dict, float]:
+    """Gradients and mean loss of a batch of windows; ``counted`` marks positions that hold a target.
+
+    ``jump``: for those positions, what the counts say of the next class; the network corrects it.
+    """
     q, k, v, a, z = _attend(p, rows, _mask(p["near"]))
     h = np.maximum(z, 0)
     hc, y = h[counted], target[counted]
-    logits = hc @ p["out"] + p["bias"]
+    logits = hc @ p["out"] + p["bias"] + jump
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
@@ -300,21 +332,24 @@ def log_probability(p: dict, layout: Layout, texts: list[np.ndarray]) -> np.ndar
     goal = np.concatenate([np.append(t, layout.end) for t in texts]).astype(np.int64)
     given = np.concatenate([np.append([layout.begin], t) for t in texts]).astype(np.int64)
     rows, cls = layout.row_of[given], layout.class_of[goal]
-    value = layout.within[layout.context_of[given], goal].astype(np.float64)
+    before = layout.context_of[given]
+    value = layout.within[before, layout.column_of[goal]].astype(np.float64)
     at, _, scored = windows(lengths, STRIDE)
-    mask = _mask(p["near"])
+    mask, jump = _mask(p["near"]), layout.jump + p["bias"]
+    ones = np.ones(layout.classes, dtype=np.float32)
+    # Buffers that stay in the processor's cache are filled again for each few windows.
+    logits, more = (np.empty((CHUNK * WINDOW, layout.classes), dtype=np.float32) for _ in range(2))
     for i in range(0, len(at), CHUNK):
         here, take = at[i : i + CHUNK], scored[i : i + CHUNK]
-        z = _attend(p, rows[here], mask)[-1]
-        h = np.maximum(z[take], 0)
-        logits = h @ p["out"]
-        logits += p["bias"]
+        z = _attend(p, rows.take(here), mask)[-1]
         where = here[take]
-        mine = logits[np.arange(len(where)), cls[where]]
-        top = logits.max(axis=1)
-        logits -= top[:, None]
-        np.exp(logits, out=logits)
-        value[where] += mine - top - np.log(logits.sum(axis=1))
+        h, n = np.maximum(z[take], 0), len(where)
+        x = np.matmul(h, p["out"], out=logits[:n])
+        x += jump.take(before.take(where), axis=0, out=more[:n], mode="clip")
+        np.minimum(x, LARGEST, out=x)
+        mine = x[np.arange(n), cls.take(where)]
+        np.exp(x, out=x)
+        value[where] += mine - np.log(x @ ones)
     return np.add.reduceat(value, np.cumsum(lengths) - lengths)
 
 
@@ -341,7 +376,9 @@ def _local_rounds(model, blob, pattern: str, rate: float):
             order = np.random.default_rng(len(at)).permutation(len(at))
             for i in range(0, len(at), 64):
                 some = order[i : i + 64]
-                g, _ = train_step(p, rows[at[some]], cls[at[some]], inside[some])
+                put = at[some]
+                jump = layout.jump[layout.context_of[given[put[inside[some]]]]]
+                g, _ = train_step(p, rows[put], cls[put], jump, inside[some])
                 adam.step(p, g)
             seen += len(goal)
             held.clear()
@@ -487,12 +524,7 @@ def score_texts(
     starts = np.array([encoding.decode_single_token_bytes(i)[:1] == b" " for i in range(vocabulary)])
     pairs = counts.where("n_train > 0").select("word", "n_train").mapInArrow(_pairs(blob, pattern), "prev long, id long, n long")
     pairs = saved(pairs.groupBy("prev", "id").agg(F.sum("n").alias("n")), "pairs")
-    singles = pairs.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    unigram = np.zeros(vocabulary)
-    unigram[singles["id"].to_numpy(dtype=np.int64)] = singles["n"].to_numpy(dtype=float)
-    own = np.argsort(-unigram, kind="stable")
-    own = own[unigram[own] > 0]
-    layout = _layout(pairs, vocabulary, starts, unigram, own, ends)
+    layout = fitted_layout(pairs, vocabulary, starts, ends)
 
     unit = F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     part = min(1.0, max(share, least_tokens / max(1, total)))
@@ -523,13 +555,20 @@ def score_texts(
     )
 
 
-def _layout(pairs: DataFrame, vocabulary: int, starts, unigram, own, ends: int) -> Layout:
-    """Collect counts by (context, id): at most CONTEXTS x vocabulary rows, the size of the model itself."""
-    # One entry per id of the vocabulary; -1 (before a word) has no row and drops out.
-    context = pd.DataFrame({"prev": np.arange(vocabulary), "context": contexts(own, starts)}).astype("int64")
-    context = F.broadcast(pairs.sparkSession.createDataFrame(context))
-    rows = pairs.join(context, "prev").groupBy("context", "id").agg(F.sum("n").alias("n")).toPandas()
-    return Layout(
-        vocabulary, starts, unigram, own,
-        rows["context"].to_numpy(dtype=np.int64), rows["id"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=float), ends,
-    )
+def fitted_layout(pairs: DataFrame, vocabulary: int, starts: np.ndarray, ends: int) -> Layout:
+    """The layout from neighbour counts ``prev, id, n``; prev -1 opens a word.
+
+    Collects one row per id and at most CONTEXTS rows per id: the size of the model, whatever the corpus.
+    """
+    opens = F.sum(F.when(F.col("prev") < 0, F.col("n")).otherwise(0))
+    singles = pairs.groupBy("id").agg(F.sum("n").alias("n"), opens.alias("opens")).toPandas()
+    unigram, opening = np.zeros(vocabulary), np.zeros(vocabulary)
+    unigram[singles["id"].to_numpy(dtype=np.int64)] = singles["n"].to_numpy(dtype=float)
+    opening[singles["id"].to_numpy(dtype=np.int64)] = singles["opens"].to_numpy(dtype=float)
+    place = contexts(by_count(unigram), starts)
+    # One entry per id of the vocabulary; -1 has none and drops out.
+    place = pd.DataFrame({"prev": np.arange(vocabulary), "context": place}).astype("int64")
+    place = F.broadcast(pairs.sparkSession.createDataFrame(place))
+    rows = pairs.join(place, "prev").groupBy("context", "id").agg(F.sum("n").alias("n")).toPandas()
+    context, seen = rows["context"].to_numpy(dtype=np.int64), rows["id"].to_numpy(dtype=np.int64)
+    return Layout(vocabulary, starts, unigram, opening, (context, seen, rows["n"].to_numpy(dtype=float)), ends)
