@@ -36,8 +36,8 @@ FLUSH = 600_000
 
 WINDOW, STRIDE = 32, 24
 KEY_DIM, DIM = 8, 16
-OWN_ROWS, OWN_CLASSES, START_CLASSES, INNER_CLASSES = 1024, 44, 16, 18
-CONTEXTS = 512
+OWN_ROWS, OWN_CLASSES, START_CLASSES, INNER_CLASSES = 1024, 44, 24, 18
+CONTEXTS, FOLLOWERS = 512, 128
 ALPHA = 5.0
 CHUNK = 32
 
@@ -136,10 +136,14 @@ class Layout:
     """Rows, classes and contexts of ids, and what counts say: P(id | class, id before) and P(class | id before).
 
     ``unigram`` and ``opening``: occurrences of each id in training words, and of those that open a word. ``pairs``:
-    arrays (context, id, n) of neighbours inside words. Sizes are bounded by the vocabulary.
+    arrays (context, id, n) of neighbours inside words; ``following``: arrays (id, context of the next, n), which
+    tell ids that open words apart by what follows them. Sizes are bounded by the vocabulary.
     """
 
-    def __init__(self, vocabulary: int, starts: np.ndarray, unigram: np.ndarray, opening: np.ndarray, pairs: tuple, ends: int):
+    def __init__(
+        self, vocabulary: int, starts: np.ndarray, unigram: np.ndarray, opening: np.ndarray,
+        pairs: tuple, following: tuple, ends: int,
+    ):
         self.end, self.begin = vocabulary, vocabulary + 1
         own = by_count(unigram)
         used = np.append(own, self.end)
@@ -155,13 +159,12 @@ class Layout:
         cls[-1] = 0
         cls[: min(OWN_CLASSES, len(own))] = 1 + np.arange(min(OWN_CLASSES, len(own)))
         at = np.append(starts[own], False)
-        # Word starts with a context of their own are told apart by what follows them, the rest by frequency.
-        known = np.arange(len(used)) < CONTEXTS - 3
         base = 1 + OWN_CLASSES
-        first = np.flatnonzero((cls < 0) & at & known)
-        cls[first] = base + _clusters(table[first], smooth[first], START_CLASSES - 2)
-        late = np.flatnonzero((cls < 0) & at)
-        cls[late] = base + START_CLASSES - 2 + (np.arange(len(late)) > len(late) // 8)
+        lead, nxt, many = following
+        after = np.zeros((len(used) + 1, FOLLOWERS))
+        np.add.at(after, (column[lead], np.minimum(nxt, FOLLOWERS - 1)), many)
+        first = np.flatnonzero((cls < 0) & at)
+        cls[first] = base + _clusters(after[first], smooth[first], START_CLASSES)
         inner = np.flatnonzero(cls < 0)
         cls[inner] = base + START_CLASSES + _clusters(table[:, inner].T, smooth[inner], INNER_CLASSES)
         others = max(1, vocabulary - len(own))
@@ -567,8 +570,14 @@ def fitted_layout(pairs: DataFrame, vocabulary: int, starts: np.ndarray, ends: i
     opening[singles["id"].to_numpy(dtype=np.int64)] = singles["opens"].to_numpy(dtype=float)
     place = contexts(by_count(unigram), starts)
     # One entry per id of the vocabulary; -1 has none and drops out.
-    place = pd.DataFrame({"prev": np.arange(vocabulary), "context": place}).astype("int64")
+    place = pd.DataFrame({"i": np.arange(vocabulary), "context": place}).astype("int64")
     place = F.broadcast(pairs.sparkSession.createDataFrame(place))
-    rows = pairs.join(place, "prev").groupBy("context", "id").agg(F.sum("n").alias("n")).toPandas()
-    context, seen = rows["context"].to_numpy(dtype=np.int64), rows["id"].to_numpy(dtype=np.int64)
-    return Layout(vocabulary, starts, unigram, opening, (context, seen, rows["n"].to_numpy(dtype=float)), ends)
+    near = pairs.join(place.withColumnRenamed("i", "prev"), "prev").groupBy("context", "id").agg(F.sum("n").alias("n"))
+    nexts = pairs.where("prev >= 0").join(place.withColumnRenamed("i", "id"), "id")
+    nexts = nexts.withColumn("context", F.least(F.col("context"), F.lit(FOLLOWERS - 1)))
+    nexts = nexts.groupBy("prev", "context").agg(F.sum("n").alias("n"))
+    arrays = lambda rows, *names: tuple(rows[c].to_numpy(dtype=np.int64) for c in names)
+    return Layout(
+        vocabulary, starts, unigram, opening,
+        arrays(near.toPandas(), "context", "id", "n"), arrays(nexts.toPandas(), "prev", "context", "n"), ends,
+    )
