@@ -190,7 +190,7 @@ class Layout:
         left = np.bincount(of_own, weights=unigram[own], minlength=CONTEXTS) - table.sum(axis=1)
         left[-1] = 1.0
         counts = sums + np.maximum(left, 0)[:, None] * first + 5.0 * per_class / per_class.sum()
-        self.jump = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.jump = np.log(np.maximum(counts, 1e-20) / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def by_count(unigram: np.ndarray) -> np.ndarray:

@@ -70,6 +70,11 @@ def covering_masks(radius: int, seed: int = 7) -> list[int]:
     return [sum(1 << i for i in range(BITS) if (int(v) & int(dealt[i])).bit_count() % 2) for v in values]
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of signed longs; counted unsigned, as a negative number's bits would be those of its size."""
+    return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64))
+
+
 def stars(prints: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Spanning links of the graph "at most ``radius`` differing bits": each node to its component's first.
 
@@ -81,7 +86,7 @@ def stars(prints: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.nd
         root, frontier, left = prints[left[0]], [left[0]], left[1:]
         while frontier and len(left):
             x = frontier.pop()
-            near = np.bitwise_count(prints[left] ^ prints[x]) <= radius
+            near = differing(prints[left], prints[x]) <= radius
             if near.any():
                 reached = left[near]
                 left = left[~near]
@@ -118,7 +123,7 @@ def _link_sorted(radius: int, block: int):
         size = np.diff(np.concatenate([begin, [len(f)]]))
         ends, roots = [], []
         two = begin[size == 2]
-        near = np.bitwise_count(f[two] ^ f[two + 1]) <= radius
+        near = differing(f[two], f[two + 1]) <= radius
         ends.append(f[two[near] + 1])
         roots.append(f[two[near]])
         for i, n in zip(begin[size > 2], size[size > 2], strict=True):
