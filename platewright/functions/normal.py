@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from platewright.functions.common import col
 
-# Two-sided normal quantiles of the reported interval levels.
+# Two-sided normal multiples of the reported interval levels; one SD stands for 68 %.
 Z_LEVELS = {
     "50%": (0.50, 0.67448975),
-    "68%": (0.68, 0.99445788),
+    "68%": (0.68, 1.0),
     "90%": (0.90, 1.64485363),
     "95%": (0.95, 1.95996398),
 }

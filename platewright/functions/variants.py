@@ -204,8 +204,17 @@ def normalise_key(c: str | Column, prefix_pattern: str) -> Column:
 
 
 def well_label(row: str | Column, column: str | Column) -> Column:
-    letter = F.substring(F.lit("ABCDEFGHIJKLMNOP"), col(row).cast("int"), F.lit(1))
-    return F.concat(letter, F.lpad(col(column).cast("string"), 2, "0"))
+    """Plate coordinate: rows A-Z, then AA, AB, ... as on large plates; columns of at least two digits."""
+    n = col(row).cast("int") - 1
+    letter = lambda i: F.char(F.lit(65) + i)
+    first = F.when(n >= 26, letter((n / 26).cast("int") - 1)).otherwise(F.lit(""))
+    return F.concat(first, letter(n % 26), pad_left(col(column), 2))
+
+
+def pad_left(number: Column, width: int) -> Column:
+    """Zero-padded to ``width``; longer numbers keep all their digits."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
 
 
 def text_boolean(c: str | Column) -> Column:

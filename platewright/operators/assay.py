@@ -142,12 +142,12 @@ def matched_positions(wells: DataFrame, first: str, second: str, keys: list[str]
 
 
 def evaluate_prospectively(
-    predicted: DataFrame, measured: DataFrame, key: str, condition: str, scopes: dict
+    predicted: DataFrame, measured: DataFrame, key: str, by: list[str], scopes: dict
 ) -> DataFrame:
-    """Rank correlation of predictions and measurements by condition and scope."""
+    """Rank correlation of predictions and measurements by the given columns (model, condition) and scope."""
     from platewright.operators.metrics import rank_correlation
 
     joined = with_scopes(predicted.join(measured, key), scopes)
-    keys = [condition, "scope"]
+    keys = [*by, "scope"]
     n = joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return n.join(rank_correlation(joined, keys), keys, "left")

@@ -80,13 +80,17 @@ def score_incrementally(
     native expression or a ``mapInPandas`` model.
     """
     spark = df.sparkSession
-    cache = spark.read.schema(f"{key} string, score double").parquet(cache_path)
-    fresh = df.join(cache.select(key), key, "left_anti").groupBy(key).agg(
+
+    def cached() -> DataFrame:
+        # Overlapping runs may append a key twice: it counts once.
+        rows = spark.read.schema(f"{key} string, score double").parquet(cache_path)
+        return rows.groupBy(key).agg(F.max("score").alias("score"))
+
+    fresh = df.join(cached().select(key), key, "left_anti").groupBy(key).agg(
         F.any_value(content).alias(content)
     )
     scorer(fresh).select(key, "score").write.mode("append").parquet(cache_path)
-    cache = spark.read.schema(f"{key} string, score double").parquet(cache_path)
-    return df.join(cache, key, "left")
+    return df.join(cached(), key, "left")
 
 
 def scale_on_train(df: DataFrame, groups: list[str], fold: str, columns: list[str]) -> DataFrame:

@@ -107,7 +107,7 @@ def score_candidates(
 
 _PREDICTED = (
     "observed", "predicted", "sd_latent", "sd_observed", "distance_scale", "lengthscale", "objective",
-    *PARAMS,
+    "intercept", "slope", *PARAMS,
 )
 
 
@@ -137,7 +137,9 @@ def _predict_unit(train, test, unit, settings, parts, key, score) -> list[tuple]
         fit = gp.Fit(gaps, y, sem, params, zs)
         value = fit.nll + gp.penalty(params, s["family"])
         columns = fit.predict(cross, _score(test, score))
-        tail = (fit.scale, fit.lengthscale, value, *[params[p] for p in PARAMS])
+        # The linear mean of this very fit; its coefficients depend on the covariance parameters.
+        beta = (None, None) if fit.beta is None else tuple(float(b) for b in fit.beta)
+        tail = (fit.scale, fit.lengthscale, value, *beta, *[params[p] for p in PARAMS])
         for i, row in enumerate(test[[key, "y"]].itertuples(index=False)):
             out.append((*unit, s["name"], row[0], row[1], *[c[i] for c in columns], *tail))
     return out

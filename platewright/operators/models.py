@@ -203,6 +203,49 @@ def linear_predictions(df: DataFrame, models: DataFrame, groups: list[str], vec:
     )
 
 
+def nested_ridge(
+    df: DataFrame, fold: str, k: int, vec: str, y: str, alphas: list[float]
+) -> tuple[DataFrame, DataFrame]:
+    """Ridge whose penalty is chosen inside each outer fold: (predictions, criteria per outer fold and alpha).
+
+    The moments of every fold come from one pass. The train side of an inner split (outer o, inner i) is the sum
+    over the other folds, so held-out rows never enter the choice. The k * k * alphas small models reach the rows
+    as one map value: rows are not shuffled.
+    """
+    from platewright.operators.features import second_moments
+    from platewright.operators.reshape import best_by
+
+    joint = df.select(fold, F.concat(F.col(vec), F.array(F.col(y).cast("double"))).alias("_xy"))
+    every = F.sequence(F.lit(0), F.lit(k - 1))
+    cells = second_moments(joint, [fold], "_xy").select(fold, "width", F.posexplode("moments").alias("_cell", "_x"))
+    cells = cells.withColumn("outer", F.explode(every)).withColumn("inner", F.explode(every))
+    train = (
+        cells.where((F.col(fold) != F.col("outer")) & (F.col(fold) != F.col("inner")))
+        .groupBy("outer", "inner", "width", "_cell")
+        .agg(F.sum("_x").alias("_x"))
+        .groupBy("outer", "inner", "width")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_cell", "_x"))), lambda c: c["_x"]).alias("moments"))
+    )
+    models = stable(ridge(train, ["outer", "inner"], alphas))
+
+    def by_fold(chosen: DataFrame, at: str) -> Column:
+        lists = chosen.groupBy(at).agg(F.collect_list(F.struct("outer", "alpha", "intercept", "coef")).alias("m"))
+        return lists.agg(F.map_from_entries(F.collect_list(F.struct(at, "m")))).scalar()
+
+    def predict(chosen: DataFrame, at: str) -> DataFrame:
+        table = by_fold(chosen, at)
+        rows = df.select("*", F.explode(F.try_element_at(table, F.col(fold))).alias("_m"))
+        return rows.withColumn("predicted", F.col("_m.intercept") + dot(vec, "_m.coef"))
+
+    inner = predict(models.where("outer <> inner"), "inner").select(
+        F.col("_m.outer").alias("outer"), F.col("_m.alpha").alias("alpha"), F.abs(F.col(y) - F.col("predicted")).alias("_e")
+    )
+    criteria = stable(inner.groupBy("outer", "alpha").agg(F.avg("_e").alias("inner_mae")))
+    best = best_by(criteria, ["outer"], ["inner_mae"], "alpha").select("outer", "alpha")
+    outer = predict(models.where("outer = inner").join(best, ["outer", "alpha"]), "outer")
+    return outer.withColumn("alpha", F.col("_m.alpha")).drop("_m"), criteria
+
+
 def forest_cv(
     df: DataFrame,
     key: str,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -75,12 +76,17 @@ def hash_draws(
     return top_per_group(hashed, [*groups, "seed"], [("_h", False), (key, False)], k, "draw_order").drop("_h")
 
 
+class RankTooLow(ValueError):
+    """Fewer independent members than the draw takes."""
+
+
 def _k_dpp(correlation: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
     """Exact fixed-size determinantal draw: choose eigenvectors, then project member by member."""
-    values, vectors = np.linalg.eigh(correlation + JITTER * np.eye(len(correlation)))
-    values = np.where(values > EIGEN_TOLERANCE, values, 0.0)
-    if (values > 0).sum() < k:
-        raise ValueError("rank")
+    values, vectors = np.linalg.eigh(correlation)
+    # The rank is tested on the matrix itself; the jitter only steadies the draw.
+    if (values > EIGEN_TOLERANCE * max(1.0, float(values[-1]))).sum() < k:
+        raise RankTooLow
+    values = np.maximum(values, 0.0) + JITTER
     n = len(values)
     sym = np.zeros((n + 1, k + 1))
     sym[:, 0] = 1.0
@@ -141,8 +147,8 @@ def diverse_draws(
             return pd.DataFrame([(g, seed, None, None, "too_few_members")], columns=names)
         matrix = dense_correlation(ids, pdf[pdf["id_a"] != pdf["id_b"]], value)
         try:
-            picked = _k_dpp(matrix, k, np.random.default_rng(seed))
-        except ValueError:
+            picked = _k_dpp(matrix, k, np.random.default_rng([seed, zlib.crc32(str(g).encode())]))
+        except RankTooLow:
             return pd.DataFrame([(g, seed, None, None, "rank_below_k")], columns=names)
         return pd.DataFrame([(g, seed, ids[i], o + 1, None) for o, i in enumerate(picked)], columns=names)
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,10 +38,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def broadcast_if_small(materialised: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a checkpointed table of at most ``limit`` rows; otherwise a shuffled join."""
-    few = len(materialised.select(F.lit(1)).limit(limit + 1).groupBy().count().where(F.col("count") <= limit).take(1))
-    return F.broadcast(materialised) if few else materialised
+def broadcast_if_small(materialised: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a checkpointed table of at most ``limit`` bytes; otherwise a shuffled join.
+
+    The size is summed over the rows written as JSON, so wide rows and long arrays count with what they hold.
+    """
+    row = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in materialised.columns])))
+    size = materialised.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(materialised) if size <= limit else materialised
 
 
 def spread_out(df: DataFrame, *keys: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewright.functions.common import TWO_32, correlation, hash32
+from platewright.functions.common import TWO_32, correlation, hash32, hash60
 from platewright.functions.normal import two_sided_p
 from platewright.operators.metrics import rank_correlation
 from platewright.operators.ranking import (
@@ -63,7 +63,7 @@ def resample_by_index(
     slots = spread_out(placed, "_pos").select(*groups, "_pos", "total", draw.alias("draw")).select(
         *groups,
         "draw",
-        (F.pmod(hash32("draw", F.col("_pos") - 1), F.col("total")) + 1).alias("_pos"),
+        (F.pmod(hash60("draw", F.col("_pos") - 1), F.col("total")) + 1).alias("_pos"),
     )
     return slots.join(placed.select(*groups, "_pos", *values), [*groups, "_pos"]).drop("_pos")
 
@@ -216,10 +216,12 @@ def _signed_rank_tail(n: int, w: float) -> float:
     return float(min(1.0, 2.0 * counts[: int(np.floor(w)) + 1].sum() / 2.0**n))
 
 
-def exact_wilcoxon(tests: DataFrame, limit: int = 50) -> DataFrame:
-    """Exact p for small tests without ties; larger ones keep the normal p.
+def exact_wilcoxon(tests: DataFrame, largest: int = 200) -> DataFrame:
+    """Adds ``p_exact`` next to the normal ``p``, and ``exact_status``; which of the two to report is the caller's choice.
 
-    Only (n, statistic) is needed, so this is a vectorised function over the test table.
+    Only (n, statistic) is needed, so this is a vectorised function over the test table. The exact distribution
+    holds for untied differences (status ``tied`` otherwise) and its table has n^2 / 2 entries, so tests of more
+    than ``largest`` differences have status ``too_large``. Both leave ``p_exact`` null; ``p`` is the same for all.
     """
 
     @F.pandas_udf("double")
@@ -229,11 +231,14 @@ def exact_wilcoxon(tests: DataFrame, limit: int = 50) -> DataFrame:
             dtype="float64",
         )
 
-    small = (F.col("n") <= limit) & (F.col("n") > 0) & (F.col("largest_tie") == 1)
-    safe_n = F.when(small, F.col("n")).otherwise(F.lit(0))
-    return tests.withColumn("exact", F.coalesce(small, F.lit(False))).withColumn(
-        "p_used", F.coalesce(exact(safe_n, F.col("statistic")), F.col("p"))
+    status = (
+        F.when(F.coalesce(F.col("n"), F.lit(0)) < 1, "empty")
+        .when(F.col("largest_tie") > 1, "tied")
+        .when(F.col("n") > largest, "too_large")
+        .otherwise("exact")
     )
+    safe_n = F.when(F.col("exact_status") == "exact", F.col("n")).otherwise(F.lit(0))
+    return tests.withColumn("exact_status", status).withColumn("p_exact", exact(safe_n, F.col("statistic")))
 
 
 def bootstrap_rank_differences(

@@ -310,7 +310,7 @@ def joi_13(spark, sf):
 @query(
     "joi_14",
     """WITH layout AS (SELECT well_row, well_col, max(variant) AS assigned, bool_or(k % 9 = 0) AS doubled FROM v_well WHERE well_row <> 2 GROUP BY 1, 2)
-    SELECT well_id, assigned, coalesce(doubled, FALSE) AS doubled, substr('ABCDEFGH', well_row, 1) || lpad(well_col::VARCHAR, 2, '0') AS well
+    SELECT well_id, assigned, coalesce(doubled, FALSE) AS doubled, chr(64 + well_row) || lpad(well_col::VARCHAR, greatest(2, length(well_col::VARCHAR))::INT, '0') AS well
     FROM v_well LEFT JOIN layout USING (well_row, well_col)""",
 )
 def joi_14(spark, sf):
@@ -363,19 +363,19 @@ def udf_4(spark, sf):
 
 @query(
     "sta_10",
-    f"""WITH j AS (SELECT model, key, observed, predicted, o_orderpriority AS condition, mutation_order FROM v_pred JOIN orders ON key = o_orderkey WHERE model = 'A'),
-    s AS (SELECT *, 'all' AS scope FROM j UNION ALL SELECT *, 'panel' FROM j WHERE mutation_order > 2), r AS ({rho_sql('s', 'condition, scope')})
-    SELECT condition, scope, n, spearman FROM r JOIN (SELECT condition, scope, count(*) AS n FROM s GROUP BY 1, 2) USING (condition, scope)""",
+    f"""WITH j AS (SELECT model, key, observed, predicted, o_orderpriority AS condition, mutation_order FROM v_pred JOIN orders ON key = o_orderkey),
+    s AS (SELECT *, 'all' AS scope FROM j UNION ALL SELECT *, 'panel' FROM j WHERE mutation_order > 2), r AS ({rho_sql('s', 'model, condition, scope')})
+    SELECT model, condition, scope, n, spearman FROM r JOIN (SELECT model, condition, scope, count(*) AS n FROM s GROUP BY 1, 2, 3) USING (model, condition, scope)""",
     "spearman",
 )
 def sta_10(spark, sf):
-    p = V.predictions(spark, sf).where(F.col("model") == "A").select("key", "predicted", "mutation_order")
+    p = V.predictions(spark, sf).select("model", "key", "predicted", "mutation_order")
     measured = V.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("key"),
         F.col("o_orderpriority").alias("condition"),
         (F.col("o_totalprice") / F.lit(1000.0)).alias("observed"),
     )
     scopes = {"all": F.lit(True), "panel": F.col("mutation_order") > 2}
-    return A.evaluate_prospectively(p, measured, "key", "condition", scopes)
+    return A.evaluate_prospectively(p, measured, "key", ["model", "condition"], scopes)
 
 

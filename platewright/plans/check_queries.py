@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from platewright.operators import checks as C
 from platewright.operators import metrics as M
-from platewright.operators.stability import scratch_path
+from platewright.operators.stability import scratch_path, stable
 from platewright.plans import views as V
 from platewright.plans.metric_queries import metrics_sql
 from platewright.plans.registry import query
@@ -175,17 +175,33 @@ def chk_14(spark, sf):
     return one_sided_keys(a, b, ["vec_id"])
 
 
-@query("chk_15")
+@query(
+    "chk_15",
+    """SELECT * FROM (VALUES ('altered', FALSE, TRUE), ('gone', FALSE, FALSE), ('kept', TRUE, TRUE), ('new', FALSE, TRUE))
+    AS t(name, ok, hashed)""",
+)
 def chk_15(spark, sf):
-    """Checksums of whole files; the altered expectation of one of them must be reported."""
+    """Stored checksums against files: one file changed since, one is gone, one is not expected, one is as it was.
+
+    Whole files are hashed as rows of the binary source, which takes files up to 2 GB.
+    """
+    part = V.table(spark, sf, "part")
     path = scratch_path(spark, "checksums")
-    S.write_tables({"parts": V.table(spark, sf, "part")}, path)
-    files = spark.read.format("binaryFile").load(f"{path}/parts/*.parquet")
-    expected = files.select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256")
-    )
-    audit = C.checksum_audit(files, expected)
-    return audit.select(F.col("ok"), (F.length("actual") == 64).alias("hashed"))
+
+    def write(name, rows):
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    def files():
+        found = spark.read.format("binaryFile").load(f"{path}/*/part-*.parquet")
+        return found.withColumn("path", F.regexp_extract("path", "([^/]+)/[^/]+$", 1))
+
+    for name in ("altered", "gone", "kept"):
+        write(name, part)
+    stored = stable(files().select(F.col("path").alias("name"), F.sha2("content", 256).alias("sha256")))
+    write("altered", part.withColumn("p_size", F.col("p_size") + 1))
+    write("new", part)
+    audit = C.checksum_audit(files().where(F.col("path") != "gone"), stored)
+    return audit.select("name", "ok", (F.coalesce(F.length("actual"), F.lit(0)) == 64).alias("hashed"))
 
 
 @query(

@@ -160,7 +160,10 @@ def snk_3(spark, sf):
     fresh = part.where(F.col("size") > 25).select(
         "p_partkey", (F.col("size") * 2).alias("size"), F.lit("fresh").alias("origin")
     )
-    return upsert(part, fresh, ["p_partkey"])
+    path = scratch_path(spark, "upserted")
+    S.publish(part, path)
+    S.publish(upsert(S.published(spark, path), fresh, ["p_partkey"]), path)
+    return S.published(spark, path)
 
 
 @query(
@@ -183,17 +186,18 @@ def snk_4(spark, sf):
 
 @query(
     "snk_5",
-    "SELECT assay, count(*) AS n, sum(k) AS total, count(DISTINCT id_a) AS ids FROM v_kern WHERE component = 0 GROUP BY 1",
+    "SELECT assay, component, count(*) AS n, sum(k) AS total, count(DISTINCT id_a) AS ids FROM v_kern GROUP BY 1, 2",
     "total",
+    "component",
 )
 def snk_5(spark, sf):
     from platewright.plans.similarity_queries import kernels
 
     path = scratch_path(spark, "pairs")
-    S.write_pairs(kernels(spark, sf).where(F.col("component") == 0), "assay", path, 8)
+    S.write_pairs(kernels(spark, sf), "assay", path, 8)
     return (
         spark.read.parquet(path)
-        .groupBy("assay")
+        .groupBy("assay", "component")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("k").alias("total"),

@@ -17,6 +17,7 @@ RHO_DRAWS = 10
 PERMS = 50
 SUBSETS = 40
 _H = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+_H60 = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
 
 
 def gaps(spark, sf):
@@ -37,7 +38,7 @@ _CI = """SELECT statistic, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0
 
 @query(
     "sta_1",
-    f"""WITH {_GAPS}, s AS (SELECT draw, {_H.format("draw || '|' || pos")} % total AS slot FROM g, range({DRAWS}) AS r(draw)),
+    f"""WITH {_GAPS}, s AS (SELECT draw, {_H60.format("draw || '|' || pos")} % total AS slot FROM g, range({DRAWS}) AS r(draw)),
     d AS (SELECT draw, avg(a_vs_n) AS a_vs_n, avg(a_vs_r) AS a_vs_r FROM s JOIN g ON pos = slot GROUP BY 1) {_CI}""",
     "ci_low ci_high",
 )
@@ -110,7 +111,7 @@ def assay_differences(spark, sf):
 @query("sta_3_exact")
 def sta_3_exact(spark, sf):
     w = T.wilcoxon(assay_differences(spark, sf), ["assay"], "d", None)
-    return T.exact_wilcoxon(w).select("assay", "n", "statistic", "p", "exact", "p_used")
+    return T.exact_wilcoxon(w).select("assay", "n", "statistic", "p", "exact_status", "p_exact")
 
 
 _RB = """sl AS (SELECT draw, {h} % total AS slot FROM g, range({d}) AS r(draw)), rs AS (SELECT draw, g.* FROM sl JOIN g ON pos = slot),
@@ -123,7 +124,7 @@ _RANK = "rank() OVER (PARTITION BY draw ORDER BY {c}) + (count(*) OVER (PARTITIO
     f"""WITH g AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS total FROM v_paired), """
     + _RB.format(
         d=RHO_DRAWS,
-        h=_H.format("draw || '|' || pos"),
+        h=_H60.format("draw || '|' || pos"),
         cols=", ".join(_RANK.format(c=c, o=o) for c, o in (("observed", "ro"), ("a", "ra"), ("n", "rn"), ("r", "rr"))),
     )
     + """, d AS (SELECT a - n AS n, a - r AS r FROM rho) SELECT statistic AS against, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high

@@ -203,7 +203,7 @@ def str_13(spark, sf):
 
 @query(
     "str_14",
-    "SELECT well_id, substr('ABCDEFGH', well_row, 1) || lpad(well_col::VARCHAR, 2, '0') AS well FROM v_well",
+    "SELECT well_id, chr(64 + well_row) || lpad(well_col::VARCHAR, greatest(2, length(well_col::VARCHAR))::INT, '0') AS well FROM v_well",
 )
 def str_14(spark, sf):
     return V.wells(spark, sf).select("well_id", X.well_label("well_row", "well_col").alias("well"))
@@ -211,8 +211,8 @@ def str_14(spark, sf):
 
 @query(
     "str_15",
-    """SELECT p_partkey, p_type || '__' || p_partkey AS composite,
-    'candidate_' || lpad((row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR, 7, '0') AS fallback FROM part""",
+    """SELECT p_partkey, p_type || '__' || p_partkey AS composite, 'candidate_' || lpad(i, greatest(7, length(i))::INT, '0') AS fallback
+    FROM (SELECT *, (row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR AS i FROM part)""",
 )
 def str_15(spark, sf):
     from platewright.operators.ranking import row_positions
@@ -222,7 +222,7 @@ def str_15(spark, sf):
     return pos.select(
         "p_partkey",
         F.concat_ws("__", "p_type", F.col("p_partkey").cast("string")).alias("composite"),
-        F.concat(F.lit("candidate_"), F.lpad((F.col("pos") - 1).cast("string"), 7, "0")).alias("fallback"),
+        F.concat(F.lit("candidate_"), X.pad_left(F.col("pos") - 1, 7)).alias("fallback"),
     )
 
 

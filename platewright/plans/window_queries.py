@@ -221,7 +221,8 @@ def top_5(spark, sf):
 @query(
     "set_1",
     """SELECT 'returned' AS source_table, l_orderkey AS key, l_quantity AS predicted, NULL::DOUBLE AS sd FROM lineitem WHERE l_returnflag = 'R'
-    UNION ALL SELECT 'accepted', l_orderkey, l_quantity, l_discount FROM lineitem WHERE l_returnflag = 'A'""",
+    UNION ALL SELECT 'accepted', l_orderkey, l_quantity, l_discount FROM lineitem WHERE l_returnflag = 'A'
+    UNION ALL SELECT 'none', l_orderkey, l_extendedprice / 1000, l_tax FROM lineitem WHERE l_returnflag NOT IN ('R', 'A')""",
     "predicted sd",
 )
 def set_1(spark, sf):
@@ -234,7 +235,12 @@ def set_1(spark, sf):
         F.col("l_quantity").alias("predicted"),
         F.col("l_discount").alias("sd"),
     )
-    return S.stack_tables({"returned": r, "accepted": a})
+    n = line.where(~F.col("l_returnflag").isin("R", "A")).select(
+        F.col("l_orderkey").alias("key"),
+        (F.col("l_extendedprice") / F.lit(1000)).alias("predicted"),
+        F.col("l_tax").alias("sd"),
+    )
+    return S.stack_tables({"returned": r, "accepted": a, "none": n})
 
 
 @query(

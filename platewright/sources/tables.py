@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from platewright.functions.common import decimal_comma, finite
 from platewright.functions.variants import CANONICAL
 
+# Texts that stand for a missing value.
+MISSING = ("NA", "N/A", "NaN", "nan", "null", "NULL", "None", "")
 WELL_SCHEMA = (
     "well_id bigint, plate string, well_row int, well_col int, is_blank boolean, raw_od double, "
     "variant string, k int"
@@ -16,17 +18,16 @@ WELL_SCHEMA = (
 
 
 def read_assay_csv(
-    spark: SparkSession, path: str, columns: list[str], numeric: list[str]
+    spark: SparkSession, path: str, columns: list[str], numeric: list[str], missing: tuple[str, ...] = MISSING
 ) -> DataFrame:
-    """';'-separated text with decimal commas; NA and empty are missing.
+    """';'-separated text with decimal commas; empty fields and the texts in ``missing`` are missing.
 
     Everything is read as text and cast explicitly: the CSV locale option does not apply to doubles.
     """
     schema = ", ".join(f"{c} string" for c in columns)
-    raw = spark.read.csv(path, sep=";", header=True, schema=schema, nullValue="NA")
-    return raw.select(
-        *[(decimal_comma(c) if c in numeric else F.col(c)).alias(c) for c in columns]
-    )
+    raw = spark.read.csv(path, sep=";", header=True, schema=schema)
+    given = lambda c: F.when(~F.trim(F.col(c)).isin(*missing), F.col(c))
+    return raw.select(*[(decimal_comma(given(c)) if c in numeric else given(c)).alias(c) for c in columns])
 
 
 def write_assay_csv(df: DataFrame, path: str) -> None:
@@ -52,8 +53,12 @@ def read_with_provenance(spark: SparkSession, path: str, run: str, fmt: str = "p
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: id, description, upper-cased sequence and a canonical-alphabet flag."""
-    records = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
+    """One row per record: id, description, upper-cased sequence and a canonical-alphabet flag.
+
+    A record starts at a ``>`` that opens a line; one inside a header or a sequence belongs to its line.
+    """
+    records = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^\s*>", "").alias("value"))
+    records = records.where(F.trim("value") != "")
     lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
     header = F.trim(F.element_at(lines, 1))
     body = F.upper(F.regexp_replace(F.array_join(F.slice(lines, 2, F.size(lines)), ""), r"\s", ""))
@@ -100,6 +105,28 @@ def write_pairs(pairs: DataFrame, group: str, path: str, buckets: int) -> None:
     out.repartition("bucket", group).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+def publish(df: DataFrame, root: str) -> None:
+    """Write ``df`` as the next version of the table under ``root``; readers see it only when it is complete.
+
+    The rows may come from the version that is current: nothing is overwritten.
+    """
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{root}/v={len(_versions(spark, root)):06d}")
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The latest complete version."""
+    return spark.read.parquet(_versions(spark, root)[-1])
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Folders of complete versions (with the marker a finished write leaves), oldest first."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/v=*/_SUCCESS")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(str(s.getPath().getParent().toString()) for s in fs.globStatus(pattern) or [])
+
+
 def flat_export(df: DataFrame, nested: list[str], joined: dict[str, str]) -> DataFrame:
     """Drop nested columns, keeping some array columns as joined text."""
     out = df

@@ -13,7 +13,7 @@ from platewright.sources import tables as IO
 
 
 def test_decimal_comma_file(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("id;x;y\nv1;85,8;NA\nv2;;1,5\nv3;bad;2\n")
+    (tmp_path / "a.csv").write_text("id;x;y\nv1;85,8;NaN\nv2;N/A;1,5\nv3;bad;2\n")
     got = IO.read_assay_csv(spark, str(tmp_path / "a.csv"), ["id", "x", "y"], ["x", "y"]).orderBy("id").collect()
     assert [(r["x"], r["y"]) for r in got] == [(85.8, None), (None, 1.5), (None, 2.0)]
 
@@ -23,6 +23,9 @@ def test_fasta_records(spark, tmp_path):
     got = {r["id"]: r for r in IO.read_fasta(spark, str(tmp_path / "a.fasta")).collect()}
     assert got["s1"]["sequence"] == "ACDEFGHI" and got["s1"]["canonical"] and not got["s2"]["canonical"]
     assert got["s1"]["description"] == "s1 first one"
+    (tmp_path / "b.fasta").write_text(">v1 A>G note\nMKVAA\n>v2\r\nACDE\r\n")
+    got = {r["id"]: r["sequence"] for r in IO.read_fasta(spark, str(tmp_path / "b.fasta")).collect()}
+    assert got == {"v1": "MKVAA", "v2": "ACDE"}
 
 
 def test_optional_source(spark, tmp_path):
@@ -52,6 +55,10 @@ def test_incremental_scoring_computes_each_content_once(spark, tmp_path):
     assert P.score_incrementally(df, "key", "text", path, scorer).count() == 3
     P.score_incrementally(df, "key", "text", path, scorer).count()
     assert seen == [2, 0]
+    # Two overlapping runs left the same keys twice: results do not multiply.
+    spark.read.parquet(path).write.mode("append").parquet(path)
+    assert P.score_incrementally(df, "key", "text", path, scorer).count() == 3
+    seen.pop()
     other = df.withColumn("key", P.content_key(F.lit("m"), F.lit("r2"), F.col("text")))
     P.score_incrementally(other, "key", "text", path, scorer).count()
     assert seen == [2, 0, 2]
@@ -126,3 +133,15 @@ def test_coverage_is_inclusive(spark):
     df = spark.createDataFrame([("m", 1.0, 0.0, 1.0), ("m", 3.0, 0.0, 1.0)], "model string, observed double, predicted double, sd double")
     got = M.coverage(df, ["model"], {"c": "sd"}, {"one": (0.5, 1.0)}).first()
     assert got["c"] == 0.5
+
+
+def test_published_versions(spark, tmp_path):
+    root = str(tmp_path / "t")
+    IO.publish(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), root)
+    for value in ("c", "d"):
+        fresh = spark.createDataFrame([(2, value)], "k int, v string")
+        IO.publish(S.upsert(IO.published(spark, root), fresh, ["k"]), root)
+    (tmp_path / "t" / "v=000003").mkdir()
+    assert sorted(map(tuple, IO.published(spark, root).collect())) == [(1, "a"), (2, "d")]
+    IO.publish(IO.published(spark, root).where("k = 1"), root)
+    assert IO.published(spark, root).count() == 1

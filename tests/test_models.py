@@ -159,3 +159,33 @@ def test_score_only_metrics_are_null(spark):
 def test_constant_side_has_no_rank_correlation(spark):
     df = spark.createDataFrame([("c", float(i), 1.0) for i in range(5)], "model string, observed double, predicted double")
     assert M.rank_correlation(df, ["model"]).first()["spearman"] is None
+
+
+def test_nested_ridge_against_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 3)) * [1, 5, 0.2] + [3, -2, 100]
+    y = x @ [1.0, 0.3, -2.0] + rng.normal(size=60)
+    fold = np.arange(60) % 3
+    rows = spark.createDataFrame(
+        [(i, int(fold[i]), x[i].tolist(), float(y[i])) for i in range(60)], "id long, fold int, vec array<double>, y double"
+    )
+    alphas = [0.1, 10.0, 1000.0]
+
+    def errors(train, test, a):
+        m, s = x[train].mean(0), x[train].std(0)
+        z = (x[train] - m) / s
+        w = np.linalg.solve(z.T @ z + a * np.eye(3), z.T @ (y[train] - y[train].mean()))
+        return y[train].mean() + (x[test] - m) / s @ w
+
+    want = {}
+    for o in range(3):
+        inner = [(np.mean(np.concatenate([
+            np.abs(y[fold == i] - errors((fold != o) & (fold != i), fold == i, a)) for i in range(3) if i != o
+        ])), a) for a in alphas]
+        best = min(inner)[1]
+        for i, p in zip(np.flatnonzero(fold == o), errors(fold != o, fold == o, best), strict=True):
+            want[int(i)] = (best, p)
+    got = {r.id: (r.alpha, r.predicted) for r in L.nested_ridge(rows, "fold", 3, "vec", "y", alphas)[0].collect()}
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-8

@@ -41,7 +41,10 @@ def test_wilcoxon_with_ties_and_zeros(spark):
 def test_exact_choice(spark):
     df = spark.createDataFrame([("g", float(x)) for x in (1, -2, 3, 4, 5)], "g string, d double")
     row = T.exact_wilcoxon(T.wilcoxon(df, ["g"], "d")).first()
-    assert row["exact"] and abs(row["p_used"] - T._signed_rank_tail(5, 2)) < 1e-12
+    assert row["exact_status"] == "exact" and abs(row["p_exact"] - T._signed_rank_tail(5, 2)) < 1e-12
+    tied = spark.createDataFrame([("g", 1.0), ("g", 1.0), ("g", -2.0)], "g string, d double")
+    row = T.exact_wilcoxon(T.wilcoxon(tied, ["g"], "d")).first()
+    assert row["exact_status"] == "tied" and row["p_exact"] is None and row["p"] is not None
 
 
 def test_holm(spark):

@@ -75,3 +75,6 @@ def test_text_boolean_and_labels(spark):
     assert one(spark, " TRUE ", X.text_boolean("m")) is True
     assert one(spark, "no", X.text_boolean("m")) is False
     assert one(spark, "", X.well_label(F.lit(1), F.lit(3))) == "A03"
+    assert one(spark, "", X.well_label(F.lit(17), F.lit(123))) == "Q123"
+    assert one(spark, "", X.well_label(F.lit(27), F.lit(12))) == "AA12"
+    assert one(spark, "", X.pad_left(F.lit(12345678), 7)) == "12345678"
