@@ -18,6 +18,7 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +35,14 @@ LONGEST_WORD = 200
 COMMON_BITS = 19
 FLUSH = 600_000
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 16, 12
 KEY_DIM, DIM = 8, 16
-OWN_ROWS, OWN_CLASSES, START_CLASSES, INNER_CLASSES = 1024, 44, 24, 18
+OWN_ROWS, OWN_CLASSES, START_CLASSES, INNER_CLASSES = 1024, 36, 22, 16
 CONTEXTS, FOLLOWERS = 512, 128
 ALPHA = 5.0
-CHUNK = 32
+CHUNK = 64
+# Bytes of text that a scoring task works on at a time.
+SLICE_BYTES = 1 << 20
 
 
 def _encoding(blob: bytes, pattern: str) -> tiktoken.Encoding:
@@ -225,8 +228,9 @@ def _clusters(profiles: np.ndarray, weight: np.ndarray, k: int, rounds: int = 12
 
 SPLITS = (KEY_DIM, 2 * KEY_DIM, 2 * KEY_DIM + DIM)
 WIDTH = 2 * KEY_DIM + 2 * DIM
-# Attention logits above this are cut, in training and scoring alike, so no maximum has to be taken off.
-LARGEST = np.float32(40.0)
+# Weights stay within these bounds, which keeps exponentials in range: no maximum has to be taken off. Scoring
+# checks that sums are finite.
+MOST = {"rows": 4.0, "out": 4.0, "bias": 8.0, "near": 8.0}
 DISTANCE = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 
 
@@ -252,7 +256,6 @@ def _attend(p: dict, rows: np.ndarray, mask: np.ndarray):
     s = np.matmul(q, k.swapaxes(-1, -2))
     s *= np.float32(KEY_DIM**-0.5)
     s += mask
-    np.minimum(s, LARGEST, out=s)
     np.exp(s, out=s)
     s /= s.sum(axis=-1, keepdims=True)
     z = np.matmul(s, v)
@@ -308,6 +311,7 @@ class Adam:
             self.v[k] += 0.01 * (g[k] ** 2 - self.v[k])
             m, v = self.m[k] / (1 - 0.9**self.t), self.v[k] / (1 - 0.99**self.t)
             p[k] -= (self.rate * m / (np.sqrt(v) + 1e-6)).astype(np.float32)
+            np.clip(p[k], -MOST[k], MOST[k], out=p[k])
 
 
 def windows(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,33 +331,70 @@ def windows(lengths: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, n
     return np.minimum(at, max(0, int(first[-1]) - 1)), inside, scored
 
 
+class Scorer:
+    """Scoring of many texts with buffers that stay in the processor's cache and are filled again and again."""
+
+    def __init__(self, p: dict, layout: Layout):
+        self.p, self.layout = p, layout
+        self.jump = layout.jump + p["bias"]
+        self.mask = _mask(p["near"])
+        # The scale of the attention logits is put into the query part once.
+        self.rows = p["rows"].copy()
+        self.rows[:, :KEY_DIM] *= np.float32(KEY_DIM**-0.5)
+        f = np.float32
+        self.t = np.empty((CHUNK, WINDOW, WIDTH), f)
+        self.s = np.empty((CHUNK, WINDOW, WINDOW), f)
+        self.z = np.empty((CHUNK, WINDOW, DIM), f)
+        self.h = np.empty((CHUNK * WINDOW, DIM), f)
+        self.x, self.more = (np.empty((CHUNK * WINDOW, layout.classes), f) for _ in range(2))
+        self.ones, self.each = np.ones(layout.classes, f), np.ones(WINDOW, f)
+
+    def logits(self, rows: np.ndarray, places: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Next-class logits at ``places`` (positions of the flattened windows)."""
+        n, m = len(rows), len(places)
+        t = self.rows.take(rows, axis=0, out=self.t[:n], mode="clip")
+        q, k, v, e = np.split(t, SPLITS, axis=-1)
+        s = np.matmul(q, k.swapaxes(-1, -2), out=self.s[:n])
+        s += self.mask
+        np.exp(s, out=s)
+        z = np.matmul(s, v, out=self.z[:n])
+        z /= (s @ self.each)[..., None]
+        z += e
+        h = z.reshape(-1, DIM).take(places, axis=0, out=self.h[:m], mode="clip")
+        np.maximum(h, 0, out=h)
+        x = np.matmul(h, self.p["out"], out=self.x[:m])
+        x += self.jump.take(before, axis=0, out=self.more[:m], mode="clip")
+        return x
+
+    def log_probability(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Natural log-probability of each id sequence and its end."""
+        layout = self.layout
+        lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        if not len(lengths):
+            return np.empty(0)
+        goal = np.concatenate([x for t in texts for x in (t, [layout.end])]).astype(np.int64)
+        given = np.concatenate([x for t in texts for x in ([layout.begin], t)]).astype(np.int64)
+        rows, cls = layout.row_of.take(given), layout.class_of.take(goal)
+        before = layout.context_of.take(given)
+        value = layout.within[before, layout.column_of.take(goal)].astype(np.float64)
+        at, _, scored = windows(lengths, STRIDE)
+        for i in range(0, len(at), CHUNK):
+            here = at[i : i + CHUNK]
+            places = np.flatnonzero(scored[i : i + CHUNK])
+            where = here.ravel().take(places)
+            x = self.logits(rows.take(here), places, before.take(where))
+            mine = x[np.arange(len(where)), cls.take(where)]
+            np.exp(x, out=x)
+            total = x @ self.ones
+            if not np.isfinite(total).all():
+                raise FloatingPointError("attention logits out of range")
+            value[where] += mine - np.log(total)
+        return np.add.reduceat(value, np.cumsum(lengths) - lengths)
+
+
 def log_probability(p: dict, layout: Layout, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of each id sequence and its end."""
-    lengths = np.array([len(t) + 1 for t in texts])
-    if not len(lengths):
-        return np.empty(0)
-    goal = np.concatenate([np.append(t, layout.end) for t in texts]).astype(np.int64)
-    given = np.concatenate([np.append([layout.begin], t) for t in texts]).astype(np.int64)
-    rows, cls = layout.row_of[given], layout.class_of[goal]
-    before = layout.context_of[given]
-    value = layout.within[before, layout.column_of[goal]].astype(np.float64)
-    at, _, scored = windows(lengths, STRIDE)
-    mask, jump = _mask(p["near"]), layout.jump + p["bias"]
-    ones = np.ones(layout.classes, dtype=np.float32)
-    # Buffers that stay in the processor's cache are filled again for each few windows.
-    logits, more = (np.empty((CHUNK * WINDOW, layout.classes), dtype=np.float32) for _ in range(2))
-    for i in range(0, len(at), CHUNK):
-        here, take = at[i : i + CHUNK], scored[i : i + CHUNK]
-        z = _attend(p, rows.take(here), mask)[-1]
-        where = here[take]
-        h, n = np.maximum(z[take], 0), len(where)
-        x = np.matmul(h, p["out"], out=logits[:n])
-        x += jump.take(before.take(where), axis=0, out=more[:n], mode="clip")
-        np.minimum(x, LARGEST, out=x)
-        mine = x[np.arange(n), cls.take(where)]
-        np.exp(x, out=x)
-        value[where] += mine - np.log(x @ ones)
-    return np.add.reduceat(value, np.cumsum(lengths) - lengths)
+    return Scorer(p, layout).log_probability(texts)
 
 
 # -- distributed training ---------------------------------------------------------------------------------------
@@ -440,45 +481,61 @@ def train(texts: DataFrame, layout: Layout, blob, pattern: str, tasks: int, roun
 # -- scoring ----------------------------------------------------------------------------------------------------
 
 PARTS = "n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:int>>"
+RARE = pa.struct([("word", pa.binary()), ("n", pa.int32())])
 
 
 def _score(model, common, blob, pattern: str, end_count: int):
-    """Per text: common words' part of the base sum, the other words with counts, and the model's log10 score."""
+    """Per text: common words' part of the base sum, the other words with counts, and the model's log10 score.
 
-    @F.pandas_udf(PARTS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    Columns besides ``raw`` pass through. Texts are worked on in slices of bounded bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout, p = pickle.loads(model.value)
+        scorer = Scorer(p, layout)
         logs: dict[bytes, tuple[float, bool]] = common.value
         encoding = _encoding(blob.value, pattern)
         ending = math.log10(end_count + 0.1)
-        for batch in batches:
-            tokens, known, base, rare, score = [], [], [], [], []
-            ids: list[np.ndarray] = []
-            size = 0
-            for raw in batch:
-                words = blank_words(bytes(raw))
-                total, sure, other = ending, int(end_count > 0), []
+
+        def scored(rows: pa.RecordBatch) -> pa.RecordBatch:
+            tokens, known, base, ids = [], [], [], []
+            rare_words, rare_counts, offsets = [], [], [0]
+            for raw in rows.column("raw").to_pylist():
+                words = blank_words(raw)
+                total, sure = ending, int(end_count > 0)
                 for w, n in Counter(words).items():
                     entry = logs.get(w)
                     if entry is None:
-                        other.append({"word": w, "n": n})
+                        rare_words.append(w)
+                        rare_counts.append(n)
                     else:
                         total += n * entry[0]
                         sure += n * entry[1]
                 tokens.append(len(words) + 1)
                 known.append(sure)
                 base.append(total)
-                rare.append(other)
-                ids.append(np.array(subwords(encoding, words), dtype=np.int64))
-                size += len(ids[-1])
-                if size > 500_000:
-                    score.append(log_probability(p, layout, ids))
-                    ids, size = [], 0
-            score.append(log_probability(p, layout, ids))
-            yield pd.DataFrame(
-                {"n_tokens": tokens, "n_known": known, "base": base, "score": np.concatenate(score) / math.log(10), "rare": rare}
+                offsets.append(len(rare_words))
+                ids.append(np.array(subwords(encoding, words), dtype=np.int32))
+            pairs = [pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int32())]
+            rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(pairs, fields=list(RARE)))
+            score = scorer.log_probability(ids) / math.log(10)
+            kept = [c for c in rows.schema.names if c != "raw"]
+            return pa.RecordBatch.from_arrays(
+                [rows.column(c) for c in kept]
+                + [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), rare],
+                [*kept, "n_tokens", "n_known", "base", "score", "rare"],
             )
 
+        for batch in batches:
+            begin = size = 0
+            for i, n in enumerate(pc.binary_length(batch.column("raw")).to_pylist()):
+                size += n
+                if size > SLICE_BYTES:
+                    yield scored(batch.slice(begin, i + 1 - begin))
+                    begin, size = i + 1, 0
+            if begin < batch.num_rows:
+                yield scored(batch.slice(begin))
+
     return run
 
 
@@ -535,10 +592,9 @@ def score_texts(
     tasks = max(1, int(total * part / 100_000))
     p = train(chosen, layout, blob, pattern, tasks, rounds, rate)
     model = sc.broadcast(pickle.dumps((layout, p)))
-    scored = texts.select(
-        "doc_id", "held_out", F.monotonically_increasing_id().alias("rid"), _score(model, common, blob, pattern, ends)("raw").alias("s")
-    )
-    scored = saved(scored.select("doc_id", "held_out", "rid", "s.*"), "scored")
+    numbered = texts.withColumn("rid", F.monotonically_increasing_id())
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.drop("raw").schema.fields)
+    scored = saved(numbered.mapInArrow(_score(model, common, blob, pattern, ends), f"{kept}, {PARTS}"), "scored")
     rare = scored.select("rid", F.explode("rare").alias("w")).select("rid", F.col("w.word").alias("word"), F.col("w.n").alias("n"))
     seen = counts.where(F.col("n_all") < floor).select("word", "n_train")
     other = rare.join(seen, "word").groupBy("rid").agg(
