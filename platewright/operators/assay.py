@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from platewright.operators.ranking import group_quantiles
 from platewright.operators.stats import with_scopes
+from platewright.operators.stability import attach
 
 
 def sem(value: str):
@@ -31,7 +32,7 @@ def impute_training_sem(df: DataFrame, fold_cols: list[str], value: str, out: st
     usable = df.where((F.col(value) > 0) & (F.abs(F.col(value)) != F.lit(float("inf"))))
     med = group_quantiles(usable, fold_cols, value, {"_fill": 0.5})
     return (
-        df.join(med, fold_cols, "left")
+        attach(df, med, fold_cols, "left")
         .withColumn(out, F.coalesce(F.col(value), F.col("_fill"), F.lit(0.0)))
         .drop("_fill")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from platewright.operators.folds import complement_moments, z_score
+from platewright.operators.stability import attach
 
 
 def standardise_lookup(lookup: DataFrame, columns: list[str]) -> DataFrame:
@@ -101,7 +102,7 @@ def scale_on_train(df: DataFrame, groups: list[str], fold: str, columns: list[st
         mean = F.try_divide(F.col(f"sum_{c}"), F.col("n_train"))
         var = F.greatest(F.try_divide(F.col(f"sumsq_{c}"), F.col("n_train")) - mean * mean, F.lit(0.0))
         stats += [mean.alias(f"_m_{c}"), F.sqrt(var).alias(f"_s_{c}")]
-    joined = df.join(m.select(*groups, fold, *stats), [*groups, fold])
+    joined = attach(df, m.select(*groups, fold, *stats), [*groups, fold])
     for c in columns:
         joined = joined.withColumn(f"{c}_z", z_score(F.col(c), F.col(f"_m_{c}"), F.col(f"_s_{c}")))
     return joined.drop(*[f"_m_{c}" for c in columns], *[f"_s_{c}" for c in columns])
@@ -206,4 +207,4 @@ def project(df: DataFrame, axes: DataFrame, groups: list[str], vec: str) -> Data
     from platewright.functions.vectors import dot
 
     centred = F.zip_with(F.col(vec), F.col("centre"), lambda x, m: x - m)
-    return df.join(axes, groups).withColumn("projection", dot(centred, "axis")).drop("centre", "axis")
+    return attach(df, axes, groups).withColumn("projection", dot(centred, "axis")).drop("centre", "axis")

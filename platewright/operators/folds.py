@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewright.functions.common import hash32, literal_rows
+from platewright.operators.stability import attach
 
 
 def assign_folds(df: DataFrame, key: str, k: int, out: str = "fold") -> DataFrame:
@@ -52,7 +53,7 @@ def train_mean_baseline(df: DataFrame, groups: list[str], fold: str, y: str) ->
     m = complement_moments(df, groups, fold, [y]).select(
         *groups, fold, "n_train", F.try_divide(F.col(f"sum_{y}"), F.col("n_train")).alias("predicted")
     )
-    return df.join(m, [*groups, fold])
+    return attach(df, m, [*groups, fold])
 
 
 def complement_mean_error(df: DataFrame, held_out: str, y: str) -> DataFrame:
@@ -61,7 +62,7 @@ def complement_mean_error(df: DataFrame, held_out: str, y: str) -> DataFrame:
         held_out, "n_test", F.try_divide(F.col(f"sum_{y}"), F.col("n_train")).alias("train_mean")
     )
     return (
-        df.join(m, held_out)
+        attach(df, m, [held_out])
         .groupBy(held_out, "n_test", "train_mean")
         .agg(F.avg(F.abs(F.col(y) - F.col("train_mean"))).alias("mae"))
     )
@@ -71,7 +72,7 @@ def leave_one_out_mean(df: DataFrame, groups: list[str], y: str, out: str) -> Da
     """(sum - y)/(n - 1) from partially aggregated group totals; NULL for a single row."""
     totals = df.groupBy(*groups).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
     value = F.when(F.col("_n") > 1, (F.col("_s") - F.col(y)) / (F.col("_n") - 1))
-    return df.join(totals, groups).withColumn(out, value).drop("_s", "_n")
+    return attach(df, totals, groups).withColumn(out, value).drop("_s", "_n")
 
 
 def parameter_grid(anchor: DataFrame, **axes: list) -> DataFrame:

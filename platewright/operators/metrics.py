@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from platewright.functions.common import col, correlation, is_bad_double, literal_rows
 from platewright.functions.normal import Z95, Z_LEVELS, gaussian_nlpd
 from platewright.operators.ranking import average_ranks, group_quantiles, quantiles_of
+from platewright.operators.stability import attach
 
 
 def abs_error(observed: str = "observed", predicted: str = "predicted") -> Column:
@@ -140,7 +141,7 @@ def apply_scale(
 ) -> DataFrame:
     """Multiply each predicted SD by the calibration scale of its group (1 when none)."""
     return (
-        df.join(scales, groups, "left")
+        attach(df, scales, groups, "left")
         .withColumn(out, F.col(sd) * F.coalesce(F.col("scale"), F.lit(1.0)))
         .drop("scale")
     )
@@ -163,7 +164,7 @@ def box_statistics(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     v = F.col(value)
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
     return (
-        df.join(q, groups)
+        attach(df, q, groups)
         .groupBy(*groups, "q1", "q2", "q3")
         .agg(
             F.min(F.when(inside, v)).alias("whisker_low"),
@@ -225,7 +226,7 @@ def robust_z(
         rows = rows.withColumn("_all", F.lit(0))
     keys = groups or ["_all"]
     med = group_quantiles(rows, keys, "_x", {"_med": 0.5})
-    with_med = rows.join(med, keys, "left")
+    with_med = attach(rows, med, keys, "left")
     dev = with_med.withColumn("_dev", F.abs(F.col("_x") - F.col("_med")))
     mad = group_quantiles(dev, keys, "_dev", {"_mad": 0.5})
     sd = rows.groupBy(*keys).agg(F.stddev_pop("_x").alias("_sd"))
@@ -235,8 +236,7 @@ def robust_z(
     )
     sign = F.lit(1.0 if higher_is_better else -1.0)
     return (
-        with_med.join(mad, keys, "left")
-        .join(sd, keys, "left")
+        attach(with_med, sd.join(mad, keys, "left"), keys, "left")
         .withColumn(out, sign * F.coalesce(z, F.lit(0.0)))
         .drop("_x", "_med", "_mad", "_sd", "_all")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from platewright.functions.vectors import dot, scaled_distance
 from platewright.operators import reshape
-from platewright.operators.stability import spread_out, stable
+from platewright.operators.stability import attach, spread_out, stable
 
 
 def _field(name: str) -> Callable[[Column], Column]:
@@ -197,7 +197,7 @@ def bayesian_ridge(
 def linear_predictions(df: DataFrame, models: DataFrame, groups: list[str], vec: str) -> DataFrame:
     """Join the few coefficient rows back and take a dot product."""
     return (
-        df.join(models, groups)
+        attach(df, models, groups)
         .withColumn("predicted", F.col("intercept") + dot(vec, "coef"))
         .drop("coef", "intercept")
     )

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platewright.functions.common import hash60
-from platewright.operators.stability import stable
+from platewright.operators.stability import attach, stable
 
 Order = Sequence[tuple[str, bool]]
 """(column, descending?) pairs; end with a unique column for a deterministic position."""
@@ -202,7 +202,7 @@ def hash_blocks(df: DataFrame, groups: list[str], key: str, size: int, out: str
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     blocks = f"((_n + {size - 1}) div {size})"
     return (
-        df.join(counts, groups)
+        attach(df, counts, groups)
         .withColumn("_h", hash60(key))
         .withColumn(out, F.expr(f"pmod(_h, {blocks})"))
         .drop("_h", "_n")

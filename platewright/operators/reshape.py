@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from platewright.operators.stability import attach
+
 
 def widen(
     df: DataFrame, index: list[str], columns: str, values: list[str], value: str
@@ -82,7 +84,7 @@ def at_least_fraction_of_best(
         best = df.agg(F.max(value)).scalar()
         return df.withColumn("floor", F.lit(fraction) * best).where(F.col(value) >= F.col("floor"))
     best = df.groupBy(*groups).agg((F.lit(fraction) * F.max(value)).alias("floor"))
-    return df.join(best, groups).where(F.col(value) >= F.col("floor"))
+    return attach(df, best, groups).where(F.col(value) >= F.col("floor"))
 
 
 def split_by(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:

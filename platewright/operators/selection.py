@@ -15,7 +15,7 @@ from platewright.functions.common import hash32
 from platewright.operators.ranking import Order, group_quantiles, keep_first, top_per_group
 from platewright.operators.reshape import set_overlap
 from platewright.operators.similarity import dense_correlation
-from platewright.operators.stability import broadcast_if_small, spread_out, stable
+from platewright.operators.stability import attach, broadcast_if_small, spread_out, stable
 
 PANEL_LIMIT = 512
 JITTER = 1e-9
@@ -35,8 +35,7 @@ def floor_sensitivity(
     """Floor and eligible count at several fractions of the best value; one pass after the maxima."""
     best = df.groupBy(*groups).agg(F.max(value).alias("_best"))
     counts = (
-        df.select(*groups, value)
-        .join(best, groups)
+        attach(df.select(*groups, value), best, groups)
         .groupBy(*groups, "_best")
         .agg(
             *[

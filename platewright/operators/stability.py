@@ -48,6 +48,15 @@ def broadcast_if_small(materialised: DataFrame, limit: int = BROADCAST_BYTES) ->
     return F.broadcast(materialised) if size <= limit else materialised
 
 
+def attach(df: DataFrame, constants: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Bring per-group constants (fold means, scales, quantiles) to the rows of ``df``.
+
+    The constants are written once and measured. Small ones are broadcast, so the rows stay where they are
+    instead of being shuffled on a handful of keys; larger ones are joined by a shuffle.
+    """
+    return df.join(broadcast_if_small(stable(constants)), keys, how)
+
+
 def spread_out(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by the keys into a fixed number of tasks before work that is heavy per byte.
 

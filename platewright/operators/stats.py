@@ -16,7 +16,7 @@ from platewright.operators.ranking import (
     row_positions,
     value_positions,
 )
-from platewright.operators.stability import spread_out
+from platewright.operators.stability import attach, spread_out
 
 # Cumulative Poisson(1) probabilities P(W <= 0), P(W <= 1), ... down to 32-bit resolution.
 POISSON_STEPS = (
@@ -43,8 +43,7 @@ def share_at_or_below(
     """Percentile position of one value per group within its null distribution."""
     hit = (F.col(sample) <= F.col(value)).cast("double")
     return (
-        null.select(*groups, sample)
-        .join(points.select(*groups, value), groups)
+        attach(null.select(*groups, sample), points.select(*groups, value), groups)
         .groupBy(*groups, value)
         .agg(F.avg(hit).alias("share_at_or_below"))
     )
