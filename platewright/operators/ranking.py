@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -108,40 +109,96 @@ def value_positions(
     )
 
 
+def _changes(table: pa.Table, column: str) -> np.ndarray:
+    """Where a row's value differs from the row before; nulls equal nulls and NaN equals NaN."""
+    x = table.column(column).combine_chunks()
+    a, b = x.slice(0, len(x) - 1), x.slice(1)
+    differs = pc.fill_null(pc.not_equal(a, b), False)
+    if pa.types.is_floating(x.type):
+        nan = pc.and_(pc.fill_null(pc.is_nan(a), False), pc.fill_null(pc.is_nan(b), False))
+        differs = pc.and_(differs, pc.invert(nan))
+    differs = pc.or_(differs, pc.not_equal(pc.is_null(a), pc.is_null(b)))
+    return differs.to_numpy(zero_copy_only=False)
+
+
+def _tie_runs(groups: list[str]):
+    """Ties of a sorted slice: place and length of each row's run, rows of its group, first and last run marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)) if (batches := [x for x in batches if x.num_rows]) else None
+        if table is None:
+            return
+        n = table.num_rows
+        new_group = np.zeros(max(0, n - 1), dtype=bool)
+        for g in groups:
+            new_group |= _changes(table, g)
+        new_run = new_group | _changes(table, "_value")
+        group_at = np.concatenate([[0], np.flatnonzero(new_group) + 1])
+        run_at = np.concatenate([[0], np.flatnonzero(new_run) + 1])
+        run_length = np.diff(np.append(run_at, n))
+        present = pc.is_valid(table.column("_value")).to_numpy()
+        rows = np.add.reduceat(present.astype(np.int64), group_at)
+        of_run = np.repeat(np.arange(len(run_at)), run_length)
+        group_of_run = np.searchsorted(group_at, run_at, side="right") - 1
+        place = run_at - group_at[group_of_run]
+        size = rows[group_of_run]
+        # Only runs of present values, and of these the ones that a neighbouring slice may continue.
+        first = (place == 0) & (size > 0)
+        last = place + run_length == size
+        mark = np.zeros(n, dtype=np.int32)
+        mark[run_at] = first + 2 * last
+        for name, values in (("_place", place[of_run]), ("_run", run_length[of_run]), ("_rows", size[of_run])):
+            table = table.append_column(name, pa.array(values.astype(np.int64)))
+        yield from table.append_column("_mark", pa.array(mark)).to_batches(max_chunksize=10_000)
+
+    return run
+
+
 def average_ranks(df: DataFrame, groups: list[str], values: dict[str, str]) -> DataFrame:
-    """Tie-averaged ranks of several columns within each group (``{column: rank column}``).
+    """Tie-averaged ranks of several columns within each group (``{column: rank column}``); null for a null value.
 
-    The input is read for the counts and again for the ranks, so it is materialised first.
+    Rows are range-sorted once per column, and a rank follows from the place in the sorted slice: nothing is joined
+    back on a value. A running number breaks ties between slices, so a value that a third of all rows share
+    spreads over many slices; what crosses a slice's edge is added up in a table of two rows per slice and group.
     """
-    df = stable(df)
-    long = df.select(
-        *groups,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("_measure"), F.col(c).cast("double").alias("_value"))
-                    for c in values
-                ]
-            )
-        ).alias("_m"),
-    ).select(*groups, "_m.*")
-    ranks = value_positions(long, [*groups, "_measure"], "_value").select(
-        *groups,
-        "_measure",
-        "_value",
-        (F.col("before") + (F.col("n") + F.lit(1)) / F.lit(2.0)).alias("_rank"),
+    for column, name in values.items():
+        df = _average_rank(df, groups, column, name)
+    return df
+
+
+def _average_rank(df: DataFrame, groups: list[str], column: str, name: str) -> DataFrame:
+    numbered = df.withColumn("_value", F.col(column).cast("double")).withColumn("_tie", F.monotonically_increasing_id())
+    slices = _slices(numbered, groups, [("_value", False), ("_tie", False)]).drop("_tie")
+    extra = [T.StructField(c, T.LongType()) for c in ("_place", "_run", "_rows")]
+    schema = T.StructType([*slices.schema.fields, *extra, T.StructField("_mark", T.IntegerType())])
+    sliced = stable(slices.mapInArrow(_tie_runs(groups), schema))
+
+    ends = sliced.where(F.col("_mark") > 0).select(*groups, "_slice", "_value", "_run", "_rows", "_mark")
+    same = W.partitionBy(*groups, "_value")
+    ahead = same.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("_ahead", F.coalesce(F.sum("_run").over(ahead), F.lit(0)))
+    ends = ends.withColumn("_all", F.sum("_run").over(same))
+    opens, closes = F.col("_mark").bitwiseAND(F.lit(1)) > 0, F.col("_mark").bitwiseAND(F.lit(2)) > 0
+    per_slice = ends.groupBy(*groups, "_slice").agg(
+        F.max("_rows").alias("_here"),
+        F.max(F.when(opens, F.col("_ahead"))).alias("_open_ahead"),
+        F.max(F.when(opens, F.col("_all"))).alias("_open_all"),
+        F.max(F.when(closes, F.col("_ahead"))).alias("_close_ahead"),
+        F.max(F.when(closes, F.col("_all"))).alias("_close_all"),
+    )
+    earlier = W.partitionBy(*groups).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    per_slice = per_slice.withColumn("_offset", F.coalesce(F.sum("_here").over(earlier), F.lit(0))).drop("_here")
+
+    opening = F.col("_place") == 0
+    closing = F.col("_place") + F.col("_run") == F.col("_rows")
+    ahead = F.when(opening, F.col("_open_ahead")).when(closing, F.col("_close_ahead")).otherwise(0)
+    ties = F.when(opening, F.col("_open_all")).when(closing, F.col("_close_all")).otherwise(F.col("_run"))
+    rank = F.col("_offset") + F.col("_place") - ahead + (ties + 1) / F.lit(2.0)
+    return (
+        attach(sliced, per_slice, [*groups, "_slice"], "left")
+        .withColumn(name, F.when(F.col("_value").isNotNull(), rank))
+        .select(*[c for c in df.columns if c != name], name)
     )
-    out = df
-    for c, name in values.items():
-        part = ranks.where(F.col("_measure") == c).select(
-            *groups, F.col("_value").alias("_key"), F.col("_rank").alias(name)
-        )
-        out = (
-            out.withColumn("_key", F.col(c).cast("double"))
-            .join(part, [*groups, "_key"], "left")
-            .drop("_key")
-        )
-    return out
 
 
 def group_quantiles(
