@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewright.llm import attention_lm, curves, decontaminate, mixing, secret_scan, simhash, toxicity, warc
+from platewright.llm import attention_lm, curves, decontaminate, licenses, mixing, secret_scan, simhash, surrogates, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,6 +129,52 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A demonstration key; a real run passes its own secret.
+SECRET = b"surrogate demonstration key"
+
+
+@query("op7_surrogates")
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by keyed surrogates."""
+    found = surrogates.pseudonymise(table(spark, sf_dir, "documents"), SECRET)
+    return found.select("doc_id", "n_entities", "text")
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_SPELLED = ", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in sorted(licenses.SPELLINGS.items()))
+_LICENSES = ", ".join(f"({_sql_text(name)}, '{licenses.digest(text)}')" for name, text in licenses.KNOWN)
+SQL_OP8 = rf"""
+WITH k AS (SELECT digest, min(license) AS license FROM (VALUES {_LICENSES}) AS t(license, digest) GROUP BY 1),
+sp AS (SELECT map_from_entries(list((a, b))) AS m FROM (VALUES {_SPELLED}) AS t(a, b)),
+l AS (
+  SELECT doc_id, list_filter(list_transform(list_filter(list_transform(
+    string_split(replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), chr(39), ''), chr(10)),
+    lambda x: trim(x, ' ')), lambda x: NOT regexp_matches(x, '^(?:copyright|copyrights|©|\(c\))(?:[^A-Za-z0-9_].*)?$')),
+    lambda x: trim(regexp_replace(x, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'))), lambda x: x <> '') AS lines
+  FROM documents),
+d AS (
+  SELECT doc_id, list_transform(lines, lambda x: sha256(array_to_string(list_transform(string_split(x, ' '),
+      lambda w: coalesce(m[w], w)), ' '))) AS digests,
+    sha256(array_to_string(list_transform(string_split(array_to_string(lines, ' '), ' '), lambda w: coalesce(m[w], w)), ' ')) AS whole
+  FROM l, sp),
+h AS (
+  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+  FROM (SELECT doc_id, unnest(digests) AS digest FROM d) JOIN k USING (digest) GROUP BY 1)
+SELECT d.doc_id, k.license, coalesce(h.n, 0)::BIGINT AS n_license_lines, coalesce(h.licenses, '') AS licenses
+FROM d LEFT JOIN k ON d.whole = k.digest LEFT JOIN h ON h.doc_id = d.doc_id
+"""
+
+
+@query("op8_licenses", SQL_OP8)
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence texts and notices in all documents."""
+    found = licenses.find_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
 SQL_OP9 = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
