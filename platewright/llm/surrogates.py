@@ -47,7 +47,7 @@ NAME_GENDER = {n.lower(): key for key, names in GIVEN.items() for n in names}
 
 _WORD = r"[\p{Lu}][\p{L}]+(?:-[\p{Lu}][\p{L}]+)?"
 _TITLED = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_KNOWN = "|".join(sorted((n for ns in GIVEN.values() for n in ns), key=len, reverse=True))
+_KNOWN = "|".join(sorted((n for ns in GIVEN.values() for x in ns for n in (x, x.upper())), key=len, reverse=True))
 NAME = regex.compile(
     rf"\b(?:(?P<title>{_TITLED})\.?[  ]+(?P<first>{_WORD})(?:[  ]+(?P<last>{_WORD}))?"
     rf"|(?P<given>{_KNOWN})[  ]+(?P<family>{_WORD}))\b"
@@ -55,11 +55,16 @@ NAME = regex.compile(
 LOCAL = regex.compile(r"[\p{L}\p{N}._%+-]+$")
 DOMAIN = regex.compile(r"[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+")
 IBAN = regex.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
-NUMBER = regex.compile(r"(?<![\p{L}\p{N}_.@/-])(?:\+\d|\(\d|\d)[\d ().-]*\d(?![\p{L}\p{N}_@]|[.-]\d)")
-IP = regex.compile(r"(?:\d{1,3}\.){3}\d{1,3}")
-SSN = regex.compile(r"\d{3}-\d{2}-\d{4}")
-CARD = regex.compile(r"[3-6]\d{3}(?:[ -]?\d{2,4}){2,4}[ -]?\d{1,4}")
-PHONE = regex.compile(r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4}")
+# A stretch that may hold numbers, and the numbers in it; the first kind that fits a place is taken.
+STRETCH = regex.compile(r"[+(]?\d[\d ().-]*\d")
+NUMBER = regex.compile(
+    r"(?<![\p{L}\p{N}_@/.-])(?:"
+    r"(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.\d))"
+    r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
+    r"|(?P<card>[3-6]\d{3}(?:([ -]?)\d{4}\4\d{4}\4\d{1,7}|([ -])\d{6}\5\d{5}|\d{9,15}))"
+    r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\7\d{4})"
+    r")(?![\p{L}\p{N}_@]|-\d)"
+)
 
 
 class Keyed:
@@ -225,19 +230,11 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             found.append((before.start(), after.end(), "email"))
         at = text.find("@", at + 1)
     found += [(m.start(), m.end(), "iban") for m in IBAN.finditer(text)]
-    for m in NUMBER.finditer(text):
-        s, kind = m.group(), None
-        digits = sum(ch.isdigit() for ch in s)
-        if IP.fullmatch(s) and all(int(x) < 256 for x in s.split(".")):
-            kind = "ip"
-        elif SSN.fullmatch(s):
-            kind = "ssn"
-        elif 13 <= digits <= 19 and CARD.fullmatch(s):
-            kind = "card"
-        elif 8 <= digits <= 15 and PHONE.fullmatch(s):
-            kind = "phone"
-        if kind:
-            found.append((m.start(), m.end(), kind))
+    for stretch in STRETCH.finditer(text):
+        if stretch.end() - stretch.start() > 6:
+            # One character more on the right, as what follows decides where a number ends.
+            for m in NUMBER.finditer(text, stretch.start(), min(len(text), stretch.end() + 1)):
+                found.append((m.start(), m.end(), m.lastgroup))
     for m in NAME.finditer(text):
         gender = next((g for g, ts in TITLES.items() if m["title"] in ts), "x")
         if m["title"] and not m["last"]:

@@ -82,5 +82,5 @@ def test_query_matches_sql(spark, sf):
 
     from platewright.llm.queries import ORACLES, QUERIES
 
-    for name in ("op6_decontaminate", "op9_mixing", "op4_warc"):
+    for name in ("op6_decontaminate", "op8_licenses", "op9_mixing", "op4_warc"):
         assert compare(QUERIES[name](spark, sf).toPandas(), connect(sf).execute(ORACLES[name]).df()) == "", name
