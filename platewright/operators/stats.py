@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platewright.functions.common import TWO_32, correlation, hash32, hash60
 from platewright.functions.normal import two_sided_p
@@ -75,33 +79,47 @@ def bootstrap_means(
     return rows.groupBy(*groups, "draw").agg(*[F.avg(v).alias(v) for v in values])
 
 
+def _digests(prefixes: range, keys: list, words: int) -> np.ndarray:
+    """md5 of 'prefix|key' as big-endian 32-bit words, shape (prefix, key, words); the same as the SQL hashes."""
+    tails = [f"|{k}".encode() for k in keys]
+    raw = b"".join(md5(str(p).encode() + t).digest()[: 4 * words] for p in prefixes for t in tails)
+    return np.frombuffer(raw, dtype=">u4").reshape(len(prefixes), len(keys), words)
+
+
 def poisson_bootstrap_means(
-    df: DataFrame, groups: list[str], key: str, values: list[str], draws: int
+    df: DataFrame, groups: list[str], key: str, values: list[str], draws: int, rows: int = 2000
 ) -> DataFrame:
-    """Poisson-weighted bootstrap means for large groups: rows are never shuffled, only the
-    (group, draw) partial sums are."""
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS_PER_HASH)))
-    hashed = (
-        spread_out(df.select(*groups, key, *values), key)
-        .withColumn("_b", blocks)
-        .withColumn("_h", F.md5(F.concat_ws("|", F.col("_b").cast("string"), F.col(key).cast("string"))))
-    )
-    records = []
-    for j in range(DRAWS_PER_HASH):
-        digits = F.substring("_h", 8 * j + 1, 8)
-        weight = F.lit(0)
-        for limit in poisson_thresholds():
-            weight = weight + (digits >= F.lit(limit)).cast("int")
-        records.append(
-            F.struct((F.col("_b") * DRAWS_PER_HASH + j).alias("draw"), weight.alias("_w"))
-        )
-    weighted = (
-        hashed.select(*groups, *values, F.explode(F.array(*records)).alias("_d"))
-        .select(*groups, *values, "_d.*")
-        .where((F.col("_w") > 0) & (F.col("draw") < draws))
-    )
-    return weighted.groupBy(*groups, "draw").agg(
-        *[(F.sum(F.col(v) * F.col("_w")) / F.sum("_w")).alias(v) for v in values]
+    """Poisson-weighted bootstrap means for groups of any size.
+
+    The weights of all draws are made for ``rows`` rows at a time and added up at once, as a matrix product; only
+    (group, draw) partial sums are shuffled, one set per batch and group.
+    """
+    fields = [df.schema[g] for g in groups]
+    sums = [T.StructField(f"_s{i}", T.DoubleType()) for i in range(len(values) + 1)]
+    schema = T.StructType([*fields, T.StructField("draw", T.LongType()), *sums])
+    limits = np.array([int(t, 16) for t in poisson_thresholds()], dtype=np.uint32)
+    hashes = range((draws - 1) // DRAWS_PER_HASH + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                part = batch.iloc[at : at + rows]
+                units = part.groupby(groups, dropna=False, sort=False) if groups else [((), part)]
+                for name, unit in units:
+                    bits = _digests(hashes, unit[key].tolist(), DRAWS_PER_HASH)
+                    w = np.searchsorted(limits, bits, side="right").transpose(0, 2, 1).reshape(-1, len(unit))[:draws]
+                    x = unit[values].to_numpy(float)
+                    found = w @ np.column_stack([x, np.ones(len(x))])
+                    out = pd.DataFrame(found, columns=[f.name for f in sums])
+                    out.insert(0, "draw", np.arange(draws))
+                    for i, g in enumerate(groups):
+                        out.insert(i, g, name[i])
+                    yield out
+
+    parts = spread_out(df.select(*groups, key, *values).na.drop(subset=values), key).mapInPandas(run, schema)
+    total = F.sum(sums[-1].name)
+    return parts.groupBy(*groups, "draw").agg(
+        *[F.try_divide(F.sum(f"_s{i}"), total).alias(v) for i, v in enumerate(values)]
     )
 
 
@@ -272,6 +290,71 @@ def rank_correlation_test(
     )
 
 
+def permutation_test_grouped(
+    df: DataFrame, group: str, key: str, x: str, y: str, permutations: int
+) -> DataFrame:
+    """The same test for bounded groups: all permutations of a group in one task, one shuffle of the rows.
+
+    ``permutation_test`` is the form for groups of any size. Rows with a missing side take no part; a group with a
+    constant side has neither rho nor p.
+    """
+    schema = T.StructType(
+        [df.schema[group], T.StructField("rho", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("p", T.DoubleType())]
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        rx, ry = pdf[x].rank().to_numpy(), pdf[y].rank().to_numpy()
+        a, b = rx - rx.mean(), ry - ry.mean()
+        scale = np.sqrt((a @ a) * (b @ b))
+        rho = p = None
+        if scale > 0:
+            rho, hits, keys = float(a @ b / scale), 0, pdf[key].tolist()
+            step = max(1, 2_000_000 // len(pdf))
+            for lo in range(0, permutations, step):
+                h = _digests(range(lo, min(permutations, lo + step)), keys, 1)[..., 0]
+                null = a[np.argsort(h, axis=1, kind="stable")] @ b / scale
+                hits += int((np.abs(null) >= abs(rho) - 1e-12).sum())
+            p = hits / permutations
+        return pd.DataFrame([(pdf[group].iloc[0], rho, len(pdf), p)], columns=schema.names)
+
+    rows = df.select(group, key, x, y).na.drop(subset=[x, y])
+    return spread_out(rows, group).groupBy(group).applyInPandas(run, schema)
+
+
+def subset_share_grouped(
+    members: DataFrame, pairs: DataFrame, group: str, key: str, value: str, best: str, k: int, draws: int
+) -> DataFrame:
+    """Mean similarity of the k members of largest ``best`` and the share of random k-subsets at or below it.
+
+    For bounded groups: members and pair table of a group meet in one task, which makes all subsets. Subset d
+    holds the first k by hash of (d, key). A group of fewer than two members or without pairs has nulls.
+    """
+    fields = [T.StructField(n, T.DoubleType()) for n in ("observed", "share_at_or_below")]
+    schema = T.StructType([members.schema[group], *fields])
+
+    def run(m: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        name = m[group].iloc[0] if len(m) else p[group].iloc[0]
+        if len(m) < 2 or p.empty:
+            return pd.DataFrame([(name, None, None)], columns=schema.names)
+        m = m.sort_values(key)
+        place = pd.Series(np.arange(len(m)), index=m[key])
+        c = np.zeros((len(m), len(m)))
+        i, j = place[p["id_a"]].to_numpy(), place[p["id_b"]].to_numpy()
+        c[i, j] = c[j, i] = p[value]
+        size = min(k, len(m))
+        h = _digests(range(draws), m[key].tolist(), 1)[..., 0]
+        picks = np.argsort(h, axis=1, kind="stable")[:, :size]
+        mean = lambda s: c[s[:, :, None], s[:, None, :]].sum(axis=(1, 2)) / (size * (size - 1))
+        top = np.lexsort((m[key], -m[best]))[:size]
+        observed = float(mean(top[None, :])[0])
+        share = float((mean(picks) <= observed + 1e-12).mean())
+        return pd.DataFrame([(name, observed, share)], columns=schema.names)
+
+    left = spread_out(members.select(group, key, best), group).groupBy(group)
+    return left.cogroup(pairs.select(group, "id_a", "id_b", value).groupBy(group)).applyInPandas(run, schema)
+
+
 def permutation_test(
     df: DataFrame, groups: list[str], key: str, x: str, y: str, permutations: int
 ) -> DataFrame:

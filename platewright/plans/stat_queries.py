@@ -14,8 +14,9 @@ from platewright.plans.similarity_queries import _CORR, correlations
 
 DRAWS = 100
 RHO_DRAWS = 10
-PERMS = 50
-SUBSETS = 40
+PERMS = 1000
+SUBSETS = 1000
+POISSON_DRAWS = 1000
 _H = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
 _H60 = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
 
@@ -53,11 +54,11 @@ _POISSON = " + ".join(f"(u >= '{t}')::INT" for t in poisson_thresholds())
 @query(
     "sta_1_poisson",
     f"""WITH {_GAPS}, w AS (SELECT *, {_POISSON} AS w FROM (SELECT *, substr(md5((draw // 4) || '|' || key), 8 * (draw % 4) + 1, 8) AS u
-    FROM g, range({DRAWS}) AS r(draw))), d AS (SELECT draw, sum(a_vs_n * w) / sum(w) AS a_vs_n, sum(a_vs_r * w) / sum(w) AS a_vs_r FROM w GROUP BY 1) {_CI}""",
+    FROM g, range({POISSON_DRAWS}) AS r(draw))), d AS (SELECT draw, sum(a_vs_n * w) / sum(w) AS a_vs_n, sum(a_vs_r * w) / sum(w) AS a_vs_r FROM w GROUP BY 1) {_CI}""",
     "ci_low ci_high",
 )
 def sta_1_poisson(spark, sf):
-    means = T.poisson_bootstrap_means(gaps(spark, sf), ["scope"], "key", ["a_vs_n", "a_vs_r"], DRAWS)
+    means = T.poisson_bootstrap_means(gaps(spark, sf), ["scope"], "key", ["a_vs_n", "a_vs_r"], POISSON_DRAWS)
     return T.percentile_interval(means, ["scope"], ["a_vs_n", "a_vs_r"]).drop("scope")
 
 
@@ -108,7 +109,22 @@ def assay_differences(spark, sf):
     )
 
 
-@query("sta_3_exact")
+@query(
+    "sta_3_exact",
+    f"""WITH df AS (SELECT assay, abs(y - 90.0 * vec[1]) - abs(y - 80.0 * vec[2]) AS d FROM v_assay),
+    z AS (SELECT assay, d, abs(d) AS a FROM df WHERE d <> 0),
+    r AS (SELECT *, rank() OVER (PARTITION BY assay ORDER BY a) + (count(*) OVER (PARTITION BY assay, a) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY assay, a) AS t FROM z),
+    w AS (SELECT assay, count(*) AS n, least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END)) AS statistic,
+    sum(t::DOUBLE * t - 1) AS ties, max(t) AS largest FROM r GROUP BY 1),
+    m AS (SELECT max(n) AS n, (max(n) * (max(n) + 1)) // 2 AS top FROM w),
+    c AS (WITH RECURSIVE c(k, ways) AS (SELECT 0, list_transform(range(0, top + 1), lambda i: (i = 0)::INT::DOUBLE) FROM m
+    UNION ALL SELECT c.k + 1, list_transform(range(0, top + 1), lambda i: c.ways[i + 1] + CASE WHEN i > c.k THEN c.ways[i - c.k] ELSE 0 END) FROM c, m WHERE c.k < m.n) SELECT * FROM c),
+    p AS (SELECT w.*, (statistic - n * (n + 1.0) / 4) / sqrt(n * (n + 1.0) * (2.0 * n + 1) / 24 - ties / 48) AS z FROM w)
+    SELECT assay, p.n, statistic, least(1.0, 2.0 * {upper_tail_sql('z')}) AS p, CASE WHEN largest > 1 THEN 'tied' WHEN p.n > 200 THEN 'too_large' ELSE 'exact' END AS exact_status,
+    CASE WHEN largest = 1 AND p.n <= 200 THEN least(1.0, 2.0 * list_sum(ways[1:floor(statistic)::INT + 1]) / power(2.0, p.n)) END AS p_exact
+    FROM p JOIN c ON c.k = p.n""",
+    "statistic p p_exact",
+)
 def sta_3_exact(spark, sf):
     w = T.wilcoxon(assay_differences(spark, sf), ["assay"], "d", None)
     return T.exact_wilcoxon(w).select("assay", "n", "statistic", "p", "exact_status", "p_exact")
@@ -194,7 +210,7 @@ def sta_6(spark, sf):
 )
 def sta_7(spark, sf):
     rows = V.assays(spark, sf).select("assay", "vec_id", F.col("vec")[5].alias("x"), "y")
-    return T.permutation_test(rows, ["assay"], "vec_id", "x", "y", PERMS)
+    return T.permutation_test_grouped(rows, "assay", "vec_id", "x", "y", PERMS)
 
 
 _SUB = f"""c AS ({_CORR}), m AS (SELECT assay, vec_id, row_number() OVER (PARTITION BY assay ORDER BY y DESC, vec_id) AS top FROM v_assay),
@@ -205,27 +221,13 @@ AND x.vec_id < y.vec_id JOIN c ON c.assay = x.assay AND c.id_a = x.vec_id AND c.
 
 @query(
     "sta_8",
-    f"""WITH {_SUB} SELECT n.assay, o.s AS observed, avg((n.s <= o.s)::INT) AS share_at_or_below FROM sim n JOIN sim o ON n.assay = o.assay
+    f"""WITH {_SUB} SELECT n.assay, o.s AS observed, avg((n.s <= o.s + 1e-12)::INT) AS share_at_or_below FROM sim n JOIN sim o ON n.assay = o.assay
     WHERE n.draw >= 0 AND o.draw = -1 GROUP BY 1, 2""",
     "observed share_at_or_below",
 )
 def sta_8(spark, sf):
-    from platewright.operators.ranking import top_per_group
-    from platewright.operators.stability import stable
-
     rows = V.assays(spark, sf)
-    pairs = stable(correlations(spark, sf))
-    best = top_per_group(rows, ["assay"], [("y", True), ("vec_id", False)], 6).select(
-        "assay", F.lit(-1).alias("draw"), "vec_id"
-    )
-    subsets = T.random_subsets(rows, "assay", "vec_id", 6, SUBSETS)
-    sim = T.subset_similarity(
-        subsets.select("assay", "draw", "vec_id").unionByName(best), pairs, "assay", "vec_id", "correlation"
-    )
-    points = sim.where(F.col("draw") == -1).select("assay", F.col("mean_similarity").alias("observed"))
-    return T.share_at_or_below(
-        sim.where(F.col("draw") >= 0), points, ["assay"], "mean_similarity", "observed"
-    )
+    return T.subset_share_grouped(rows, correlations(spark, sf), "assay", "vec_id", "correlation", "y", 6, SUBSETS)
 
 
 @query(

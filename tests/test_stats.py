@@ -82,3 +82,31 @@ def test_leave_one_out_similarity(spark):
     r = T.leave_one_out_similarity(df, "g", "v").first()
     assert r["n"] == 3
     np.testing.assert_allclose([r["low"], r["mean"], r["high"]], [0.1, 0.4, 0.7])
+
+
+def test_grouped_permutations_equal_the_general_form(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, i, float(x), float(x + e)) for g in "ab" for i, (x, e) in enumerate(rng.normal(size=(25, 2)))]
+    rows += [("c", i, 1.0, float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, k long, x double, y double")
+    fast = {r["g"]: r for r in T.permutation_test_grouped(df, "g", "k", "x", "y", 60).collect()}
+    slow = {r["g"]: r for r in T.permutation_test(df, ["g"], "k", "x", "y", 60).collect()}
+    for g in "ab":
+        assert abs(fast[g]["rho"] - slow[g]["rho"]) < 1e-12 and abs(fast[g]["p"] - slow[g]["p"]) < 1e-12
+    assert fast["c"]["rho"] is None and fast["c"]["p"] is None and fast["c"]["n"] == 5
+
+
+def test_subset_share_against_plain_loops(spark):
+    import hashlib
+
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(9, 9))
+    members = spark.createDataFrame([("g", i, float(-i)) for i in range(9)] + [("one", 1, 0.0)], "g string, k long, y double")
+    pairs = spark.createDataFrame([("g", i, j, float(c[i, j])) for i in range(9) for j in range(i + 1, 9)], "g string, id_a long, id_b long, c double")
+    got = {r["g"]: r for r in T.subset_share_grouped(members, pairs, "g", "k", "c", "y", 3, 40).collect()}
+    mean = lambda s: np.mean([c[min(a, b), max(a, b)] for a in s for b in s if a < b])
+    h = lambda d, k: (hashlib.md5(f"{d}|{k}".encode()).hexdigest()[:8], k)
+    draws = [mean(sorted(range(9), key=lambda k: h(d, k))[:3]) for d in range(40)]
+    assert abs(got["g"]["observed"] - mean([0, 1, 2])) < 1e-12
+    assert abs(got["g"]["share_at_or_below"] - np.mean(np.array(draws) <= mean([0, 1, 2]) + 1e-12)) < 1e-12
+    assert got["one"]["observed"] is None
