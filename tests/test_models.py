@@ -189,3 +189,72 @@ def test_nested_ridge_against_plain_loops(spark):
     assert got.keys() == want.keys()
     for i in want:
         assert got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-8
+
+
+def _kernel(a, b, params, scale, parts):
+    """Similarity of rows by plain loops over components: additive mean plus all ordered pairs."""
+    width = a.shape[1] // parts
+    ell = params["lengthscale_multiplier"] * scale
+    k = [
+        np.exp(-0.5 * ((a[:, None, i * width : (i + 1) * width] - b[None, :, i * width : (i + 1) * width]) ** 2).sum(-1) / ell**2)
+        for i in range(parts)
+    ]
+    both = sum(k[i] * k[j] for i in range(parts) for j in range(parts) if i != j)
+    return params["sigma_main"] ** 2 * sum(k) / parts + params["sigma_epi"] ** 2 * both / (parts * (parts - 1))
+
+
+def test_prior_mean_coefficients_belong_to_the_predicting_fit(spark, sf):
+    """mod_16 on one assay: generalised least squares with the searched parameters, by explicit inverses."""
+    from platewright.plans import load, views as V
+
+    got = load()[0]["mod_16"](spark, sf).toPandas()
+    rows = V.assays(spark, sf).toPandas()
+    assay = sorted(got["assay"].unique())[0]
+    mine = rows[rows["assay"] == assay].sort_values("vec_id")
+    out = got[got["assay"] == assay].set_index("vec_id")
+    assert set(out.index) == set(mine["vec_id"]) and out["fold"].nunique() > 1
+    x = np.vstack(mine["vec"].to_numpy())
+    y, sem, fold = mine["y"].to_numpy(), mine["sem"].to_numpy(float), out.loc[mine["vec_id"], "fold"].to_numpy()
+    for f in np.unique(fold):
+        a, b = fold != f, fold == f
+        p = out.loc[mine["vec_id"][b]].iloc[0]
+        parts, n = V.N_COMPONENTS, int(a.sum())
+        width = x.shape[1] // parts
+        gaps = [np.linalg.norm(x[a][i, c * width : (c + 1) * width] - x[a][j, c * width : (c + 1) * width])
+                for c in range(parts) for i in range(n) for j in range(i)]
+        scale = np.median([g for g in gaps if g > 1e-12])
+        centre, spread = y[a].mean(), y[a].std()
+        good = sem[a][np.isfinite(sem[a]) & (sem[a] > 0)]
+        noise = np.where(np.isfinite(sem[a]), sem[a], np.median(good) if len(good) else 0.0) / spread
+        k = _kernel(x[a], x[a], p, scale, parts) + np.diag(noise**2 + p["sigma_noise"] ** 2 + 1e-8)
+        s = x[:, 0]
+        design = np.column_stack([np.ones(len(s)), (s - s[a].mean()) / s[a].std()])
+        inverse = np.linalg.inv(k)
+        target = (y[a] - centre) / spread
+        beta = np.linalg.solve(design[a].T @ inverse @ design[a] + 1e-8 * np.eye(2), design[a].T @ inverse @ target)
+        np.testing.assert_allclose([p["intercept"], p["slope"]], beta, atol=2e-5)
+        mean = design[b] @ beta + _kernel(x[b], x[a], p, scale, parts) @ inverse @ (target - design[a] @ beta)
+        np.testing.assert_allclose(out.loc[mine["vec_id"][b], "predicted"], centre + spread * mean, rtol=1e-4, atol=1e-4)
+
+
+def test_deployment_rows(spark, sf):
+    """mod_20: the chosen setting has the smallest cross-validated error, parameters are those of all rows, n counts rows."""
+    from platewright.plans import load, model_queries as Q, views as V
+
+    got = {r["assay"]: r for r in load()[0]["mod_20"](spark, sf).collect()}
+    assays = V.assays(spark, sf)
+    n = {r["assay"]: r["count"] for r in assays.groupBy("assay").count().collect()}
+    rows = folds.assign_folds(assays, "vec_id", 3)
+    cv = G.predict_splits(rows, "assay", "fold", "vec_id", Q.FAMILIES, V.N_COMPONENTS, 3, nested=False).toPandas()
+    assert got.keys() == n.keys()
+    for assay, r in got.items():
+        part = cv[cv["assay"] == assay]
+        mae = (part["observed"] - part["predicted"]).abs().groupby(part["setting"]).mean()
+        used = part[part["setting"] == r["setting"]]
+        assert r["n"] == n[assay] == len(used) and abs(mae[r["setting"]] - mae.min()) < 1e-9
+        z = (used["observed"] - used["predicted"]) / used["sd_observed"]
+        assert abs(r["scale"] - np.sqrt((z**2).mean())) < 1e-5
+    family = {f["name"]: f for f in Q.FAMILIES}
+    assay, r = sorted(got.items())[0]
+    fit = G.search_groups(assays.where(F.col("assay") == assay), "assay", "vec_id", family[r["setting"]]["family"], 8, 1, V.N_COMPONENTS).first()
+    assert all(abs(fit[p] - r[p]) < 1e-5 for p in G.PARAMS)
