@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platewright.functions import gp
+from platewright.functions.common import hash60
 from platewright.functions.normal import gaussian_nlpd
 from platewright.functions.vectors import combined, component_distances, rbf
 from platewright.operators import reshape
-from platewright.operators.stability import spread_out
+from platewright.operators.stability import attach, spread_out, stable
 
 GROUP_LIMIT = 2000
 PARAMS = ("lengthscale_multiplier", "sigma_main", "sigma_epi", "sigma_noise")
@@ -105,6 +107,75 @@ def score_candidates(
     )
 
 
+def pack_models(df: DataFrame, group: str, key: str, params: dict, parts: int) -> DataFrame:
+    """One exact fit per group, packed into one row: ``group, model (binary), n_train, problem``.
+
+    A group that cannot be fitted (fewer than three rows, a target that does not vary, no usable length scale, more rows
+    than a dense fit takes, a singular matrix) has its ``problem`` and no model; the others go on.
+    """
+    kinds = [T.StructField("model", T.BinaryType()), T.StructField("n_train", T.LongType()), T.StructField("problem", T.StringType())]
+    schema = T.StructType([df.schema[group], *kinds])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        model = problem = None
+        if len(pdf) > GROUP_LIMIT:
+            problem = "too_many_rows"
+        elif len(pdf) < 3:
+            problem = "too_few_rows"
+        else:
+            try:
+                fit = gp.Fit(_gaps(pdf, parts), pdf["y"].to_numpy(), pdf["sem"].to_numpy(float), params)
+                model = pickle.dumps((fit, np.vstack(pdf["vec"].to_numpy())))
+            except ValueError as e:
+                problem = str(e).replace(" ", "_")
+            except np.linalg.LinAlgError:
+                problem = "singular"
+        return pd.DataFrame([(pdf[group].iloc[0], model, len(pdf), problem)], columns=schema.names)
+
+    return spread_out(df.select(group, key, "vec", "y", "sem"), group).groupBy(group).applyInPandas(run, schema)
+
+
+def score_packed(
+    candidates: DataFrame, packed: DataFrame, group: str, key: str, parts: int, chunk: int = 5000
+) -> DataFrame:
+    """Posterior mean, latent and observed SD of any number of candidates: ``group, key, predicted, sd_latent,
+    sd_observed, problem``.
+
+    The candidates of a group are cut by hash into chunks of about ``chunk`` rows, each of which meets the group's
+    packed model in a task of its own; there is no row per candidate and train pair. Candidates of a group without a
+    model are returned with its problem.
+    """
+    fields = [T.StructField(n, T.DoubleType()) for n in ("predicted", "sd_latent", "sd_observed")]
+    schema = T.StructType(
+        [candidates.schema[group], candidates.schema[key], *fields, T.StructField("problem", T.StringType())]
+    )
+    counts = stable(candidates.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("_chunks")))
+    rows = attach(candidates.select(group, key, "vec"), counts, [group])
+    rows = rows.withColumn("_chunk", F.pmod(hash60(key), F.col("_chunks"))).drop("_chunks")
+    models = packed.join(counts, group).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1)))
+
+    def run(c: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        out = c[[group, key]].copy()
+        if c.empty:
+            return pd.DataFrame(columns=schema.names)
+        problem = "no_model" if m.empty else m["problem"].iloc[0]
+        columns = [[None] * len(c)] * 3
+        if problem is None:
+            fit, train = pickle.loads(m["model"].iloc[0])
+            x, step = np.vstack(c["vec"].to_numpy()), max(1, 2_000_000 // (parts * len(train)))
+            base = gp.split_components(train, parts)
+            parts_of = [fit.predict(gp.squared_gaps(gp.split_components(x[i : i + step], parts), base)) for i in range(0, len(x), step)]
+            columns = [np.concatenate(p) for p in zip(*parts_of, strict=True)]
+        for f, values in zip(fields, columns, strict=True):
+            out[f.name] = values
+        return out.assign(problem=problem)
+
+    keys = [group, "_chunk"]
+    left = spread_out(rows, *keys).groupBy(*keys)
+    return left.cogroup(models.select(*keys, "model", "problem").groupBy(*keys)).applyInPandas(run, schema)
+
+
 _PREDICTED = (
     "observed", "predicted", "sd_latent", "sd_observed", "distance_scale", "lengthscale", "objective",
     "intercept", "slope", *PARAMS,

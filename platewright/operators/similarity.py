@@ -191,8 +191,14 @@ def dense_correlation(ids: np.ndarray, pdf: pd.DataFrame, value: str) -> np.ndar
     return k
 
 
-def panel_diversity(pair_table: DataFrame, group: str, value: str, largest: int = 512) -> DataFrame:
-    """Mean similarity, log-determinant and isometry per panel of correlation-normalised pairs."""
+def panel_diversity(
+    pair_table: DataFrame, group: str, value: str, largest: int = 512, panels: DataFrame | None = None
+) -> DataFrame:
+    """Mean similarity, log-determinant and isometry per panel of correlation-normalised pairs.
+
+    A panel of one has no pairs; with ``panels`` (one row per member) it counts as mean 0, log-determinant 0 and
+    isometry 1.
+    """
 
     def diversity(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["id_a"].to_numpy(), pdf["id_b"].to_numpy()]))
@@ -214,4 +220,9 @@ def panel_diversity(pair_table: DataFrame, group: str, value: str, largest: int
     kind = dict(pair_table.dtypes)[group]
     schema = f"{group} {kind}, n int, mean_similarity double, log_determinant double, isometry double"
     cells = pair_table.select(group, "id_a", "id_b", value)
-    return spread_out(cells, group).groupBy(group).applyInPandas(diversity, schema)
+    found = spread_out(cells, group).groupBy(group).applyInPandas(diversity, schema)
+    if panels is None:
+        return found
+    single = panels.groupBy(group).agg(F.count(F.lit(1)).cast("int").alias("n")).where("n = 1")
+    zero = [F.lit(v).alias(c) for c, v in (("mean_similarity", 0.0), ("log_determinant", 0.0), ("isometry", 1.0))]
+    return found.unionByName(single.select(group, "n", *zero))

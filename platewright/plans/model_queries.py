@@ -279,6 +279,19 @@ def mod_11_gp(spark, sf):
     ).join(joined, ["assay", "vec_id"])
 
 
+@query("mod_11_sd")
+def mod_11_sd(spark, sf):
+    """Candidates with mean, latent, observed and calibrated SD; the calibration comes from the train rows' own folds."""
+    rows = folds.assign_folds(V.assays(spark, sf), "vec_id", 5)
+    train, test = rows.where(F.col("fold") != 0), rows.where(F.col("fold") == 0)
+    packed = G.pack_models(train, "assay", "vec_id", FIXED, V.N_COMPONENTS)
+    scored = G.score_packed(test, packed, "assay", "vec_id", V.N_COMPONENTS)
+    settings = [{"name": "fixed", "family": "epistatic", "params": FIXED}]
+    again = folds.assign_folds(train.drop("fold"), "vec_id", 3)
+    cv = G.predict_splits(again, "assay", "fold", "vec_id", settings, V.N_COMPONENTS, 3, nested=False)
+    return M.apply_scale(scored, M.sigma_scale(cv, ["assay"], "sd_observed"), ["assay"], "sd_observed")
+
+
 @query("mod_12")
 def mod_12(spark, sf):
     best = G.search_groups(V.assays(spark, sf), "assay", "vec_id", "epistatic", 16, 3, V.N_COMPONENTS)

@@ -236,10 +236,8 @@ def sel_12(spark, sf):
     """Ingest, fit, score, floor, rank, shortlist, diverse panel and its diagnostics, per assay."""
     rows = folds.assign_folds(V.assays(spark, sf), "vec_id", 2)
     train, pool = rows.where(F.col("fold") == 0), rows.where(F.col("fold") == 1)
-    weights = G.fit_groups(train, "assay", "vec_id", FIXED, V.N_COMPONENTS)
-    scored = G.score_candidates(
-        pool, train, weights, "assay", "vec_id", F.col("lengthscale"), 1.0, 0.5, V.N_COMPONENTS, V.COMPONENT_DIM
-    )
+    packed = G.pack_models(train, "assay", "vec_id", FIXED, V.N_COMPONENTS)
+    scored = stable(G.score_packed(pool, packed, "assay", "vec_id", V.N_COMPONENTS)).where("problem IS NULL")
     lowest = scored.groupBy("assay").agg(F.min("predicted").alias("low"))
     shifted = stable(
         scored.join(lowest, "assay").select("assay", "vec_id", (F.col("predicted") - F.col("low")).alias("score"))
@@ -263,7 +261,9 @@ def sel_12(spark, sf):
     )
     diag = L.panel_diagnostics(panel, top, ["assay"], [], "score")
     inside = L.pairs_inside(corr, panel, "assay", "vec_id", ["seed"])
-    report = diag.join(S.panel_diversity(inside, "assay", "correlation").drop("n"), "assay")
+    report = diag.join(S.panel_diversity(inside, "assay", "correlation", panels=panel).drop("n"), "assay")
+    sure = panel.join(scored, ["assay", "vec_id"]).groupBy("assay").agg(F.avg("sd_observed").alias("panel_sd_observed"))
+    report = report.join(sure, "assay")
     status = drawn.groupBy("assay").agg(F.max("problem").alias("problem"))
     return status.join(report, "assay", "left")
 

@@ -258,3 +258,25 @@ def test_deployment_rows(spark, sf):
     assay, r = sorted(got.items())[0]
     fit = G.search_groups(assays.where(F.col("assay") == assay), "assay", "vec_id", family[r["setting"]]["family"], 8, 1, V.N_COMPONENTS).first()
     assert all(abs(fit[p] - r[p]) < 1e-5 for p in G.PARAMS)
+
+
+def test_packed_models_score_any_number_of_candidates(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, i, rng.normal(size=8).tolist(), float(rng.normal()), 0.1 if i % 3 else None, "train" if i < 20 else "test")
+            for g in "ab" for i in range(60)]
+    rows += [("few", i, [0.0] * 8, 1.0, None, "train" if i < 2 else "test") for i in range(4)]
+    rows += [("flat", i, rng.normal(size=8).tolist(), 1.0, None, "train" if i < 5 else "test") for i in range(7)]
+    rows += [("none", 1, [0.0] * 8, 1.0, None, "test")]
+    df = spark.createDataFrame(rows, "g string, id long, vec array<double>, y double, sem double, role string")
+    params = {"lengthscale_multiplier": 1.0, "sigma_main": 1.0, "sigma_epi": 0.5, "sigma_noise": 0.3}
+    packed = G.pack_models(df.where("role = 'train'"), "g", "id", params, 4)
+    assert {r["g"]: r["problem"] for r in packed.collect()} == {"a": None, "b": None, "few": "too_few_rows", "flat": "target_does_not_vary"}
+    got = G.score_packed(df.where("role = 'test'"), packed, "g", "id", 4, chunk=7).toPandas()
+    assert len(got) == 80 + 2 + 2 + 1
+    assert got.groupby("g")["problem"].first().to_dict() == {"a": None, "b": None, "few": "too_few_rows", "flat": "target_does_not_vary", "none": "no_model"}
+    settings = [{"name": "s", "family": "epistatic", "params": params}]
+    dense = G.predict_groups(df.where("g IN ('a', 'b')"), ["g"], "id", settings, 4).toPandas()
+    both = got[got["problem"].isna()].merge(dense, on=["g", "id"], suffixes=("", "_d"))
+    assert len(both) == 80
+    for c in ("predicted", "sd_latent", "sd_observed"):
+        np.testing.assert_allclose(both[c].astype(float), both[c + "_d"], atol=1e-9)
