@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from platewright.llm.store import saved
 from platewright.llm.words import crc_mod
 
-# Word lists of the grammar.
-INSULTS = """idiot moron stupid loser scum trash pathetic disgusting worthless clown imbecile dumbass
-bastard degenerate vermin subhuman
+# Word lists of the grammar. Words of a corpus are not listed here: they are learnt from its training rows.
+INSULTS = """imbecile dumbass bastard degenerate vermin subhuman
 dummkopf abschaum trottel versager arschloch
 connard imbécile ordure salaud abruti
 estúpido imbécil basura gilipollas pendejo""".split()

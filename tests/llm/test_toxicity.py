@@ -20,15 +20,15 @@ def features(text, stems=None):
     [
         ("", {}),
         ("A calm text. Nothing here.", {}),
-        ("What an IDIOT.", {"insult": 1}),
-        ("You are a stupid idiot", {"at target": 1}),
-        ("You idiot! Also you moron; scum", {"at target": 2, "insult": 1}),
-        ("This is not stupid at all", {"negated": 1}),
-        ("He is not what one would ever call an idiot", {"at target": 1}),
-        ("The report said idiot twice", {"reported": 1}),
+        ("What an IMBECILE.", {"insult": 1}),
+        ("You are a vermin imbecile", {"at target": 1}),
+        ("You imbecile! Also you bastard; vermin", {"at target": 2, "insult": 1}),
+        ("This is not degenerate at all", {"negated": 1}),
+        ("He is not what one would ever call an imbecile", {"at target": 1}),
+        ("The report said imbecile twice", {"reported": 1}),
         ("I will kill you", {"threat": 1}),
         ("They kill time", {"violence": 1}),
-        ("nonidiotic words and xidiot", {}),
+        ("nonimbecile words and ximbecile", {}),
     ],
 )
 def test_clauses(text, want):
@@ -71,11 +71,11 @@ def _labelled(spark):
         words = sentence(rng, rng.randrange(20, 60)).split()
         if bad:
             for _ in range(3):
-                words.insert(rng.randrange(len(words)), rng.choice(["zorb", "you idiot"]) + rng.choice(["", "", " "]) )
+                words.insert(rng.randrange(len(words)), rng.choice(["zorb", "you imbecile"]) + rng.choice(["", "", " "]) )
             words.append("zorb" + rng.choice(["el", "um", "ik"]))
         docs.append((i, " ".join(words)))
         labels.append((i, int(bad)))
-    docs += [(700, None), (701, ""), (None, "you stupid zorbel idiot"), (702, "fine words " * 50_000), (3, docs[3][1])]
+    docs += [(700, None), (701, ""), (None, "you vile zorbel imbecile"), (702, "fine words " * 50_000), (3, docs[3][1])]
     labels += [(None, 1), (5000, 1), (10, None), (15, 1), (15, 0)]
     return (
         spark.createDataFrame([(*d, "mine", "mine", "mine") for d in docs], DOCS),
