@@ -35,9 +35,9 @@ LONGEST_WORD = 200
 COMMON_BITS = 19
 FLUSH = 600_000
 
-WINDOW, STRIDE = 16, 13
+WINDOW, STRIDE = 32, 24
 KEY_DIM, DIM = 8, 16
-OWN_ROWS, OWN_CLASSES, START_CLASSES, INNER_CLASSES = 1024, 36, 22, 16
+OWN_ROWS, OWN_CLASSES, START_CLASSES, INNER_CLASSES = 1024, 44, 24, 18
 CONTEXTS, FOLLOWERS = 512, 128
 ALPHA = 5.0
 CHUNK = 64
@@ -545,7 +545,7 @@ def score_texts(
     pattern: str = PATTERN,
     share: float = 0.01,
     least_tokens: int = 400_000,
-    rounds: int = 2,
+    rounds: int = 3,
     rate: float = 0.01,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.

@@ -1,4 +1,6 @@
+import inspect
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -141,3 +143,24 @@ def test_training_beats_the_untrained_model(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     of = lambda rounds: sum(r.score for r in lm.score_texts(docs, rounds=rounds).collect() if r.held_out)
     assert of(3) > of(0)
+
+
+def test_every_id_sees_enough_of_what_came_before():
+    lengths = np.array([3, 40, 500])
+    at, inside, scored = lm.windows(lengths, lm.STRIDE)
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    for row, here in zip(at, scored, strict=True):
+        start = first[np.searchsorted(first, row[0], side="right") - 1]
+        for k in np.flatnonzero(here):
+            assert k >= min(8, row[k] - start)
+    assert inspect.signature(lm.score_texts).parameters["rounds"].default == 3
+
+
+@pytest.mark.skipif("PLATEWRIGHT_LM_QUALITY" not in os.environ, reason="names the table to measure on, such as check_s")
+def test_held_out_score_at_the_registered_settings(spark):
+    docs = spark.read.parquet(f"/root/testdata/{os.environ['PLATEWRIGHT_LM_QUALITY']}/documents.parquet")
+    held = [r for r in lm.score_texts(docs).select("held_out", "n_tokens", "base_score", "score").collect() if r.held_out]
+    words = sum(r.n_tokens for r in held)
+    model, base = sum(r.score for r in held) / words, sum(r.base_score for r in held) / words
+    print(f"held-out score per word: model {model:.4f}, unigram {base:.4f}, {words} words")
+    assert model > base
