@@ -3,8 +3,8 @@
 The output is factored. Attention over the last ids gives a class distribution; inside its class an id is drawn
 by counts given the id before. Both sum to one, so the score is a proper log-probability of the text: its
 lower-cased words, in subwords, and an end. Counts come from all training texts, by way of the table of distinct
-words, so each word is cut into subwords once. The attention weights are trained by rounds of local descent on a
-fixed share of the training texts, averaged between rounds.
+words, so each word is cut into subwords once. The attention weights are trained by rounds of local descent on all
+training texts, averaged between rounds.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ OWN_ROWS, OWN_CLASSES, START_CLASSES, INNER_CLASSES = 1024, 44, 24, 18
 CONTEXTS, FOLLOWERS = 512, 128
 ALPHA = 5.0
 CHUNK = 64
+# Words that a task of a training round learns from. Each task sends its weights, so this bounds what a round shuffles.
+TASK_WORDS = 400_000
 # Bytes of text that a scoring task works on at a time.
 SLICE_BYTES = 1 << 20
 
@@ -398,12 +400,23 @@ def log_probability(p: dict, layout: Layout, texts: list[np.ndarray]) -> np.ndar
 # -- distributed training ---------------------------------------------------------------------------------------
 
 
-def _local_rounds(model, blob, pattern: str, rate: float):
+def _training_ids(blob, pattern: str):
+    """Subword ids of texts, so that they are split once for all rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = _encoding(blob.value, pattern)
+        for batch in batches:
+            ids = [np.array(subwords(encoding, blank_words(raw)), dtype=np.int32).tobytes() for raw in batch.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+
+    return run
+
+
+def _local_rounds(model, rate: float):
     """One pass of descent over a task's texts from the shared weights; yields token-weighted weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout, start = pickle.loads(model.value)
-        encoding = _encoding(blob.value, pattern)
         p = {k: v.copy() for k, v in start.items()}
         adam, seen = Adam(p, rate), 0
         held: list[np.ndarray] = []
@@ -427,10 +440,9 @@ def _local_rounds(model, blob, pattern: str, rate: float):
 
         size = 0
         for batch in batches:
-            for raw in batch.column("raw").to_pylist():
-                ids = subwords(encoding, blank_words(raw))
-                held.append(np.array(ids, dtype=np.int64))
-                size += len(ids)
+            for raw in batch.column("ids").to_pylist():
+                held.append(np.frombuffer(raw, dtype=np.int32))
+                size += len(held[-1])
                 if size > 200_000:
                     learn()
                     size = 0
@@ -461,11 +473,11 @@ def train(texts: DataFrame, layout: Layout, blob, pattern: str, tasks: int, roun
     """Rounds of local descent and averaging. Sums are added over two levels of tasks; one row reaches the driver."""
     sc = texts.sparkSession.sparkContext
     p = initial(layout)
-    spread = texts.repartition(tasks)
+    spread = saved(texts.repartition(tasks).mapInArrow(_training_ids(blob, pattern), "ids binary"), "training")
     for k in range(rounds):
         model = sc.broadcast(pickle.dumps((layout, p)))
         schema = "sums binary, seen long"
-        sums = spread.mapInArrow(_local_rounds(model, blob, pattern, rate * 0.5**k), schema)
+        sums = spread.mapInArrow(_local_rounds(model, rate * 0.5**k), schema)
         if tasks > 8:
             sums = sums.repartition(math.isqrt(tasks)).mapInArrow(_added, schema)
         row = sums.coalesce(1).mapInArrow(_added, schema).first()
@@ -543,8 +555,8 @@ def score_texts(
     doc_id: str = "doc_id",
     tokenizer: str = TOKENIZER,
     pattern: str = PATTERN,
-    share: float = 0.01,
-    least_tokens: int = 400_000,
+    share: float = 1.0,
+    least_tokens: int = 0,
     rounds: int = 3,
     rate: float = 0.01,
 ) -> DataFrame:
@@ -552,8 +564,8 @@ def score_texts(
 
     Texts whose crc32(doc_id) mod 10 is not 0 are learnt from. ``base_score`` is the add-0.1 unigram score over
     words and an end; ``score`` the attention model's log10-probability. Attention weights are trained on
-    ``share`` of the training texts (all of a corpus of up to ``least_tokens`` words), so the training grows with
-    the corpus; every count covers all of it. Words above 1 / 2^19 of all tokens are scored in place from a
+    all of them, as every count covers all of them; a ``share`` below 1 takes a part, but no fewer than about
+    ``least_tokens`` words. Words above 1 / 2^19 of all tokens are scored in place from a
     broadcast of at most 2^19 words; the others are joined with the word table, where none of them is hot.
 
     Null and empty texts are one end. A null id is learnt from and never held out; repeated rows keep a row each;
@@ -586,8 +598,8 @@ def score_texts(
 
     unit = F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     part = min(1.0, max(share, least_tokens / max(1, total)))
-    chosen = saved(texts.where(~F.col("held_out") & (unit < part)).select("raw"), "training")
-    tasks = max(1, int(total * part / 100_000))
+    chosen = texts.where(~F.col("held_out") & (unit < part)).select("raw")
+    tasks = max(1, int(total * part / TASK_WORDS))
     p = train(chosen, layout, blob, pattern, tasks, rounds, rate)
     model = sc.broadcast(pickle.dumps((layout, p)))
     numbered = texts.withColumn("rid", F.monotonically_increasing_id())

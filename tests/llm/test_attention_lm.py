@@ -156,6 +156,20 @@ def test_every_id_sees_enough_of_what_came_before():
     assert inspect.signature(lm.score_texts).parameters["rounds"].default == 3
 
 
+def test_weights_are_learnt_from_every_training_text(spark, monkeypatch):
+    # 0.9 million training words, past what was once a limit of 400,000.
+    texts = [(i, f"w{i} " + "alpha beta gamma delta " * 250, "", "") for i in range(1000)]
+    given = []
+
+    def train(texts, layout, *rest):
+        given.extend(bytes(r.raw).split()[0].decode() for r in texts.collect())
+        return lm.initial(layout)
+
+    monkeypatch.setattr(lm, "train", train)
+    lm.score_texts(spark.createDataFrame(texts, DOCS)).count()
+    assert sorted(given) == sorted(f"w{i}" for i in range(1000) if zlib.crc32(str(i).encode()) % 10)
+
+
 @pytest.mark.skipif("PLATEWRIGHT_LM_QUALITY" not in os.environ, reason="names the table to measure on, such as check_s")
 def test_held_out_score_at_the_registered_settings(spark):
     docs = spark.read.parquet(f"/root/testdata/{os.environ['PLATEWRIGHT_LM_QUALITY']}/documents.parquet")
