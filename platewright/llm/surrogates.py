@@ -86,12 +86,28 @@ class Keyed:
                 a = (a + self._word(label, i, b)) % left
         return a * right + b
 
+    def _undo(self, label: str, value: int, left: int, right: int) -> int:
+        """The inverse of ``permute``."""
+        a, b = divmod(value, right)
+        for i in reversed(range(ROUNDS)):
+            if i % 2:
+                b = (b - self._word(label, i, a)) % right
+            else:
+                a = (a - self._word(label, i, b)) % left
+        return a * right + b
+
     def within(self, label: str, value: int, left: int, right: int, allowed: Callable[[int], bool]) -> int:
-        """The same on the values that are allowed: stepping on until one is reached stays a permutation of them."""
-        out = self.permute(label, value, left, right)
-        while not allowed(out):
-            out = self.permute(label, out, left, right)
-        return out
+        """A permutation of the values that are allowed which leaves none in place, unless it is the only one.
+
+        The keyed permutation puts the values in a circle, and each goes to the next allowed one there.
+        """
+        size = left * right
+        place = self._undo(label, value, left, right)
+        while True:
+            place = (place + 1) % size
+            out = self.permute(label, place, left, right)
+            if allowed(out):
+                return out
 
     def text(self, label: str, text: str, allowed: Callable[[str], bool] = lambda t: True) -> str:
         """Characters become others of their class in place: vowels, consonants, accented letters or digits.

@@ -59,6 +59,22 @@ def test_surrogates_keep_kind_and_format():
     assert names[0] == names[1].upper() and names[0].isupper() and "SMITH" not in text.upper()
 
 
+@pytest.mark.parametrize("key", [KEY, b"surrogate demonstration key", b"1", b"2"])
+def test_no_entity_is_its_own_surrogate(key):
+    keyed = s.Keyed(key)
+    for group in s.GIVEN:
+        names = [n.lower() for n in s.GIVEN[group]]
+        assert all(s.surrogate(keyed, "given_x", n) != n for n in names)
+    short = [a + b for a in "bcdfgh" for b in "aeiou"] + list("aeiouxyz") + [str(i) for i in range(10)]
+    new = [s.surrogate(keyed, "family", w) for w in short]
+    assert not any(a == b for a, b in zip(short, new, strict=True)) and len(set(new)) == len(new)
+    for left, right in ((1, 2), (2, 1), (3, 4)):
+        for allowed in (lambda k: True, lambda k: k % 2 == 0):
+            values = [k for k in range(left * right) if allowed(k)]
+            out = [keyed.within("x", k, left, right, allowed) for k in values]
+            assert sorted(out) == values and (len(values) == 1 or all(a != b for a, b in zip(values, out, strict=True)))
+
+
 def test_other_keys_give_other_surrogates():
     text = "mail ann.bell@mail.example.com"
     assert s.replace(s.Keyed(b"1"), text, {})[0] != s.replace(s.Keyed(b"2"), text, {})[0]
