@@ -10,7 +10,11 @@ from __future__ import annotations
 
 import hmac
 import math
+import sys
+import unicodedata
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cache
 from hashlib import sha256
 
 import pandas as pd
@@ -52,8 +56,9 @@ NAME = regex.compile(
     rf"\b(?:(?P<title>{_TITLED})\.?[  ]+(?P<first>{_WORD})(?:[  ]+(?P<last>{_WORD}))?"
     rf"|(?P<given>{_KNOWN})[  ]+(?P<family>{_WORD}))\b"
 )
-LOCAL = regex.compile(r"[\p{L}\p{N}._%+-]+$")
-DOMAIN = regex.compile(r"[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+")
+# Matched backwards from the @, to the start of the mailbox however long it is.
+LOCAL = regex.compile(r"(?r)[\p{L}\p{M}\p{N}._%+-]+")
+DOMAIN = regex.compile(r"[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)+")
 IBAN = regex.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 # A stretch that may hold numbers, and the numbers in it; the first kind that fits a place is taken.
 STRETCH = regex.compile(r"[+(]?\d[\d ().-]*\d")
@@ -67,6 +72,34 @@ NUMBER = regex.compile(
 )
 
 
+@cache
+def other_classes() -> dict[str, str]:
+    """Classes of all letters and digits that LETTERS and DIGITS leave out.
+
+    By script (the first word of the character's name), category, whether upper case comes back as it was, and plane.
+    A character alone in its class joins the others alone in theirs of its category. The final sigma is a form of a letter and stays.
+    """
+    groups: dict[tuple, list[str]] = defaultdict(list)
+    for n in range(128, sys.maxunicode + 1):
+        ch = chr(n)
+        kind = unicodedata.category(ch)
+        if kind[0] not in "LN" or ch in CLASS or ch == "ς" or ch.lower() != ch and len(ch.lower()) == 1:
+            continue
+        back = len(ch.upper()) == 1 and ch.upper().lower() == ch
+        script = unicodedata.name(ch, "").split(" ")[0].split("-")[0]
+        # The ideographic zero has no other of its category.
+        groups[("CJK", "Lo", back, 0) if ch == "〇" else (script, kind, back, n >> 16)].append(ch)
+    joined: dict[tuple, list[str]] = defaultdict(list)
+    for key, chars in groups.items():
+        joined[key if len(chars) > 1 else key[1:2]] += chars
+    return {ch: group for chars in joined.values() for group in ["".join(chars)] for ch in chars}
+
+
+def class_of(ch: str) -> str | None:
+    """The characters that may stand for ``ch``; None if it is neither letter nor digit."""
+    return CLASS.get(ch) or (other_classes().get(ch) if ch > "\x7f" else None)
+
+
 class Keyed:
     """Permutations of integer domains under a secret key."""
 
@@ -110,20 +143,20 @@ class Keyed:
                 return out
 
     def text(self, label: str, text: str, allowed: Callable[[str], bool] = lambda t: True) -> str:
-        """Characters become others of their class in place: vowels, consonants, accented letters or digits.
+        """Characters become others of their class in place: vowels, consonants, letters of a script or digits.
 
         What has no class stays; upper case is put back where it was.
         """
-        low = text.lower()
-        if len(low) != len(text):
-            return text
-        groups = [CLASS.get(ch) for ch in low]
+        low = "".join(x if len(x := ch.lower()) == 1 else ch for ch in text)
+        groups = [class_of(ch) for ch in low]
         at = [i for i, g in enumerate(groups) if g]
         half = len(at) // 2
         size = lambda part: math.prod(len(groups[i]) for i in part)
         left, right = size(at[:half]), size(at[half:])
         # Texts of one pattern share a domain; the pattern is part of the label, so patterns do not interact.
-        pattern = "".join(str((*LETTERS, DIGITS).index(g)) + "," if g else ch for ch, g in zip(low, groups, strict=True))
+        known = (*LETTERS, DIGITS)
+        name = lambda g: str(known.index(g)) if g in known else g[0]
+        pattern = "".join(name(g) + "," if g else ch for ch, g in zip(low, groups, strict=True))
 
         def decode(n: int) -> str:
             out = list(low)
@@ -240,7 +273,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     at = text.find("@")
     while at >= 0:
-        before = LOCAL.search(text, max(0, at - 64), at)
+        before = LOCAL.match(text, 0, at)
         after = DOMAIN.match(text, at + 1)
         if before and after:
             found.append((before.start(), after.end(), "email"))
@@ -322,7 +355,8 @@ def pseudonymise(docs: DataFrame, secret: bytes, text: str = "text", check: bool
     """Every row with personal data in ``text`` replaced, and ``n_entities`` added; other columns as they were.
 
     Kinds: e-mail, IPv4, bank card, social security number, IBAN, phone, given and family names (after a title or
-    a known given name, in Latin, Cyrillic or Greek letters). Mentions of one entity get the same surrogate in all
+    a known given name; given names are known in Latin, Cyrillic and Greek letters only, mailboxes and domains are
+    found in letters of any script). Mentions of one entity get the same surrogate in all
     rows. With ``check`` all mentions of the corpus are compared before anything is returned.
 
     Null texts stay null with no entities; empty texts stay empty; repeated rows keep a row each; an empty table

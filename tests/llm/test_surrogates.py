@@ -75,6 +75,33 @@ def test_no_entity_is_its_own_surrogate(key):
             assert sorted(out) == values and (len(values) == 1 or all(a != b for a, b in zip(values, out, strict=True)))
 
 
+@pytest.mark.parametrize(
+    "mail",
+    [
+        "محمد@مثال.example.com", "דוד@דוגמה.example.com", "王小明@例子.example.com", "たろう@テスト.example.com", "नमन@उदाहरण.example.com",
+        "ßłőş@łőşß.example.com", "١٢٣@٤٥٦.example.com", "김철수@한국.example.com", "ЇЄҐ@їєґ.example.com", "İlker@mail.example.com",
+        "a" * 100 + "@mail.example.com", "naïve." * 40 + "x@mail.example.com",
+    ],
+)
+def test_mail_in_any_script_and_length(mail):
+    keyed = s.Keyed(KEY)
+    for lead in ("", "to ", "x@@"):
+        found = s.detect(lead + mail + " now")
+        assert [(a, b, k) for a, b, k in found] == [(len(lead), len(lead + mail), "email")]
+    new = s.surrogate(keyed, "email", mail.lower())
+    (local, domain), (old, at) = new.split("@"), mail.lower().split("@")
+    assert local != old and domain.split(".")[0] != at.split(".")[0]
+    text, _ = s.replace(keyed, "to " + mail, {})
+    assert mail.split("@")[0] not in text and mail.split("@")[1].split(".")[0] not in text
+
+
+def test_every_letter_and_digit_has_others_in_its_class():
+    for ch in map(chr, range(0x110000)):
+        if (ch.isalpha() or ch.isnumeric() and s.unicodedata.category(ch)[0] == "N") and ch.lower() == ch and ch != "ς":
+            assert len(s.class_of(ch)) > 1, ch
+    assert s.Keyed(KEY).text("t", "İİİİ") != "İİİİ"
+
+
 def test_other_keys_give_other_surrogates():
     text = "mail ann.bell@mail.example.com"
     assert s.replace(s.Keyed(b"1"), text, {})[0] != s.replace(s.Keyed(b"2"), text, {})[0]
