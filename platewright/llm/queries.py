@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewright.llm import attention_lm, curves, decontaminate, licenses, mixing, secret_scan, simhash, surrogates, toxicity, warc
+from platewright.llm import (
+    attention_lm, curves, decontaminate, infill, licenses, merkle, mixing, secret_scan, simhash, surrogates, toxicity,
+    url_filter, warc,
+)
+from platewright.llm.words import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -219,3 +223,157 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _sql_crc32(text: str) -> str:
+    """crc32 of an ASCII string, from the list ``t`` of the 256 remainders."""
+    step = "xor(a >> 8, t[(xor(a, b) & 255) + 1])"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: unicode(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {step}), 4294967295::BIGINT)"
+
+
+def _sql_field(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE octet_length(encode({name}::VARCHAR)) || ':' || {name}::VARCHAR END"
+
+
+_BIT = "list_reduce(list_prepend(x::BIGINT, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+_LEAF = " || ".join(_sql_field(c) for c in merkle.COLUMNS)
+_CLAIM = _LEAF.replace("n_chars", "said_chars")
+SQL_OP11 = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda x: {_BIT}) AS t),
+said AS (
+  SELECT *, CASE WHEN {_sql_crc32("doc_id::VARCHAR")} % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS said_chars FROM documents, crc),
+hashed AS (SELECT doc_id, lang, sha256({_LEAF}) AS leaf, sha256({_CLAIM}) AS claim FROM said),
+leaves AS (
+  SELECT doc_id, leaf, claim, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, claim) - 1 AS i,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed),
+nodes AS (
+  SELECT 0 AS level, g, i, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT level + 1, g, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i))
+  FROM nodes WHERE n > 1 GROUP BY level, g, i // 2, n),
+subroots AS (SELECT g, level AS height, digest FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, g AS i, (SELECT count(*) FROM subroots) AS n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i))
+  FROM upper WHERE n > 1 GROUP BY level, i // 2, n),
+folded AS (
+  SELECT g, i, 0 AS level, g AS own, i AS at, claim AS acc, '' AS proof, n AS wide FROM leaves
+  UNION ALL
+  SELECT f.g, f.i, f.level + 1, f.own, f.at // 2,
+    sha256(CASE WHEN f.at % 2 = 0 THEN f.acc || coalesce(s.digest, '') ELSE s.digest || f.acc END),
+    f.proof || coalesce(s.digest, ''), (f.wide + 1) // 2
+  FROM folded AS f LEFT JOIN nodes AS s ON s.level = f.level AND s.g = f.g AND s.i = xor(f.at, 1)
+  WHERE f.wide > 1),
+below AS (SELECT g, i, acc, proof FROM folded WHERE wide = 1),
+above AS (
+  SELECT g, i, 0 AS level, g AS at, acc, proof, (SELECT count(*) FROM subroots) AS wide FROM below
+  UNION ALL
+  SELECT f.g, f.i, f.level + 1, f.at // 2,
+    sha256(CASE WHEN f.at % 2 = 0 THEN f.acc || coalesce(s.digest, '') ELSE s.digest || f.acc END),
+    f.proof || coalesce(s.digest, ''), (f.wide + 1) // 2
+  FROM above AS f LEFT JOIN upper AS s ON s.level = f.level AND s.i = xor(f.at, 1)
+  WHERE f.wide > 1),
+done AS (SELECT g, i, acc, proof FROM above WHERE wide = 1)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, sha256(d.proof) AS proof_sha256,
+  d.acc AS folded_root, d.acc = r.digest AS verified
+FROM leaves AS l JOIN subroots AS s USING (g) JOIN done AS d ON d.g = l.g AND d.i = l.i
+  JOIN (SELECT digest FROM upper WHERE n = 1) AS r ON true
+"""
+
+
+@query("op11_merkle", SQL_OP11)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents; where 7 divides crc32 of the id, the holder claims one character more."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(crc_mod(F.col("doc_id"), 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    found = merkle.verified(merkle.manifest(docs, claims={"n_chars": tampered}))
+    return found.withColumnRenamed("key", "doc_id")
+
+
+_RULES = ", ".join(f"({_sql_text(h)}, {_sql_text(p)}, {_sql_text(v)})" for h, p, v in url_filter.RULES)
+
+
+def _sql_buckets(column: str, field: int) -> str:
+    """Buckets of a field's n-grams, as the rolling hash gives them."""
+    out = []
+    for size in url_filter.SIZES:
+        h = str(field)
+        for k in range(size):
+            h = f"(({h} * {url_filter.FACTOR} + {column}[i + {k}]) % {url_filter.PRIME})"
+        out.append(f"list_transform(range(1, len({column}) - {size - 2}), lambda i: {h} % {url_filter.BUCKETS})")
+    return "flatten([" + ", ".join(out) + "])"
+
+
+def _sql_codes(column: str) -> str:
+    marked = f"('^' || regexp_replace(translate({column}, '{licenses.UPPER}', '{licenses.LOWER}'), '[0-9]', '0', 'g') || '$')"
+    return f"list_transform(range(1, length({marked}) + 1), lambda i: unicode(substr({marked}, i, 1))::BIGINT + 1)"
+
+
+def _sql_op12() -> str:
+    """The weights are those of the built-in table; training itself is tested by held-out folds."""
+    model = url_filter.learn()
+    weights = ", ".join(f"({i}, {w})" for i, w in enumerate(model.weights.tolist()) if w)
+    return f"""
+WITH rules(rule_host, rule_path, verdict) AS (VALUES {_RULES}),
+weights(bucket, weight) AS (VALUES {weights}),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (
+  SELECT row_number() OVER () AS r, page_id, translate(raw, '{licenses.UPPER}', '{licenses.LOWER}') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM h),
+f AS (
+  SELECT r, rule_host || rule_path AS rule, verdict,
+    row_number() OVER (PARTITION BY r ORDER BY length(rule_host || rule_path) DESC, rule_host || rule_path, verdict <> 'block') AS k
+  FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+c AS (SELECT r, {_sql_codes("host")} AS a, {_sql_codes("path")} AS b FROM p WHERE r NOT IN (SELECT r FROM f)),
+b AS (SELECT r, unnest(list_distinct(list_concat({_sql_buckets("a", url_filter.HOST)}, {_sql_buckets("b", url_filter.PATH)}))) AS bucket FROM c),
+z AS (
+  SELECT r, {model.bias} + coalesce(sum(weight), 0)::DOUBLE / sqrt(greatest(1, count(*))) AS odds
+  FROM b LEFT JOIN weights USING (bucket) GROUP BY r)
+SELECT page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN odds > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN f ON f.r = p.r AND f.k = 1 LEFT JOIN z ON z.r = p.r
+"""
+
+
+@query("op12_url_filter", _sql_op12())
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("log_odds")
+
+
+SQL_OP13 = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+d AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+        OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+c AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b FROM d),
+o AS (
+  SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM o
+"""
+
+
+@query("op13_infill", SQL_OP13)
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their middles moved, and moved back."""
+    found = infill.move_middles(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored_text(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
