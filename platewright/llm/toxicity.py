@@ -3,8 +3,9 @@
 Words are mapped to classes (insult, intent, violence, target, negation, report). Small deterministic
 transducers rewrite the class string of a clause: negation and reported speech weaken what follows, a target
 sharpens it, and intent + violence + target makes a threat. They are composed into one machine, which is run
-over every clause that holds an insult or an act of violence. The score is a logistic model of the matched
-clauses' weights.
+over every clause that holds an insult or an act of violence. The lexicon of insults is weighted: beside the listed
+words it holds word stems learnt jointly from labelled rows, so that several weak stems add up, and what the machine
+makes of a stem in its clause scales it. The score is a logistic model of the matched clauses.
 """
 
 from __future__ import annotations
@@ -40,13 +41,18 @@ NEGATIONS = "not never isn't aren't wasn't don't nicht kein keine pas jamais nun
 REPORTS = """said says say called calls wrote quoted claimed sagte nannte schrieb dit disait écrit
 dijo llamó escribió""".split()
 
-BREAK = regex.compile(r"[.!?;:\n\r]+")
+BREAK = regex.compile(r"[.!?;:\n\r。！？；：।؟۔]+")
 TOKEN = regex.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+# Scripts written without blanks between words: a word may begin at any of their letters.
+SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 NEGATED_FOR, REPORTED_FOR, INTENT_FOR = 3, 8, 4
 # Output classes of the composed machine, with the prior weight of one matched clause.
 PRIOR = {"insult": 2.5, "at target": 3.0, "negated": 0.5, "reported": 0.5, "threat": 3.0, "violence": 0.5}
 PRIOR_BIAS = -3.0
-SAMPLE = 12_000
+# What is left of a learnt stem in a clause that negates or reports it.
+KEPT = {"negated": 0.3, "reported": 0.3}
+# Bounds of the fit: labelled rows, and stems of the lexicon.
+SAMPLE, MOST_STEMS = 12_000, 60_000
 
 
 class Transducer:
@@ -125,98 +131,196 @@ NAMES = list(PRIOR)
 
 
 class Grammar:
-    """The lexicon with learnt stems, ready to match. ``stems``: stem -> strength (1 is a listed insult)."""
+    """The lexicon with learnt stems, ready to match. ``stems``: stem -> strength."""
 
     def __init__(self, stems: dict[str, float]):
         self.words = {}
         for letter, listed in (("y", TARGETS), ("f", INTENT), ("n", NEGATIONS), ("r", REPORTS)):
             self.words.update(dict.fromkeys(listed, letter))
+        self.stems = stems
+        listed = dict.fromkeys(VIOLENCE, "v") | dict.fromkeys(INSULTS, "i")
         self.triggers = ahocorasick.Automaton()
-        for w in VIOLENCE:
-            self.triggers.add_word(w, (w, "v", 1.0))
-        for w in INSULTS:
-            self.triggers.add_word(w, (w, "i", 1.0))
-        for w, strength in stems.items():
-            self.triggers.add_word(w, (w, "i", strength))
+        for w in listed.keys() | stems.keys():
+            self.triggers.add_word(w, (w, listed.get(w)))
         self.triggers.make_automaton()
 
-    def hits(self, low: str) -> dict[int, tuple[str, float]]:
-        """Start offset -> class of each trigger that begins a word."""
-        out: dict[int, tuple[str, float]] = {}
-        for end, (stem, letter, strength) in self.triggers.iter(low):
-            at = end - len(stem) + 1
-            if at and low[at - 1].isalpha():
+    def hits(self, low: str) -> dict[int, tuple[str, bool, list[str]]]:
+        """Start offset of a word -> its letter, whether it is listed, the learnt stems that begin it."""
+        out: dict[int, tuple[str, bool, list[str]]] = {}
+        for end, (word, letter) in self.triggers.iter(low):
+            at = end - len(word) + 1
+            if at and low[at - 1].isalpha() and not SPACELESS.match(low, at):
                 continue
-            if at not in out or out[at][1] < strength:
-                out[at] = (letter, strength)
+            known, is_listed, stems = out.get(at, ("i", False, []))
+            if word in self.stems:
+                stems.append(word)
+            out[at] = (letter or known, is_listed or letter is not None, stems)
         return out
 
-    def features(self, text: str) -> list[float]:
-        """Per output class: sum over matched clauses of the strongest match in the clause."""
-        low = text.lower()
+    def clauses(self, low: str) -> tuple[list[tuple[set[str], dict[str, str]]], int]:
+        """Per clause with hits: classes of listed words, class of each stem; and the number of clauses."""
         hits = self.hits(low)
-        sums = dict.fromkeys(NAMES, 0.0)
-        if not hits:
-            return [0.0] * len(NAMES)
-        ends = [m.start() for m in BREAK.finditer(low)]
+        breaks = [(m.start(), m.end()) for m in BREAK.finditer(low)]
+        begins = [0, *(e for _, e in breaks)]
+        ends = [*(s for s, _ in breaks), len(low)]
+        n = max(1, sum(e > b and not low[b:e].isspace() for b, e in zip(begins, ends, strict=True)))
         by_clause: dict[int, list[int]] = {}
         for at in hits:
-            by_clause.setdefault(bisect_right(ends, at), []).append(at)
-        for k in by_clause:
-            lo = ends[k - 1] if k else 0
-            hi = ends[k] if k < len(ends) else len(low)
-            state, best = START, {}
-            for m in TOKEN.finditer(low, lo, hi):
-                letter, strength = hits.get(m.start()) or (self.words.get(m.group(), "."), 1.0)
-                state, out = TABLE[state, letter]
-                name = OUTPUT.get(out)
-                if name:
-                    best[name] = max(best.get(name, 0.0), strength)
-            for name, strength in best.items():
-                sums[name] += strength
+            by_clause.setdefault(bisect_right(begins, at) - 1, []).append(at)
+        out = []
+        for k, found in by_clause.items():
+            words = {m.start(): m.group() for m in TOKEN.finditer(low, begins[k], ends[k])}
+            state, listed, stems = START, set(), {}
+            for at in sorted(words.keys() | set(found)):
+                letter, is_listed, own = hits.get(at) or (self.words.get(words[at], "."), False, ())
+                state, output = TABLE[state, letter]
+                name = OUTPUT.get(output)
+                if is_listed and name:
+                    listed.add(name)
+                for s in own:
+                    name_of = name if name in KEPT else "at target" if name == "at target" else "insult"
+                    # The strongest reading of a stem in the clause counts.
+                    if s not in stems or stems[s] in KEPT:
+                        stems[s] = name_of
+            out.append((listed, stems))
+        return out, n
+
+    def features(self, text: str) -> list[float]:
+        """Per output class: sum over clauses of 1 for a listed word and the strengths of its learnt stems."""
+        sums = dict.fromkeys(NAMES, 0.0)
+        for listed, stems in self.clauses(text.lower())[0]:
+            for name in listed:
+                sums[name] += 1.0
+            for s, name in stems.items():
+                sums[name] += self.stems[s]
         return [math.log1p(sums[n]) for n in NAMES]
 
+    def measure(self, text: str) -> tuple[list[float], dict[str, float]]:
+        """Features of the listed words by class, and of each learnt stem by the share of clauses that hold it."""
+        sums, counts = dict.fromkeys(NAMES, 0.0), {}
+        found, n = self.clauses(text.lower())
+        for listed, stems in found:
+            for name in listed:
+                sums[name] += 1.0
+            for s, name in stems.items():
+                counts[s] = counts.get(s, 0.0) + KEPT.get(name, 1.0)
+        return [math.log1p(sums[c]) for c in NAMES], {s: math.log1p(20 * c / n) for s, c in counts.items()}
+
 
 class Model:
-    """Stems, weights and bias; small, so it travels with each task."""
+    """Weighted stems, weights of the classes and bias; bounded by the sample, so it travels with each task."""
 
     def __init__(self, stems: dict[str, float], weights: list[float], bias: float):
         self.stems, self.weights, self.bias = stems, weights, bias
 
     def scorer(self):
-        grammar, weights, bias = Grammar(self.stems), np.array(self.weights), self.bias
+        grammar, weights, bias = Grammar(self.stems), self.weights, self.bias
 
         def score(text: str | None) -> float:
-            z = bias + float(np.dot(weights, grammar.features(text or "")))
+            listed, stems = grammar.measure(text or "")
+            z = bias + math.fsum(w * x for w, x in zip(weights, listed, strict=True))
+            z += math.fsum(self.stems[s] * x for s, x in stems.items())
             return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
         return score
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 0.05, rounds: int = 40) -> tuple[list[float], float]:
-    """Logistic weights by Newton steps, pulled towards the prior weights so rare classes keep theirs."""
-    prior = np.array([PRIOR_BIAS, *PRIOR.values()])
-    w = prior.copy()
-    xs = np.column_stack([np.ones(len(x)), x]) if len(x) else np.empty((0, len(prior)))
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(xs @ w, -30, 30)))
-        gradient = xs.T @ (p - y) + pull * (w - prior)
-        hessian = (xs * (p * (1 - p))[:, None]).T @ xs + pull * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w = w - step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
-        if np.abs(step).max() < 1e-8:
-            break
-    w[1:] = np.maximum(w[1:], 0.0)
-    return [float(v) for v in w[1:]], float(w[0])
-
-
-STEM_LENGTHS = range(3, 11)
+def fit_weights(
+    listed: np.ndarray, rows: np.ndarray, stems: np.ndarray, values: np.ndarray, n_stems: int, y: np.ndarray,
+    pull: float = 1.0, rounds: int = 150,
+) -> tuple[list[float], list[float], float]:
+    """(class weights, stem weights, bias) of one ridge-penalised logistic regression, by accelerated gradient steps.
+
+    ``listed`` has a row per text; (rows, stems, values) are the non-zero stem features. Classes weigh the same in
+    total, so a score is the probability at equal odds beforehand. Class weights are pulled to their prior and stem weights
+    to nothing, so weights shrink with counts; none is negative.
+    """
+    prior = np.array([*PRIOR.values(), *[0.0] * n_stems, PRIOR_BIAS])
+    n, k = len(y), len(PRIOR)
+    if not 0 < y.sum() < n:
+        return list(PRIOR.values()), [0.0] * n_stems, PRIOR_BIAS
+    at, col = np.nonzero(listed)
+    rows, cols = np.concatenate([at, rows]).astype(np.int64), np.concatenate([col, stems + k]).astype(np.int64)
+    values = np.concatenate([listed[at, col], values])
+    share = np.where(y == 1, 0.5 * n / y.sum(), 0.5 * n / (n - y.sum()))
+
+    def outputs(w: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, weights=values * w[cols], minlength=n) + w[-1]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        g = np.bincount(cols, weights=values * r[rows], minlength=k + n_stems + 1)
+        g[-1] = r.sum()
+        return g
+
+    top = np.ones(k + n_stems + 1)
+    for _ in range(30):
+        top = back(share * outputs(top))
+        curve = float(np.linalg.norm(top))
+        top /= curve
+    rate = 1 / (1.1 * curve / 4 + pull)
+    w, before = prior.copy(), prior.copy()
+    for t in range(rounds):
+        ahead = w + t / (t + 3) * (w - before)
+        slope = back(share * (1 / (1 + np.exp(-np.clip(outputs(ahead), -30, 30))) - y)) + pull * (ahead - prior)
+        before, w = w, ahead - rate * slope
+        w[:-1] = np.maximum(w[:-1], 0.0)
+    return [float(v) for v in w[:k]], [float(v) for v in w[k:-1]], float(w[-1])
+
+
+FOLDS = 3
+
+
+def calibrated(
+    listed: np.ndarray, rows: np.ndarray, stems: np.ndarray, values: np.ndarray, n_stems: int, y: np.ndarray,
+) -> tuple[list[float], list[float], float]:
+    """``fit_weights`` of all rows, stretched so that rows of label 1 not fitted reach high scores.
+
+    Every fold is scored by a fit of the others, with the stems that stand out there. Slope and offset of a logistic
+    model of those scores, pulled to 1 and 0 and the slope never below 1, carry over to the weights of all rows: few
+    labels leave small weights, and without this hardly a score would leave the middle.
+    """
+    weights, strengths, bias = fit_weights(listed, rows, stems, values, n_stems, y)
+    n, fold = len(y), np.arange(len(y)) % FOLDS
+    z = np.full(n, np.nan)
+    for f in range(FOLDS):
+        known = fold != f
+        if not 0 < y[known].sum() < known.sum():
+            continue
+        inside = known[rows]
+        toxic = np.bincount(stems[inside], weights=y[rows[inside]], minlength=n_stems)
+        seen = np.bincount(stems[inside], minlength=n_stems)
+        fine = (toxic >= 2) & (log_odds_of(toxic, seen, y[known].sum(), known.sum()) >= 1)
+        inside &= fine[stems]
+        order = np.cumsum(known) - 1
+        own = fit_weights(listed[known], order[rows[inside]], stems[inside], values[inside], n_stems, y[known])
+        use = ~known[rows] & fine[stems]
+        part = np.bincount(rows[use], weights=values[use] * np.array(own[1])[stems[use]], minlength=n)
+        z[~known] = (listed @ np.array(own[0]) + part + own[2])[~known]
+    if np.isfinite(z).all() and 0 < y.sum() < n:
+        share = np.where(y == 1, 0.5 * n / y.sum(), 0.5 * n / (n - y.sum()))
+        x, line = np.column_stack([z, np.ones(n)]), np.array([1.0, 0.0])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
+            slope = x.T @ (share * (p - y)) + (line - [1.0, 0.0])
+            line = line - np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.eye(2), slope)
+        if line[0] > 1:
+            a, b = float(line[0]), float(line[1])
+            return [a * w for w in weights], [a * w for w in strengths], a * bias + b
+    return weights, strengths, bias
+
+
+STEM_LENGTHS, SPACELESS_LENGTHS = range(3, 11), range(2, 5)
 STEM_SCHEMA = "stem string, toxic long, n long"
 
 
 def _document_stems(text: str) -> set[str]:
-    words = {m.group() for m in TOKEN.finditer(text.lower())}
-    return {w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k}
+    out = set()
+    for w in {m.group() for m in TOKEN.finditer(text.lower())}:
+        if not SPACELESS.match(w):
+            out.update(w[:k] for k in STEM_LENGTHS if len(w) >= k)
+        for m in SPACELESS.finditer(w):
+            out.update(w[m.start() : m.start() + k] for k in SPACELESS_LENGTHS if len(w) >= m.start() + k)
+    return out
 
 
 def _sketch(text: str) -> int:
@@ -228,7 +332,7 @@ def _sketch(text: str) -> int:
 
 
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per stem and label, added up per task; stems seen once in a full table leave early."""
+    """Documents per stem and label, added up per task; a full table is handed on and begun anew."""
     counts: list[Counter] = [Counter(), Counter()]
 
     def flush() -> pa.RecordBatch:
@@ -250,24 +354,25 @@ def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def choose_stems(rows: list[tuple[str, int, int]]) -> dict[str, float]:
-    """The longest stems that explain the same documents, of those far more frequent in toxic texts."""
+def log_odds(toxic, n, n_toxic: int, n_all: int):
+    """How many standard deviations a stem's log-odds of label 1 lie above nothing, shrunk by half a document each."""
+    a, b = toxic + F.lit(0.5), n - toxic + F.lit(0.5)
+    odds = F.log(a / (F.lit(n_toxic + 1.0) - a)) - F.log(b / (F.lit(n_all - n_toxic + 1.0) - b))
+    return odds / F.sqrt(1 / a + 1 / b)
+
+
+def log_odds_of(toxic: np.ndarray, n: np.ndarray, n_toxic: float, n_all: float) -> np.ndarray:
+    """The same on arrays."""
+    a, b = toxic + 0.5, n - toxic + 0.5
+    odds = np.log(a / (n_toxic + 1 - a)) - np.log(b / (n_all - n_toxic + 1 - b))
+    return odds / np.sqrt(1 / a + 1 / b)
+
+
+def choose_stems(rows: list[tuple[str, int, int]]) -> list[str]:
+    """Stems in order; one that a stem a letter longer replaces in every document it begins a word of is left out."""
     held = {s: (t, n) for s, t, n in rows}
-    chosen: dict[str, float] = {}
-    for stem in sorted(held, key=lambda s: (len(s), s)):
-        if any(stem[:k] in held for k in range(min(STEM_LENGTHS), len(stem))):
-            continue
-        # Lengthen while the continuation loses next to nothing.
-        longest = stem
-        for k in STEM_LENGTHS:
-            if k <= len(longest):
-                continue
-            more = [s for s in held if len(s) == k and s.startswith(longest) and held[s][0] >= 0.98 * held[stem][0]]
-            if not more:
-                break
-            longest = more[0]
-        chosen[longest] = 1.0
-    return chosen
+    longer = {(s[:-1], held[s]) for s in held}
+    return sorted(s for s in held if (s, held[s]) not in longer)
 
 
 def learn(
@@ -275,10 +380,11 @@ def learn(
 ) -> Model:
     """Fit on labelled rows whose crc32(doc_id) mod 3 is not 1.
 
-    ``sample`` bounds the labelled rows used: those of smallest hash, about that many. Nothing else is capped.
-    A stem is learnt if it starts words in toxic training texts and hardly in others, beyond what chance
-    allows for the number of stems tried; near copies count once. Rows with null id, null label or several
-    labels (the largest counts) are handled; without usable labels the prior grammar is returned.
+    ``sample`` bounds the labelled rows used: those of smallest hash, about that many. Near copies count once. A stem
+    is tried if it begins words in two toxic training texts and its log-odds stand out by a standard deviation; of
+    more than MOST_STEMS the strongest are tried. Their weights and those of the classes are fitted together.
+    Rows with null id, null label or several labels (the largest counts) are handled; without rows of both
+    labels the prior grammar is returned.
     """
     marks = labels.where("toxic in (0, 1) and doc_id is not null").where(crc_mod(F.col("doc_id"), 3) != 1)
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -292,29 +398,40 @@ def learn(
     sketch = F.pandas_udf(lambda s: s.map(_sketch), "long")
     rows = saved(rows.withColumn("sketch", sketch("text")), "toxicity")
     rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
-    single = rows.dropDuplicates(["sketch", "toxic"]).select("text", "toxic")
+    single = saved(rows.dropDuplicates(["sketch", "toxic"]), "toxicity-single")
     n, toxic = single.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    stems: dict[str, float] = {}
-    if 0 < toxic < n:
-        counted = single.mapInArrow(_count_stems, STEM_SCHEMA).groupBy("stem").agg(
-            F.sum("toxic").alias("toxic"), F.sum("n").alias("n")
-        )
-        tried = counted.count()
-        # Chance of t toxic documents among n: t * ln(n_toxic share) must beat the number of stems tried.
-        surprise = F.col("toxic") * math.log(n / toxic) - 4 * (F.col("n") - F.col("toxic"))
-        pure = F.col("n") - F.col("toxic") <= 0.02 * F.col("n")
-        found = counted.where(pure & (surprise > math.log(max(2, tried)) + 5)).collect()
-        stems = choose_stems([tuple(r) for r in found])
-    @F.pandas_udf("array<double>")
-    def feature(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        grammar = Grammar(stems)
+    if not 0 < toxic < n:
+        return Model({}, list(PRIOR.values()), PRIOR_BIAS)
+    single = single.repartition(single.sparkSession.sparkContext.defaultParallelism)
+    counted = single.select("text", "toxic").mapInArrow(_count_stems, STEM_SCHEMA).groupBy("stem").agg(
+        F.sum("toxic").alias("toxic"), F.sum("n").alias("n")
+    )
+    found = counted.withColumn("z", log_odds(F.col("toxic"), F.col("n"), toxic, n)).where("toxic >= 2 and z >= 1")
+    found = found.orderBy(F.col("z").desc(), "stem").limit(MOST_STEMS)
+    stems = choose_stems([tuple(r) for r in found.select("stem", "toxic", "n").collect()])
+    place = {s: i for i, s in enumerate(stems)}
+
+    @F.pandas_udf("listed array<double>, stems array<int>, x array<double>")
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        grammar = Grammar(dict.fromkeys(place, 1.0))
         for batch in batches:
-            yield pd.Series([grammar.features(t) for t in batch])
-
-    data = rows.select(feature("text").alias("x"), "toxic").toPandas()
-    x = np.array(data["x"].tolist(), dtype=float).reshape(-1, len(NAMES))
-    weights, bias = fit_weights(x, data["toxic"].to_numpy(dtype=float))
-    return Model(stems, weights, bias)
+            out = []
+            for t in batch:
+                listed, own = grammar.measure(t)
+                own = sorted((place[w], x) for w, x in own.items())
+                out.append((listed, [i for i, _ in own], [x for _, x in own]))
+            yield pd.DataFrame(out, columns=["listed", "stems", "x"])
+
+    data = single.select("sketch", "toxic", measured("text").alias("m")).select("sketch", "toxic", "m.*").toPandas()
+    data = data.sort_values(["sketch", "toxic"], ignore_index=True)
+    sizes = data["stems"].map(len).to_numpy()
+    joined = lambda c, kind: np.concatenate([np.asarray(v, dtype=kind) for v in data[c]])
+    weights, strengths, bias = calibrated(
+        np.array(data["listed"].tolist(), dtype=float).reshape(-1, len(NAMES)), np.repeat(np.arange(len(data)), sizes),
+        joined("stems", np.int64), joined("x", float), len(stems), data["toxic"].to_numpy(dtype=float),
+    )
+    # Stems without weight say nothing and are not carried.
+    return Model({s: w for s, w in zip(stems, strengths, strict=True) if w > 1e-6}, weights, bias)
 
 
 def score_column(text, model: Model):
