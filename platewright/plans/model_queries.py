@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from platewright.functions import variants as X
 from platewright.functions.gp import BOUNDS
 from platewright.operators import features as P
-from platewright.operators import folds, gp_models as G, metrics as M, models as L, reshape as S
+from platewright.operators import folds, gp_models as G, holdouts, metrics as M, models as L, reshape as S
 from platewright.operators.stability import stable
 from platewright.plans import views as V
 from platewright.plans.metric_queries import metrics_sql, rho_sql
@@ -16,7 +17,7 @@ from platewright.plans.registry import query
 from platewright.plans.similarity_queries import SIGMA_EPI, SIGMA_MAIN
 
 K = 4
-KS = [1, 3, 5]
+KS = [1, 3, 5, 7]
 _H = "('0x' || substr(md5({0}::VARCHAR), 1, 8))::BIGINT"
 _LF = _H.format("l_orderkey") + " % 5"
 FIXED = {"lengthscale_multiplier": 1.0, "sigma_main": 1.0, "sigma_epi": 0.5, "sigma_noise": 0.3}
@@ -66,7 +67,8 @@ def mod_3(spark, sf):
     )
 
 
-_ALPHAS = [0.1, 10.0, 1000.0]
+# The penalties tried.
+RIDGE_ALPHAS = [0.01, 0.1, 1.0, 10.0, 100.0]
 
 
 @query(
@@ -74,13 +76,13 @@ _ALPHAS = [0.1, 10.0, 1000.0]
     f"""WITH r AS (SELECT {_LF} AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem), f AS (SELECT i AS fold, count(*) AS n, avg(x) AS mx, avg(y) AS my,
     stddev_pop(x) AS sx, covar_pop(x, y) AS cxy FROM r, range(5) AS t(i) WHERE r.fold <> i GROUP BY 1)
     SELECT fold, alpha, sqrt(avg((y - (my + (n * cxy / sx) / (n + alpha) * (x - mx) / sx)) ** 2)) / 1000 AS rmse_thousands
-    FROM r JOIN f USING (fold), (VALUES (0.1::DOUBLE), (10.0), (1000.0)) AS a(alpha) GROUP BY 1, 2""",
+    FROM r JOIN f USING (fold), (VALUES (0.01::DOUBLE), (0.1), (1.0), (10.0), (100.0)) AS a(alpha) GROUP BY 1, 2""",
     "alpha rmse_thousands",
 )
 def mod_4(spark, sf):
     """One feature, so that the closed form is an oracle; MOD_4_wide uses the same code on four."""
     rows = lines(spark, sf).withColumn("vx", F.array("x"))
-    p = ridge_cv(rows, "vx", _ALPHAS)
+    p = ridge_cv(rows, "vx", RIDGE_ALPHAS)
     return p.groupBy("fold", "alpha").agg(
         (F.sqrt(F.avg(F.pow(F.col("y") - F.col("predicted"), F.lit(2)))) / 1000).alias("rmse_thousands")
     )
@@ -93,10 +95,6 @@ def ridge_cv(rows, vec, alphas):
     return L.linear_predictions(rows, L.ridge(train, ["fold"], alphas), ["fold"], vec)
 
 
-# The penalties tried.
-RIDGE_ALPHAS = [0.01, 0.1, 1.0, 10.0, 100.0]
-
-
 def nested_ridge_report(spark, sf, vec):
     """Chosen penalty, its inner error and the error on the held-out fold, per outer fold."""
     rows = lines(spark, sf).withColumn("one", F.array("x"))
@@ -108,6 +106,54 @@ def nested_ridge_report(spark, sf, vec):
     return outer.join(chosen, ["fold", "alpha"])
 
 
+HOLDOUT_FOLDS = 3
+
+
+def measured_variants(spark, sf):
+    """Variants with their positions, a target and four numbers per row of the part table."""
+    parts = V.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("variant_id"), F.col("p_retailprice").alias("y"), F.col("p_size").cast("double").alias("x"),
+        F.array(
+            F.col("p_size").cast("double"), F.length("p_name").cast("double"), F.length("p_type").cast("double"),
+            F.regexp_extract("p_brand", "([0-9]+)", 1).cast("double"),
+        ).alias("vec"),
+    )
+    v = V.variants(spark, sf).select("variant_id", X.positions_of(X.parse_mutations("mutations")).alias("positions"))
+    return folds.assign_folds(v.join(parts, "variant_id"), "variant_id", HOLDOUT_FOLDS)
+
+
+def holdout_refits(spark, sf, one):
+    rows = measured_variants(spark, sf)
+    rows = rows.withColumn("vec", F.array("x")) if one else rows
+    return holdouts.position_refits(rows, "variant_id", "positions", "fold", HOLDOUT_FOLDS, "vec", "y", RIDGE_ALPHAS)
+
+
+@query(
+    "mod_2_refit",
+    f"""WITH r AS (SELECT variant_id, list_distinct(poss) AS ps, p_size::DOUBLE AS x, p_retailprice AS y, {_H.format("variant_id")} % {HOLDOUT_FOLDS} AS fold
+    FROM v_parsed JOIN part ON p_partkey = variant_id), u AS (SELECT DISTINCT unnest(ps) AS p FROM r), a AS (SELECT unnest([0.01, 0.1, 1.0, 10.0, 100.0])::DOUBLE AS alpha),
+    t AS (SELECT p, i, count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, covar_pop(x, y) AS cxy
+    FROM r, u, range(-1, {HOLDOUT_FOLDS}) AS q(i) WHERE NOT list_contains(ps, p) AND fold <> i GROUP BY 1, 2),
+    e AS (SELECT r.*, p, i, n, my, alpha, my + (n * cxy / sx) / (n + alpha) * (x - mx) / sx AS predicted FROM r, t, a
+    WHERE (i = -1 AND list_contains(ps, p) AND n >= 5) OR (i = fold AND NOT list_contains(ps, p))),
+    c AS (SELECT p, alpha, avg(abs(y - predicted)) AS inner_mae FROM e WHERE i >= 0 GROUP BY 1, 2),
+    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY p ORDER BY inner_mae, alpha) = 1)
+    SELECT p AS position, count(*) AS n, avg(abs(y - predicted)) AS mae, sqrt(avg((y - predicted) ** 2)) AS rmse, avg(abs(y - my)) AS mae_train_mean,
+    median(abs(y - predicted)) AS median_abs_error, alpha, any_value(inner_mae) AS inner_mae FROM e JOIN b USING (p, alpha) WHERE i = -1 GROUP BY p, alpha""",
+    "mae rmse mae_train_mean median_abs_error alpha inner_mae",
+    "position",
+)
+def mod_2_refit(spark, sf):
+    """Strict hold-out of every position, ridge on one number refitted on the rows without it, against the train mean."""
+    return holdouts.holdout_report(*holdout_refits(spark, sf, one=True))
+
+
+@query("mod_2_wide")
+def mod_2_wide(spark, sf):
+    """The predictions of the same hold-outs from four numbers; a row is predicted once per position it carries."""
+    return holdout_refits(spark, sf, one=False)[0]
+
+
 @query("mod_4_wide")
 def mod_4_wide(spark, sf):
     """Four features; the penalty is chosen by inner folds, never on the held-out rows."""
@@ -143,7 +189,7 @@ prs AS (SELECT a.assay, a.outer_, a.inner_, a.vec_id, a.y AS observed, b.y AS yb
 FROM scl a JOIN scl b ON a.assay = b.assay AND a.outer_ = b.outer_ AND a.inner_ = b.inner_ AND a.test AND NOT b.test),
 rk AS (SELECT *, row_number() OVER (PARTITION BY assay, outer_, inner_, vec_id ORDER BY d, id_b) AS r, count(*) OVER (PARTITION BY assay, outer_, inner_, vec_id) AS n FROM prs),
 knn AS (SELECT assay, outer_, inner_, vec_id, observed, k, CASE WHEN min(d) = 0 THEN avg(yb) FILTER (d = 0) ELSE sum(yb / d) / sum(1 / d) END AS predicted
-FROM rk, (VALUES (1), (3), (5)) AS g(k) WHERE r <= k AND k <= n GROUP BY 1, 2, 3, 4, 5, 6)"""
+FROM rk, (VALUES (1), (3), (5), (7)) AS g(k) WHERE r <= k AND k <= n GROUP BY 1, 2, 3, 4, 5, 6)"""
 
 
 def neighbours(spark, sf, nested):
