@@ -75,8 +75,31 @@ def fill_sem(sem: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(sem), sem, np.median(good) if good.size else 0.0)
 
 
+SMALL = 64
+
+
+def lower_solve(chol: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """x with chol x = rhs for a lower triangle, halved until a block is small."""
+    n = len(chol)
+    if n <= SMALL:
+        return np.linalg.solve(chol, rhs)
+    h = n // 2
+    top = lower_solve(chol[:h, :h], rhs[:h])
+    return np.concatenate([top, lower_solve(chol[h:, h:], rhs[h:] - chol[h:, :h] @ top)])
+
+
+def upper_solve(chol: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """x with chol' x = rhs for a lower triangle ``chol``."""
+    n = len(chol)
+    if n <= SMALL:
+        return np.linalg.solve(chol.T, rhs)
+    h = n // 2
+    low = upper_solve(chol[h:, h:], rhs[h:])
+    return np.concatenate([upper_solve(chol[:h, :h], rhs[:h] - chol[h:, :h].T @ low), low])
+
+
 def backsolve(chol: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-    return np.linalg.solve(chol.T, np.linalg.solve(chol, rhs))
+    return upper_solve(chol, lower_solve(chol, rhs))
 
 
 def design_of(score: np.ndarray, centre: float, sd: float) -> np.ndarray:
@@ -122,7 +145,7 @@ class Fit:
         if self.beta is not None:
             mean = mean + design_of(np.asarray(score, float), *self.centre) @ self.beta
         own = p["sigma_main"] ** 2 + (p["sigma_epi"] ** 2 if len(cross_gaps) > 1 else 0.0)
-        v = np.linalg.solve(self.chol, k.T)
+        v = lower_solve(self.chol, k.T)
         latent = np.maximum(own - (v**2).sum(axis=0), 0.0)
         return (
             self.y_mean + self.y_sd * mean,
@@ -131,15 +154,22 @@ class Fit:
         )
 
 
+def quadratic_prior(names: list[str], family: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, precision, whether the prior is on the log) of each searched parameter."""
+    logged = np.array([n in LOG_PRIOR_SD for n in names])
+    centre = np.array([np.log(NOISE_CENTRE) if n == "sigma_noise" else 0.0 for n in names])
+    width = np.array([LOG_PRIOR_SD.get(n, INTERACTION_SCALE) for n in names])
+    wanted = logged | (family == "epistatic")
+    return centre, wanted / width**2, logged
+
+
 def penalty(params: dict, family: str) -> float:
     """Weak log-normal priors, and quadratic shrinkage of the interaction scale."""
-    centre = {"sigma_noise": NOISE_CENTRE}
-    value = 0.0
-    for name, sd in LOG_PRIOR_SD.items():
-        value += 0.5 * (np.log(params[name] / centre.get(name, 1.0)) / sd) ** 2
-    if family == "epistatic":
-        value += 0.5 * (params["sigma_epi"] / INTERACTION_SCALE) ** 2
-    return float(value)
+    names = list(BOUNDS)
+    centre, precision, logged = quadratic_prior(names, family)
+    value = np.array([params[n] for n in names])
+    seen = np.where(logged, np.log(np.where(logged, value, 1.0)), value)
+    return float(0.5 * precision @ (seen - centre) ** 2)
 
 
 def objective(gaps, y, sem, params, family: str, score=None) -> float:
@@ -150,23 +180,209 @@ def objective(gaps, y, sem, params, family: str, score=None) -> float:
         return FAILED
 
 
-def search(gaps, y, sem, family: str, evaluations: int, seed: int, score=None):
-    """Seeded random search in log space with a narrowing box; returns (params, value)."""
-    names = [n for n in BOUNDS if n != "sigma_epi" or family == "epistatic"]
-    low = np.log([BOUNDS[n][0] for n in names])
-    high = np.log([BOUNDS[n][1] for n in names])
+class Objective:
+    """The same value with its slope in log parameters, for many points at once.
+
+    Every part of the covariance is linear in the squared amplitudes, so its derivatives are the parts themselves; the
+    length scale enters through k * gap / length^2. A linear mean is at its own optimum and adds no slope.
+    """
+
+    def __init__(self, gaps, y, sem, family: str, score=None):
+        self.names = [n for n in BOUNDS if n != "sigma_epi" or family == "epistatic"]
+        self.low, self.high = (np.log([BOUNDS[n][i] for n in self.names]) for i in (0, 1))
+        self.centre, self.precision, self.logged = quadratic_prior(self.names, family)
+        self.gaps, self.scale = gaps, median_gap(gaps)
+        if not np.isfinite(self.scale) or self.scale <= 0:
+            raise ValueError("no usable length scale")
+        self.target, _, sd = scaled_target(np.asarray(y, float), 1 if score is None else 0)
+        self.noise = (fill_sem(sem) / sd) ** 2 + JITTER
+        self.design = None
+        if score is not None:
+            score = np.asarray(score, float)
+            spread = float(score.std())
+            self.design = design_of(score, float(score.mean()), spread if np.isfinite(spread) and spread > 0 else 1.0)
+
+    def params(self, point: np.ndarray) -> dict:
+        return {"sigma_epi": 0.0, **dict(zip(self.names, np.exp(point).tolist()))}
+
+    def __call__(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, slopes) of the rows of ``points``; where the matrix is not definite, FAILED and no slope."""
+        try:
+            return self._many(points)
+        except np.linalg.LinAlgError:
+            if len(points) == 1:
+                return np.array([FAILED]), np.zeros_like(points)
+            parts = [self(x[None]) for x in points]
+            return np.concatenate([v for v, _ in parts]), np.concatenate([s for _, s in parts])
+
+    def _many(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide = lambda v: v[:, None, None]
+        value = dict(zip(self.names, np.exp(points).T))
+        inverse = 1.0 / (value["lengthscale_multiplier"] * self.scale) ** 2
+        k = np.exp(-0.5 * self.gaps[None] * inverse[:, None, None, None])
+        stretched = k * self.gaps[None] * inverse[:, None, None, None]
+        m, n = k.shape[1], k.shape[-1]
+        main2 = wide(value["sigma_main"] ** 2)
+        parts = {"sigma_main": main2 * k.mean(axis=1)}
+        by_length = main2 * stretched.mean(axis=1)
+        if "sigma_epi" in value:
+            epi2 = wide(value["sigma_epi"] ** 2) * ((1.0 / (m * (m - 1))) if m > 1 else 0.0)
+            parts["sigma_epi"] = epi2 * (k.sum(axis=1) ** 2 - (k * k).sum(axis=1))
+            by_length = by_length + 2 * epi2 * (k.sum(axis=1) * stretched.sum(axis=1) - (k * stretched).sum(axis=1))
+        noise2 = value["sigma_noise"] ** 2
+        cov = sum(parts.values()) + np.eye(n) * (self.noise + noise2[:, None])[:, None, :]
+        chol = np.linalg.cholesky(cov)
+        inv = np.linalg.inv(cov)
+        residual = np.broadcast_to(self.target, (len(points), n))
+        if self.design is not None:
+            white = inv @ self.design
+            normal = self.design.T @ white + 1e-8 * np.eye(2)
+            beta = np.linalg.solve(normal, white.swapaxes(1, 2) @ self.target[:, None])
+            residual = residual - (self.design @ beta)[..., 0]
+        alpha = (inv @ residual[..., None])[..., 0]
+        nll = 0.5 * (residual * alpha).sum(axis=1) + np.log(np.diagonal(chol, axis1=1, axis2=2)).sum(axis=1)
+        pull = inv - alpha[:, :, None] * alpha[:, None, :]
+        slope = np.empty_like(points)
+        for i, name in enumerate(self.names):
+            if name == "sigma_noise":
+                slope[:, i] = noise2 * np.trace(pull, axis1=1, axis2=2)
+            elif name == "lengthscale_multiplier":
+                slope[:, i] = 0.5 * (pull * by_length).sum(axis=(1, 2))
+            else:
+                slope[:, i] = (pull * parts[name]).sum(axis=(1, 2))
+        seen = np.where(self.logged, points, np.exp(points))
+        off = seen - self.centre
+        prior = 0.5 * (off**2) @ self.precision
+        slope += off * self.precision * np.where(self.logged, 1.0, np.exp(points))
+        return nll + 0.5 * n * np.log(2 * np.pi) + prior, slope
+
+
+FLAT, MOST_ROUNDS = 1e-5, 200
+
+
+def minimise(f, points: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Projected quasi-Newton descent of every row of ``points`` between bounds: (points, values, flat, rounds).
+
+    ``flat`` tells where the projected slope fell below FLAT per unit of the value. Rows step together, each with its
+    own curvature matrix and step length; a coordinate at a bound whose slope points outward is held.
+    """
+    x = np.clip(points, low, high)
+    value, slope = f(x)
+    s, p = x.shape
+    curve = np.tile(np.eye(p), (s, 1, 1))
+    flat, stuck, rounds = np.zeros(s, bool), np.zeros(s, bool), np.zeros(s, int)
+    for _ in range(MOST_ROUNDS):
+        reach = np.abs(x - np.clip(x - slope, low, high)).max(axis=1)
+        flat = reach <= FLAT * np.maximum(1.0, np.abs(value))
+        go = np.flatnonzero(~flat & ~stuck & (value < FAILED))
+        if not len(go):
+            break
+        rounds[go] += 1
+        held = ((x[go] <= low) & (slope[go] > 0)) | ((x[go] >= high) & (slope[go] < 0))
+        free = ~held
+        metric = curve[go] * free[:, :, None] * free[:, None, :]
+        step = -(metric @ (slope[go] * free)[..., None])[..., 0]
+        uphill = (step * slope[go]).sum(axis=1) >= 0
+        step[uphill] = -(slope[go] * free)[uphill]
+        curve[go[uphill]] = np.eye(p)
+        # No step of more than two units of the log.
+        step /= np.maximum(1.0, np.abs(step).max(axis=1) / 2.0)[:, None]
+        length, open_ = np.ones(len(go)), np.arange(len(go))
+        for _ in range(40):
+            rows = go[open_]
+            trial = np.clip(x[rows] + length[open_, None] * step[open_], low, high)
+            v, g = f(trial)
+            moved = trial - x[rows]
+            fine = v <= value[rows] + 1e-4 * (slope[rows] * moved).sum(axis=1)
+            for j in np.flatnonzero(fine):
+                r, dx, dg = rows[j], moved[j], g[j] - slope[rows[j]]
+                along = float(dx @ dg)
+                if along > 1e-10:
+                    a = np.eye(p) - np.outer(dx, dg) / along
+                    curve[r] = a @ curve[r] @ a.T + np.outer(dx, dx) / along
+                x[r], value[r], slope[r] = trial[j], v[j], g[j]
+            open_ = open_[~fine]
+            if not len(open_):
+                break
+            length[open_] *= 0.5
+        # A row whose search fails starts once more from the plain slope, then it stays where it is.
+        for j in open_:
+            r = go[j]
+            if np.array_equal(curve[r], np.eye(p)):
+                stuck[r] = True
+            curve[r] = np.eye(p)
+    return x, value, flat, rounds
+
+
+def search(gaps, y, sem, family: str, starts: int, seed: int, score=None) -> tuple[dict, float, dict]:
+    """Best of ``starts`` descents, the first from START, the others from seeded points: (params, value, report).
+
+    ``report``: ``converged`` of the best, its ``iterations``, ``restarts`` and how many of them converged.
+    """
+    f = Objective(gaps, y, sem, family, score)
     rng = np.random.default_rng(seed)
+    first = np.log([START[n] for n in f.names])
+    points = np.vstack([first, *[rng.uniform(f.low, f.high) for _ in range(starts - 1)]])
+    x, value, flat, rounds = minimise(f, points, f.low, f.high)
+    best = int(np.argmin(value))
+    report = {
+        "converged": bool(flat[best]), "iterations": int(rounds[best]), "restarts": starts,
+        "converged_restarts": int(flat.sum()),
+    }
+    return f.params(x[best]), float(value[best]), report
+
+
+def grid_predictions(gaps, y, sem, splits, grid) -> list[np.ndarray]:
+    """(point, test row, mean / latent SD / observed SD) of every split at every point of a fixed grid.
+
+    ``splits``: (train rows, test rows). Points hold an absolute ``lengthscale`` and the three amplitudes. Kernels do not
+    depend on a split, so each is made once. Where all rows share one noise, an eigen-decomposition per kernel of the whole
+    group answers every noise and split through the inverse of a block; otherwise the points of a split are factorised
+    together.
+    """
+    y, sem = np.asarray(y, float), np.asarray(sem, float)
+    shapes = sorted({(g["lengthscale"], g["sigma_main"], g["sigma_epi"]) for g in grid})
+    kernels = np.stack([similarity(gaps, *s) for s in shapes])
+    of = np.array([shapes.index((g["lengthscale"], g["sigma_main"], g["sigma_epi"])) for g in grid])
+    noise2 = np.array([g["sigma_noise"] ** 2 for g in grid])
+    own = np.array([g["sigma_main"] ** 2 + (g["sigma_epi"] ** 2 if len(gaps) > 1 else 0.0) for g in grid])
+    # Missing SEMs are filled from the train rows of a split, so noise is even only if all are given, or none is.
+    even = not np.isfinite(sem).any() or (np.isfinite(sem).all() and np.ptp(sem) == 0)
+    spectra = np.linalg.eigh(kernels) if even else None
+    out = []
+    for train, test in splits:
+        target, centre, sd = scaled_target(y[train], 1)
+        if even:
+            level = noise2 + (fill_sem(sem[train])[0] / sd) ** 2 + JITTER
+            mean, latent = _blocks_left_out(spectra, of, level, train, (y - centre) / sd, test, own)
+        else:
+            extra = (fill_sem(sem[train]) / sd) ** 2 + JITTER
+            cov = kernels[:, train][:, :, train][of] + np.eye(len(train)) * (noise2[:, None] + extra)[:, None, :]
+            cross = kernels[:, test][:, :, train][of]
+            solved = np.linalg.solve(cov, np.concatenate([np.broadcast_to(target[:, None], (len(grid), len(train), 1)), cross.swapaxes(1, 2)], axis=2))
+            mean = (cross @ solved[:, :, :1])[..., 0]
+            latent = own[:, None] - np.einsum("gij,gji->gi", cross, solved[:, :, 1:])
+        latent = np.maximum(latent, 0.0)
+        out.append(np.stack([centre + sd * mean, sd * np.sqrt(latent), sd * np.sqrt(latent + noise2[:, None])], axis=2))
+    return out
+
 
-    def value_at(point):
-        params = dict(zip(names, np.exp(point)), **({} if "sigma_epi" in names else {"sigma_epi": 0.0}))
-        return objective(gaps, y, sem, params, family, score), params
-
-    best_point = np.log([START[n] for n in names])
-    best, best_params = value_at(best_point)
-    for step in range(evaluations - 1):
-        width = (high - low) * 0.5 ** (3.0 * step / max(evaluations - 1, 1))
-        point = np.clip(best_point + rng.uniform(-0.5, 0.5, len(names)) * width, low, high)
-        value, params = value_at(point)
-        if value < best:
-            best, best_point, best_params = value, point, params
-    return best_params, best
+def _blocks_left_out(spectra, of, level, train, z, test, own):
+    """Scaled mean and latent variance of ``test`` given ``train``, from the spectra of the whole group's kernels.
+
+    With P the inverse of kernel plus noise over all rows, rows outside ``train`` are z - P_oo^-1 (P z)_o given the
+    rest, with covariance P_oo^-1; neither depends on their own targets.
+    """
+    n = len(z)
+    out = np.setdiff1d(np.arange(n), train)
+    place = np.searchsorted(out, test)
+    values, axes = spectra
+    weights = 1.0 / (np.maximum(values[of], 0.0) + level[:, None])
+    vectors = axes[of]
+    part = vectors[:, out]
+    inner = (part * weights[:, None, :]) @ part.swapaxes(1, 2)
+    pulled = (part * weights[:, None, :] * (vectors.swapaxes(1, 2) @ z)[:, None, :]).sum(axis=2)
+    cov = np.linalg.inv(inner)
+    mean = z[out] - (cov @ pulled[..., None])[..., 0]
+    spread = np.diagonal(cov, axis1=1, axis2=2) - level[:, None]
+    return mean[:, place], spread[:, place]

@@ -180,42 +180,72 @@ _PREDICTED = (
     "observed", "predicted", "sd_latent", "sd_observed", "distance_scale", "lengthscale", "objective",
     "intercept", "slope", *PARAMS,
 )
+_REPORT = [
+    T.StructField("converged", T.BooleanType()),
+    *[T.StructField(n, T.IntegerType()) for n in ("iterations", "restarts", "converged_restarts")],
+]
+_PROBLEM = T.StructField("problem", T.StringType())
+
+
+def _report(found: dict) -> tuple:
+    """The search's report as columns; all null where parameters were given."""
+    return tuple(found.get(f.name) for f in _REPORT)
+
+
+def _problem_of(train: pd.DataFrame) -> str | None:
+    if len(train) < 3:
+        return "too_few_rows"
+    return "too_many_rows" if len(train) > GROUP_LIMIT else None
 
 
 def _predict_unit(train, test, unit, settings, parts, key, score) -> list[tuple]:
-    """Prediction rows of one train/test split under every setting."""
+    """Prediction rows of one train/test split under every setting.
+
+    A split that cannot be fitted keeps its test rows, with a ``problem`` and no prediction.
+    """
     out: list[tuple] = []
-    if len(train) < 3 or test.empty:
+    if test.empty:
         return out
-    xa, xb = np.vstack(train["vec"].to_numpy()), np.vstack(test["vec"].to_numpy())
-    y, sem, zs = train["y"].to_numpy(), train["sem"].to_numpy(float), _score(train, score)
     shared: dict = {}
     for s in settings:
-        shape = (1 if s["family"] == "global" else parts, s.get("pca"))
-        if shape not in shared:
-            a, b = gp.reduce_on_train(
-                gp.split_components(xa, shape[0]), gp.split_components(xb, shape[0]), shape[1]
-            )
-            shared[shape] = (gp.squared_gaps(a, a), gp.squared_gaps(b, a))
-        gaps, cross = shared[shape]
-        if "params" in s:
-            params = {**gp.START, **s["params"]}
-            if s["family"] != "epistatic":
-                params["sigma_epi"] = 0.0
-        else:
-            seed = _seed(*unit, s["name"])
-            params, _ = gp.search(gaps, y, sem, s["family"], s["evaluations"], seed, zs)
-        fit = gp.Fit(gaps, y, sem, params, zs)
-        value = fit.nll + gp.penalty(params, s["family"])
-        columns = fit.predict(cross, _score(test, score))
-        # The linear mean of this very fit; its coefficients depend on the covariance parameters.
-        beta = (None, None) if fit.beta is None else tuple(float(b) for b in fit.beta)
-        tail = (fit.scale, fit.lengthscale, value, *beta, *[params[p] for p in PARAMS])
+        try:
+            columns, tail = _predict_setting(train, test, unit, s, parts, score, shared)
+            problem = None
+        except (ValueError, np.linalg.LinAlgError) as e:
+            problem = "singular" if isinstance(e, np.linalg.LinAlgError) else str(e).replace(" ", "_")
+            columns, tail = np.full((3, len(test)), None), (None,) * (len(_PREDICTED) - 4 + len(_REPORT))
         for i, row in enumerate(test[[key, "y"]].itertuples(index=False)):
-            out.append((*unit, s["name"], row[0], row[1], *[c[i] for c in columns], *tail))
+            out.append((*unit, s["name"], row[0], row[1], *[c[i] for c in columns], *tail, problem))
     return out
 
 
+def _predict_setting(train, test, unit, s: dict, parts: int, score, shared: dict):
+    """(mean, latent SD, observed SD) of the test rows, and what is the same for all of them."""
+    problem = _problem_of(train)
+    if problem:
+        raise ValueError(problem)
+    y, sem, zs = train["y"].to_numpy(), train["sem"].to_numpy(float), _score(train, score)
+    shape = (1 if s["family"] == "global" else parts, s.get("pca"))
+    if shape not in shared:
+        xa, xb = np.vstack(train["vec"].to_numpy()), np.vstack(test["vec"].to_numpy())
+        a, b = gp.reduce_on_train(gp.split_components(xa, shape[0]), gp.split_components(xb, shape[0]), shape[1])
+        shared[shape] = (gp.squared_gaps(a, a), gp.squared_gaps(b, a))
+    gaps, cross = shared[shape]
+    found: dict = {}
+    if "params" in s:
+        params = {**gp.START, **s["params"]}
+        if s["family"] != "epistatic":
+            params["sigma_epi"] = 0.0
+    else:
+        params, _, found = gp.search(gaps, y, sem, s["family"], s["starts"], _seed(*unit, s["name"]), zs)
+    fit = gp.Fit(gaps, y, sem, params, zs)
+    value = fit.nll + gp.penalty(params, s["family"])
+    # The linear mean of this very fit; its coefficients depend on the covariance parameters.
+    beta = (None, None) if fit.beta is None else tuple(float(b) for b in fit.beta)
+    tail = (fit.scale, fit.lengthscale, value, *beta, *[params[p] for p in PARAMS], *_report(found))
+    return fit.predict(cross, _score(test, score)), tail
+
+
 def _prediction_schema(df: DataFrame, units: list[T.StructField], key: str) -> T.StructType:
     return T.StructType(
         [
@@ -223,6 +253,8 @@ def _prediction_schema(df: DataFrame, units: list[T.StructField], key: str) -> T
             T.StructField("setting", T.StringType()),
             df.schema[key],
             *[T.StructField(n, T.DoubleType()) for n in _PREDICTED],
+            *_REPORT,
+            _PROBLEM,
         ]
     )
 
@@ -238,12 +270,12 @@ def predict_groups(
     """Fit each unit's ``role = 'train'`` rows and predict its test rows under every setting.
 
     A setting holds ``name`` and ``family`` (additive, epistatic, global), optionally ``pca`` and
-    either fixed ``params`` or ``evaluations`` for a search on the train rows.
+    either fixed ``params`` or a number of ``starts`` for a search on the train rows. Test rows of a unit that cannot be
+    fitted (fewer than three train rows, more than a dense fit takes, a constant target) come with a ``problem``.
     """
     schema = _prediction_schema(roles, [roles.schema[c] for c in units], key)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _guard(pdf)
         pdf = pdf.sort_values(key)
         unit = [pdf[c].iloc[0] for c in units]
         train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
@@ -275,7 +307,6 @@ def predict_splits(
     splits = [(o, i) for o in range(k) for i in range(k) if nested or o == i]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _guard(pdf)
         pdf = pdf.sort_values(key)
         out: list[tuple] = []
         for o, i in splits:
@@ -289,38 +320,85 @@ def predict_splits(
     return spread_out(df.select(*columns), group).groupBy(group).applyInPandas(run, schema)
 
 
-def search_groups(
-    df: DataFrame, group: str, key: str, family: str, evaluations: int, chains: int, parts: int
+def search_groups(df: DataFrame, group: str, key: str, family: str, starts: int, parts: int) -> DataFrame:
+    """Hyper-parameters of every group by ``starts`` descents that step together; the lowest wins.
+
+    Returns ``group, objective``, the parameters, ``converged, iterations, restarts, converged_restarts`` and a
+    ``problem`` where a group cannot be fitted. A best descent that did not converge says so.
+    """
+    values = [T.StructField(n, T.DoubleType()) for n in ("objective", *PARAMS)]
+    schema = T.StructType([df.schema[group], *values, *_REPORT, _PROBLEM])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        name, problem = pdf[group].iloc[0], _problem_of(pdf)
+        row = (name, *[None] * (len(schema) - 2))
+        if problem is None:
+            try:
+                y, sem = pdf["y"].to_numpy(), pdf["sem"].to_numpy(float)
+                params, value, found = gp.search(_gaps(pdf, parts), y, sem, family, starts, _seed(name, family))
+                row = (name, value, *[params[p] for p in PARAMS], *_report(found))
+            except ValueError as e:
+                problem = str(e).replace(" ", "_")
+        return pd.DataFrame([(*row, problem)], columns=schema.names)
+
+    return spread_out(df.select(group, key, "vec", "y", "sem"), group).groupBy(group).applyInPandas(run, schema)
+
+
+def grid_selection(
+    df: DataFrame, group: str, fold: str, key: str, grid: list[dict], parts: int, k: int
 ) -> DataFrame:
-    """Hyper-parameter search per group: independent seeded chains are separate tasks, best one wins."""
+    """Nested choice over a fixed grid: each family's best point per outer fold, and its predictions there.
+
+    ``grid`` holds ``family``, an absolute ``lengthscale`` and the three amplitudes. Every point is tried on every inner
+    split; the smallest inner (MAE, RMSE, place in the grid) wins. Kernels of a group are made once for all splits
+    and points. Returns ``group, outer, family, key, observed, predicted, sd_latent, sd_observed``, the point,
+    ``inner_mae, inner_rmse`` and ``problem``, which stands for splits that cannot be fitted.
+    """
+    point = ("lengthscale", "sigma_main", "sigma_epi", "sigma_noise")
+    doubles = ("observed", "predicted", "sd_latent", "sd_observed", *point, "inner_mae", "inner_rmse")
     schema = T.StructType(
         [
-            df.schema[group],
-            T.StructField("chain", T.IntegerType()),
-            T.StructField("objective", T.DoubleType()),
-            *[T.StructField(n, T.DoubleType()) for n in PARAMS],
+            df.schema[group], T.StructField("outer", T.IntegerType()), T.StructField("family", T.StringType()), df.schema[key],
+            *[T.StructField(n, T.DoubleType()) for n in doubles], _PROBLEM,
         ]
     )
+    families = list(dict.fromkeys(g["family"] for g in grid))
+    members = {f: [i for i, g in enumerate(grid) if g["family"] == f] for f in families}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _guard(pdf)
         pdf = pdf.sort_values(key)
-        chain = int(pdf["chain"].iloc[0])
-        params, value = gp.search(
-            _gaps(pdf, parts),
-            pdf["y"].to_numpy(),
-            pdf["sem"].to_numpy(float),
-            family,
-            evaluations,
-            _seed(pdf[group].iloc[0], chain),
-        )
-        return pd.DataFrame([(pdf[group].iloc[0], chain, value, *[params[p] for p in PARAMS])], columns=[f.name for f in schema])
+        name, folds, y = pdf[group].iloc[0], pdf[fold].to_numpy(), pdf["y"].to_numpy(float)
+        out, gaps = [], None if len(pdf) > GROUP_LIMIT else _gaps(pdf, parts)
+        for o in range(k):
+            test = np.flatnonzero(folds == o)
+            if not len(test):
+                continue
+            inner = [(np.flatnonzero((folds != o) & (folds != i)), np.flatnonzero(folds == i)) for i in range(k) if i != o]
+            inner = [s for s in inner if len(s[1])]
+            splits = [(np.flatnonzero(folds != o), test), *inner]
+            problem = "too_many_rows" if gaps is None else "too_few_rows" if min(len(a) for a, _ in splits) < 3 or not inner else None
+            if problem is None:
+                try:
+                    outer, *tried = gp.grid_predictions(gaps, y, pdf["sem"].to_numpy(float), splits, grid)
+                except ValueError as e:
+                    problem = str(e).replace(" ", "_")
+                except np.linalg.LinAlgError:
+                    problem = "singular"
+            if problem is not None:
+                out += [(name, o, f, pdf[key].iloc[t], y[t], *[None] * 9, problem) for f in families for t in test]
+                continue
+            error = np.concatenate([y[s[1]][None, :] - p[:, :, 0] for s, p in zip(inner, tried, strict=True)], axis=1)
+            mae, rmse = np.abs(error).mean(axis=1), np.sqrt((error**2).mean(axis=1))
+            for f, own in members.items():
+                g = min(own, key=lambda i: (mae[i], rmse[i], i))
+                at = [grid[g][p] for p in point]
+                for j, t in enumerate(test):
+                    out.append((name, o, f, pdf[key].iloc[t], y[t], *outer[g, j], *at, mae[g], rmse[g], None))
+        return pd.DataFrame(out, columns=schema.names)
 
-    chained = df.select(group, key, "vec", "y", "sem").withColumn(
-        "chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))
-    )
-    found = spread_out(chained, group, "chain").groupBy(group, "chain").applyInPandas(run, schema)
-    return reshape.best_by(found, [group], ["objective"], "chain")
+    columns = [group, key, fold, "vec", "y", "sem"]
+    return spread_out(df.select(*columns), group).groupBy(group).applyInPandas(run, schema)
 
 
 def boundary_hits(df: DataFrame, bounds: dict = gp.BOUNDS) -> DataFrame:

@@ -22,8 +22,8 @@ _H = "('0x' || substr(md5({0}::VARCHAR), 1, 8))::BIGINT"
 _LF = _H.format("l_orderkey") + " % 5"
 FIXED = {"lengthscale_multiplier": 1.0, "sigma_main": 1.0, "sigma_epi": 0.5, "sigma_noise": 0.3}
 FAMILIES = [
-    {"name": "additive", "family": "additive", "evaluations": 8},
-    {"name": "epistatic", "family": "epistatic", "evaluations": 8},
+    {"name": "additive", "family": "additive", "starts": 3},
+    {"name": "epistatic", "family": "epistatic", "starts": 3},
 ]
 
 
@@ -340,7 +340,7 @@ def mod_11_sd(spark, sf):
 
 @query("mod_12")
 def mod_12(spark, sf):
-    best = G.search_groups(V.assays(spark, sf), "assay", "vec_id", "epistatic", 16, 3, V.N_COMPONENTS)
+    best = G.search_groups(V.assays(spark, sf), "assay", "vec_id", "epistatic", 5, V.N_COMPONENTS)
     return G.boundary_hits(best)
 
 
@@ -383,7 +383,7 @@ def nested(spark, sf, settings=FAMILIES, k=3):
 @query("mod_14")
 def mod_14(spark, sf):
     """Setting x fold sweep over all outer splits, best setting per assay."""
-    settings = [*FAMILIES, {"name": "additive-pca3", "family": "additive", "pca": 3, "evaluations": 8}]
+    settings = [*FAMILIES, {"name": "additive-pca3", "family": "additive", "pca": 3, "starts": 3}]
     rows = folded_assays(spark, sf, 3)
     p = G.predict_splits(rows, "assay", "fold", "vec_id", settings, V.N_COMPONENTS, 3, nested=False)
     m = G.setting_metrics(p, ["assay", "setting"])
@@ -405,7 +405,7 @@ def mod_16(spark, sf):
     Intercept and slope belong to the fit that predicts.
     """
     rows = folds.assign_folds(V.assays(spark, sf), "vec_id", 5).withColumn("score", F.col("vec")[0])
-    settings = [{"name": "prior", "family": "epistatic", "evaluations": 8}]
+    settings = [{"name": "prior", "family": "epistatic", "starts": 3}]
     p = G.predict_splits(rows, "assay", "fold", "vec_id", settings, V.N_COMPONENTS, 5, nested=False, score="score")
     return p.select(
         "assay", F.col("outer").alias("fold"), "vec_id", "observed", "predicted", "sd_latent", "sd_observed",
@@ -413,28 +413,23 @@ def mod_16(spark, sf):
     )
 
 
+# The axes of the grid.
+GRID_LENGTHS, GRID_MAIN, GRID_EPI, GRID_NOISE = (0.2, 0.5, 1.0), (0.5, 1.0), (1.0, 2.0, 4.0), (0.3, 0.5, 1.0)
+
+
 def fixed_grid():
-    """A small grid of each family at fixed parameters."""
-    out = []
-    for ell in (0.5, 1.0, 2.0):
-        for noise in (0.1, 0.5):
-            base = {"lengthscale_multiplier": ell, "sigma_main": 1.0, "sigma_noise": noise}
-            out.append({"name": f"additive-{ell}-{noise}", "family": "additive", "params": base})
-            for epi in (0.5, 1.0):
-                out.append(
-                    {"name": f"epistatic-{ell}-{noise}-{epi}", "family": "epistatic", "params": {**base, "sigma_epi": epi}}
-                )
-    return out
+    """18 additive and 54 epistatic points."""
+    return [
+        {"family": family, "lengthscale": ell, "sigma_main": main, "sigma_epi": epi, "sigma_noise": noise}
+        for family, epis in (("additive", (0.0,)), ("epistatic", GRID_EPI))
+        for ell in GRID_LENGTHS for main in GRID_MAIN for epi in epis for noise in GRID_NOISE
+    ]
 
 
 @query("mod_17")
 def mod_17(spark, sf):
-    """Best grid point per family and assay under nested selection, and the family gain."""
-    p = nested(spark, sf, fixed_grid(), 3).withColumn("family", F.split("setting", "-")[0])
-    inner = p.where(F.col("inner") != F.col("outer"))
-    unit = ["assay", "outer", "family"]
-    best = S.best_by(G.setting_metrics(inner, [*unit, "setting"]), unit, ["mae", "rmse"], "setting")
-    outer = p.where(F.col("inner") == F.col("outer")).join(best.select(*unit, "setting"), [*unit, "setting"])
+    """Best point of the whole grid per family, assay and outer fold under nested selection, and the family gain."""
+    outer = G.grid_selection(folded_assays(spark, sf, 3), "assay", "fold", "vec_id", fixed_grid(), V.N_COMPONENTS, 3)
     wide = S.widen(
         outer.withColumn("e", F.abs(F.col("observed") - F.col("predicted"))),
         ["assay", "vec_id"],
@@ -457,15 +452,19 @@ def mod_18(spark, sf):
         3,
     )
     settings = [
-        {"name": "global-1", "family": "global", "params": {"sigma_noise": 0.3}},
-        {"name": "global-2", "family": "global", "params": {"lengthscale_multiplier": 2.0}},
+        {"name": "global", "family": "global", "starts": 3},
+        {"name": "global-fixed", "family": "global", "params": {"lengthscale_multiplier": 2.0}},
     ]
-    p = G.predict_splits(rows, "unit", "fold", "vec_id", settings, 1, 3, nested=False).withColumn(
-        "component", F.split("unit", ":")[1].cast("int")
-    )
-    m = stable(G.setting_metrics(p, ["component", "setting"]))
-    again = m.where(F.col("component") == 2).withColumn("rerun", F.lit(True))
-    return S.upsert(m, again, ["component", "setting"])
+
+    def sweep(some):
+        p = G.predict_splits(some, "unit", "fold", "vec_id", settings, 1, 3, nested=False)
+        p = p.withColumn("component", F.split("unit", ":")[1].cast("int"))
+        return G.setting_metrics(p, ["component", "setting"])
+
+    first = stable(sweep(rows).withColumn("rerun", F.lit(False)))
+    # One set is swept anew and takes the place of its rows.
+    again = sweep(rows.where(F.endswith("unit", F.lit(":2")))).withColumn("rerun", F.lit(True))
+    return S.upsert(first, again, ["component", "setting"])
 
 
 _LONG = """SELECT 'a' AS model, key, observed, a AS predicted FROM v_paired UNION ALL SELECT 'n', key, observed, n FROM v_paired UNION ALL
@@ -507,8 +506,7 @@ def mod_20(spark, sf):
     cv = stable(G.predict_splits(rows, "assay", "fold", "vec_id", FAMILIES, V.N_COMPONENTS, 3, nested=False))
     chosen = S.best_by(G.setting_metrics(cv, ["assay", "setting"]), ["assay"], ["mae", "nlpd", "rmse"], "setting")
     fits = [
-        G.search_groups(assays, "assay", "vec_id", f["family"], f["evaluations"], 1, V.N_COMPONENTS)
-        .drop("chain")
+        G.search_groups(assays, "assay", "vec_id", f["family"], f["starts"], V.N_COMPONENTS)
         .withColumn("setting", F.lit(f["name"]))
         for f in FAMILIES
     ]

@@ -127,8 +127,8 @@ def test_scoring_join_equals_dense_prediction(spark, rows):
 
 def test_search_improves_on_the_start(spark, rows):
     df = frame(spark, rows)
-    one = G.search_groups(df, "g", "id", "epistatic", 1, 1, 4).first()["objective"]
-    many = G.search_groups(df, "g", "id", "epistatic", 20, 2, 4).first()["objective"]
+    one = G.search_groups(df, "g", "id", "epistatic", 1, 4).first()["objective"]
+    many = G.search_groups(df, "g", "id", "epistatic", 5, 4).first()["objective"]
     assert many < one
 
 
@@ -256,7 +256,7 @@ def test_deployment_rows(spark, sf):
         assert abs(r["scale"] - np.sqrt((z**2).mean())) < 1e-5
     family = {f["name"]: f for f in Q.FAMILIES}
     assay, r = sorted(got.items())[0]
-    fit = G.search_groups(assays.where(F.col("assay") == assay), "assay", "vec_id", family[r["setting"]]["family"], 8, 1, V.N_COMPONENTS).first()
+    fit = G.search_groups(assays.where(F.col("assay") == assay), "assay", "vec_id", family[r["setting"]]["family"], 3, V.N_COMPONENTS).first()
     assert all(abs(fit[p] - r[p]) < 1e-5 for p in G.PARAMS)
 
 
