@@ -11,11 +11,10 @@ makes of a stem in its clause scales it. The score is a logistic model of the ma
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
+import re
 from collections import Counter
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -41,8 +40,9 @@ NEGATIONS = "not never isn't aren't wasn't don't nicht kein keine pas jamais nun
 REPORTS = """said says say called calls wrote quoted claimed sagte nannte schrieb dit disait écrit
 dijo llamó escribió""".split()
 
-BREAK = regex.compile(r"[.!?;:\n\r。！？；：।؟۔]+")
-TOKEN = regex.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+BREAK = re.compile(r"[.!?;:\n\r。！？；：।؟۔]+")
+TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+PART = re.compile(r"[^'’]+")
 # Scripts written without blanks between words: a word may begin at any of their letters.
 SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 NEGATED_FOR, REPORTED_FOR, INTENT_FOR = 3, 8, 4
@@ -130,6 +130,9 @@ OUTPUT = {"i": "insult", "I": "at target", "j": "negated", "q": "reported", "T":
 NAMES = list(PRIOR)
 
 
+CACHED_WORDS = 200_000
+
+
 class Grammar:
     """The lexicon with learnt stems, ready to match. ``stems``: stem -> strength."""
 
@@ -138,52 +141,58 @@ class Grammar:
         for letter, listed in (("y", TARGETS), ("f", INTENT), ("n", NEGATIONS), ("r", REPORTS)):
             self.words.update(dict.fromkeys(listed, letter))
         self.stems = stems
-        listed = dict.fromkeys(VIOLENCE, "v") | dict.fromkeys(INSULTS, "i")
-        self.triggers = ahocorasick.Automaton()
-        for w in listed.keys() | stems.keys():
-            self.triggers.add_word(w, (w, listed.get(w)))
-        self.triggers.make_automaton()
-
-    def hits(self, low: str) -> dict[int, tuple[str, bool, list[str]]]:
-        """Start offset of a word -> its letter, whether it is listed, the learnt stems that begin it."""
-        out: dict[int, tuple[str, bool, list[str]]] = {}
-        for end, (word, letter) in self.triggers.iter(low):
-            at = end - len(word) + 1
-            if at and low[at - 1].isalpha() and not SPACELESS.match(low, at):
-                continue
-            known, is_listed, stems = out.get(at, ("i", False, []))
-            if word in self.stems:
-                stems.append(word)
-            out[at] = (letter or known, is_listed or letter is not None, stems)
-        return out
+        self.listed = dict.fromkeys(VIOLENCE, "v") | dict.fromkeys(INSULTS, "i")
+        self.lengths = sorted({len(w) for w in self.listed.keys() | stems.keys()})
+        self.known: dict[str, tuple[str, bool, tuple[str, ...]]] = {}
+
+    def entry(self, word: str) -> tuple[str, bool, tuple[str, ...]]:
+        """A word's letter, whether a listed word begins it, and the learnt stems that do; kept for the next time.
+
+        A word begins after an apostrophe too, and at any letter of a script without blanks.
+        """
+        found = self.known.get(word)
+        if found is None:
+            letter, listed, stems = self.words.get(word, "."), False, []
+            begins = {m.start() for m in PART.finditer(word)} | {m.start() for m in SPACELESS.finditer(word)}
+            for at in sorted(begins):
+                for k in self.lengths:
+                    head = word[at : at + k]
+                    if len(head) < k:
+                        break
+                    if head in self.listed:
+                        letter, listed = self.listed[head], True
+                    if head in self.stems:
+                        stems.append(head)
+            if stems and not listed:
+                letter = "i"
+            if len(self.known) >= CACHED_WORDS:
+                self.known.clear()
+            found = self.known[word] = (letter, listed, tuple(dict.fromkeys(stems)))
+        return found
 
     def clauses(self, low: str) -> tuple[list[tuple[set[str], dict[str, str]]], int]:
         """Per clause with hits: classes of listed words, class of each stem; and the number of clauses."""
-        hits = self.hits(low)
-        breaks = [(m.start(), m.end()) for m in BREAK.finditer(low)]
-        begins = [0, *(e for _, e in breaks)]
-        ends = [*(s for s, _ in breaks), len(low)]
-        n = max(1, sum(e > b and not low[b:e].isspace() for b, e in zip(begins, ends, strict=True)))
-        by_clause: dict[int, list[int]] = {}
-        for at in hits:
-            by_clause.setdefault(bisect_right(begins, at) - 1, []).append(at)
-        out = []
-        for k, found in by_clause.items():
-            words = {m.start(): m.group() for m in TOKEN.finditer(low, begins[k], ends[k])}
+        out, n = [], 0
+        for clause in BREAK.split(low):
+            if not clause or clause.isspace():
+                continue
+            n += 1
+            entries = [self.entry(w) for w in TOKEN.findall(clause)]
+            if not any(is_listed or own for _, is_listed, own in entries):
+                continue
             state, listed, stems = START, set(), {}
-            for at in sorted(words.keys() | set(found)):
-                letter, is_listed, own = hits.get(at) or (self.words.get(words[at], "."), False, ())
+            for letter, is_listed, own in entries:
                 state, output = TABLE[state, letter]
-                name = OUTPUT.get(output)
-                if is_listed and name:
-                    listed.add(name)
-                for s in own:
-                    name_of = name if name in KEPT else "at target" if name == "at target" else "insult"
-                    # The strongest reading of a stem in the clause counts.
-                    if s not in stems or stems[s] in KEPT:
-                        stems[s] = name_of
+                if is_listed or own:
+                    name = OUTPUT.get(output)
+                    if is_listed and name:
+                        listed.add(name)
+                    for s in own:
+                        # The strongest reading of a stem in the clause counts.
+                        if s not in stems or stems[s] in KEPT:
+                            stems[s] = name if name in KEPT or name == "at target" else "insult"
             out.append((listed, stems))
-        return out, n
+        return out, max(1, n)
 
     def features(self, text: str) -> list[float]:
         """Per output class: sum over clauses of 1 for a listed word and the strengths of its learnt stems."""
