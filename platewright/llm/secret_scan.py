@@ -29,8 +29,9 @@ TOKEN = (
     rf"(?<![\p{{L}}\p{{N}}+/_=-])[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}+(?![\p{{L}}\p{{N}}])={{0,2}}"
 )
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# Fixed values, narrowest first: pattern, alphabet in order, and how often two symbols of structured or written
-# strings in that alphabet are equal.
+# Fixed values, narrowest first: pattern, alphabet in order, and how often two symbols of structured or written strings
+# in that alphabet are equal. 0.066 is the index of coincidence of English letters; the other rates are judgements: a
+# little less where case or digits mix in, and about twice chance for numbers and hexadecimal with repeated digits.
 ENCODINGS = (
     ("[0-9]+", DIGITS, 0.20),
     ("[0-9a-f]+", DIGITS + "abcdef", 0.125),
@@ -50,37 +51,89 @@ BINS_PER_UNIT, LOWEST_BIN = 20, -600
 FALSE_SHARE = 0.05
 
 SPAN = "struct<start:int,kind:int,end:int>"
+BLOCK = 256
+CHUNK = 4096
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Consecutive pieces of the text, each ending with a match; one pass, as \\G lets no search restart."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s)\G.*?{pattern}"), F.lit(0))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often and in whatever lambda the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: Column, join) -> Column:
+    """The fold of every prefix of an integer array by an associative ``join``.
+
+    Arrays grow only within blocks and over the list of blocks, so a long array is not copied once per entry.
+    """
+
+    def grown(part: Column, at: Column) -> Column:
+        return F.aggregate(
+            part, F.struct(at.alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, v: F.struct(
+                join(acc["at"], v).alias("at"), F.array_append(acc["out"], join(acc["at"], v)).alias("out")
+            ),
+            lambda acc: acc["out"],
+        )
+
+    def cut(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / F.lit(BLOCK)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * BLOCK + 1, BLOCK))
+        return F.when(F.size(v) > 0, parts).otherwise(F.array().cast("array<array<int>>"))
+
+    def folded(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, zero, join))
+        begins = F.slice(F.concat(F.array(zero), grown(totals, zero)), F.lit(1), F.size(parts))
+        return F.flatten(F.zip_with(parts, begins, grown))
+
+    return let(let(values, cut), folded)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return (a + b).cast("int")
+
+
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _least(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def pieces(text: Column, pattern: str, end: str) -> Column:
+    """``array<struct<end, match>>`` of the matches of ``pattern``; ends are code points.
+
+    Consecutive pieces of the text each end with a match; one pass, as \\G lets no search restart. ``end`` finds the match
+    at the end of its piece.
+    """
+    found = F.regexp_extract_all(text, F.lit(rf"(?s)\G.*?{pattern}"), F.lit(0))
+
+    def described(found: Column) -> Column:
+        ends = running(F.transform(found, F.char_length), F.lit(0), _sum)
+        matched = F.transform(found, lambda p: F.regexp_extract(p, end, 0))
+        return F.arrays_zip(ends.alias("end"), matched.alias("match"))
+
+    return let(found, described)
 
 
 def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
     """Spans of the matches that ``keep(match)`` accepts; offsets are code points."""
     number = KINDS.index(kind)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = (acc["at"] + F.char_length(piece)).cast("int")
-        match = F.regexp_extract(piece, rf"(?s){pattern}\z", 0)
-        span = F.struct(
-            (end - F.char_length(match)).cast("int").alias("start"),
-            F.lit(number).alias("kind"),
-            end.alias("end"),
-        )
-        more = F.when(keep(piece), F.array_append(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), more.alias("out"))
-
-    return F.aggregate(_matches(text, pattern), start, step, lambda acc: acc["out"])
+    found = F.filter(pieces(text, pattern, rf"(?s){pattern}\z"), lambda p: keep(p["match"]))
+    return F.transform(
+        found,
+        lambda p: F.struct(
+            (p["end"] - F.char_length(p["match"])).cast("int").alias("start"), F.lit(number).alias("kind"),
+            p["end"].cast("int").alias("end"),
+        ),
+    )
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the fixed formats, sorted by start and kind."""
-    value = lambda p: F.char_length(F.regexp_extract(p, ASSIGN + r"\z", 1)) >= LEAST_VALUE
-    access = lambda p: F.char_length(F.regexp_extract(p, ACCESS + r"\z", 0)) >= LEAST_ACCESS
-    always = lambda p: F.lit(True)
+    value = lambda m: F.char_length(F.regexp_extract(m, ASSIGN + r"\z", 1)) >= LEAST_VALUE
+    access = lambda m: F.char_length(m) >= LEAST_ACCESS
+    always = lambda m: F.lit(True)
     found = F.concat(
         _spans(text, ASSIGN, "assign", value),
         _spans(text, ACCESS, "access", access),
@@ -188,22 +241,40 @@ def battery(tokens: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Tokens that meet no base span, as ``array<struct<start, end, token>>``."""
-    kind = "array<struct<start:int,end:int,token:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = (acc["at"] + F.char_length(piece)).cast("int")
-        match = F.regexp_extract(piece, rf"(?s){TOKEN}\z", 0)
-        item = F.struct(
-            (end - F.char_length(match)).cast("int").alias("start"), end.alias("end"),
-            F.rtrim(match, F.lit("=")).alias("token"),
-        )
-        return F.struct(end.alias("at"), F.array_append(acc["out"], item).alias("out"))
+    """Tokens that meet no base span, as ``array<struct<start, end, token>>``.
 
-    found = F.aggregate(_matches(text, TOKEN), start, step, lambda acc: acc["out"])
-    meets = lambda c: F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return F.filter(found, lambda c: ~meets(c))
+    Both lists are sorted once: a token meets a span that starts before it if the furthest end so far lies beyond
+    its start, and one that starts inside it if the nearest start to come lies before its end.
+    """
+    tokens = F.transform(
+        pieces(text, TOKEN, rf"(?s){TOKEN}\z"),
+        lambda p: F.struct(
+            (p["end"] - F.char_length(p["match"])).cast("int").alias("start"), F.lit(1).alias("kind"),
+            p["end"].cast("int").alias("end"), F.rtrim(p["match"], F.lit("=")).alias("token"),
+        ),
+    )
+    spans = F.transform(
+        base,
+        lambda s: F.struct(
+            s["start"].alias("start"), F.lit(0).alias("kind"), s["end"].alias("end"), F.lit("").alias("token")
+        ),
+    )
+    far = F.lit(2**31 - 1)
+
+    def apart(both: Column) -> Column:
+        reached = running(F.transform(both, lambda e: F.when(e["kind"] == 0, e["end"]).otherwise(0)), F.lit(0), _most)
+        starts = F.transform(F.reverse(both), lambda e: F.when(e["kind"] == 0, e["start"]).otherwise(far))
+        coming = F.reverse(running(starts, far, _least))
+        return F.arrays_zip(both.alias("e"), reached.alias("reached"), coming.alias("coming"))
+
+    placed = let(F.array_sort(F.concat(spans, tokens)), apart)
+    free = lambda p: (p["e"]["kind"] == 1) & (p["reached"] <= p["e"]["start"]) & (p["coming"] >= p["e"]["end"])
+    return F.transform(
+        F.filter(placed, free),
+        lambda p: F.struct(
+            p["e"]["start"].alias("start"), p["e"]["end"].alias("end"), p["e"]["token"].alias("token")
+        ),
+    )
 
 
 def thresholds(tested: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
@@ -264,26 +335,45 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
+def _cut(chunks: Column, a: Column, b: Column) -> Column:
+    """Code points [a, b) of the text whose chunks of CHUNK code points these are; reads only the chunks it touches."""
+    i, j = F.floor(a / F.lit(CHUNK)).cast("int"), F.floor(b / F.lit(CHUNK)).cast("int")
+    at = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+    head = F.substr(at(i), a - i * CHUNK + 1, F.lit(CHUNK))
+    between = F.array_join(F.slice(chunks, i + 2, F.greatest(F.lit(0), j - i - 1)), "")
+    across = F.concat(head, between, F.substr(at(j), F.lit(1), b - j * CHUNK))
+    return F.when(i == j, F.substr(at(i), a - i * CHUNK + 1, b - a)).otherwise(across)
+
+
+def replaced(text: Column, spans: Column, mark: str) -> Column:
+    """The text with ``mark`` for every run of overlapping spans, which are sorted by start."""
+    pieces_of = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    ends = running(F.transform(spans, lambda s: s["end"]), F.lit(0), _most)
+
+    def joined(chunks: Column, reached: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(reached, F.lit(1), F.greatest(F.lit(0), F.size(reached) - 1)))
+        placed = F.arrays_zip(F.transform(spans, lambda s: s["start"]).alias("start"), before.alias("before"))
+        fresh = F.filter(placed, lambda p: p["start"] >= p["before"])
+        parts = F.transform(fresh, lambda p: F.concat(_cut(chunks, p["before"], p["start"]), F.lit(mark)))
+        tail = _cut(chunks, F.element_at(reached, -1), F.char_length(text).cast("int"))
+        return F.concat(F.array_join(parts, ""), tail)
+
+    return let(pieces_of, lambda chunks: let(ends, lambda reached: joined(chunks, reached)))
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Every row, with each secret replaced by ``mark``; overlapping spans are replaced together.
 
-    All columns come back as they were, null texts stay null. Texts are scanned twice, once for the control.
+    All columns come back as they were, null texts stay null. Texts are scanned once: rows and what was found in them
+    are written, and the control is taken from there.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    first = saved(_scanned(docs.select(F.col(text).alias("text")), F.col("text")).select("_tested"), "secrets")
-    limits = thresholds(first).collect()
-    found = _scanned(docs, F.col(text)).withColumn("_all", F.array_sort(F.concat("_base", _admitted(limits))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substr(F.col("_text"), acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate(
-        "_all", start, step,
-        lambda acc: F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1, F.char_length("_text"))),
+    found = _scanned(docs.select(F.struct(*names).alias("_row")), F.col("_row")[text])
+    found = saved(found.select("_row", "_base", "_tested"), "secrets")
+    limits = thresholds(found).collect()
+    marked = found.withColumn("_all", F.array_sort(F.concat("_base", _admitted(limits))))
+    whole = F.col("_row")[text]
+    changed = F.when(F.size("_all") > 0, replaced(whole, F.col("_all"), mark)).otherwise(whole)
+    return marked.withColumn("_changed", changed).select(
+        *[F.col("_changed").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns]
     )
-    changed = F.when(F.size("_all") > 0, clean).otherwise(F.col(text))
-    return found.withColumn(text, changed).select(*names)
