@@ -79,41 +79,85 @@ class RankTooLow(ValueError):
     """Fewer independent members than the draw takes."""
 
 
-def _k_dpp(correlation: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
-    """Exact fixed-size determinantal draw: choose eigenvectors, then project member by member."""
-    values, vectors = np.linalg.eigh(correlation)
-    # The rank is tested on the matrix itself; the jitter only steadies the draw.
-    if (values > EIGEN_TOLERANCE * max(1.0, float(values[-1]))).sum() < k:
-        raise RankTooLow
-    values = np.maximum(values, 0.0) + JITTER
-    n = len(values)
-    sym = np.zeros((n + 1, k + 1))
-    sym[:, 0] = 1.0
-    for i in range(n):
-        sym[i + 1, 1:] = sym[i, 1:] + values[i] * sym[i, :-1]
-    chosen, left = [], k
-    for i in reversed(range(n)):
-        if left == 0:
-            break
-        if rng.random() * sym[i + 1, left] < values[i] * sym[i, left - 1]:
-            chosen.append(i)
-            left -= 1
-    basis = vectors[:, chosen]
-    residual = (basis**2).sum(axis=1)
-    used: list[np.ndarray] = []
-    members: list[int] = []
-    for _ in range(k):
-        p = np.maximum(residual, 0.0)
-        p[members] = 0.0
-        item = int(rng.choice(n, p=p / p.sum()))
-        direction = basis[item].copy()
-        for u in used:
-            direction -= (direction @ u) * u
-        direction /= np.linalg.norm(direction)
-        used.append(direction)
-        residual = residual - (basis @ direction) ** 2
-        members.append(item)
-    return members
+class Spectrum:
+    """One decomposition of a group's similarity, and the elementary symmetric sums that all its draws share."""
+
+    def __init__(self, correlation: np.ndarray, k: int):
+        values, self.vectors = np.linalg.eigh(correlation)
+        # The rank is tested on the matrix itself; the jitter only steadies the draws.
+        if (values > EIGEN_TOLERANCE * max(1.0, float(values[-1]))).sum() < k:
+            raise RankTooLow
+        self.values, self.k = np.maximum(values, 0.0) + JITTER, k
+        self.sums = _symmetric(self.values, k)
+
+    def draw(self, rng: np.random.Generator) -> list[int]:
+        """Exact fixed-size determinantal draw: choose eigenvectors, then project member by member."""
+        chosen, left = [], self.k
+        for i in reversed(range(len(self.values))):
+            if left == 0:
+                break
+            if rng.random() * self.sums[i + 1, left] < self.values[i] * self.sums[i, left - 1]:
+                chosen.append(i)
+                left -= 1
+        basis = self.vectors[:, chosen]
+        residual = (basis**2).sum(axis=1)
+        used: list[np.ndarray] = []
+        members: list[int] = []
+        for _ in range(self.k):
+            p = np.maximum(residual, 0.0)
+            p[members] = 0.0
+            item = int(rng.choice(len(p), p=p / p.sum()))
+            direction = basis[item].copy()
+            for u in used:
+                direction -= (direction @ u) * u
+            direction /= np.linalg.norm(direction)
+            used.append(direction)
+            residual = residual - (basis @ direction) ** 2
+            members.append(item)
+        return members
+
+    def inclusion(self) -> np.ndarray:
+        """Exact probability of every member to be in a draw; they sum to k."""
+        whole = self.sums[-1, self.k]
+        taken = np.empty(len(self.values))
+        for i, v in enumerate(self.values):
+            taken[i] = v * _symmetric(np.delete(self.values, i), self.k - 1)[-1, self.k - 1] / whole
+        return (self.vectors**2) @ taken
+
+
+def _symmetric(values: np.ndarray, k: int) -> np.ndarray:
+    """Elementary symmetric sums of the first i values, of orders 0 to k."""
+    out = np.zeros((len(values) + 1, k + 1))
+    out[:, 0] = 1.0
+    for i, v in enumerate(values):
+        out[i + 1, 1:] = out[i, 1:] + v * out[i, :-1]
+    return out
+
+
+def _spectra(
+    pair_table: DataFrame, members: DataFrame, group: str, key: str, value: str, k: int, fields: list, emit
+) -> DataFrame:
+    """``emit(ids, spectrum, group name)`` rows of every group; one row with its ``problem`` where a draw is impossible.
+
+    Pairs are shuffled once, by group. Problems: too_few_members, rank_below_k, too_many_members.
+    """
+    everyone = members.select(group, F.col(key).alias("id_a"), F.col(key).alias("id_b"), F.lit(1.0).alias(value))
+    cells = pair_table.select(group, "id_a", "id_b", value).unionByName(everyone)
+    schema = T.StructType([cells.schema[group], *fields, T.StructField("problem", T.StringType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf[group].iloc[0]
+        ids = np.sort(pdf["id_a"][pdf["id_a"] == pdf["id_b"]].unique())
+        problem = "too_few_members" if len(ids) < k else "too_many_members" if len(ids) > PANEL_LIMIT else None
+        if problem is None:
+            try:
+                spectrum = Spectrum(dense_correlation(ids, pdf[pdf["id_a"] != pdf["id_b"]], value), k)
+                return pd.DataFrame([(g, *r, None) for r in emit(ids, spectrum, g)], columns=schema.names)
+            except RankTooLow:
+                problem = "rank_below_k"
+        return pd.DataFrame([(g, *[None] * len(fields), problem)], columns=schema.names)
+
+    return spread_out(cells, group).groupBy(group).applyInPandas(run, schema)
 
 
 def diverse_draws(
@@ -121,37 +165,34 @@ def diverse_draws(
 ) -> DataFrame:
     """k-DPP draws per (group, seed) on bounded shortlists of correlation-normalised similarity.
 
-    A group with fewer than k members or a rank below k gives one row with its ``problem``.
+    All seeds of a group read one decomposition. Returns ``group, seed, key, draw_order, problem``; a group that
+    cannot give a draw (fewer than k members, a rank below k, more than PANEL_LIMIT members) has one row with its
+    ``problem`` and nothing else.
     """
-    everyone = members.select(group, F.col(key).alias("id_a"), F.col(key).alias("id_b"), F.lit(1.0).alias(value))
-    cells = pair_table.select(group, "id_a", "id_b", value).unionByName(everyone)
-    seeded = cells.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    schema = T.StructType(
-        [
-            seeded.schema[group],
-            T.StructField("seed", T.IntegerType()),
-            T.StructField(key, members.schema[key].dataType),
-            T.StructField("draw_order", T.IntegerType()),
-            T.StructField("problem", T.StringType()),
-        ]
-    )
-    names = [f.name for f in schema]
+    fields = [
+        T.StructField("seed", T.IntegerType()), T.StructField(key, members.schema[key].dataType),
+        T.StructField("draw_order", T.IntegerType()),
+    ]
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, seed = pdf[group].iloc[0], int(pdf["seed"].iloc[0])
-        ids = np.sort(pdf["id_a"][pdf["id_a"] == pdf["id_b"]].unique())
-        if len(ids) > PANEL_LIMIT:
-            raise ValueError(f"shortlist of {len(ids)} members in {g}, limit {PANEL_LIMIT}")
-        if len(ids) < k:
-            return pd.DataFrame([(g, seed, None, None, "too_few_members")], columns=names)
-        matrix = dense_correlation(ids, pdf[pdf["id_a"] != pdf["id_b"]], value)
-        try:
-            picked = _k_dpp(matrix, k, np.random.default_rng([seed, zlib.crc32(str(g).encode())]))
-        except RankTooLow:
-            return pd.DataFrame([(g, seed, None, None, "rank_below_k")], columns=names)
-        return pd.DataFrame([(g, seed, ids[i], o + 1, None) for o, i in enumerate(picked)], columns=names)
-
-    return spread_out(seeded, group, "seed").groupBy(group, "seed").applyInPandas(draw, schema)
+    def emit(ids, spectrum, g):
+        for seed in seeds:
+            rng = np.random.default_rng([seed, zlib.crc32(str(g).encode())])
+            for order, i in enumerate(spectrum.draw(rng)):
+                yield seed, ids[i], order + 1
+
+    return _spectra(pair_table, members, group, key, value, k, fields, emit)
+
+
+def inclusion_probabilities(
+    pair_table: DataFrame, members: DataFrame, group: str, key: str, value: str, k: int
+) -> DataFrame:
+    """``group, key, inclusion, problem``: how often each member belongs to a draw in the long run."""
+    fields = [T.StructField(key, members.schema[key].dataType), T.StructField("inclusion", T.DoubleType())]
+
+    def emit(ids, spectrum, g):
+        yield from zip(ids, spectrum.inclusion())
+
+    return _spectra(pair_table, members, group, key, value, k, fields, emit)
 
 
 def pairs_inside(pair_table: DataFrame, panels: DataFrame, group: str, key: str, by: list[str]) -> DataFrame:

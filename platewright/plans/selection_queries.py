@@ -80,10 +80,23 @@ def assay_shortlists(spark, sf, size=20):
     return members.drop("vec"), stable(corr.select("assay", "id_a", "id_b", "correlation"))
 
 
+SEEDS = list(range(100))
+
+
 @query("sel_3")
 def sel_3(spark, sf):
     members, corr = assay_shortlists(spark, sf)
-    return L.diverse_draws(corr, members, "assay", "vec_id", "correlation", 6, [1, 2, 3])
+    return L.diverse_draws(corr, members, "assay", "vec_id", "correlation", 6, SEEDS)
+
+
+@query("sel_3_inclusion")
+def sel_3_inclusion(spark, sf):
+    """Exact inclusion probabilities next to the frequencies of the seeded draws."""
+    members, corr = assay_shortlists(spark, sf)
+    exact = L.inclusion_probabilities(corr, members, "assay", "vec_id", "correlation", 6)
+    draws = L.diverse_draws(corr, members, "assay", "vec_id", "correlation", 6, SEEDS).where("problem IS NULL")
+    counts = draws.groupBy("assay", "vec_id").agg((F.count(F.lit(1)) / F.lit(float(len(SEEDS)))).alias("frequency"))
+    return exact.join(counts, ["assay", "vec_id"], "left").fillna(0.0, ["frequency"])
 
 
 def _greedy_sql(k: int) -> str:
@@ -129,10 +142,13 @@ def sel_5(spark, sf):
 
 @query("sel_6")
 def sel_6(spark, sf):
-    """Seed sensitivity: overlap with the primary draw and diversity of every draw."""
+    """Seed sensitivity: overlap with the primary draw and diversity of every draw.
+
+    An assay without draws keeps one row with its ``problem``.
+    """
     members, corr = assay_shortlists(spark, sf)
-    draws = L.diverse_draws(corr, members, "assay", "vec_id", "correlation", 6, list(range(10)))
-    draws = stable(draws.where(F.col("problem").isNull()).select("assay", "seed", "vec_id"))
+    every = stable(L.diverse_draws(corr, members, "assay", "vec_id", "correlation", 6, SEEDS))
+    draws = every.where(F.col("problem").isNull()).select("assay", "seed", "vec_id")
     primary = draws.where(F.col("seed") == 0)
     values = draws.join(members, ["assay", "vec_id"]).groupBy("assay", "seed").agg(
         F.avg("y").alias("mean_value"), F.min("y").alias("min_value")
@@ -148,30 +164,30 @@ def sel_6(spark, sf):
         "log_determinant",
         "isometry",
     )
-    return (
-        values.join(L.jaccard_to_primary(draws, primary, ["assay"], "vec_id"), ["assay", "seed"])
-        .join(keyed, ["assay", "seed"])
+    found = values.join(L.jaccard_to_primary(draws, primary, ["assay"], "vec_id"), ["assay", "seed"]).join(
+        keyed, ["assay", "seed"]
     )
+    failed = every.where(F.col("problem").isNotNull()).select("assay", "problem")
+    return found.unionByName(failed, allowMissingColumns=True)
 
 
-_SEEDS = list(range(20))
 _DRAWN = (
     _RANKED
-    + f""", dr AS (SELECT p_type, p_partkey FROM rk, range(20) AS s(seed) WHERE rank <= 25
+    + f""", dr AS (SELECT p_type, p_partkey FROM rk, range(100) AS s(seed) WHERE rank <= 25
 QUALIFY row_number() OVER (PARTITION BY p_type, seed ORDER BY {_H.format("seed || '|' || p_partkey")}, p_partkey) <= 8)"""
 )
 
 
 @query(
     "sel_7",
-    f"""WITH {_DRAWN} SELECT p_type, p_partkey, count(d.k) AS selection_count, count(d.k) / 20.0 AS selection_frequency FROM rk LEFT JOIN
+    f"""WITH {_DRAWN} SELECT p_type, p_partkey, count(d.k) AS selection_count, count(d.k) / 100.0 AS selection_frequency FROM rk LEFT JOIN
     (SELECT p_type AS t, p_partkey AS k FROM dr) d ON t = p_type AND k = p_partkey WHERE rank <= 25 GROUP BY 1, 2""",
     "selection_frequency",
 )
 def sel_7(spark, sf):
     short = top_per_group(parts(spark, sf), ["p_type"], ORDER, 25)
-    draws = L.hash_draws(short, ["p_type"], "p_partkey", 8, _SEEDS)
-    return L.selection_frequency(short, draws, ["p_type"], "p_partkey", len(_SEEDS))
+    draws = L.hash_draws(short, ["p_type"], "p_partkey", 8, SEEDS)
+    return L.selection_frequency(short, draws, ["p_type"], "p_partkey", len(SEEDS))
 
 
 @query(

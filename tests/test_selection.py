@@ -17,8 +17,8 @@ def unit_rows(n, d=6, seed=0):
 def test_k_dpp_invariants():
     v = unit_rows(12)
     k = v @ v.T * 0.9 + 0.1 * np.eye(12)
-    a = L._k_dpp(k, 5, np.random.default_rng(4))
-    assert len(set(a)) == 5 and a == L._k_dpp(k, 5, np.random.default_rng(4))
+    a = L.Spectrum(k, 5).draw(np.random.default_rng(4))
+    assert len(set(a)) == 5 and a == L.Spectrum(k, 5).draw(np.random.default_rng(4))
 
 
 def test_k_dpp_distribution_matches_determinants():
@@ -27,7 +27,7 @@ def test_k_dpp_distribution_matches_determinants():
     rng = np.random.default_rng(0)
     counts = {}
     for _ in range(4000):
-        key = tuple(sorted(L._k_dpp(k, 2, rng)))
+        key = tuple(sorted(L.Spectrum(k, 2).draw(rng)))
         counts[key] = counts.get(key, 0) + 1
     minors = {p: 1 - k[p] ** 2 for p in ((0, 1), (0, 2), (1, 2))}
     total = sum(minors.values())
@@ -35,6 +35,35 @@ def test_k_dpp_distribution_matches_determinants():
         assert abs(counts.get(p, 0) / 4000 - m / total) < 0.03
 
 
+def test_inclusion_probabilities_are_exact():
+    """Against all subsets of size k, weighted by their determinants."""
+    from itertools import combinations
+
+    v = unit_rows(7)
+    matrix = v @ v.T * 0.8 + 0.2 * np.eye(7)
+    for k in (1, 3, 6, 7):
+        weight = {c: np.linalg.det(matrix[np.ix_(c, c)]) for c in combinations(range(7), k)}
+        want = [sum(w for c, w in weight.items() if i in c) / sum(weight.values()) for i in range(7)]
+        got = L.Spectrum(matrix, k).inclusion()
+        assert np.allclose(got, want, atol=1e-6) and np.isclose(got.sum(), k, atol=1e-6)
+
+
+def test_frequencies_of_many_seeds_match_the_inclusion_probabilities(spark):
+    v = unit_rows(9)
+    members = spark.createDataFrame([("g", i) for i in range(9)] + [("few", i) for i in range(2)], "g string, id long")
+    pairs = pair_table(spark, v).unionByName(pair_table(spark, unit_rows(2), "few"))
+    seeds = list(range(2000))
+    draws = L.diverse_draws(pairs, members, "g", "id", "c", 3, seeds).toPandas()
+    assert draws[draws["g"] == "few"]["problem"].tolist() == ["too_few_members"]
+    mine = draws[draws["g"] == "g"]
+    assert (mine.groupby("seed")["id"].nunique() == 3).all() and mine["seed"].nunique() == 2000
+    exact = L.inclusion_probabilities(pairs, members, "g", "id", "c", 3).where("g = 'g'").toPandas().set_index("id")["inclusion"]
+    shares = mine["id"].value_counts() / 2000
+    assert (shares.reindex(exact.index).fillna(0) - exact).abs().max() < 0.04
+    few = L.diverse_draws(pairs, members, "g", "id", "c", 3, [5]).where("g = 'g'").toPandas()
+    assert few["id"].tolist() == mine[mine["seed"] == 5].sort_values("draw_order")["id"].tolist()
+
+
 def pair_table(spark, v, group="g"):
     rows = [(group, i, j, float(v[i] @ v[j])) for i in range(len(v)) for j in range(i + 1, len(v))]
     return spark.createDataFrame(rows, "g string, id_a long, id_b long, c double")
