@@ -1,7 +1,7 @@
 """Pair tables inside bounded groups and the similarities built on them.
 
 All pairs are formed only inside a declared group of bounded size (an assay or a panel, see
-``ranking.hash_blocks``), so the pair count is linear in the number of rows.
+``ranking.key_blocks``), so the pair count is linear in the number of rows.
 """
 
 from __future__ import annotations

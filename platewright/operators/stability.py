@@ -38,23 +38,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def broadcast_if_small(materialised: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint for a checkpointed table of at most ``limit`` bytes; otherwise a shuffled join.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet under the shared root, read back: computed once, of known size, independent of executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    The size is summed over the rows written as JSON, so wide rows and long arrays count with what they hold.
-    """
-    row = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in materialised.columns])))
-    size = materialised.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0))).first()[0]
-    return F.broadcast(materialised) if size <= limit else materialised
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, written, with a broadcast hint if its files hold at most ``limit`` bytes; else a shuffled join."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "constants")
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    back = spark.read.schema(df.schema).parquet(path)
+    return F.broadcast(back) if size <= limit else back
 
 
 def attach(df: DataFrame, constants: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Bring per-group constants (fold means, scales, quantiles) to the rows of ``df``.
 
-    The constants are written once and measured. Small ones are broadcast, so the rows stay where they are
-    instead of being shuffled on a handful of keys; larger ones are joined by a shuffle.
+    The constants are written once, which gives the planner their size: small ones are broadcast, so the rows stay where
+    they are instead of being shuffled on a handful of keys; larger ones are joined by a shuffle.
     """
-    return df.join(broadcast_if_small(stable(constants)), keys, how)
+    return df.join(written(constants, "constants"), keys, how)
 
 
 def spread_out(df: DataFrame, *keys: str) -> DataFrame:

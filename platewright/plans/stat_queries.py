@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from platewright.functions.normal import upper_tail_sql
-from platewright.operators import metrics as M, reshape as S, stats as T
+from platewright.operators import gp_models as G, metrics as M, reshape as S, resampling as R, stats as T
 from platewright.operators.stats import poisson_thresholds
+from platewright.operators.stability import stable
 from platewright.plans import views as V
 from platewright.plans.metric_queries import rho_sql
 from platewright.plans.registry import query
@@ -48,6 +49,17 @@ def sta_1(spark, sf):
     return T.percentile_interval(means, ["scope"], ["a_vs_n", "a_vs_r"]).drop("scope")
 
 
+# Draws of the exact bootstrap, which needs no row per draw.
+EXACT_DRAWS = 10_000
+
+
+@query("sta_1_exact")
+def sta_1_exact(spark, sf):
+    """Exact n-of-n resamples dealt down a tree of blocks."""
+    means = R.exact_bootstrap_means(gaps(spark, sf), ["scope"], "key", ["a_vs_n", "a_vs_r"], EXACT_DRAWS)
+    return T.percentile_interval(means, ["scope"], ["a_vs_n", "a_vs_r"]).drop("scope")
+
+
 _POISSON = " + ".join(f"(u >= '{t}')::INT" for t in poisson_thresholds())
 
 
@@ -81,6 +93,23 @@ def sta_2(spark, sf):
     return T.paired_summary(differences(spark, sf), ["focus", "against"])
 
 
+def sta_2_interval_rows(spark, sf):
+    """The paired summary of every ordered model pair with the percentile interval of its mean difference."""
+    d = stable(differences(spark, sf))
+    pair = ["focus", "against"]
+    means = R.exact_bootstrap_means(d, pair, "key", ["difference"], EXACT_DRAWS)
+    ci = T.percentile_interval(means, pair, ["difference"]).drop("statistic")
+    return T.paired_summary(d, pair).join(ci, pair).withColumn(
+        "excludes_zero", (F.col("ci_low") > 0) | (F.col("ci_high") < 0)
+    )
+
+
+@query("sta_2_interval")
+def sta_2_interval(spark, sf):
+    """Paired summaries with intervals."""
+    return sta_2_interval_rows(spark, sf)
+
+
 def tests(spark, sf):
     """Signed-rank tests of every model pair; the ranking is done once per unordered pair."""
     half = differences(spark, sf).where(F.col("focus") < F.col("against"))
@@ -183,6 +212,37 @@ def agg_30(spark, sf):
     )
 
 
+@query("agg_30_fits")
+def agg_30_fits(spark, sf):
+    """Per family: groups, share of searches that converged, share with a parameter at a bound, groups without a fit."""
+    assays = V.assays(spark, sf)
+    found = [
+        G.search_groups(assays, "assay", "vec_id", f, 5, V.N_COMPONENTS).withColumn("family", F.lit(f))
+        for f in ("additive", "epistatic")
+    ]
+    # The additive family has no interaction scale that could stand at a bound.
+    flagged = G.boundary_hits(found[0].drop("sigma_epi")).unionByName(G.boundary_hits(found[1]), allowMissingColumns=True)
+    share = lambda c: F.avg(c.cast("double"))
+    return flagged.groupBy("family").agg(
+        F.count(F.lit(1)).alias("n_groups"),
+        share(F.col("converged")).alias("share_converged"),
+        share(F.col("any_hit")).alias("share_at_bound"),
+        F.avg("iterations").alias("mean_iterations"),
+        F.count_if(F.col("problem").isNotNull()).alias("n_without_fit"),
+    )
+
+
+@query("agg_30_intervals")
+def agg_30_intervals(spark, sf):
+    """How many of the intervals of a focus model exclude zero, on either side."""
+    ci = sta_2_interval_rows(spark, sf)
+    return ci.groupBy("focus").agg(
+        F.count(F.lit(1)).alias("n_intervals"),
+        F.count_if(F.col("ci_low") > 0).alias("n_better"),
+        F.count_if(F.col("ci_high") < 0).alias("n_worse"),
+    )
+
+
 @query(
     "sta_6",
     f"""WITH s AS (SELECT 'all' AS scope, * FROM v_pred UNION ALL SELECT 'mutated', * FROM v_pred WHERE mutation_order > 0), r AS ({rho_sql('s', 'model, scope')}),
