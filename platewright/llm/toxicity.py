@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -53,6 +54,8 @@ PRIOR_BIAS = -3.0
 KEPT = {"negated": 0.3, "reported": 0.3}
 # Bounds of the fit: labelled rows, and stems of the lexicon.
 SAMPLE, MOST_STEMS = 12_000, 60_000
+# Standard deviations by which a stem's log-odds must stand out to be tried.
+STANDS_OUT = 2.0
 
 
 class Transducer:
@@ -249,8 +252,9 @@ def fit_weights(
     if not 0 < y.sum() < n:
         return list(PRIOR.values()), [0.0] * n_stems, PRIOR_BIAS
     at, col = np.nonzero(listed)
-    rows, cols = np.concatenate([at, rows]).astype(np.int64), np.concatenate([col, stems + k]).astype(np.int64)
-    values = np.concatenate([listed[at, col], values])
+    # Half the bytes of the usual kinds: these arrays are what the driver holds.
+    rows, cols = np.concatenate([at.astype(np.int32), rows]), np.concatenate([col.astype(np.int32), stems + np.int32(k)])
+    values = np.concatenate([listed[at, col].astype(np.float32), values])
     share = np.where(y == 1, 0.5 * n / y.sum(), 0.5 * n / (n - y.sum()))
 
     def outputs(w: np.ndarray) -> np.ndarray:
@@ -298,9 +302,9 @@ def calibrated(
         inside = known[rows]
         toxic = np.bincount(stems[inside], weights=y[rows[inside]], minlength=n_stems)
         seen = np.bincount(stems[inside], minlength=n_stems)
-        fine = (toxic >= 2) & (log_odds_of(toxic, seen, y[known].sum(), known.sum()) >= 1)
+        fine = (toxic >= 2) & (log_odds_of(toxic, seen, y[known].sum(), known.sum()) >= STANDS_OUT)
         inside &= fine[stems]
-        order = np.cumsum(known) - 1
+        order = (np.cumsum(known) - 1).astype(np.int32)
         own = fit_weights(listed[known], order[rows[inside]], stems[inside], values[inside], n_stems, y[known])
         use = ~known[rows] & fine[stems]
         part = np.bincount(rows[use], weights=values[use] * np.array(own[1])[stems[use]], minlength=n)
@@ -390,7 +394,7 @@ def learn(
     """Fit on labelled rows whose crc32(doc_id) mod 3 is not 1.
 
     ``sample`` bounds the labelled rows used: those of smallest hash, about that many. Near copies count once. A stem
-    is tried if it begins words in two toxic training texts and its log-odds stand out by a standard deviation; of
+    is tried if it begins words in two toxic training texts and its log-odds stand out (STANDS_OUT); of
     more than MOST_STEMS the strongest are tried. Their weights and those of the classes are fitted together.
     Rows with null id, null label or several labels (the largest counts) are handled; without rows of both
     labels the prior grammar is returned.
@@ -415,12 +419,12 @@ def learn(
     counted = single.select("text", "toxic").mapInArrow(_count_stems, STEM_SCHEMA).groupBy("stem").agg(
         F.sum("toxic").alias("toxic"), F.sum("n").alias("n")
     )
-    found = counted.withColumn("z", log_odds(F.col("toxic"), F.col("n"), toxic, n)).where("toxic >= 2 and z >= 1")
+    found = counted.withColumn("z", log_odds(F.col("toxic"), F.col("n"), toxic, n)).where((F.col("toxic") >= 2) & (F.col("z") >= STANDS_OUT))
     found = found.orderBy(F.col("z").desc(), "stem").limit(MOST_STEMS)
     stems = choose_stems([tuple(r) for r in found.select("stem", "toxic", "n").collect()])
     place = {s: i for i, s in enumerate(stems)}
 
-    @F.pandas_udf("listed array<double>, stems array<int>, x array<double>")
+    @F.pandas_udf("listed array<double>, stems array<int>, x array<float>")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         grammar = Grammar(dict.fromkeys(place, 1.0))
         for batch in batches:
@@ -431,13 +435,13 @@ def learn(
                 out.append((listed, [i for i, _ in own], [x for _, x in own]))
             yield pd.DataFrame(out, columns=["listed", "stems", "x"])
 
-    data = single.select("sketch", "toxic", measured("text").alias("m")).select("sketch", "toxic", "m.*").toPandas()
-    data = data.sort_values(["sketch", "toxic"], ignore_index=True)
-    sizes = data["stems"].map(len).to_numpy()
-    joined = lambda c, kind: np.concatenate([np.asarray(v, dtype=kind) for v in data[c]])
+    data = single.select("sketch", "toxic", measured("text").alias("m")).select("sketch", "toxic", "m.*").toArrow()
+    data = data.sort_by([("sketch", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    flat = lambda c, kind: data.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
+    rows_of = np.repeat(np.arange(data.num_rows, dtype=np.int32), pc.list_value_length(data.column("stems")).to_numpy())
     weights, strengths, bias = calibrated(
-        np.array(data["listed"].tolist(), dtype=float).reshape(-1, len(NAMES)), np.repeat(np.arange(len(data)), sizes),
-        joined("stems", np.int64), joined("x", float), len(stems), data["toxic"].to_numpy(dtype=float),
+        flat("listed", float).reshape(-1, len(NAMES)), rows_of, flat("stems", np.int32), flat("x", np.float32),
+        len(stems), data.column("toxic").to_numpy().astype(float),
     )
     # Stems without weight say nothing and are not carried.
     return Model({s: w for s, w in zip(stems, strengths, strict=True) if w > 1e-6}, weights, bias)
