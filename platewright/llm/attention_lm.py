@@ -41,6 +41,10 @@ OWN_ROWS, OWN_CLASSES, START_CLASSES, INNER_CLASSES = 1024, 44, 24, 18
 CONTEXTS, FOLLOWERS = 512, 128
 ALPHA = 5.0
 CHUNK = 64
+# Windows of a training step.
+BATCH = 128
+# Distinct words whose ids a task keeps.
+KEPT_WORDS = 300_000
 # Words that a task of a training round learns from. Each task sends its weights, so this bounds what a round shuffles.
 TASK_WORDS = 400_000
 # Bytes of text that a scoring task works on at a time.
@@ -263,39 +267,89 @@ def _attend(p: dict, rows: np.ndarray, mask: np.ndarray):
     return q, k, v, s, z
 
 
+class Step:
+    """Loss and gradients of batches of up to ``n`` windows, with buffers that are filled again and again.
+
+    The network corrects what the counts say of the next class (``jump``). Weights stay within MOST, so exponentials
+    need no maximum taken off; sums along short axes are products with ones.
+    """
+
+    def __init__(self, p: dict, n: int, kind=np.float32):
+        classes = p["out"].shape[1]
+        shape = lambda *d: np.empty(d, kind)
+        self.t, self.dt = shape(n, WINDOW, WIDTH), shape(n, WINDOW, WIDTH)
+        self.s, self.ds = shape(n, WINDOW, WINDOW), shape(n, WINDOW, WINDOW)
+        self.o, self.z, self.h, self.dz = (shape(n, WINDOW, DIM) for _ in range(4))
+        self.x, self.more = shape(n * WINDOW, classes), shape(n * WINDOW, classes)
+        self.ones, self.each = np.ones(classes, kind), np.ones(WINDOW, kind)
+        self.scale = kind(KEY_DIM**-0.5)
+        self.g = {name: np.empty_like(v, dtype=kind) for name, v in p.items()}
+        self.apart = np.maximum(DISTANCE, 0).ravel()
+        self.before = np.tri(WINDOW, dtype=kind).ravel()
+        self.column = np.arange(WIDTH)
+        self.rowed = np.ones(n * WINDOW, kind)
+
+    def gradients(
+        self, p: dict, rows: np.ndarray, target: np.ndarray, jump: np.ndarray, before: np.ndarray, counted: np.ndarray
+    ) -> tuple[dict, float]:
+        """(gradients, mean loss); they live in the buffers. ``before``: row of ``jump`` at each counted position.
+
+        ``counted`` marks the positions that hold a ``target``, and ``target`` has one entry for each of them.
+        """
+        n, places = len(rows), np.flatnonzero(counted)
+        m = len(places)
+        g, t, s, dz = self.g, self.t[:n], self.s[:n], self.dz[:n]
+        np.take(p["rows"], rows, axis=0, out=t, mode="clip")
+        q, k, v, e = np.split(t, SPLITS, axis=-1)
+        q *= self.scale
+        np.matmul(q, k.swapaxes(-1, -2), out=s)
+        s += _mask(p["near"])
+        np.exp(s, out=s)
+        s /= (s @ self.each)[..., None]
+        o = np.matmul(s, v, out=self.o[:n])
+        z = np.add(o, e, out=self.z[:n])
+        h = np.maximum(z, 0, out=self.h[:n]).reshape(-1, DIM).take(places, axis=0)
+        x = np.matmul(h, p["out"], out=self.x[:m])
+        x += np.take(jump, before, axis=0, out=self.more[:m], mode="clip")
+        x += p["bias"]
+        np.exp(x, out=x)
+        total = x @ self.ones
+        at = np.arange(m)
+        loss = float(np.mean(np.log(total) - np.log(np.maximum(x[at, target], 1e-30))))
+        x *= (1.0 / (total * m))[:, None]
+        x[at, target] -= x.dtype.type(1.0 / m)
+        np.matmul(h.T, x, out=g["out"])
+        np.matmul(self.rowed[:m], x, out=g["bias"])
+        flat = dz.reshape(-1, DIM)
+        if m < len(flat):
+            flat[:] = 0
+        flat[places] = x @ p["out"].T
+        dz *= z > 0
+        ds = np.matmul(dz, v.swapaxes(-1, -2), out=self.ds[:n])
+        # The weighted mean of a row of ds is what the attended value itself moves by.
+        ds -= np.einsum("nwd,nwd->nw", dz, o)[..., None]
+        ds *= s
+        dt = self.dt[:n]
+        dt[..., : SPLITS[0]] = np.matmul(ds, k)
+        dt[..., : SPLITS[0]] *= self.scale
+        dt[..., SPLITS[0] : SPLITS[1]] = np.matmul(ds.swapaxes(-1, -2), q)
+        dt[..., SPLITS[1] : SPLITS[2]] = np.matmul(s.swapaxes(-1, -2), dz)
+        dt[..., SPLITS[2] :] = dz
+        # One running sum per row and column, over places that count both.
+        cell = (rows.reshape(-1, 1) * WIDTH + self.column).ravel()
+        g["rows"][:] = np.bincount(cell, weights=dt.ravel(), minlength=g["rows"].size).reshape(-1, WIDTH)
+        pulls = ds.sum(axis=0).ravel() * self.before
+        g["near"][:] = np.bincount(self.apart, weights=pulls, minlength=WINDOW)
+        return g, loss
+
+
 def train_step(p: dict, rows: np.ndarray, target: np.ndarray, jump: np.ndarray, counted: np.ndarray) -> tuple[dict, float]:
     """Gradients and mean loss of a batch of windows; ``counted`` marks positions that hold a target.
 
-    ``jump``: for those positions, what the counts say of the next class; the network corrects it.
+    ``jump``: for those positions, what the counts say of the next class.
     """
-    q, k, v, a, z = _attend(p, rows, _mask(p["near"]))
-    h = np.maximum(z, 0)
-    hc, y = h[counted], target[counted]
-    logits = hc @ p["out"] + p["bias"] + jump
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    n = len(y)
-    loss = -float(np.mean(np.log(logits[np.arange(n), y] + 1e-30)))
-    logits[np.arange(n), y] -= 1
-    logits /= n
-    g = {"out": hc.T @ logits, "bias": logits.sum(axis=0)}
-    dz = np.zeros_like(z)
-    dz[counted] = logits @ p["out"].T
-    dz *= z > 0
-    da = np.matmul(dz, v.swapaxes(-1, -2))
-    dv = np.matmul(a.swapaxes(-1, -2), dz)
-    ds = a * (da - np.sum(da * a, axis=-1, keepdims=True))
-    scale = np.float32(KEY_DIM**-0.5)
-    dt = np.concatenate([np.matmul(ds, k) * scale, np.matmul(ds.swapaxes(-1, -2), q) * scale, dv, dz], axis=-1)
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    names, at = np.unique(flat[order], return_index=True)
-    g["rows"] = np.zeros_like(p["rows"])
-    g["rows"][names] = np.add.reduceat(dt.reshape(-1, WIDTH)[order], at, axis=0)
-    pulls = ds.sum(axis=0)
-    g["near"] = np.array([np.trace(pulls, offset=-d) for d in range(WINDOW)], dtype=np.float32)
-    return g, loss
+    step = Step(p, len(rows), p["rows"].dtype.type)
+    return step.gradients(p, rows, target[counted], jump, np.arange(len(jump)), counted)
 
 
 class Adam:
@@ -303,14 +357,27 @@ class Adam:
         self.rate, self.t = rate, 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        self.room = {k: np.empty_like(v) for k, v in p.items()}
 
     def step(self, p: dict, g: dict) -> None:
+        """One step in place; ``g`` is used up."""
         self.t += 1
+        far, wide = 1 - 0.9**self.t, 1 - 0.99**self.t
         for k in p:
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] ** 2 - self.v[k])
-            m, v = self.m[k] / (1 - 0.9**self.t), self.v[k] / (1 - 0.99**self.t)
-            p[k] -= (self.rate * m / (np.sqrt(v) + 1e-6)).astype(np.float32)
+            m, v, x, room = self.m[k], self.v[k], g[k], self.room[k]
+            np.subtract(x, m, out=room)
+            room *= p[k].dtype.type(0.1)
+            m += room
+            x *= x
+            x -= v
+            x *= p[k].dtype.type(0.01)
+            v += x
+            np.multiply(v, p[k].dtype.type(1 / wide), out=room)
+            np.sqrt(room, out=room)
+            room += p[k].dtype.type(1e-6)
+            np.divide(m, room, out=room)
+            room *= p[k].dtype.type(self.rate / far)
+            p[k] -= room
             np.clip(p[k], -MOST[k], MOST[k], out=p[k])
 
 
@@ -372,10 +439,7 @@ class Scorer:
         lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
         if not len(lengths):
             return np.empty(0)
-        goal = np.concatenate([x for t in texts for x in (t, [layout.end])]).astype(np.int64)
-        given = np.concatenate([x for t in texts for x in ([layout.begin], t)]).astype(np.int64)
-        rows, cls = layout.row_of.take(given), layout.class_of.take(goal)
-        before = layout.context_of.take(given)
+        rows, cls, before, goal = _laid_out(layout, texts, lengths)
         value = layout.within[before, layout.column_of.take(goal)].astype(np.float64)
         at, _, scored = windows(lengths, STRIDE)
         for i in range(0, len(at), CHUNK):
@@ -400,48 +464,34 @@ def log_probability(p: dict, layout: Layout, texts: list[np.ndarray]) -> np.ndar
 # -- distributed training ---------------------------------------------------------------------------------------
 
 
-def _training_ids(blob, pattern: str):
-    """Subword ids of texts, so that they are split once for all rounds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(blob.value, pattern)
-        for batch in batches:
-            ids = [np.array(subwords(encoding, blank_words(raw)), dtype=np.int32).tobytes() for raw in batch.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
-
-    return run
-
-
-def _local_rounds(model, rate: float):
+def _local_rounds(model, rate: float, kind):
     """One pass of descent over a task's texts from the shared weights; yields token-weighted weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layout, start = pickle.loads(model.value)
         p = {k: v.copy() for k, v in start.items()}
-        adam, seen = Adam(p, rate), 0
+        adam, step, seen = Adam(p, rate), Step(p, BATCH), 0
         held: list[np.ndarray] = []
 
         def learn() -> None:
             nonlocal seen
             lengths = np.array([len(t) + 1 for t in held])
-            goal = np.concatenate([np.append(t, layout.end) for t in held]).astype(np.int64)
-            given = np.concatenate([np.append([layout.begin], t) for t in held]).astype(np.int64)
-            rows, cls = layout.row_of[given], layout.class_of[goal]
+            rows, cls, before, _ = _laid_out(layout, held, lengths)
             at, inside, _ = windows(lengths, WINDOW)
             order = np.random.default_rng(len(at)).permutation(len(at))
-            for i in range(0, len(at), 64):
-                some = order[i : i + 64]
-                put = at[some]
-                jump = layout.jump[layout.context_of[given[put[inside[some]]]]]
-                g, _ = train_step(p, rows[put], cls[put], jump, inside[some])
+            for i in range(0, len(at), BATCH):
+                some = order[i : i + BATCH]
+                put, counted = at[some], inside[some]
+                where = put[counted]
+                g, _ = step.gradients(p, rows.take(put), cls.take(where), layout.jump, before.take(where), counted)
                 adam.step(p, g)
-            seen += len(goal)
+            seen += len(rows)
             held.clear()
 
         size = 0
         for batch in batches:
             for raw in batch.column("ids").to_pylist():
-                held.append(np.frombuffer(raw, dtype=np.int32))
+                held.append(np.frombuffer(raw, dtype=kind))
                 size += len(held[-1])
                 if size > 200_000:
                     learn()
@@ -454,6 +504,20 @@ def _local_rounds(model, rate: float):
     return run
 
 
+def _laid_out(layout: Layout, texts: list[np.ndarray], lengths: np.ndarray):
+    """For texts laid end to end, each with its end: embedding rows, classes, contexts and what is to come."""
+    ends = np.cumsum(lengths)
+    goal = np.empty(int(ends[-1]), dtype=np.int64)
+    given = np.empty_like(goal)
+    inner = np.ones(len(goal), dtype=bool)
+    inner[ends - 1] = False
+    goal[inner] = np.concatenate(texts) if texts else ()
+    goal[ends - 1] = layout.end
+    given[1:] = goal[:-1]
+    given[ends - lengths] = layout.begin
+    return layout.row_of.take(given), layout.class_of.take(goal), layout.context_of.take(given), goal
+
+
 def _packed(sums: dict, seen: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"sums": pa.array([pickle.dumps(sums)], pa.binary()), "seen": pa.array([seen], pa.int64())})
 
@@ -469,15 +533,15 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _packed(total, seen)
 
 
-def train(texts: DataFrame, layout: Layout, blob, pattern: str, tasks: int, rounds: int, rate: float) -> dict:
-    """Rounds of local descent and averaging. Sums are added over two levels of tasks; one row reaches the driver."""
+def train(texts: DataFrame, layout: Layout, kind, tasks: int, rounds: int, rate: float) -> dict:
+    """Rounds of local descent on ``ids`` and averaging. Sums are added over two levels of tasks; one row reaches the driver."""
     sc = texts.sparkSession.sparkContext
     p = initial(layout)
-    spread = saved(texts.repartition(tasks).mapInArrow(_training_ids(blob, pattern), "ids binary"), "training")
+    spread = saved(texts.repartition(tasks), "training")
     for k in range(rounds):
         model = sc.broadcast(pickle.dumps((layout, p)))
         schema = "sums binary, seen long"
-        sums = spread.mapInArrow(_local_rounds(model, rate * 0.5**k), schema)
+        sums = spread.mapInArrow(_local_rounds(model, rate * 0.5**k, kind), schema)
         if tasks > 8:
             sums = sums.repartition(math.isqrt(tasks)).mapInArrow(_added, schema)
         row = sums.coalesce(1).mapInArrow(_added, schema).first()
@@ -490,29 +554,42 @@ def train(texts: DataFrame, layout: Layout, blob, pattern: str, tasks: int, roun
 
 # -- scoring ----------------------------------------------------------------------------------------------------
 
-PARTS = "n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:int>>"
+PARTS = "n_tokens long, n_known long, base double, ids binary, rare array<struct<word:binary,n:int>>"
 RARE = pa.struct([("word", pa.binary()), ("n", pa.int32())])
 
 
-def _score(model, common, blob, pattern: str, end_count: int):
-    """Per text: common words' part of the base sum, the other words with counts, and the model's log10 score.
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded bytes of ``column``."""
+    begin = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        size += n
+        if size > SLICE_BYTES:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, size = i + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
 
-    Columns besides ``raw`` pass through. Texts are worked on in slices of bounded bytes.
+def _prepare(common, blob, pattern: str, end_count: int, kind):
+    """Per text: subword ids, common words' part of the base sum, and the other words with counts.
+
+    Columns besides ``raw`` pass through. A word's ids are kept for the next time it occurs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout, p = pickle.loads(model.value)
-        scorer = Scorer(p, layout)
         logs: dict[bytes, tuple[float, bool]] = common.value
         encoding = _encoding(blob.value, pattern)
         ending = math.log10(end_count + 0.1)
+        known_ids: dict[bytes, bytes] = {}
 
-        def scored(rows: pa.RecordBatch) -> pa.RecordBatch:
+        def prepared(rows: pa.RecordBatch) -> pa.RecordBatch:
             tokens, known, base, ids = [], [], [], []
             rare_words, rare_counts, offsets = [], [], [0]
             for raw in rows.column("raw").to_pylist():
                 words = blank_words(raw)
                 total, sure = ending, int(end_count > 0)
+                if len(known_ids) > KEPT_WORDS:
+                    known_ids.clear()
                 for w, n in Counter(words).items():
                     entry = logs.get(w)
                     if entry is None:
@@ -521,30 +598,41 @@ def _score(model, common, blob, pattern: str, end_count: int):
                     else:
                         total += n * entry[0]
                         sure += n * entry[1]
+                    if w not in known_ids:
+                        known_ids[w] = np.array(subwords(encoding, [w]), dtype=kind).tobytes()
                 tokens.append(len(words) + 1)
                 known.append(sure)
                 base.append(total)
                 offsets.append(len(rare_words))
-                ids.append(np.array(subwords(encoding, words), dtype=np.int32))
+                ids.append(b"".join([known_ids[w] for w in words]))
             pairs = [pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int32())]
             rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(pairs, fields=list(RARE)))
-            score = scorer.log_probability(ids) / math.log(10)
             kept = [c for c in rows.schema.names if c != "raw"]
             return pa.RecordBatch.from_arrays(
                 [rows.column(c) for c in kept]
-                + [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), rare],
-                [*kept, "n_tokens", "n_known", "base", "score", "rare"],
+                + [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(ids, pa.binary()), rare],
+                [*kept, "n_tokens", "n_known", "base", "ids", "rare"],
             )
 
         for batch in batches:
-            begin = size = 0
-            for i, n in enumerate(pc.binary_length(batch.column("raw")).to_pylist()):
-                size += n
-                if size > SLICE_BYTES:
-                    yield scored(batch.slice(begin, i + 1 - begin))
-                    begin, size = i + 1, 0
-            if begin < batch.num_rows:
-                yield scored(batch.slice(begin))
+            for part in _slices(batch, "raw"):
+                yield prepared(part)
+
+    return run
+
+
+def _score(model, kind):
+    """The model's log10 score of ``ids``; other columns pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout, p = pickle.loads(model.value)
+        scorer = Scorer(p, layout)
+        for batch in batches:
+            for part in _slices(batch, "ids"):
+                ids = [np.frombuffer(x, dtype=kind) for x in part.column("ids").to_pylist()]
+                score = pa.array(scorer.log_probability(ids) / math.log(10))
+                kept = [c for c in part.schema.names if c != "ids"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], score], [*kept, "score"])
 
     return run
 
@@ -555,17 +643,15 @@ def score_texts(
     doc_id: str = "doc_id",
     tokenizer: str = TOKENIZER,
     pattern: str = PATTERN,
-    share: float = 1.0,
-    least_tokens: int = 0,
     rounds: int = 3,
-    rate: float = 0.01,
+    rate: float = 0.02,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Texts whose crc32(doc_id) mod 10 is not 0 are learnt from. ``base_score`` is the add-0.1 unigram score over
     words and an end; ``score`` the attention model's log10-probability. Attention weights are trained on
-    all of them, as every count covers all of them; a ``share`` below 1 takes a part, but no fewer than about
-    ``least_tokens`` words. Words above 1 / 2^19 of all tokens are scored in place from a
+    all of them, as every count covers all of them. Texts are split into subwords once; training and scoring read
+    the ids. Words above 1 / 2^19 of all tokens are scored in place from a
     broadcast of at most 2^19 words; the others are joined with the word table, where none of them is hot.
 
     Null and empty texts are one end. A null id is learnt from and never held out; repeated rows keep a row each;
@@ -596,23 +682,24 @@ def score_texts(
     pairs = saved(pairs.groupBy("prev", "id").agg(F.sum("n").alias("n")), "pairs")
     layout = fitted_layout(pairs, vocabulary, starts, ends)
 
-    unit = F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    part = min(1.0, max(share, least_tokens / max(1, total)))
-    chosen = texts.where(~F.col("held_out") & (unit < part)).select("raw")
-    tasks = max(1, int(total * part / TASK_WORDS))
-    p = train(chosen, layout, blob, pattern, tasks, rounds, rate)
-    model = sc.broadcast(pickle.dumps((layout, p)))
+    kind = np.uint16 if vocabulary <= 1 << 16 else np.int32
     numbered = texts.withColumn("rid", F.monotonically_increasing_id())
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.drop("raw").schema.fields)
-    scored = saved(numbered.mapInArrow(_score(model, common, blob, pattern, ends), f"{kept}, {PARTS}"), "scored")
-    rare = scored.select("rid", F.explode("rare").alias("w")).select("rid", F.col("w.word").alias("word"), F.col("w.n").alias("n"))
+    prepared = saved(numbered.mapInArrow(_prepare(common, blob, pattern, ends, kind), f"{kept}, {PARTS}"), "prepared")
+    tasks = max(1, total // TASK_WORDS)
+    p = train(prepared.where(~F.col("held_out")).select("ids"), layout, kind, tasks, rounds, rate)
+    model = sc.broadcast(pickle.dumps((layout, p)))
+    passed = prepared.drop("rare")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in passed.drop("ids").schema.fields)
+    scored = passed.mapInArrow(_score(model, kind), f"{fields}, score double")
+    rare = prepared.select("rid", F.explode("rare").alias("w")).select("rid", F.col("w.word").alias("word"), F.col("w.n").alias("n"))
     seen = counts.where(F.col("n_all") < floor).select("word", "n_train")
     other = rare.join(seen, "word").groupBy("rid").agg(
         F.sum(F.col("n") * F.log10(F.col("n_train") + F.lit(0.1))).alias("more"),
         F.sum(F.when(F.col("n_train") > 0, F.col("n")).otherwise(0)).alias("more_known"),
     )
     per_token = F.lit(math.log10(total + 0.1 * (distinct + 1)))
-    out = scored.drop("rare").join(other, "rid", "left")
+    out = scored.join(other, "rid", "left")
     return out.select(
         "doc_id",
         "held_out",

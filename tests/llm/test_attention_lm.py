@@ -108,7 +108,7 @@ def _texts():
 def test_base_score_and_edges(spark):
     texts = _texts()
     rows = [(i, t, "mine", "mine") for i, t in enumerate(texts)] + [(None, "alpha1", "a", "b"), (3, texts[3], "a", "b")]
-    got = lm.score_texts(spark.createDataFrame(rows, DOCS), least_tokens=3_000, rounds=1).collect()
+    got = lm.score_texts(spark.createDataFrame(rows, DOCS), rounds=1).collect()
     assert len(got) == len(rows)
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     words = lambda t: (t or "").encode().lower().split()
@@ -162,12 +162,42 @@ def test_weights_are_learnt_from_every_training_text(spark, monkeypatch):
     given = []
 
     def train(texts, layout, *rest):
-        given.extend(bytes(r.raw).split()[0].decode() for r in texts.collect())
+        given.extend(bytes(r.ids) for r in texts.collect())
         return lm.initial(layout)
 
     monkeypatch.setattr(lm, "train", train)
     lm.score_texts(spark.createDataFrame(texts, DOCS)).count()
-    assert sorted(given) == sorted(f"w{i}" for i in range(1000) if zlib.crc32(str(i).encode()) % 10)
+    with open(lm.TOKENIZER, "rb") as f:
+        encoding = lm._encoding(f.read(), lm.PATTERN)
+    whole = [np.array(lm.subwords(encoding, t.encode().split()), dtype=np.uint16).tobytes() for i, t, *_ in texts if zlib.crc32(str(i).encode()) % 10]
+    assert sorted(given) == sorted(whole)
+
+
+def test_ids_of_single_words_are_those_of_the_text():
+    """Words are split one by one and kept; the ids must be those of splitting the text at once."""
+    with open(lm.TOKENIZER, "rb") as f:
+        encoding = lm._encoding(f.read(), lm.PATTERN)
+    for text in _texts() + ["it's a\u00a0b c\u00a0 d", "x--y \" 12ab\u3000z", "漢字 かな ไทย", "a\u2003\u2003b c"]:
+        words = lm.blank_words((text or "").encode())
+        if words and max(map(len, words)) <= lm.LONGEST_WORD:
+            assert lm.subwords(encoding, words) == [i for w in words for i in lm.subwords(encoding, [w])]
+
+
+def test_buffers_leave_no_trace_between_batches():
+    layout, vocabulary = _layout()
+    p = lm.initial(layout)
+    step, rng = lm.Step(p, 6), np.random.default_rng(5)
+    for n in (6, 2, 5, 1):
+        ids = rng.integers(0, vocabulary, (n, lm.WINDOW))
+        rows, cls = layout.row_of[ids], layout.class_of[ids]
+        counted = rng.random((n, lm.WINDOW)) < 0.8
+        before = layout.context_of[ids[counted]]
+        g, loss = step.gradients(p, rows, cls[counted], layout.jump, before, counted)
+        exact = {k: v.astype(np.float64) for k, v in p.items()}
+        plain, want = lm.train_step(exact, rows, cls, layout.jump[before].astype(float), counted)
+        assert math.isclose(loss, want, rel_tol=1e-4)
+        for name in p:
+            assert np.allclose(g[name], plain[name], atol=1e-5), name
 
 
 @pytest.mark.skipif("PLATEWRIGHT_LM_QUALITY" not in os.environ, reason="names the table to measure on, such as check_s")
