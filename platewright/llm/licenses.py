@@ -8,6 +8,7 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platewright.llm.license_texts import ISC, MIT, notices, whole_texts  # noqa: F401
 from platewright.llm.store import saved
 from platewright.operators.stability import broadcast_if_small
 
@@ -19,46 +20,9 @@ SPELLINGS = {
     "judgement": "judgment", "acknowledgement": "acknowledgment", "recognised": "recognized", "https": "http",
     "licensor's": "licensors", "merchantibility": "merchantability",
 }
-COPYRIGHT = r"^(?:copyright|copyrights|©|\(c\))(?:\W.*)?$"
-# Known licences and notices, by identifier.
-MIT = """MIT License
-Copyright (c) <year> <holder>
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
-files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
-modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
-Software is furnished to do so, subject to the following conditions:
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
-Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
-WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
-COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
-ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-ISC = """ISC License
-Copyright (c) <year> <holder>
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
-provided that the above copyright notice and this permission notice appear in all copies.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
-WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
-CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
-CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
-SOFTWARE."""
-KNOWN = (
-    ("MIT", MIT),
-    ("MIT", "\n".join(MIT.split("\n")[1:])),
-    ("ISC", ISC),
-    ("ISC", "\n".join(ISC.split("\n")[1:])),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC0-1.0", "Licensed under CC0 1.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("all-rights-reserved", "All rights reserved."),
-)
+# A copyright line may stand behind the marks of a comment.
+COPYRIGHT = r"^[-*#/;%!<>|\x20\t]*(?:copyright|copyrights|©|\(c\))(?:\W.*)?$"
+KNOWN = tuple(whole_texts() + notices())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
@@ -91,7 +55,7 @@ def known_licenses(spark: SparkSession, texts=KNOWN) -> DataFrame:
 def lines_column(text: Column) -> Column:
     """Lines as ``plain_lines`` makes them, JVM-side."""
     low = F.replace(F.translate(text, UPPER, LOWER), F.lit("'"), F.lit(""))
-    lines = F.filter(F.transform(F.split(low, "\n"), F.trim), lambda x: ~x.rlike(COPYRIGHT))
+    lines = F.filter(F.transform(F.split(low, "\n"), lambda x: F.trim(x)), lambda x: ~x.rlike(COPYRIGHT))
     bare = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, PUNCTUATION, " ")))
     return F.filter(bare, lambda x: x != "")
 

@@ -156,7 +156,7 @@ sp AS (SELECT map_from_entries(list((a, b))) AS m FROM (VALUES {_SPELLED}) AS t(
 l AS (
   SELECT doc_id, list_filter(list_transform(list_filter(list_transform(
     string_split(replace(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), chr(39), ''), chr(10)),
-    lambda x: trim(x, ' ')), lambda x: NOT regexp_matches(x, '^(?:copyright|copyrights|©|\(c\))(?:[^A-Za-z0-9_].*)?$')),
+    lambda x: trim(x, ' ')), lambda x: NOT regexp_matches(x, '^[-*#/;%!<>|\x20\t]*(?:copyright|copyrights|©|\(c\))(?:[^A-Za-z0-9_].*)?$')),
     lambda x: trim(regexp_replace(x, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'))), lambda x: x <> '') AS lines
   FROM documents),
 d AS (

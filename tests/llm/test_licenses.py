@@ -47,3 +47,32 @@ def test_empty_tables(spark):
     nothing = li.known_licenses(spark).limit(0)
     got = li.find_licenses(docs, nothing).collect()
     assert len(got) == len(rows) and not any(r.license or r.licenses for r in got)
+
+
+def test_layouts_that_are_not_in_the_table(spark):
+    """Other line breaks, marks, spellings and holders than the table has."""
+    from platewright.llm import license_texts as texts
+
+    bsd = f"{texts.BSD_HEAD}\n{texts.BSD_THIRD}\n{texts.BSD_TAIL}"
+    wrapped = " * " + bsd.replace("<year>, <holder>", "1999 The Project").replace("1. ", "(1) ").replace("\n", "\n * ")
+    bullets = bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ").replace("All rights reserved.\n", "")
+    rows = [
+        (1, wrapped, "BSD-3-Clause"), (2, bullets, "BSD-3-Clause"), (3, texts.UNLICENSE.replace(", ", ",\n"), "Unlicense"),
+        (4, texts.ZLIB.replace("acknowledgment", "acknowledgement").title(), "Zlib"), (5, "// " + texts.APACHE_NOTICE.replace("\n", "\n// "), "Apache-2.0"),
+        (6, texts.BOOST.replace("organization", "organisation").replace("license", "licence"), "BSL-1.0"),
+        (7, texts.GNU_NOTICE.format(thing="program", name="General Public License", version="3"), "GPL-3.0-or-later"),
+        (8, "# SPDX-License-Identifier: MPL-2.0\nint main;", None), (9, bsd.replace("retain", "keep"), None), (10, "/* spdx-license-identifier: 0bsd */", "0BSD"),
+        (11, "Licensed under the BSD 3-Clause Licence\nmore", None), (12, "This work is licensed under the GNU LGPL v2.1.", "LGPL-2.1"),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in li.find_licenses(docs).collect()}
+    assert {i: got[i].license for i, *_ in rows} == {i: want for i, _, want in rows}
+    assert got[8].licenses == ["MPL-2.0"] and got[11].licenses == ["BSD-3-Clause"] and got[9].n_license_lines == 1
+
+
+def test_no_digest_stands_for_two_licences():
+    owners = {}
+    for name, text in li.KNOWN:
+        owners.setdefault(li.digest(text), set()).add(name)
+    assert all(len(o) == 1 for o in owners.values()), [o for o in owners.values() if len(o) > 1]
+    assert len({n for n, _ in li.KNOWN}) > 30 and "" not in owners
