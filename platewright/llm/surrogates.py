@@ -12,6 +12,7 @@ import hmac
 import math
 import sys
 import unicodedata
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -293,6 +294,10 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         else:
             first, last = ("first", "last") if m["title"] else ("given", "family")
             found += [(*m.span(first), f"given_{gender}"), (*m.span(last), "family")]
+    return _apart(found + _later_mentions(text, _apart(found)))
+
+
+def _apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out, end = [], 0
     for s, e, kind in sorted(found, key=lambda x: (x[0], -x[1])):
         if s >= end:
@@ -301,6 +306,28 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+SHORTEST_MENTION = 3
+
+
+def _later_mentions(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Where a name found in this text stands alone: the given or the family name as it was written, or in capitals."""
+    names: dict[str, str] = {}
+    for s, e, kind in found:
+        if (kind == "family" or kind.startswith("given")) and e - s >= SHORTEST_MENTION:
+            for form in (text[s:e], text[s:e].upper()):
+                names.setdefault(form, kind)
+    if not names:
+        return []
+    forms = "|".join(regex.escape(n) for n in sorted(names, key=lambda n: (-len(n), n)))
+    alone = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_@.-])(?:{forms})(?![\p{{L}}\p{{M}}\p{{N}}_@]|[-.][\p{{L}}\p{{N}}])")
+    starts, out = [s for s, _, _ in found], []
+    for m in alone.finditer(text):
+        k = bisect_right(starts, m.start()) - 1
+        if (k < 0 or found[k][1] <= m.start()) and (k + 1 == len(found) or found[k + 1][0] >= m.end()):
+            out.append((*m.span(), names[m.group()]))
+    return out
+
+
 def replace(keyed: Keyed, text: str, memory: dict) -> tuple[str, list[tuple[str, str, str]]]:
     """The rewritten text and its (kind, canonical entity, canonical surrogate) mentions."""
     out, mentions, last = [], [], 0
@@ -357,7 +384,7 @@ def pseudonymise(docs: DataFrame, secret: bytes, text: str = "text", check: bool
     Kinds: e-mail, IPv4, bank card, social security number, IBAN, phone, given and family names (after a title or
     a known given name; given names are known in Latin, Cyrillic and Greek letters only, mailboxes and domains are
     found in letters of any script). Mentions of one entity get the same surrogate in all
-    rows. With ``check`` all mentions of the corpus are compared before anything is returned.
+    rows. A given or family name that was found so is replaced wherever it stands alone in the same text. With ``check`` all mentions of the corpus are compared before anything is returned.
 
     Null texts stay null with no entities; empty texts stay empty; repeated rows keep a row each; an empty table
     gives no rows; an existing column ``n_entities`` is replaced.

@@ -144,3 +144,35 @@ def test_collisions_are_reported(spark):
     assert s.collisions(spark.createDataFrame(good, schema)).count() == 0
     assert s.collisions(spark.createDataFrame([*good, ("email", "x@b", "c@d")], schema)).count() == 1
     assert s.collisions(spark.createDataFrame([*good, ("email", "a@b", "e@d")], schema)).count() == 1
+
+
+def test_later_mentions_are_replaced_alike():
+    text = "Dr. Anna Schmidt called. Anna said Schmidt would come; SCHMIDT came. Schmidtstrasse, Annabel, x@Schmidt.de, Schmidt's dog"
+    keyed = s.Keyed(b"k")
+    out, mentions = s.replace(keyed, text, {})
+    given, family = s.surrogate(keyed, "given_f", "anna"), s.surrogate(keyed, "family", "schmidt")
+    assert out.count(given.capitalize()) == 2 and out.count(family.capitalize()) == 3 and family.upper() in out
+    assert "Schmidtstrasse, Annabel" in out and " Anna " not in out and " Schmidt " not in out
+    assert len([m for m in mentions if m[0] == "family"]) == 4
+    # A text without the full name says nothing of its words.
+    assert s.replace(keyed, "Schmidt went home with Anna", {})[0] == "Schmidt went home with Anna"
+
+
+def plain_names(text, words):
+    """Whole words of ``text`` that are names, by looking at every place."""
+    out = []
+    for w in {f for w in words for f in (w, w.upper())}:
+        for i in range(len(text) - len(w) + 1):
+            before, after = text[i - 1 : i], text[i + len(w) : i + len(w) + 1]
+            if text[i : i + len(w)] == w and not (before.isalnum() or after.isalnum()):
+                out.append((i, i + len(w)))
+    return sorted(out)
+
+
+def test_all_mentions_of_found_names_against_every_place():
+    rng = random.Random(3)
+    for _ in range(100):
+        words = ["Anna", "Berger", "ANNA", "BERGER", "went", "to", "Bergers", "the", "anna", "Annabel"]
+        text = "Mrs Anna Berger, " + ", ".join(rng.choice(words) for _ in range(30)) + "."
+        spans = sorted((a, e) for a, e, _ in s.detect(text))
+        assert spans == plain_names(text, ["Anna", "Berger"])
