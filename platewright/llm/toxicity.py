@@ -146,10 +146,10 @@ class Grammar:
         self.stems = stems
         self.listed = dict.fromkeys(VIOLENCE, "v") | dict.fromkeys(INSULTS, "i")
         self.lengths = sorted({len(w) for w in self.listed.keys() | stems.keys()})
-        self.known: dict[str, tuple[str, bool, tuple[str, ...]]] = {}
+        self.known: dict[str, tuple[str, bool, tuple[str, ...], bool]] = {}
 
-    def entry(self, word: str) -> tuple[str, bool, tuple[str, ...]]:
-        """A word's letter, whether a listed word begins it, and the learnt stems that do; kept for the next time.
+    def entry(self, word: str) -> tuple[str, bool, tuple[str, ...], bool]:
+        """A word's letter, whether a listed word begins it, the learnt stems that do, and whether any does; kept.
 
         A word begins after an apostrophe too, and at any letter of a script without blanks.
         """
@@ -170,23 +170,24 @@ class Grammar:
                 letter = "i"
             if len(self.known) >= CACHED_WORDS:
                 self.known.clear()
-            found = self.known[word] = (letter, listed, tuple(dict.fromkeys(stems)))
+            found = self.known[word] = (letter, listed, tuple(dict.fromkeys(stems)), listed or bool(stems))
         return found
 
     def clauses(self, low: str) -> tuple[list[tuple[set[str], dict[str, str]]], int]:
         """Per clause with hits: classes of listed words, class of each stem; and the number of clauses."""
-        out, n = [], 0
+        out, n, known, entry = [], 0, self.known, self.entry
         for clause in BREAK.split(low):
             if not clause or clause.isspace():
                 continue
             n += 1
-            entries = [self.entry(w) for w in TOKEN.findall(clause)]
-            if not any(is_listed or own for _, is_listed, own in entries):
+            # Looked up here first: most words are known by now.
+            entries = [known.get(w) or entry(w) for w in TOKEN.findall(clause)]
+            if not [1 for e in entries if e[3]]:
                 continue
             state, listed, stems = START, set(), {}
-            for letter, is_listed, own in entries:
+            for letter, is_listed, own, hit in entries:
                 state, output = TABLE[state, letter]
-                if is_listed or own:
+                if hit:
                     name = OUTPUT.get(output)
                     if is_listed and name:
                         listed.add(name)
