@@ -1,6 +1,6 @@
 """Many small Gaussian-process fits: one bounded group per task, scoring as a join.
 
-``GROUP_LIMIT`` is a guard, not a cap: a larger group is an error and must be blocked first.
+``GROUP_LIMIT`` is a guard, not a cap: a larger group keeps its rows, with a ``problem``, and must be blocked first.
 """
 
 from __future__ import annotations
@@ -25,11 +25,6 @@ GROUP_LIMIT = 2000
 PARAMS = ("lengthscale_multiplier", "sigma_main", "sigma_epi", "sigma_noise")
 
 
-def _guard(pdf: pd.DataFrame) -> None:
-    if len(pdf) > GROUP_LIMIT:
-        raise ValueError(f"group of {len(pdf)} rows, dense fits take at most {GROUP_LIMIT}")
-
-
 def _gaps(pdf: pd.DataFrame, parts: int) -> np.ndarray:
     c = gp.split_components(np.vstack(pdf["vec"].to_numpy()), parts)
     return gp.squared_gaps(c, c)
@@ -43,10 +38,30 @@ def _score(pdf: pd.DataFrame, score: str | None):
     return None if score is None else pdf[score].to_numpy(float)
 
 
+def _problem_of(train: pd.DataFrame) -> str | None:
+    if len(train) < 3:
+        return "too_few_rows"
+    return "too_many_rows" if len(train) > GROUP_LIMIT else None
+
+
+def _fit_or_problem(pdf: pd.DataFrame, params: dict, parts: int, score: str | None = None):
+    """The exact fit of a group's rows, or why there is none."""
+    problem = _problem_of(pdf)
+    if problem is None:
+        try:
+            return gp.Fit(_gaps(pdf, parts), pdf["y"].to_numpy(), pdf["sem"].to_numpy(float), params, _score(pdf, score)), None
+        except ValueError as e:  # LinAlgError is one
+            problem = "singular" if isinstance(e, np.linalg.LinAlgError) else str(e).replace(" ", "_")
+    return None, problem
+
+
 def fit_groups(
     df: DataFrame, group: str, key: str, params: dict, parts: int, score: str | None = None
 ) -> DataFrame:
-    """One exact fit per group; returns its weights as rows (group, train_id, alpha, scale columns)."""
+    """One exact fit per group; returns its weights as rows (group, train_id, alpha, scale columns, problem).
+
+    A group that cannot be fitted keeps its rows, with the ``problem`` that ``pack_models`` names and without weights.
+    """
     schema = T.StructType(
         [
             df.schema[group],
@@ -55,13 +70,16 @@ def fit_groups(
                 T.StructField(n, T.DoubleType())
                 for n in ("alpha", "y_mean", "y_sd", "lengthscale", "intercept", "slope")
             ],
+            T.StructField("problem", T.StringType()),
         ]
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _guard(pdf)
         pdf = pdf.sort_values(key)
-        fit = gp.Fit(_gaps(pdf, parts), pdf["y"].to_numpy(), pdf["sem"].to_numpy(float), params, _score(pdf, score))
+        fit, problem = _fit_or_problem(pdf, params, parts, score)
+        if fit is None:
+            kept = pd.DataFrame({group: pdf[group], "train_id": pdf[key], "problem": problem})
+            return kept.reindex(columns=schema.names)
         beta = (0.0, 0.0) if fit.beta is None else fit.beta
         return pd.DataFrame(
             {
@@ -73,6 +91,7 @@ def fit_groups(
                 "lengthscale": fit.lengthscale,
                 "intercept": float(beta[0]),
                 "slope": float(beta[1]),
+                "problem": None,
             }
         )
 
@@ -118,19 +137,8 @@ def pack_models(df: DataFrame, group: str, key: str, params: dict, parts: int) -
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        model = problem = None
-        if len(pdf) > GROUP_LIMIT:
-            problem = "too_many_rows"
-        elif len(pdf) < 3:
-            problem = "too_few_rows"
-        else:
-            try:
-                fit = gp.Fit(_gaps(pdf, parts), pdf["y"].to_numpy(), pdf["sem"].to_numpy(float), params)
-                model = pickle.dumps((fit, np.vstack(pdf["vec"].to_numpy())))
-            except ValueError as e:
-                problem = str(e).replace(" ", "_")
-            except np.linalg.LinAlgError:
-                problem = "singular"
+        fit, problem = _fit_or_problem(pdf, params, parts)
+        model = None if fit is None else pickle.dumps((fit, np.vstack(pdf["vec"].to_numpy())))
         return pd.DataFrame([(pdf[group].iloc[0], model, len(pdf), problem)], columns=schema.names)
 
     return spread_out(df.select(group, key, "vec", "y", "sem"), group).groupBy(group).applyInPandas(run, schema)
@@ -192,12 +200,6 @@ def _report(found: dict) -> tuple:
     return tuple(found.get(f.name) for f in _REPORT)
 
 
-def _problem_of(train: pd.DataFrame) -> str | None:
-    if len(train) < 3:
-        return "too_few_rows"
-    return "too_many_rows" if len(train) > GROUP_LIMIT else None
-
-
 def _predict_unit(train, test, unit, settings, parts, key, score) -> list[tuple]:
     """Prediction rows of one train/test split under every setting.
 

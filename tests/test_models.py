@@ -125,6 +125,17 @@ def test_scoring_join_equals_dense_prediction(spark, rows):
     assert (both["sd_latent"] <= both["sd_observed"]).all()
 
 
+def test_groups_without_a_fit_keep_their_rows(spark, rows):
+    few = [{**r, "g": "few", "id": 100 + i} for i, r in enumerate(rows.to_dict("records")[:1])]
+    flat = [{**r, "g": "flat", "id": 200 + i, "y": 1.0} for i, r in enumerate(rows.to_dict("records")[:8])]
+    df = frame(spark, rows).unionByName(frame(spark, pd.DataFrame(few + flat)))
+    w = G.fit_groups(df, "g", "id", FIXED, 4).toPandas()
+    assert sorted(w["train_id"]) == sorted([*rows["id"], 100, *range(200, 208)])
+    assert w["alpha"].isna().equals(w["problem"].notna())
+    named = w.dropna(subset=["problem"]).groupby("g")["problem"].first().to_dict()
+    assert named == {"few": "too_few_rows", "flat": "target_does_not_vary"}
+
+
 def test_search_improves_on_the_start(spark, rows):
     df = frame(spark, rows)
     one = G.search_groups(df, "g", "id", "epistatic", 1, 4).first()["objective"]
