@@ -136,6 +136,20 @@ def test_groups_without_a_fit_keep_their_rows(spark, rows):
     assert named == {"few": "too_few_rows", "flat": "target_does_not_vary"}
 
 
+def test_fitted_scores_of_rows_without_train_rows(spark, tmp_path):
+    """mod_11_gp on four vectors: every test row comes back, with the problem of its assay."""
+    from platewright.plans import load
+
+    vectors = spark.range(4).select(
+        F.col("id").alias("vec_id"), F.col("id").cast("int").alias("label"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i.cast("float")).alias("embedding")
+    )
+    vectors.unionByName(vectors.withColumn("vec_id", F.col("vec_id") + 4)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = load()[0]["mod_11_gp"](spark, str(tmp_path)).collect()
+    ids = folds.assign_folds(spark.range(8).withColumnRenamed("id", "vec_id"), "vec_id", 5).where("fold = 0")
+    assert sorted(r["vec_id"] for r in got) == sorted(r["vec_id"] for r in ids.collect()) and got
+    assert {(r["problem"], r["dense_mean"], r["predicted"]) for r in got} == {("too_few_rows", None, None)}
+
+
 def test_search_improves_on_the_start(spark, rows):
     df = frame(spark, rows)
     one = G.search_groups(df, "g", "id", "epistatic", 1, 4).first()["objective"]
