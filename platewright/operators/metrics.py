@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from platewright.functions.common import col, correlation, is_bad_double, literal_rows
 from platewright.functions.normal import Z95, Z_LEVELS, gaussian_nlpd
 from platewright.operators.ranking import average_ranks, group_quantiles, quantiles_of
-from platewright.operators.stability import attach
+from platewright.operators.stability import attach, written
 
 
 def abs_error(observed: str = "observed", predicted: str = "predicted") -> Column:
@@ -268,9 +268,13 @@ def composite_score(
 
 
 def pairwise_delta_correlation(df: DataFrame, key: str, set_col: str, delta: str) -> DataFrame:
-    """Correlation of per-key deltas between every two sets (sets per key are few)."""
-    a = df.select(key, F.col(set_col).alias("set_a"), F.col(delta).alias("_da"))
-    b = df.select(key, F.col(set_col).alias("set_b"), F.col(delta).alias("_db"))
+    """Correlation of per-key deltas between every two sets (sets per key are few).
+
+    The deltas are written once: what made them does not run once per side in the tasks that pair them.
+    """
+    rows = written(df.select(key, set_col, delta), "deltas")
+    a = rows.select(key, F.col(set_col).alias("set_a"), F.col(delta).alias("_da"))
+    b = rows.select(key, F.col(set_col).alias("set_b"), F.col(delta).alias("_db"))
     return (
         a.join(b, key)
         .where(F.col("set_a") < F.col("set_b"))

@@ -150,6 +150,23 @@ def test_fitted_scores_of_rows_without_train_rows(spark, tmp_path):
     assert {(r["problem"], r["dense_mean"], r["predicted"]) for r in got} == {("too_few_rows", None, None)}
 
 
+def test_delta_pairs_read_a_written_table(spark):
+    """What makes the deltas is not repeated per side of the pairing."""
+    wide = spark.range(50).select("id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("s"), (F.col("id") % 7 * 1.0).alias("d"))
+    out = M.pairwise_delta_correlation(wide, "id", "s", "d")
+    assert out.inputFiles() and all("/deltas-" in f for f in out.inputFiles())
+    r = out.first()
+    assert (r["set_a"], r["set_b"], r["n"]) == ("a", "b", 50) and r["correlation"] == pytest.approx(1.0)
+
+
+def test_comparators_share_one_paired_table(spark, sf, monkeypatch):
+    from platewright.plans import load, model_queries as Q
+
+    names, real = [], Q.written
+    monkeypatch.setattr(Q, "written", lambda df, name: names.append(name) or real(df, name))
+    assert load()[0]["mod_19"](spark, sf).count() == 4 and names == ["paired"]
+
+
 def test_search_improves_on_the_start(spark, rows):
     df = frame(spark, rows)
     one = G.search_groups(df, "g", "id", "epistatic", 1, 4).first()["objective"]
