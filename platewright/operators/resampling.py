@@ -21,8 +21,10 @@ from platewright.operators.ranking import row_positions
 from platewright.operators.stability import spread_out
 
 BLOCK_ROWS = 1024
-# Index draws of a block that are made at a time.
-AT_ONCE = 1 << 20
+# Index draws of a block that are made at a time; they stay in a core's cache.
+AT_ONCE = 1 << 17
+# Neighbouring blocks that go to the same task, which walks most of their path through the tree once.
+RUN = 8
 
 
 class Tree:
@@ -56,15 +58,19 @@ class Tree:
         rng = np.random.default_rng([*self.key, k, 1 << 31])
         out = np.zeros((self.draws, values.shape[1]))
         ends = np.cumsum(taken)
+        columns = np.ascontiguousarray(values.T)
         first = 0
         while first < self.draws:
             done = int(ends[first - 1]) if first else 0
             last = max(first + 1, int(np.searchsorted(ends, done + AT_ONCE, side="right")))
             many = int(ends[last - 1]) - done
-            picked = values[rng.integers(0, len(values), many)]
-            owner = np.repeat(np.arange(first, last), taken[first:last])
-            for c in range(values.shape[1]):
-                out[first:last, c] = np.bincount(owner - first, weights=picked[:, c], minlength=last - first)
+            picked = rng.integers(0, len(values), many)
+            # Picks of a resample lie next to each other; a resample without any keeps its zero.
+            some = np.flatnonzero(taken[first:last]) + first
+            starts = ends[some] - taken[some] - done
+            for c, column in enumerate(columns):
+                if many:
+                    out[some, c] = np.add.reduceat(column.take(picked), starts)
             first = last
         return out
 
@@ -83,7 +89,8 @@ def exact_bootstrap_means(
     named = clean.withColumn("_group", name)
     placed = row_positions(named, ["_group"], [(key, False)] + [(v, False) for v in values], "_pos")
     placed = placed.withColumn("_block", F.floor((F.col("_pos") - 1) / F.lit(rows)).cast("long"))
-    sorted_ = spread_out(placed, "_group", "_block").sortWithinPartitions("_group", "_block", "_pos")
+    placed = placed.withColumn("_run", F.floor(F.col("_block") / F.lit(RUN)))
+    sorted_ = spread_out(placed, "_group", "_run").sortWithinPartitions("_group", "_block", "_pos")
     schema = T.StructType(
         [
             T.StructField("_group", T.StringType()), T.StructField("_n", T.LongType()),

@@ -61,6 +61,26 @@ def test_means_against_brute_force_for_any_partitioning(spark, partitions):
         assert np.allclose(mine[["x", "y"]], brute(rows, g, 40, 5, 16), atol=1e-9)
 
 
+def test_a_block_is_added_up_without_a_pass_per_pick(monkeypatch):
+    """Sums of a block come from its picks in place: the same numbers, well below the time of weighted counts."""
+    from time import process_time
+
+    values, tree = np.random.default_rng(4).normal(size=(1024, 2)), R.Tree("g", 50_000, 4000, 2)
+    taken = tree.block(7)
+    took = []
+    for _ in range(3):
+        start = process_time()
+        got = tree.sums(7, values)
+        took.append(process_time() - start)
+    start = process_time()
+    picked = values[np.random.default_rng([*tree.key, 7, 1 << 31]).integers(0, 1024, taken.sum())]
+    owner = np.repeat(np.arange(4000), taken)
+    want = np.column_stack([np.bincount(owner, weights=picked[:, c], minlength=4000) for c in range(2)])
+    assert np.allclose(got, want, atol=1e-9) and min(took) < (process_time() - start) / 1.5
+    monkeypatch.setattr(R, "AT_ONCE", 100)
+    assert np.allclose(tree.sums(7, values), want, atol=1e-9)
+
+
 def test_interval_is_that_of_a_plain_bootstrap(spark):
     df, rows = table(spark, (("a", 300),))
     means = R.exact_bootstrap_means(df.where("g = 'a'"), [], "id", ["x"], 10_000, rows=32)
