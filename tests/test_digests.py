@@ -31,6 +31,21 @@ def _rows(spark):
     return rows, spark.createDataFrame(rows, "g string, id long, x double, y double")
 
 
+def test_index_bootstrap_is_the_hashed_resample(spark, monkeypatch):
+    """Same means as slot by slot, over several blocks, without a row per draw and slot."""
+    monkeypatch.setattr(T, "BLOCK_PICKS", 1)
+    rows, df = _rows(spark)
+    found = T.bootstrap_means(df, ["g"], "id", ["x", "y"], 6)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.g, r.draw): (r.x, r.y) for r in found.collect()}
+    assert len(got) == 12
+    for (g, draw), means in got.items():
+        own = [r for r in rows if r[0] == g]
+        picks = [own[int(md5(f"{draw}|{s}".encode()).hexdigest()[:15], 16) % len(own)] for s in range(len(own))]
+        want = [np.mean([r[c] for r in picks if r[c] is not None]) for c in (2, 3)]
+        assert means == pytest.approx(want)
+
+
 def test_poisson_bootstrap_gets_a_task_per_so_many_hashes(spark, monkeypatch):
     monkeypatch.setattr(T, "TASK_DIGESTS", 20)
     monkeypatch.setattr(T, "HELD_GROUPS", 1)
