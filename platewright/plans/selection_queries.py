@@ -153,19 +153,10 @@ def sel_6(spark, sf):
     values = draws.join(members, ["assay", "vec_id"]).groupBy("assay", "seed").agg(
         F.avg("y").alias("mean_value"), F.min("y").alias("min_value")
     )
-    inside = L.pairs_inside(corr, draws, "assay", "vec_id", ["seed"]).withColumn(
-        "panel", F.concat_ws("#", "assay", "seed")
-    )
-    diversity = S.panel_diversity(inside, "panel", "correlation")
-    keyed = diversity.select(
-        F.split("panel", "#")[0].alias("assay"),
-        F.split("panel", "#")[1].cast("int").alias("seed"),
-        "mean_similarity",
-        "log_determinant",
-        "isometry",
-    )
+    inside = L.pairs_inside(corr, draws, "assay", "vec_id", ["seed"])
+    diversity = S.panel_diversity(inside, "assay", "correlation", by=["seed"]).drop("n")
     found = values.join(L.jaccard_to_primary(draws, primary, ["assay"], "vec_id"), ["assay", "seed"]).join(
-        keyed, ["assay", "seed"]
+        diversity, ["assay", "seed"]
     )
     failed = every.where(F.col("problem").isNotNull()).select("assay", "problem")
     return found.unionByName(failed, allowMissingColumns=True)

@@ -87,6 +87,21 @@ def test_panel_diversity_bounds(spark):
     assert r["log_determinant"] <= 0 and 0 < r["isometry"] <= 1 and r["n"] == 5
 
 
+def test_panels_of_a_group_are_cut_in_one_task(spark):
+    """Panels of several sizes per group, one of them singular: the same numbers as panel by panel, one call per group."""
+    v, w = unit_rows(6), np.tile(unit_rows(1), (3, 1))
+    parts = [pair_table(spark, x).withColumn("seed", F.lit(i)) for i, x in enumerate([v, v[:4], w, v[1:5]])]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    both = every.unionByName(every.withColumn("g", F.lit("h")))
+    got = S.panel_diversity(both, "g", "c", by=["seed"]).toPandas().set_index(["g", "seed"]).sort_index()
+    assert len(got) == 8
+    for i, part in enumerate(parts):
+        want = S.panel_diversity(part, "g", "c").toPandas().iloc[0]
+        for g in (want["g"], "h"):
+            numbers = ["n", "mean_similarity", "log_determinant", "isometry"]
+            np.testing.assert_allclose(got.loc[(g, i), numbers].astype(float), want[numbers].astype(float))
+
+
 def test_farthest_first_matches_brute_force(spark):
     v = unit_rows(40)
     score = np.round(np.random.default_rng(5).random(40), 3)
