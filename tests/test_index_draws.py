@@ -5,6 +5,7 @@ from __future__ import annotations
 from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -19,7 +20,7 @@ def slots(draw: int, n: int) -> list[int]:
     return [int(md5(f"{draw}|{i}".encode()).hexdigest()[:15], 16) % n for i in range(n)]
 
 
-@pytest.mark.parametrize("name, operator", [("sta_1", "bootstrap_means")])
+@pytest.mark.parametrize("name, operator", [("sta_1", "bootstrap_means"), ("sta_4", "bootstrap_rank_differences")])
 def test_query_takes_every_draw_of_the_reference(spark, sf, monkeypatch, name, operator):
     asked = []
     run = getattr(T, operator)
@@ -66,3 +67,57 @@ def test_tasks_take_so_many_picks():
     assert I.draw_tasks(3_600_000, 10_000, 8) == -(-10_000 // 27)
     assert I.draw_tasks(10**9, 10_000, 8) == -(-10_000 // I.MIN_DRAWS)
     assert I.draw_tasks(5, 3, 8) == 3
+
+
+def brute_differences(rows: pd.DataFrame, draws: int) -> list[tuple]:
+    out = []
+    for d in range(draws):
+        picked = rows.iloc[slots(d, len(rows))]
+        rho = {}
+        for m in "fpq":
+            # Ranks among all picked rows with a value, correlation over rows with both values.
+            pair = picked[["t", m]].rank()[picked.t.notna() & picked[m].notna()]
+            constant = len(pair) < 2 or pair.t.nunique() < 2 or pair[m].nunique() < 2
+            rho[m] = np.nan if constant else np.corrcoef(pair.t, pair[m])[0, 1]
+        out.append((d, rho["f"] - rho["p"], rho["f"] - rho["q"]))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "missing", "constant"])
+@pytest.mark.parametrize("piece", [16, 32768])
+def test_rank_differences_of_all_draws(spark, monkeypatch, kind, piece):
+    """Against ranking every resample; a tie run longer than a piece is worked on in several."""
+    rng = np.random.default_rng(3)
+    n = 4 if kind == "constant" else 230
+    rows = pd.DataFrame(rng.normal(size=(n, 4)), columns=list("tfpq"))
+    rows["f"] += rows.t
+    if kind == "ties":
+        rows = rows.mul(2).round()
+        rows.loc[: n // 2, "q"] = 0.0
+    if kind == "missing":
+        rows = rows.mask(rng.random(rows.shape) < 0.15)
+    want = np.array(brute_differences(rows, 60))
+    if kind == "constant":
+        assert np.isnan(want).any()
+    ranks = (2 * rows.rank()).fillna(0).to_numpy().T.astype(np.int32)
+    monkeypatch.setattr(I, "PIECE", piece)
+    taken = I.count_picks(list(range(60)), np.zeros(1, np.int64), np.array([n])).T.copy()
+    rho = I.Orders(ranks).correlations(taken)
+    np.testing.assert_allclose(rho[:, :1] - rho[:, 1:], want[:, 1:], atol=1e-12)
+    if piece > n:
+        table = spark.createDataFrame([(i * 3, *map(lambda v: None if v != v else float(v), r)) for i, r in enumerate(rows.to_numpy())], "k long, t double, f double, p double, q double")
+        found = T.bootstrap_rank_differences(table.repartition(3), "k", "t", "f", ["p", "q"], 60)
+        got = found.orderBy("draw").toPandas()
+        np.testing.assert_allclose(got.astype(float).to_numpy(), want, atol=1e-12)
+
+
+def test_rank_differences_rank_the_table_once(spark, monkeypatch):
+    """Rows are ranked once, not once per draw: what is sorted does not grow with the draws."""
+    seen = []
+    ranks = T.average_ranks
+    monkeypatch.setattr(T, "average_ranks", lambda df, *a: seen.append(df.count()) or ranks(df, *a))
+    df = spark.createDataFrame([(i, float(i % 9), float(i), float(-i), 1.0) for i in range(50)], "k long, t double, f double, p double, q double")
+    found = T.bootstrap_rank_differences(df, "k", "t", "f", ["p", "q"], 500)
+    assert found.count() == 500 and sum(seen) == 4 * 50
+    assert found.where("q is not null").count() == 0
+    assert T.bootstrap_rank_differences(df.limit(0), "k", "t", "f", ["p", "q"], 5).count() == 0
